@@ -17,7 +17,6 @@ from labelloom import domain
 from labelloom.functions.keys import _col
 from labelloom.functions.text import json_block, lookup, strip
 
-STRICT_JSON = "map('allowSingleQuotes','false','allowNonNumericNumbers','false')"
 JACCARD_MIN = 0.4
 SIMILARITY_MIN = 0.6
 
@@ -26,16 +25,36 @@ def _strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def fixed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns computed once per row.
+
+    A plain projection may be merged into the next one, and an expression used
+    inside a lambda would then run once per list element. The one-row generator
+    keeps the projections apart.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def parse_object(c: Column) -> Column:
-    """``map<string, variant>`` of a JSON object; null unless the whole text is one object."""
+    """``map<string,string>`` of a JSON object; null unless the whole text is one object.
+
+    Equal keys are all kept: read with ``last_value``. Nested values stay JSON text.
+    """
     wrapped = F.concat(F.lit("["), c, F.lit("]"))
-    parsed = F.from_json(
-        wrapped, "array<map<string,variant>>",
-        {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"},
-    )
+    parsed = F.from_json(wrapped, "array<map<string,string>>", {"allowSingleQuotes": "false"})
     return F.when(F.size(parsed) == 1, F.element_at(parsed, 1))
 
 
+def last_value(obj: Column, key: Column) -> Column:
+    """Value of a key; the last of equal keys counts. Null when absent."""
+    found = F.filter(F.map_entries(obj), lambda e: e["key"] == key)
+    return F.get(found, F.size(found) - 1)["value"]
+
+
+def has_key(obj: Column, key: str) -> Column:
+    return F.exists(F.map_keys(obj), lambda k: k == key)
+
+
 def repair_commas(c: Column) -> Column:
     return F.regexp_replace(c, r",\s*([\}\]])", "$1")
 
@@ -45,34 +64,42 @@ def salvage_label(c: Column) -> Column:
     return strip(F.when(found != "", found))
 
 
+def number(text: Column) -> Column:
+    """A JSON number, numeric string or boolean as double; null for anything else."""
+    return F.when(text == "true", 1.0).when(text == "false", 0.0).otherwise(text.try_cast("double"))
+
+
 def canonical(c: Column) -> Column:
     return F.replace(F.lower(strip(c)), F.lit(" "), F.lit("_"))
 
 
-def resolve_label(c, labels=domain.LABELS, aliases=domain.LABEL_ALIASES) -> Column:
+def resolve_labels(df: DataFrame, raw: str, labels=domain.LABELS, aliases=domain.LABEL_ALIASES,
+                   out: str = "label") -> DataFrame:
     """Alias, exact, unique two-way substring, best token overlap; else null."""
-    cand = canonical(_col(c))
     known = _strings(labels)
-    alias = lookup(cand, aliases) if aliases else F.lit(None).cast("string")
-    exact = F.when(F.array_contains(known, cand), cand)
-    # ``position`` finds an empty candidate in every label, as a substring test must.
-    hits = F.filter(known, lambda l: cand.contains(l) | l.contains(cand))
-    substring = F.when(F.size(hits) == 1, F.element_at(hits, 1))
+    df = fixed(df, __cand=canonical(F.col(raw)))
+    cand = F.col("__cand")
     own = F.filter(
         F.array_distinct(F.split(F.replace(cand, F.lit("-"), F.lit("_")), "_")), lambda t: F.length(t) > 2
     )
+    # An empty candidate is contained in every label, so it never is a unique hit.
+    hits = F.filter(known, lambda l: cand.contains(l) | l.contains(cand))
+    df = fixed(df, __own=own, __hits=hits)
     scored = F.array(*[
         F.struct(
-            (F.size(F.array_intersect(own, _strings(sorted(set(l.split("_"))))))
-             / F.size(F.array_union(own, _strings(sorted(set(l.split("_"))))))).alias("score"),
-            F.lit(-i).alias("ord"),
-            F.lit(l).alias("label"),
+            (F.size(F.array_intersect("__own", words)) / F.size(F.array_union("__own", words))).alias("score"),
+            F.lit(-i).alias("ord"), F.lit(l).alias("label"),
         )
-        for i, l in enumerate(labels)
+        for i, (l, words) in enumerate((l, _strings(sorted(set(l.split("_"))))) for l in labels)
     ])
-    best = F.array_max(scored)
-    overlap = F.when((F.size(own) > 0) & (best["score"] >= JACCARD_MIN), best["label"])
-    return F.coalesce(alias, exact, substring, overlap)
+    df = fixed(df, __best=F.array_max(scored))
+    label = F.coalesce(
+        lookup(cand, aliases) if aliases else F.lit(None).cast("string"),
+        F.when(F.array_contains(known, cand), cand),
+        F.when(F.size("__hits") == 1, F.element_at("__hits", 1)),
+        F.when((F.size("__own") > 0) & (F.col("__best.score") >= JACCARD_MIN), F.col("__best.label")),
+    )
+    return df.withColumn(out, label).drop("__cand", "__own", "__hits", "__best")
 
 
 def normalize_scores(scores: Column) -> Column:
@@ -83,6 +110,27 @@ def normalize_scores(scores: Column) -> Column:
     )
 
 
+def json_state(block: Column, direct: Column, mended: Column, saved: Column) -> Column:
+    return (
+        F.when(block.isNull(), "none").when(direct.isNotNull(), "ok").when(mended.isNotNull(), "repaired")
+        .when(saved.isNotNull(), "salvaged").otherwise("broken")
+    )
+
+
+def read_json(df: DataFrame, raw: str) -> DataFrame:
+    """Add json_state, __obj (parsed object or null) and __saved (label found by pattern)."""
+    block = json_block(F.coalesce(F.col(raw), F.lit("")))
+    df = fixed(df, __block=F.when(block != "", block))
+    block = F.col("__block")
+    df = fixed(df, __direct=parse_object(block), __saved=salvage_label(block))
+    # Repair is tried only where the text did not parse as it came.
+    mend = F.when(F.col("__direct").isNull(), repair_commas(block))
+    df = fixed(df, __mended=parse_object(mend))
+    state = json_state(block, F.col("__direct"), F.col("__mended"), F.col("__saved"))
+    df = df.withColumn("json_state", state).withColumn("__obj", F.coalesce("__direct", "__mended"))
+    return df.drop("__block", "__direct", "__mended")
+
+
 def parse_answer(
     df: DataFrame,
     raw: str = "raw_response",
@@ -92,56 +140,34 @@ def parse_answer(
 ) -> DataFrame:
     """Add json_state, predicted_label, confidence, class_scores, parse_error, needs_retry."""
     known = _strings(labels)
-    block = json_block(F.coalesce(F.col(raw), F.lit("")))
-    df = df.withColumn("__block", F.when(block != "", block))
-    df = df.withColumn("__direct", parse_object(F.col("__block")))
-    df = df.withColumn("__fixed", parse_object(repair_commas(F.col("__block"))))
-    df = df.withColumn("__salvaged", salvage_label(F.col("__block")))
-    state = (
-        F.when(F.col("__block").isNull(), "none")
-        .when(F.col("__direct").isNotNull(), "ok")
-        .when(F.col("__fixed").isNotNull(), "repaired")
-        .when(F.col("__salvaged").isNotNull(), "salvaged")
-        .otherwise("broken")
-    )
-    df = df.withColumn("json_state", state)
-    df = df.withColumn("__obj", F.coalesce("__direct", "__fixed"))
-    valid = F.col("__obj").isNotNull()
-
+    df = read_json(df, raw)
+    obj = F.col("__obj")
+    valid = obj.isNotNull()
     # A JSON null prints as "None" when turned into text, an absent key as "".
-    given = F.element_at("__obj", "predicted_label")
-    text = F.when(~F.map_contains_key("__obj", "predicted_label"), "").otherwise(
-        F.coalesce(F.try_variant_get(given, "$", "string"), F.lit("None"))
-    )
-    df = df.withColumn("__cand", F.when(valid, strip(text)).otherwise(F.col("__salvaged")))
-    resolved = F.when(F.array_contains(known, F.col("__cand")), F.col("__cand")).otherwise(
-        resolve_label("__cand", labels, aliases)
-    )
-    df = df.withColumn("__label", resolved)
+    told = F.when(has_key(obj, "predicted_label"), F.coalesce(last_value(obj, F.lit("predicted_label")), F.lit("None"))) \
+        .otherwise("")
+    df = fixed(df, __told=F.when(valid, strip(told)).otherwise(F.col("__saved")))
+    df = resolve_labels(df, "__told", labels, aliases, "__near")
+    exact = F.when(F.array_contains(known, F.col("__told")), F.col("__told"))
+    clamped = F.least(F.lit(1.0), F.greatest(F.lit(0.0), number(last_value(obj, F.lit("confidence")))))
+    stated = F.when(has_key(obj, "confidence"), F.coalesce(clamped, F.lit(0.5))).otherwise(0.0)
+    given = F.from_json(last_value(obj, F.lit("class_scores")), "map<string,string>", {"allowSingleQuotes": "false"})
+    df = fixed(df, __label=F.coalesce(exact, F.col("__near")), __stated=stated, __given=given)
     ok = valid & F.col("__label").isNotNull()
-
-    def number(obj: Column, key: Column) -> Column:
-        return F.try_variant_get(F.element_at(obj, key), "$", "double")
-
-    stated = number(F.col("__obj"), F.lit("confidence"))
-    clamped = F.least(F.lit(1.0), F.greatest(F.lit(0.0), stated))
-    conf = F.when(~F.map_contains_key("__obj", "confidence"), 0.0).otherwise(F.coalesce(clamped, F.lit(0.5)))
-    df = df.withColumn("confidence", F.when(ok, conf).otherwise(0.0))
-
-    inner = F.try_variant_get(F.element_at("__obj", "class_scores"), "$", "map<string,variant>")
-    df = df.withColumn("__scores", inner)
-    own = F.when(F.col("__label").isNull(), F.lit(fallback)).otherwise(F.col("__label"))
-    filled = F.map_from_entries(F.transform(known, lambda l: F.struct(
-        l.alias("k"), F.coalesce(number(F.col("__scores"), l), F.lit(0.0)).alias("v"))))
-    lifted = F.transform_values(filled, lambda k, v: F.when(
-        (k == F.col("__label")) & (v == 0.0), F.greatest(F.col("confidence"), F.lit(0.01))).otherwise(v))
-    one_hot = F.map_from_entries(F.transform(known, lambda l: F.struct(
-        l.alias("k"), F.when(l == own, 1.0).otherwise(0.0).alias("v"))))
-    df = df.withColumn("class_scores", F.when(ok, normalize_scores(lifted)).otherwise(one_hot))
-    df = df.withColumn("predicted_label", own)
-    df = df.withColumn("parse_error", ~ok)
+    own = F.coalesce(F.col("__label"), F.lit(fallback))
+    df = fixed(df, predicted_label=own, parse_error=~ok, confidence=F.when(ok, F.col("__stated")).otherwise(0.0))
+
+    def filled(l: Column) -> Column:
+        score = F.coalesce(number(last_value(F.col("__given"), l)), F.lit(0.0))
+        mine = l == F.col("predicted_label")
+        lifted = F.when(mine & (score == 0.0), F.greatest(F.col("confidence"), F.lit(0.01))).otherwise(score)
+        one_hot = F.when(mine, 1.0).otherwise(0.0)
+        return F.when(F.col("parse_error"), one_hot).otherwise(lifted)
+
+    df = fixed(df, __scores=F.map_from_arrays(known, F.transform(known, filled)))
+    df = df.withColumn("class_scores", normalize_scores(F.col("__scores")))
     df = df.withColumn("needs_retry", F.col("json_state").isin("none", "broken"))
-    return df.drop("__block", "__direct", "__fixed", "__salvaged", "__obj", "__cand", "__label", "__scores")
+    return df.drop("__obj", "__saved", "__told", "__near", "__label", "__stated", "__given", "__scores")
 
 
 def closed_similarity(labels, similarity_min: float = SIMILARITY_MIN):
@@ -162,8 +188,8 @@ def closed_similarity(labels, similarity_min: float = SIMILARITY_MIN):
 
     @F.pandas_udf("string")
     def match(cands: pd.Series) -> pd.Series:
-        unique = {c: nearest(c) for c in cands.dropna().unique()}
-        return cands.map(unique)
+        unique = {c: nearest(c) for c in set(cands.dropna())}
+        return pd.Series([unique.get(c) for c in cands], dtype=object)
 
     return match
 

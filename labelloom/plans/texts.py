@@ -206,7 +206,7 @@ def json_block(spark, d):
 
 
 J0 = rf"""j0 AS (SELECT row_id, true_label, raw_response, {BLOCK} AS block FROM answers),
-j1 AS (SELECT *, CASE WHEN block <> '' AND json_valid(block) THEN block END AS direct, regexp_replace(block, ',\s*([\}}\]])', '\1', 'g') AS fixed,
+j1 AS (SELECT *, CASE WHEN block <> '' AND json_valid(block) AND NOT regexp_matches(block, ',\s*[\}}\]]') THEN block END AS direct, regexp_replace(block, ',\s*([\}}\]])', '\1', 'g') AS fixed,
   nullif(regexp_extract(block, '"predicted_label"\s*:\s*"([^"]+)"', 1), '') AS saved FROM j0),
 j2 AS (SELECT *, coalesce(direct, CASE WHEN fixed <> '' AND json_valid(fixed) THEN fixed END) AS obj FROM j1),
 j3 AS (SELECT *, CASE WHEN block = '' THEN 'none' WHEN direct IS NOT NULL THEN 'ok' WHEN obj IS NOT NULL THEN 'repaired'
@@ -216,18 +216,10 @@ j3 AS (SELECT *, CASE WHEN block = '' THEN 'none' WHEN direct IS NOT NULL THEN '
 @query("json_repair", f"""WITH {v.ANSWERS}, {J0} SELECT row_id, json_state,
   coalesce(CASE WHEN json_state = 'salvaged' THEN {v.s_strip("saved")} ELSE json_extract_string(obj, '$.predicted_label') END, '<none>') AS stated FROM j3""")
 def json_repair(spark, d):
-    rows = v.answers(spark, d).withColumn("block", tx.json_block("raw_response"))
-    block = F.when(F.col("block") != "", F.col("block"))
-    rows = rows.withColumn("direct", an.parse_object(block)).withColumn("fixed", an.parse_object(an.repair_commas(block)))
-    rows = rows.withColumn("saved", an.salvage_label(block))
-    obj = F.coalesce("direct", "fixed")
-    state = (
-        F.when(block.isNull(), "none").when(F.col("direct").isNotNull(), "ok").when(F.col("fixed").isNotNull(), "repaired")
-        .when(F.col("saved").isNotNull(), "salvaged").otherwise("broken")
-    )
-    told = F.try_variant_get(F.element_at(obj, "predicted_label"), "$", "string")
-    stated = F.when(state == "salvaged", F.col("saved")).otherwise(told)
-    return rows.select("row_id", state.alias("json_state"), F.coalesce(stated, F.lit("<none>")).alias("stated"))
+    rows = an.read_json(v.answers(spark, d), "raw_response")
+    told = an.last_value(F.col("__obj"), F.lit("predicted_label"))
+    stated = F.when(F.col("json_state") == "salvaged", F.col("__saved")).otherwise(told)
+    return rows.select("row_id", "json_state", F.coalesce(stated, F.lit("<none>")).alias("stated"))
 
 
 def resolve_sql(cand: str, labels: list[str], aliases: dict[str, str]) -> str:
@@ -255,8 +247,8 @@ SOURCE_ALIASES = {f"alias_src{i}": f"src{i}" for i in range(0, 20, 2)}
   coalesce({resolve_sql("candidate", SOURCES, SOURCE_ALIASES)}, '<none>') AS label FROM candidates""")
 def resolve_label(spark, d):
     rows = v.candidates(spark, d)
-    label = an.resolve_label("candidate", SOURCES, SOURCE_ALIASES)
-    return rows.select("doc_id", "candidate", F.coalesce(label, F.lit("<none>")).alias("label"))
+    rows = an.resolve_labels(rows, "candidate", SOURCES, SOURCE_ALIASES)
+    return rows.select("doc_id", "candidate", F.coalesce("label", F.lit("<none>")).alias("label"))
 
 
 @query("resolve_label_closed")
