@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from labelloom.plans import sampling, tables, texts  # noqa: F401
+from labelloom.plans import modelling, sampling, tables, texts  # noqa: F401
 from labelloom.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 

@@ -101,13 +101,13 @@ def cache_left_join(spark, d):
     return hits.withColumn("cached", F.lit(True)).unionByName(fresh.withColumn("cached", F.lit(False)))
 
 
-@query("union_results", """SELECT 'lang' AS dimension, lang AS value, count(*) AS n, NULL::BIGINT AS chars FROM documents GROUP BY lang
+@query("union_results", """SELECT 'lang' AS dimension, lang AS value, count(*) AS n, -1::BIGINT AS chars FROM documents GROUP BY lang
   UNION ALL SELECT 'source', source, count(*), cast(sum(n_chars) AS BIGINT) FROM documents GROUP BY source""")
 def union_results(spark, d):
     docs = v.documents(spark, d)
     a = docs.groupBy(F.col("lang").alias("value")).agg(F.count("*").alias("n")).withColumn("dimension", F.lit("lang"))
     b = docs.groupBy(F.col("source").alias("value")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
-    return union_sources([a, b.withColumn("dimension", F.lit("source"))])
+    return union_sources([a, b.withColumn("dimension", F.lit("source"))]).fillna(-1, ["chars"])
 
 
 @query("dedup_text", "SELECT doc_id, lang, source FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
