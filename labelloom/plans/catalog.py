@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from labelloom.plans import modelling, sampling, tables, texts  # noqa: F401
+from labelloom.plans import modelling, neighbours, sampling, tables, texts  # noqa: F401
 from labelloom.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 
 def flagship(spark, d):
-    return QUERIES["write_splits"](spark, d)
+    return QUERIES["knn_holdout_report"](spark, d)

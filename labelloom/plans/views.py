@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.functions.keys import draw, epoch_micros
-from labelloom.session import bounded_values
+from labelloom.session import bounded_values, spread
 
 LANGS = ["de", "en", "es", "fr"]
 VECTOR_LABELS = list(range(10))
@@ -19,8 +19,8 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def documents(spark, d):
-    return table(spark, d, "documents")
+def documents(spark, d) -> DataFrame:
+    return spread(table(spark, d, "documents"), "doc_id")
 
 
 def emails(spark, d) -> DataFrame:
