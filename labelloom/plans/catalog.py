@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from labelloom.plans import modelling, neighbours, sampling, tables, texts  # noqa: F401
+from labelloom.plans import (  # noqa: F401
+    answering, evaluation, modelling, neighbours, sampling, series, streams, tables, texts,
+)
 from labelloom.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 
