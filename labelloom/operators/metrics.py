@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelloom.operators.ordering import BUCKET, order_buckets, running_totals
-from labelloom.session import bounded_values, materialize
+from labelloom.session import bounded_values, checked_broadcast, materialize
 
 # Fixed value: probabilities are clipped to [EPS, 1 - EPS] before the logarithm.
 EPS = 2.220446049250313e-16
@@ -289,7 +289,7 @@ def histogram(df: DataFrame, value: str, group: str, bins: int = 40) -> DataFram
     """Density per bin between the smallest and largest value of each group."""
     bounds = df.groupBy(group).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count("*").alias("total"))
     counts = df.groupBy(group, value).agg(F.count("*").alias("c"))
-    rows = counts.join(bounds, group)
+    rows = counts.join(checked_broadcast(bounds), group)
     width = (F.col("hi") - F.col("lo")) / bins
     at = F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("lo")) / width).cast("int"))
     rows = rows.withColumn("width", width).withColumn("bin", F.when(width > 0, at).otherwise(0))

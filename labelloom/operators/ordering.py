@@ -8,8 +8,6 @@ offsets across bucket borders. Results equal those of the plain window.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -40,13 +38,19 @@ def order_buckets(df: DataFrame, order_col: str, n_buckets: int | None = None) -
     return out.transform(df).drop(as_double)
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Equi-join on ``keys`` that also matches null keys; keeps the left key columns."""
-    renamed = right
-    for k in keys:
-        renamed = renamed.withColumnRenamed(k, f"__r_{k}")
-    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
-    return left.join(renamed, on, how).drop(*[f"__r_{k}" for k in keys])
+def _keyed(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
+    """Non-null helper keys for ``by``, so null groups survive a plain equi-join.
+
+    Windows and the border join use the same keys: rows move once.
+    """
+    types, keys = dict(df.dtypes), []
+    for i, c in enumerate(by):
+        kind = types[c]
+        numeric = kind in ("tinyint", "smallint", "int", "bigint", "float", "double")
+        value = F.coalesce(F.col(c), F.lit(0).cast(kind)) if numeric else F.coalesce(F.col(c).cast("string"), F.lit(""))
+        df = df.withColumns({f"__k{i}": value, f"__n{i}": F.col(c).isNull()})
+        keys += [f"__k{i}", f"__n{i}"]
+    return df, keys
 
 
 def running_totals(
@@ -62,13 +66,14 @@ def running_totals(
     ordered like ``order`` (use a negated bucket for descending orders). With
     ``group_totals`` the column ``<name>_total`` holds the sum of the group.
     """
-    part = [*by, BUCKET]
+    df, keys = _keyed(df, by)
+    part = [*keys, BUCKET]
     for name, expr in values.items():
         df = df.withColumn(f"__v_{name}", expr)
     sums = df.groupBy(*part).agg(*[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in values])
-    across = W.partitionBy(*by).orderBy(BUCKET)
+    across = W.partitionBy(*keys).orderBy(BUCKET)
     before = across.rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*by)
+    whole = W.partitionBy(*keys)
     sums = sums.select(
         *part,
         *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in values],
@@ -77,10 +82,10 @@ def running_totals(
     local = W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     for n in values:
         df = df.withColumn(f"__l_{n}", F.sum(f"__v_{n}").over(local))
-    out = _null_safe_join(df, sums, part)
+    out = df.join(sums, part)
     for n in values:
         out = out.withColumn(n, F.col(f"__l_{n}") + F.col(f"__o_{n}"))
-    return out.drop(*[f"__{p}_{n}" for n in values for p in "vlo"])
+    return out.drop(*keys, *[f"__{p}_{n}" for n in values for p in "vlo"])
 
 
 def seeded_rank(
@@ -129,7 +134,8 @@ def neighbour(
     when the first expression is not null. ``strict`` leaves the row itself out.
     The frame must carry ``BUCKET`` ordered like ``order``.
     """
-    part = [*by, BUCKET]
+    df, keys = _keyed(df, by)
+    part = [*keys, BUCKET]
     names = list(payload)
     side = "p" if previous else "n"
     src, got = f"__src_{side}", f"__got_{side}"
@@ -144,11 +150,11 @@ def neighbour(
     keep = F.when(F.col(src).isNotNull(), rank)
     pick = F.max_by(src, keep) if previous else F.min_by(src, keep)
     borders = df.groupBy(*part).agg(pick.alias("__edge"))
-    across = W.partitionBy(*by).orderBy(turn(BUCKET)).rowsBetween(W.unboundedPreceding, -1)
+    across = W.partitionBy(*keys).orderBy(turn(BUCKET)).rowsBetween(W.unboundedPreceding, -1)
     carry = F.last("__edge", ignorenulls=True).over(across)
     borders = borders.select(*part, carry.alias("__carry"))
-    out = _null_safe_join(df, borders, part)
+    out = df.join(borders, part)
     best = F.coalesce(F.col(got), F.col("__carry"))
     for n in names:
         out = out.withColumn(n, best[n])
-    return out.drop(src, got, "__carry")
+    return out.drop(*keys, src, got, "__carry")

@@ -10,6 +10,7 @@ from labelloom import domain
 from labelloom.functions import text as tx
 from labelloom.functions.keys import draw, order_digest
 from labelloom.operators.ordering import seeded_rank
+from labelloom.session import checked_broadcast
 
 
 def holdout(df: DataFrame, label: str, key: str, fraction: float = domain.TEST_FRACTION,
@@ -29,7 +30,7 @@ def kfold(df: DataFrame, label: str, key: str, k: int = 5, seed: int = domain.SE
     starts = counts.select(
         F.col(label).alias("__l"), (F.row_number().over(W.orderBy(label)) - 1).alias("__ord")
     )
-    out = ranked.join(starts, F.col(label).eqNullSafe(F.col("__l")), "left")
+    out = ranked.join(checked_broadcast(starts), F.col(label).eqNullSafe(F.col("__l")), "left")
     out = out.withColumn("fold", ((F.col("__rank") - 1 + F.col("__ord")) % k).cast("int"))
     return out.drop("__rank", "__rank_total", "__l", "__ord")
 

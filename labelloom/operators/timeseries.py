@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.operators.ordering import BUCKET, neighbour, order_buckets, position_rank
+from labelloom.session import checked_broadcast
 
 SECOND = 1_000_000
 
@@ -58,7 +59,7 @@ def run_summary(df: DataFrame, series: str, t: str, tie: str) -> DataFrame:
 
 def _with_span(df: DataFrame, series: str, t: str) -> DataFrame:
     span = df.groupBy(series).agg(F.min(t).alias("t0"), F.max(t).alias("t1"))
-    return df.join(span, series)
+    return df.join(checked_broadcast(span), series)
 
 
 def resample(df: DataFrame, series: str, t: str, tie: str, values: list[str], step: int, fill: bool = True) -> DataFrame:

@@ -41,16 +41,16 @@ def stream_resample(spark, d):
     return rounded(rows.withColumn("window_start", F.unix_micros("window_start")))
 
 
-PIECE = f"""p AS (SELECT *, t // (12 * {HOUR}) AS piece FROM samples WHERE (t // (12 * {HOUR}) + 1) * (12 * {HOUR}) <= (SELECT max(t) FROM samples) - {LATE}),
+PIECE = f"""p AS (SELECT *, t // {LATE} AS piece FROM samples WHERE (t // {LATE} + 1) * {LATE} <= (SELECT max(t) FROM samples) - {LATE}),
   g AS (SELECT *, lag(t) OVER (PARTITION BY series_id ORDER BY t, watts) AS before FROM p)"""
 
 
 @query("stream_run_summary", f"""WITH {v.SAMPLES}, {PIECE} SELECT series_id, count(*) AS n_samples, round((max(t) - min(t)) / 1000000, 6) AS runtime_seconds,
   round(sum(coalesce(watts * (t - before) / 1000000 / 3600, 0)), 6) AS energy_wh FROM g GROUP BY series_id""")
 def stream_run_summary(spark, d):
-    """Energy per series from streamed pieces of twelve hours that have closed."""
+    """Energy per series from streamed ten-minute pieces that have closed."""
     path = scratch_path(spark, "pieces")
-    out = sr.stream_energy_pieces(sample_stream(spark, d), "series_id", "ts", "watts", "12 hours", "10 minutes")
+    out = sr.stream_energy_pieces(sample_stream(spark, d), "series_id", "ts", "watts", "10 minutes", "10 minutes")
     sr.run_available(out, path)
     summary = sr.join_pieces(spark.read.schema(out.schema).parquet(path), "series_id")
     return rounded(summary.withColumn("n_samples", F.col("n_samples").cast("bigint")))

@@ -7,10 +7,10 @@ is in the progress of the query (``dropped_rows``).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from labelloom.operators.ordering import BUCKET, neighbour, order_buckets
 from labelloom.session import scratch_path
 
 
@@ -84,10 +84,14 @@ def stream_energy_pieces(stream: DataFrame, series: str, ts: str, watts: str, pi
 
 
 def join_pieces(pieces: DataFrame, series: str) -> DataFrame:
-    """Energy, sample count and runtime per series from the written pieces (one row per piece)."""
-    order = W.partitionBy(series).orderBy("piece_start")
-    gap = (F.col("first_t") - F.lag("last_t").over(order)) / 1_000_000 / 3600
-    rows = pieces.withColumn("cross", F.coalesce(F.col("first_watts") * gap, F.lit(0.0)))
+    """Energy, sample count and runtime per series from the written pieces.
+
+    The step into a piece starts at the end of the piece before it; a series may
+    have any number of pieces.
+    """
+    rows = neighbour(order_buckets(pieces, "first_t"), [series], ["first_t"], {"before_t": F.col("last_t")}).drop(BUCKET)
+    gap = (F.col("first_t") - F.col("before_t")) / 1_000_000 / 3600
+    rows = rows.withColumn("cross", F.coalesce(F.col("first_watts") * gap, F.lit(0.0)))
     return rows.groupBy(series).agg(
         F.sum("n_samples").alias("n_samples"),
         ((F.max("last_t") - F.min("first_t")) / 1_000_000).alias("runtime_seconds"),
