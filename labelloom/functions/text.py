@@ -11,10 +11,10 @@ from labelloom.functions.keys import _col
 # Every character Unicode counts as a blank, spelled for Java regular expressions.
 BLANK = r"\s\x0b\x1c-\x1f\x{85}\p{Z}"
 
-# Patterns that decide which characters survive cleaning.
-LATIN_DROP = r"[^a-záéíóúüñàèìòùâêîôûäëïöüa-z0-9\s]"
-ASCII_DROP = r"[^a-z0-9\s]"
-LETTER_DROP = r"[^a-z\s]"
+# The characters that survive cleaning, and the patterns of tags and marks.
+LATIN_KEEP = "a-z0-9áéíóúüñàèìòùâêîôûäëïö"
+ASCII_KEEP = "a-z0-9"
+LETTER_KEEP = "a-z"
 URL = rf"http[^{BLANK}]+|www[^{BLANK}]+"
 BODY_PREFIX = rf"(?i)^body:[{BLANK}]*"
 WORD = r"[\p{L}\p{N}_]{2,}"
@@ -36,18 +36,26 @@ def strip_prefix(c) -> Column:
     return F.regexp_replace(_col(c), BODY_PREFIX, "")
 
 
+def keep_runs(c, kept: str) -> Column:
+    """Lower-case runs of the kept characters, joined by single spaces.
+
+    Same result as blanking all other characters, collapsing and trimming, in
+    one scan; scanning for kept runs is several times faster than replacing.
+    """
+    return F.array_join(F.regexp_extract_all(F.lower(_col(c)), F.lit(f"[{kept}]+"), F.lit(0)), " ")
+
+
 def clean_latin(c) -> Column:
-    return squeeze(F.regexp_replace(F.lower(_col(c)), LATIN_DROP, " "))
+    return keep_runs(c, LATIN_KEEP)
 
 
 def clean_ascii(c) -> Column:
-    return squeeze(F.regexp_replace(F.lower(_col(c)), ASCII_DROP, " "))
+    return keep_runs(c, ASCII_KEEP)
 
 
 def clean_spam(c) -> Column:
-    # Digits are no letters, so the letter filter already blanks them.
-    without_urls = F.regexp_replace(F.lower(_col(c)), URL, " ")
-    return squeeze(F.regexp_replace(without_urls, LETTER_DROP, " "))
+    # Digits are no letters, so keeping letters drops them too.
+    return keep_runs(F.regexp_replace(F.lower(_col(c)), URL, " "), LETTER_KEEP)
 
 
 def normalize_body(c) -> Column:

@@ -29,10 +29,14 @@ from labelloom.session import checked_broadcast, scratch_path
 
 # Long form: (key, term, tf).
 
-def term_counts(df: DataFrame, key: str, text: str = "text", tokens: Column | None = None) -> DataFrame:
-    """Term frequency per row; a row's tokens combine in its map task before the shuffle."""
+def term_counts(df: DataFrame, key: str, text: str = "text", tokens: Column | None = None, keep=()) -> DataFrame:
+    """Term frequency per row; a row's tokens combine in its map task before the shuffle.
+
+    ``keep`` carries row columns such as the split along.
+    """
     tokens = tokens if tokens is not None else word_tokens(text)
-    return df.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    rows = df.select(key, *keep, F.explode(tokens).alias("term"))
+    return rows.groupBy(key, *keep, "term").agg(F.count("*").alias("tf"))
 
 
 def vocabulary(terms: DataFrame, n: int = domain.MAX_TERMS, min_count: int = 1) -> DataFrame:
@@ -59,9 +63,9 @@ def tfidf(terms: DataFrame, vocab: DataFrame, key: str, n_docs: int, sublinear:
     tf = F.log(F.col("tf")) + 1.0 if sublinear else F.col("tf").cast("double")
     idf = F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0
     rows = in_vocabulary(terms, vocab).select(key, "term", (tf * idf).alias("w"))
-    # The norm is joined rather than windowed: it combines on the map side.
-    norm = rows.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return rows.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    # A window group is one document, and one shuffle brings its terms together.
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key)))
+    return rows.select(key, "term", (F.col("w") / norm).alias("weight"))
 
 
 def doc_vectors(df: DataFrame, key: str, tokens: Column, vectors: DataFrame, dim: int) -> DataFrame:

@@ -22,7 +22,7 @@ N_TERMS = domain.MAX_TERMS
 def split_docs(spark, d):
     """(doc_id, text, label, split): cleaned documents with a 30 % test part per language."""
     docs = v.documents(spark, d).select("doc_id", tx.clean_latin("text").alias("text"), F.col("lang").alias("label"))
-    return holdout(docs.where(F.col("text") != ""), "label", "doc_id")
+    return holdout(materialize(docs.where(F.col("text") != ""), "clean"), "label", "doc_id")
 
 
 SPLIT = f"""docs AS (SELECT doc_id, {v.s_clean_latin("text")} AS text, lang AS label FROM documents),
@@ -37,10 +37,10 @@ SPLIT = f"""docs AS (SELECT doc_id, {v.s_clean_latin("text")} AS text, lang AS l
 def train_terms(spark, d):
     """Term counts of all rows and the vocabulary of the train rows, each written once."""
     rows = split_docs(spark, d)
-    terms = materialize(ft.term_counts(rows, "doc_id"), "terms")
-    train = materialize(rows.where("split = 'train'").select("doc_id"), "train")
-    vocab = materialize(ft.vocabulary(terms.join(train, "doc_id", "left_semi"), N_TERMS), "vocab")
-    return terms, vocab, train.count()
+    terms = materialize(ft.term_counts(rows, "doc_id", keep=["split"]), "terms")
+    train = terms.where("split = 'train'")
+    vocab = materialize(ft.vocabulary(train, N_TERMS), "vocab")
+    return terms.drop("split"), vocab, rows.where("split = 'train'").count()
 
 
 @query("vocab_top_n", f"WITH {SPLIT} SELECT term, cf, df FROM vocab")
