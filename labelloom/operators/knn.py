@@ -10,6 +10,7 @@ Distances are rounded to 9 places and ties go to the smaller id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from math import ceil
 
 import numpy as np
@@ -24,6 +25,7 @@ from labelloom import domain
 from labelloom.functions.keys import order_digest
 from labelloom.session import materialize, shuffle_width
 
+MAX_PIVOTS = 2048
 SLACK = 1e-6  # keeps cells whose bound differs only by rounding
 
 
@@ -93,32 +95,58 @@ def _assign_cells(pivots: np.ndarray):
     return assign
 
 
-def _visit_cells(pivots: np.ndarray, cells: list[int], radius: np.ndarray, counts: np.ndarray,
-                 groups: list, k: int, exclude: str | None):
-    """Cells a query has to visit; ``counts`` is cells x groups of the base."""
+@dataclass
+class Cells:
+    """What is known of the base cells: at most MAX_PIVOTS rows of figures."""
+
+    pivots: np.ndarray
+    pivot_groups: np.ndarray
+    cells: list[int]
+    near: np.ndarray  # smallest reach of a member per cell
+    far: np.ndarray  # largest reach of a member per cell
+    counts: np.ndarray  # cells x groups
+    groups: list
+
+
+def _kth_bound(dist: np.ndarray, usable: np.ndarray, need: int) -> np.ndarray:
+    """Per row the smallest distance within which ``need`` usable members surely lie."""
+    order = np.argsort(dist, axis=1)
+    seen = np.cumsum(np.take_along_axis(np.broadcast_to(usable, dist.shape), order, axis=1), axis=1)
+    enough = seen >= need
+    at = enough.argmax(axis=1)
+    bound = np.take_along_axis(dist, order, axis=1)[np.arange(len(at)), at]
+    return np.where(enough.any(axis=1), bound, np.inf)
+
+
+def _visit_cells(info: Cells, k: int, exclude: str | None):
+    """Cells a query has to visit.
+
+    Two upper bounds on the k-th distance: pivots are base rows themselves, and
+    every member of a cell lies within distance + reach. A cell is skipped when
+    its ring of reaches cannot come closer than the smaller bound.
+    """
     need = k + 1 if exclude == "id" else k
-    total = counts.sum(axis=1)
+    total = info.counts.sum(axis=1)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows == 0:
                 continue
-            d = _pivot_distances(unit_rows(b.column("qvec")), pivots)[:, cells]
-            far = d + radius
-            order = np.argsort(far, axis=1)
-            usable = np.broadcast_to(total, far.shape)
+            every = _pivot_distances(unit_rows(b.column("qvec")), info.pivots)
+            d = every[:, info.cells]
+            members, single = np.broadcast_to(total, d.shape), np.ones(every.shape, dtype=np.int64)
             if exclude == "group":
-                where = {g: i for i, g in enumerate(groups)}
-                own = [where.get(g, -1) for g in b.column("qgroup").to_pylist()]
-                lost = np.stack([counts[:, i] if i >= 0 else np.zeros_like(total) for i in own])
-                usable = total - lost
-            seen = np.cumsum(np.take_along_axis(usable, order, axis=1), axis=1)
-            at = np.minimum((seen < need).sum(axis=1), far.shape[1] - 1)
-            limit = np.take_along_axis(far, order, axis=1)[np.arange(len(at)), at]
-            rows, cols = np.nonzero(d - radius <= limit[:, None] + SLACK)
+                own = b.column("qgroup").to_numpy(zero_copy_only=False)
+                where = {g: i for i, g in enumerate(info.groups)}
+                lost = np.stack([info.counts[:, where[g]] if g in where else np.zeros_like(total) for g in own.tolist()])
+                members = total - lost
+                single = (own[:, None] != info.pivot_groups[None, :]).astype(np.int64)
+            limit = np.minimum(_kth_bound(d + info.far, members, need), _kth_bound(every, single, need))
+            least = np.maximum(d - info.far, info.near - d)
+            rows, cols = np.nonzero(least <= limit[:, None] + SLACK)
             taken = b.take(pa.array(rows))
             yield pa.RecordBatch.from_arrays(
-                [*taken.columns, pa.array(np.asarray(cells, dtype=np.int32)[cols])],
+                [*taken.columns, pa.array(np.asarray(info.cells, dtype=np.int32)[cols])],
                 names=[*b.schema.names, "cell"],
             )
 
@@ -155,27 +183,29 @@ def knn(
                     (F.col(bgroup) if bgroup else F.lit(0)).cast("bigint").alias("bgroup"),
                     (F.col(payload) if payload else F.lit(None).cast("int")).alias("payload"))
     n_base, n_query = b.count(), q.count()
-    wanted = n_pivots or min(256, ceil(n_base / (4 * block_rows)))
+    wanted = min(MAX_PIVOTS, n_pivots or ceil(n_base / (4 * block_rows)))
     if wanted > 1:
-        # At most 256 vectors reach the driver.
-        seeds = b.orderBy(order_digest("bid", domain.SEED)).limit(wanted).select("bvec").toArrow()
+        # At most MAX_PIVOTS vectors and as many rows of figures reach the driver.
+        seeds = b.orderBy(order_digest("bid", domain.SEED)).limit(wanted).select("bvec", "bgroup").toArrow()
         pivots = unit_rows(seeds["bvec"])
-        celled = b.mapInArrow(_assign_cells(pivots), T.StructType([
+        b = b.mapInArrow(_assign_cells(pivots), T.StructType([
             *b.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("reach", T.DoubleType())]))
-        stats = celled.groupBy("cell", "bgroup").agg(F.count("*").alias("n"), F.max("reach").alias("r")).collect()
-        cells = sorted({s["cell"] for s in stats})
-        groups = sorted({s["bgroup"] for s in stats})
+        b = materialize(b, "vector-cells")
+        stats = b.groupBy("cell", "bgroup").agg(
+            F.count("*").alias("n"), F.min("reach").alias("lo"), F.max("reach").alias("hi")).collect()
+        cells, groups = sorted({s["cell"] for s in stats}), sorted({s["bgroup"] for s in stats})
         counts = np.zeros((len(cells), len(groups)), dtype=np.int64)
-        radius = np.zeros(len(cells))
+        lo, hi = np.full(len(cells), np.inf), np.zeros(len(cells))
+        place, slot = {c: i for i, c in enumerate(cells)}, {g: i for i, g in enumerate(groups)}
         for s in stats:
-            i, g = cells.index(s["cell"]), groups.index(s["bgroup"])
-            counts[i, g] += s["n"]
-            radius[i] = max(radius[i], s["r"])
-        b = celled.drop("reach")
+            i = place[s["cell"]]
+            counts[i, slot[s["bgroup"]]] = s["n"]
+            lo[i], hi[i] = min(lo[i], s["lo"]), max(hi[i], s["hi"])
+        info = Cells(pivots, seeds["bgroup"].to_numpy(), cells, lo, hi, counts, groups)
         q = q.mapInArrow(
-            _visit_cells(pivots, cells, radius, counts, groups, k, exclude),
-            T.StructType([*q.schema.fields, T.StructField("cell", T.IntegerType())]),
-        )
+            _visit_cells(info, k, exclude), T.StructType([*q.schema.fields, T.StructField("cell", T.IntegerType())]))
+        q = materialize(q, "vector-visits")
+        b = b.drop("reach")
         visits = {r["cell"]: r["n"] for r in q.groupBy("cell").agg(F.count("*").alias("n")).collect()}
         sizes = dict(zip(cells, counts.sum(axis=1).tolist()))
     else:
@@ -183,22 +213,14 @@ def knn(
         visits, sizes = {0: n_query}, {0: n_base}
 
     # Cells above the block size are split by id hash on both sides.
-    def splits(rows: dict[int, int], size: int, least: int = 1) -> dict[int, int]:
-        return {c: max(least, ceil(n / size)) for c, n in rows.items()}
-
-    base_splits = splits(sizes, block_rows)
-    few = len(sizes) * sum(base_splits.values()) < parts
-    query_splits = splits(visits, query_rows, min(parts, ceil(n_query / 256)) if few else 1)
-
-    def literal(table: dict[int, int]):
-        return F.create_map(*[F.lit(x) for cv in table.items() for x in cv]) if table else F.lit(None).cast("map<int,int>")
-
-    nb = F.element_at(literal(base_splits), F.col("cell"))
-    nq = F.element_at(literal(query_splits), F.col("cell"))
-    q = q.withColumn("qpart", F.pmod(F.hash("qid"), nq)) \
-        .withColumn("bpart", F.explode(F.sequence(F.lit(0), nb - 1)))
-    b = b.where(nq.isNotNull()).withColumn("bpart", F.pmod(F.hash("bid"), nb)) \
-        .withColumn("qpart", F.explode(F.sequence(F.lit(0), nq - 1)))
+    few = sum(ceil(n / block_rows) for n in sizes.values()) < parts
+    least = min(parts, ceil(n_query / 256)) if few and len(sizes) == 1 else 1
+    plan = [(c, max(1, ceil(sizes[c] / block_rows)), max(least, ceil(n / query_rows))) for c, n in visits.items()]
+    plan = F.broadcast(spark.createDataFrame(plan, "cell int, nb int, nq int"))  # at most MAX_PIVOTS rows
+    q = q.join(plan, "cell").withColumn("qpart", F.pmod(F.hash("qid"), F.col("nq"))) \
+        .withColumn("bpart", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).drop("nb", "nq")
+    b = b.join(plan, "cell").withColumn("bpart", F.pmod(F.hash("bid"), F.col("nb"))) \
+        .withColumn("qpart", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).drop("nb", "nq")
     keys = ["cell", "bpart", "qpart"]
     out = T.StructType([
         T.StructField("query_id", q.schema["qid"].dataType), T.StructField("base_id", b.schema["bid"].dataType),

@@ -106,21 +106,26 @@ def class_report(preds: DataFrame, labels, by=(), true: str = "true_label", pred
 
 
 def report_from_confusion(conf: DataFrame, labels, by=()) -> DataFrame:
-    by = list(by)
-    per = class_scores(conf, by).where(F.col("label").isin(list(labels)))
-    rows = per.select(*by, F.col("label").cast("string").alias("label"), "precision", "recall", "f1", "support")
-    whole = prf_from_confusion(conf, labels, by)
-
-    def line(name: str, p: str, r: str, f: str) -> Column:
-        return F.struct(F.lit(name).alias("label"), F.col(p).alias("precision"), F.col(r).alias("recall"),
-                        F.col(f).alias("f1"), F.col("n").alias("support"))
-
-    extra = whole.select(*by, F.inline(F.array(
-        line("accuracy", "accuracy", "accuracy", "accuracy"),
-        line("macro avg", "precision_macro", "recall_macro", "f1_macro"),
-        line("weighted avg", "precision_weighted", "recall_weighted", "f1_weighted"),
-    )))
-    return rows.unionByName(extra)
+    """Every class feeds its own row and the three summary rows, in one aggregation."""
+    per = class_scores(conf, by)
+    inside = F.col("label").isin(list(labels))
+    own = F.when(inside, F.col("label").cast("string"))
+    rows = per.withColumn("inside", inside).withColumn(
+        "line", F.explode(F.array_compact(F.array(own, F.lit("accuracy"), F.lit("macro avg"), F.lit("weighted avg"))))
+    )
+    weight = F.when(F.col("inside"), F.col("support")).otherwise(0)
+
+    def value(m: str) -> Column:
+        mine = F.when(F.col("inside"), F.col(m)).otherwise(0.0)
+        return (
+            F.when(F.col("line") == "accuracy", _ratio(F.sum("tp"), F.sum("support")))
+            .when(F.col("line") == "macro avg", F.sum(mine) / len(labels))
+            .when(F.col("line") == "weighted avg", _ratio(F.sum(mine * weight), F.sum(weight)))
+            .otherwise(F.sum(mine)).alias(m)
+        )
+
+    out = rows.groupBy(*by, "line").agg(*[value(m) for m in ("precision", "recall", "f1")], F.sum("support").alias("support"))
+    return out.withColumnRenamed("line", "label")
 
 
 def per_class_f1(preds: DataFrame, labels, run: str, true: str = "true_label", pred: str = "pred_label") -> DataFrame:
@@ -131,9 +136,10 @@ def per_class_f1(preds: DataFrame, labels, run: str, true: str = "true_label", p
 def fold_metrics(preds: DataFrame, labels, fold: str = "fold", true: str = "true_label", pred: str = "pred_label") -> DataFrame:
     """Metrics per fold and a pooled row with fold -1, all from one confusion aggregate."""
     conf = confusion(preds, labels, [fold], true, pred)
-    pooled = conf.withColumn(fold, F.lit(-1))
-    both = conf.unionByName(pooled.withColumn(fold, F.col(fold).cast(conf.schema[fold].dataType)))
-    return prf_from_confusion(both.groupBy(fold, "true_label", "pred_label").agg(F.sum("n").alias("n")), labels, [fold])
+    kind = conf.schema[fold].dataType
+    each = conf.withColumn(fold, F.explode(F.array(F.col(fold), F.lit(-1).cast(kind))))
+    pooled = each.groupBy(fold, "true_label", "pred_label").agg(F.sum("n").alias("n"))
+    return prf_from_confusion(pooled, labels, [fold])
 
 
 def unpivot_metrics(table: DataFrame, keys: list[str], metrics=None) -> DataFrame:
@@ -230,14 +236,11 @@ def pr_points(scores: DataFrame, by=("label",), positive: Column | None = None,
     )
 
 
-def ap_from_steps(steps: DataFrame, by=("label",)) -> DataFrame:
-    gain = F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))
-    return steps.groupBy(*by).agg((F.sum(gain) / F.max("tp_total")).alias("average_precision"))
-
-
 def avg_precision(scores: DataFrame, by=("label",), positive: Column | None = None, score: str = "score") -> DataFrame:
     """Step-wise average precision: sum of recall gains times precision."""
-    return ap_from_steps(score_steps(scores, by, positive, score), by)
+    steps = score_steps(scores, by, positive, score)
+    gain = F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))
+    return steps.groupBy(*by).agg((F.sum(gain) / F.max("tp_total")).alias("average_precision"))
 
 
 def log_loss(scores: DataFrame, by=()) -> DataFrame:
@@ -251,23 +254,32 @@ def log_loss(scores: DataFrame, by=()) -> DataFrame:
 
 
 def binary_metrics(preds: DataFrame, y: str, p: str, threshold: float = 0.5) -> DataFrame:
-    """accuracy, precision, recall, F1 of class 1, ROC AUC, average precision and log loss in one row."""
-    yes, hat = F.col(y) == 1, F.col(p) >= threshold
-    prob = F.least(F.lit(1 - EPS), F.greatest(F.lit(EPS), F.when(yes, F.col(p)).otherwise(1 - F.col(p))))
-    counts = preds.agg(
-        F.count("*").alias("n"), F.count_if(yes & hat).alias("tp"),
-        F.count_if(~yes & hat).alias("fp"), F.count_if(yes & ~hat).alias("fn"),
-        F.avg(-F.log(prob)).alias("log_loss"),
+    """accuracy, precision, recall, F1 of class 1, ROC AUC, average precision and log loss in one row.
+
+    Everything is read off the table of distinct scores in one aggregation.
+    """
+    steps = score_steps(preds.withColumn("all", F.lit(1)), ["all"], F.col(y) == 1, p)
+    hat, s = F.col("score") >= threshold, F.col("score")
+
+    def clip(c: Column) -> Column:
+        return F.least(F.lit(1 - EPS), F.greatest(F.lit(EPS), c))
+
+    loss = -(F.col("pos") * F.log(clip(s)) + F.col("neg") * F.log(clip(1 - s)))
+    gain = F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))
+    wins = F.col("pos") * (F.col("fp_total") - F.col("fp") + F.col("neg") / 2.0)
+    nan = F.lit(float("nan"))
+    sums = steps.agg(
+        F.sum(F.col("pos") + F.col("neg")).alias("n"), F.sum("pos").alias("p"), F.sum("neg").alias("q"),
+        F.sum(F.when(hat, F.col("pos")).otherwise(0)).alias("hit"), F.sum(F.when(hat, F.col("neg")).otherwise(0)).alias("false"),
+        F.sum(loss).alias("loss"), F.sum(gain).alias("gain"), F.sum(wins).alias("wins"),
+    )
+    hit, false, pos, neg = F.col("hit"), F.col("false"), F.col("p"), F.col("q")
+    return sums.select(
+        "n", ((hit + neg - false) / F.col("n")).alias("accuracy"), _ratio(hit, hit + false).alias("precision"),
+        _ratio(hit, pos).alias("recall"), _ratio(2 * hit, hit + false + pos).alias("f1"),
+        F.when((pos > 0) & (neg > 0), F.col("wins") / (pos * neg)).otherwise(nan).alias("roc_auc"),
+        _ratio(F.col("gain"), pos).alias("average_precision"), (F.col("loss") / F.col("n")).alias("log_loss"),
     )
-    counts = counts.withColumn("precision", _ratio(F.col("tp"), F.col("tp") + F.col("fp")))
-    counts = counts.withColumn("recall", _ratio(F.col("tp"), F.col("tp") + F.col("fn")))
-    counts = counts.withColumn("f1", _ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")))
-    counts = counts.withColumn("accuracy", (F.col("n") - F.col("fp") - F.col("fn")) / F.col("n"))
-    steps = score_steps(preds.withColumn("one", F.lit(1)), ["one"], yes, p)
-    area = auc_from_steps(steps, ["one"]).join(ap_from_steps(steps, ["one"]), "one")
-    out = counts.withColumn("one", F.lit(1)).join(area, "one")
-    return out.select("n", "accuracy", "precision", "recall", "f1", F.col("auc").alias("roc_auc"),
-                      "average_precision", "log_loss")
 
 
 def errors(preds: DataFrame, by=(), true: str = "true_label", pred: str = "pred_label") -> DataFrame:

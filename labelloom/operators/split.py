@@ -10,7 +10,7 @@ from labelloom import domain
 from labelloom.functions import text as tx
 from labelloom.functions.keys import draw, order_digest
 from labelloom.operators.ordering import seeded_rank
-from labelloom.session import checked_broadcast
+from labelloom.session import bounded_values
 
 
 def holdout(df: DataFrame, label: str, key: str, fraction: float = domain.TEST_FRACTION,
@@ -25,14 +25,11 @@ def holdout(df: DataFrame, label: str, key: str, fraction: float = domain.TEST_F
 def kfold(df: DataFrame, label: str, key: str, k: int = 5, seed: int = domain.SEED) -> DataFrame:
     """Add ``fold`` (0..k-1); the first fold rotates with the label's place in label order."""
     ranked = seeded_rank(df, [label], key, seed, "__rank")
-    counts = df.groupBy(label).agg(F.count("*").alias("__n"))
-    # One row per label: a closed list, so this window sees label rows only.
-    starts = counts.select(
-        F.col(label).alias("__l"), (F.row_number().over(W.orderBy(label)) - 1).alias("__ord")
-    )
-    out = ranked.join(checked_broadcast(starts), F.col(label).eqNullSafe(F.col("__l")), "left")
-    out = out.withColumn("fold", ((F.col("__rank") - 1 + F.col("__ord")) % k).cast("int"))
-    return out.drop("__rank", "__rank_total", "__l", "__ord")
+    # Labels are a closed list, so their places enter as literals.
+    places = [F.lit(x) for i, value in enumerate(bounded_values(df, label)) for x in (value, i)]
+    first = F.coalesce(F.element_at(F.create_map(*places), F.col(label)), F.lit(0)) if places else F.lit(0)
+    out = ranked.withColumn("fold", ((F.col("__rank") - 1 + first) % k).cast("int"))
+    return out.drop("__rank", "__rank_total")
 
 
 def draws(spark, n: int, iterations: int, seed: int) -> DataFrame:

@@ -70,27 +70,26 @@ def resample(df: DataFrame, series: str, t: str, tie: str, values: list[str], st
     last grid point the last value. A series shorter than one step is returned
     as it came. Columns: series, cell, t, values, n_samples (0 = filled).
     """
-    rows = _with_span(df.select(series, t, tie, *values), series, t)
-    cell = F.floor((F.col(t) - F.col("t0")) / step).cast("bigint")
-    rows = rows.withColumn("cell", cell)
+    df = df.select(series, t, tie, *values)
+    rows = _with_span(order_buckets(df, t) if fill else df, series, t)
+    rows = rows.withColumn("cell", F.floor((F.col(t) - F.col("t0")) / step).cast("bigint"))
     short = F.col("t1") - F.col("t0") < step
-    untouched = rows.where(short).select(
-        series, "cell", t, *[F.col(v).cast("double").alias(v) for v in values], F.lit(1).cast("bigint").alias("n_samples")
-    )
-    long = rows.where(~short)
-    means = long.groupBy(series, "cell").agg(
+    # In a short series every sample is a group of its own.
+    solo = F.when(short, F.struct(t, tie))
+    out = rows.groupBy(series, "cell", solo.alias("solo")).agg(
         F.min("t0").alias("t0"), *[F.avg(v).alias(v) for v in values], F.count("*").alias("n_samples")
-    ).select(series, "cell", (F.col("t0") + F.col("cell") * step).alias(t), *values, "n_samples")
-    out = untouched.unionByName(means)
+    ).select(
+        series, "cell", F.coalesce(F.col(f"solo.{t}"), F.col("t0") + F.col("cell") * step).alias(t), *values, "n_samples"
+    )
     if not fill:
         return out
-    return out.unionByName(_gaps(long, series, t, tie, values, step))
+    return out.unionByName(_gaps(rows.where(~short), series, t, tie, values, step))
 
 
 def _gaps(rows: DataFrame, series: str, t: str, tie: str, values: list[str], step: int, run: int = 10_000) -> DataFrame:
-    """Empty cells, read off each pair of neighbouring samples."""
+    """Empty cells, read off each pair of neighbouring samples (rows carry BUCKET)."""
     nxt = {"n_t": F.col(t), **{f"n_{v}": F.col(v) for v in values}}
-    rows = neighbour(order_buckets(rows, t), [series], [t, tie], nxt, previous=False).drop(BUCKET)
+    rows = neighbour(rows, [series], [t, tie], nxt, previous=False).drop(BUCKET)
     last_cell = F.ceil((F.col("t1") - F.col("t0")) / step)
     until = F.coalesce(F.floor((F.col("n_t") - F.col("t0")) / step) - 1, last_cell)
     gaps = rows.withColumn("until", until.cast("bigint")).where(F.col("until") > F.col("cell"))

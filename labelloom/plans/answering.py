@@ -38,7 +38,7 @@ def digest_scorer(labels: list[str], limit: int | None = None):
 def mails(spark, d):
     """Documents as mails to classify; some bodies are blank."""
     blank = F.col("source") == "src3"
-    return v.documents(spark, d).select("doc_id", F.col("lang").alias("true_label"), F.when(blank, "  ").otherwise(F.col("text")).alias("text"))
+    return v.texts(spark, d).select("doc_id", F.col("lang").alias("true_label"), F.when(blank, "  ").otherwise(F.col("text")).alias("text"))
 
 
 BODY = f"""mails AS (SELECT doc_id, lang AS true_label, {v.s_truncate(v.s_normalize_body("CASE WHEN source = 'src3' THEN '  ' ELSE text END"), 3000, " [TEXTO TRUNCADO]")} AS body FROM documents)"""

@@ -130,7 +130,7 @@ FOLDS = f"""{P}, fl AS (SELECT *, cast(({v.s_rank("true_label", "row_id")} - 1 +
 
 
 def folded(spark, d):
-    return kfold(v.predictions(spark, d), "true_label", "row_id", 5)
+    return kfold(materialize(v.predictions(spark, d), "predictions"), "true_label", "row_id", 5)
 
 
 @query("fold_metrics", f"WITH {FOLDS}, {s_prf('allf', VEC_LABELS, 'fold')} SELECT * FROM prf")

@@ -21,7 +21,7 @@ N_TERMS = domain.MAX_TERMS
 
 def split_docs(spark, d):
     """(doc_id, text, label, split): cleaned documents with a 30 % test part per language."""
-    docs = v.documents(spark, d).select("doc_id", tx.clean_latin("text").alias("text"), F.col("lang").alias("label"))
+    docs = v.texts(spark, d).select("doc_id", tx.clean_latin("text").alias("text"), F.col("lang").alias("label"))
     return holdout(materialize(docs.where(F.col("text") != ""), "clean"), "label", "doc_id")
 
 
@@ -95,7 +95,7 @@ def word2vec_fit(spark, d):
   SELECT doc_id, round(coalesce(a, 0), 6) AS a, round(coalesce(b, 0), 6) AS b, round(coalesce(c, 0), 6) AS c FROM documents LEFT JOIN m USING (doc_id)""")
 def doc_vector_mean(spark, d):
     """Document means over given word vectors: three keyed components per word seen at least twice."""
-    docs = v.documents(spark, d).select("doc_id", tx.tokens(tx.clean_latin("text")).alias("tokens"))
+    docs = v.texts(spark, d).select("doc_id", tx.tokens(tx.clean_latin("text")).alias("tokens"))
     terms = ft.term_counts(docs, "doc_id", tokens=F.col("tokens"))
     words = terms.groupBy("term").agg(F.sum("tf").alias("cf")).where("cf >= 2")
     parts = F.array(uniform("term", "a"), uniform("term", "b") - 0.5, uniform("term", "c") * 2)
@@ -107,7 +107,7 @@ def doc_vector_mean(spark, d):
 @query("encode_batches")
 def encode_batches(spark, d):
     """Embeddings of all documents through the cache: dimension, length and first component."""
-    docs = v.documents(spark, d).select("doc_id", tx.squeeze("text").alias("text"))
+    docs = v.texts(spark, d).select("doc_id", tx.squeeze("text").alias("text"))
     out = ft.encode_cached(docs, "doc_id", "text", scratch_path(spark, "encoder-cache"))
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
     return out.select("doc_id", F.size("embedding").alias("n_dims"), F.round(norm, 4).alias("norm"),
@@ -144,7 +144,7 @@ def train_random_forest(spark, d):
 
 def toxic_table(spark, d, vec="tfidf_sublinear"):
     """Binary track: spam-style cleaning, toxic flag as label, feature table with split and weight."""
-    docs = v.documents(spark, d).select("doc_id", tx.clean_spam("text").alias("text"))
+    docs = v.texts(spark, d).select("doc_id", tx.clean_spam("text").alias("text"))
     flags = v.table(spark, d, "labels").select("doc_id", F.col("toxic").alias("label"))
     rows = docs.join(flags, "doc_id").where(F.col("text") != "")
     return md.feature_table(holdout(rows, "label", "doc_id", 0.2), vec, [0, 1], "doc_id", N_TERMS)
@@ -238,7 +238,7 @@ def aligned_proba(spark, d):
 def batch_score(spark, d):
     """A stored bundle applied to mail bodies without refitting."""
     path = scratch_path(spark, "bundle")
-    docs = v.documents(spark, d).select("doc_id", "text", F.col("lang").alias("label"))
+    docs = v.texts(spark, d).select("doc_id", "text", F.col("lang").alias("label"))
     md.save_bundle(md.refit(docs, v.LANGS, "bow", "logreg", N_TERMS, maxIter=50), {"labels": v.LANGS}, path)
     model, meta = md.load_bundle(spark, path)
     mails = v.emails(spark, d).select("email_id", tx.strip_prefix("email_corpus").alias("text"))

@@ -87,11 +87,11 @@ HOLD = f"""sp AS (SELECT *, {v.s_rank("label", "vec_id")} <= round(count(*) OVER
 
 
 def holdout_predictions(spark, d):
-    e = holdout(v.table(spark, d, "embeddings"), "label", "vec_id")
+    e = materialize(holdout(v.table(spark, d, "embeddings"), "label", "vec_id"), "vector-split")
     test = e.where("split = 'test'")
     votes = nn.knn_vote(nn.knn(test, e.where("split = 'train'"), K, payload="label"))
     truth = test.select(F.col("vec_id").alias("query_id"), F.col("label").alias("true_label"))
-    return votes.join(truth, "query_id")
+    return materialize(votes.join(truth, "query_id"), "knn-predictions")
 
 
 @query("knn_holdout_eval", f"WITH {HOLD}, {s_prf('preds', VEC_LABELS)} SELECT * FROM prf")
@@ -124,7 +124,7 @@ METRICS = ", ".join(mt.METRICS)
   SELECT metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, count(*) AS n_folds FROM long GROUP BY metric""")
 def knn_cv_eval(spark, d):
     """One self-join serves all folds: neighbours of the query's own fold are left out."""
-    e = kfold(v.table(spark, d, "embeddings"), "label", "vec_id", 5)
+    e = materialize(kfold(v.table(spark, d, "embeddings"), "label", "vec_id", 5), "vector-folds")
     votes = nn.knn_vote(nn.knn(e, e, K, payload="label", qgroup="fold", bgroup="fold", exclude="group"))
     truth = e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("true_label"), "fold")
     preds = materialize(votes.join(truth, "query_id"), "cv-predictions")

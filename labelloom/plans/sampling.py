@@ -117,7 +117,7 @@ def dedup_text(spark, d):
 
 @query("dedup_rows", f"SELECT DISTINCT {v.s_clean_latin('text')} AS text, lang AS label FROM documents")
 def dedup_rows(spark, d):
-    return dedup.dedup_rows(v.documents(spark, d).select(tx.clean_latin("text").alias("text"), F.col("lang").alias("label")))
+    return dedup.dedup_rows(v.texts(spark, d).select(tx.clean_latin("text").alias("text"), F.col("lang").alias("label")))
 
 
 @query("stratified_holdout", f"""SELECT doc_id, lang, CASE WHEN {v.s_rank("lang", "doc_id")} <= round(count(*) OVER (PARTITION BY lang) * 0.3::DOUBLE)
@@ -175,7 +175,7 @@ FEW_SQL = f"""WITH {v.EMAILS}, b AS (SELECT email_id, class_label AS label, {v.s
 
 
 def few(spark, d):
-    return sp.few_shot(v.emails(spark, d), v.LANGS, "email_id", "email_corpus", "class_label", per_class=3)
+    return sp.few_shot(v.emails(spark, d, heavy=True), v.LANGS, "email_id", "email_corpus", "class_label", per_class=3)
 
 
 @query("few_shot_sample", FEW_SQL + " SELECT cast(example_no AS INTEGER) AS example_no, email_id, label, example FROM few WHERE example_no <= 12")

@@ -87,7 +87,7 @@ def vector_store_catalog(spark, d):
 def model_bundle_io(spark, d):
     """Fit, save, load and score again: per document whether both models agree."""
     path = scratch_path(spark, "bundle")
-    docs = v.documents(spark, d).select("doc_id", "text", F.col("lang").alias("label"))
+    docs = v.texts(spark, d).select("doc_id", "text", F.col("lang").alias("label"))
     model = md.refit(docs, v.LANGS, "tfidf", "logreg")
     md.save_bundle(model, {"vectorizer": "tfidf", "model": "logreg", "labels": v.LANGS}, path)
     loaded, meta = md.load_bundle(spark, path)

@@ -20,7 +20,7 @@ def _doc_text(name, fn, sql_fn):
     """A query that applies one text function to every mail body."""
     @query(name, f"WITH {v.EMAILS} SELECT email_id, {sql_fn('email_corpus')} AS text FROM emails")
     def run(spark, d):
-        return v.emails(spark, d).select("email_id", fn("email_corpus").alias("text"))
+        return v.emails(spark, d, heavy=True).select("email_id", fn("email_corpus").alias("text"))
 
     return run
 
@@ -41,7 +41,7 @@ _doc_text("text_fingerprint", tx.fingerprint, lambda c: f"md5({c})")
 @query("truncate_words", f"""WITH {v.EMAILS}, n AS (SELECT email_id, {v.s_normalize_body("email_corpus")} AS b FROM emails)
   SELECT email_id, {v.s_truncate("b", 3000, " [TEXTO TRUNCADO]")} AS body, {v.s_truncate("b", 400, " [...]")} AS example FROM n""")
 def truncate_words(spark, d):
-    rows = v.emails(spark, d).select("email_id", tx.normalize_body("email_corpus").alias("b"))
+    rows = v.emails(spark, d, heavy=True).select("email_id", tx.normalize_body("email_corpus").alias("b"))
     return rows.select("email_id", tx.truncate_words("b").alias("body"),
                        tx.truncate_words("b", domain.MAX_EXAMPLE_CHARS, domain.EXAMPLE_MARKER).alias("example"))
 
@@ -50,7 +50,7 @@ def truncate_words(spark, d):
   SELECT email_id, 1 AS level, {v.s_shrink("b", 1)} AS text FROM n UNION ALL
   SELECT email_id, 2, {v.s_shrink("b", 2)} FROM n UNION ALL SELECT email_id, 3, {v.s_shrink("b", 3)} FROM n""")
 def shrink_levels(spark, d):
-    rows = v.emails(spark, d).select("email_id", tx.normalize_body("email_corpus").alias("b"))
+    rows = v.emails(spark, d, heavy=True).select("email_id", tx.normalize_body("email_corpus").alias("b"))
     return rows.select("email_id", F.inline(F.array(*[
         F.struct(F.lit(i).alias("level"), tx.shrink("b", i).alias("text")) for i in (1, 2, 3)])))
 
@@ -79,7 +79,7 @@ ZERO = v.s_quote(rd.ZERO_SHOT).replace("{labels}", LABEL_LINES)
   concat('system|', replace({v.s_quote(rd.CHAT_SYSTEM)}, '{{labels}}', {v.s_quote(LABEL_LINES)}), '||user|', body, '||assistant|', class_label) AS chat FROM b""")
 def render_prompt(spark, d):
     body = tx.truncate_words(tx.normalize_body("email_corpus"))
-    rows = v.emails(spark, d).select("email_id", "class_label", body.alias("body"))
+    rows = v.emails(spark, d, heavy=True).select("email_id", "class_label", body.alias("body"))
     turns = F.transform(rd.chat("body", v.LANGS, "class_label"), lambda t: F.concat(t["role"], F.lit("|"), t["content"]))
     return rows.select(
         "email_id", rd.render("body", v.LANGS).alias("zero_shot"),
@@ -298,7 +298,7 @@ def map_lookup_default(spark, d):
   cast(length(replace({v.s_quote(rd.CHAT_SYSTEM)}, '{{labels}}', {v.s_quote(LABEL_LINES)})) + length(array_to_string(t[1:64], ' ')) AS BIGINT) AS prompt_len, lang AS answer FROM b""")
 def sft_examples(spark, d):
     """Chat examples; the text keeps a blank-token budget so the answer always fits, the prompt part is masked."""
-    rows = v.documents(spark, d).select("doc_id", "lang", F.array_join(F.slice(tx.tokens("text"), 1, 64), " ").alias("body"))
+    rows = v.texts(spark, d).select("doc_id", "lang", F.array_join(F.slice(tx.tokens("text"), 1, 64), " ").alias("body"))
     chat = rd.chat("body", v.LANGS, "lang")
     shown = F.array_join(F.transform(chat, lambda t: F.concat(t["role"], F.lit("|"), t["content"])), "||")
     prompt = F.aggregate(F.slice(chat, 1, 2), F.lit(0), lambda a, t: a + F.length(t["content"]))

@@ -20,11 +20,16 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def documents(spark, d) -> DataFrame:
-    return spread(table(spark, d, "documents"), "doc_id")
+    return table(spark, d, "documents")
 
 
-def emails(spark, d) -> DataFrame:
-    doc, lab = documents(spark, d), table(spark, d, "labels").select("doc_id", "toxic")
+def texts(spark, d) -> DataFrame:
+    """Documents for work that scans whole texts: at least one partition per core."""
+    return spread(documents(spark, d), "doc_id")
+
+
+def emails(spark, d, heavy: bool = False) -> DataFrame:
+    doc, lab = texts(spark, d) if heavy else documents(spark, d), table(spark, d, "labels").select("doc_id", "toxic")
     multi = draw("doc_id", "multi") % 5 == 0
     return doc.join(lab, "doc_id", "left").select(
         F.col("doc_id").alias("email_id"),
@@ -131,7 +136,7 @@ def drafts(spark, d) -> DataFrame:
         .when(kind == 8, text("SUBJECT:\n---\n[CUERPO] ", body, "."))
         .otherwise(text("SUBJECT: ", line, "\n---\n", line))
     )
-    return documents(spark, d).select("doc_id", raw.alias("raw"))
+    return texts(spark, d).select("doc_id", raw.alias("raw"))
 
 
 # SQL text of the same views.
