@@ -149,8 +149,10 @@ def parse_answer(
     df = fixed(df, __told=F.when(valid, strip(told)).otherwise(F.col("__saved")))
     df = resolve_labels(df, "__told", labels, aliases, "__near")
     exact = F.when(F.array_contains(known, F.col("__told")), F.col("__told"))
-    clamped = F.least(F.lit(1.0), F.greatest(F.lit(0.0), number(last_value(obj, F.lit("confidence")))))
-    stated = F.when(has_key(obj, "confidence"), F.coalesce(clamped, F.lit(0.5))).otherwise(0.0)
+    # least and greatest skip nulls, so the missing number is filled before clamping.
+    given = F.coalesce(number(last_value(obj, F.lit("confidence"))), F.lit(0.5))
+    clamped = F.least(F.lit(1.0), F.greatest(F.lit(0.0), given))
+    stated = F.when(has_key(obj, "confidence"), clamped).otherwise(0.0)
     given = F.from_json(last_value(obj, F.lit("class_scores")), "map<string,string>", {"allowSingleQuotes": "false"})
     df = fixed(df, __label=F.coalesce(exact, F.col("__near")), __stated=stated, __given=given)
     ok = valid & F.col("__label").isNotNull()

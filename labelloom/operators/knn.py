@@ -26,7 +26,7 @@ from labelloom.functions.keys import order_digest
 from labelloom.session import materialize, shuffle_width
 
 MAX_PIVOTS = 2048
-SLACK = 1e-6  # keeps cells whose bound differs only by rounding
+SLACK = 1e-6  # rounding of pivot distances
 
 
 def unit_rows(column) -> np.ndarray:
@@ -143,7 +143,8 @@ def _visit_cells(info: Cells, k: int, exclude: str | None):
                 single = (own[:, None] != info.pivot_groups[None, :]).astype(np.int64)
             limit = np.minimum(_kth_bound(d + info.far, members, need), _kth_bound(every, single, need))
             least = np.maximum(d - info.far, info.near - d)
-            rows, cols = np.nonzero(least <= limit[:, None] + SLACK)
+            # Compared as squares, where equal rounded distances differ by at most 2e-9.
+            rows, cols = np.nonzero(np.maximum(least - SLACK, 0.0) ** 2 <= limit[:, None] ** 2 + 1e-8)
             taken = b.take(pa.array(rows))
             yield pa.RecordBatch.from_arrays(
                 [*taken.columns, pa.array(np.asarray(info.cells, dtype=np.int32)[cols])],

@@ -26,7 +26,8 @@ def tick_rollup(df: DataFrame, series: str, tick: str, cores: int, cpu: str = "c
 
 def power(cpu: Column, tdp: float, base: float, gpu_watts: Column | None = None) -> Column:
     """base + min(1, cpu/100) * (tdp - base), plus GPU watts."""
-    watts = F.lit(base) + F.least(F.lit(1.0), cpu / 100.0) * F.lit(tdp - base)
+    share = F.when(cpu > 100.0, 1.0).otherwise(cpu / 100.0)
+    watts = F.lit(base) + share * F.lit(tdp - base)
     return watts if gpu_watts is None else watts + gpu_watts
 
 

@@ -264,7 +264,7 @@ PARSE = rf"""{J0}, j4 AS (SELECT *, CASE WHEN obj IS NOT NULL THEN {v.s_strip("c
 j5 AS (SELECT *, CASE WHEN list_contains({L4}, cand) THEN cand ELSE {resolve_sql("cand", v.LANGS, v.ANSWER_ALIASES)} END AS res FROM j4),
 j6 AS (SELECT *, obj IS NOT NULL AND res IS NOT NULL AS ok FROM j5),
 j7 AS (SELECT *, CASE WHEN NOT ok THEN 0::DOUBLE WHEN NOT json_exists(obj, '$.confidence') THEN 0::DOUBLE
-  ELSE coalesce(least(1::DOUBLE, greatest(0::DOUBLE, try_cast(json_extract_string(obj, '$.confidence') AS DOUBLE))), 0.5::DOUBLE) END AS confidence,
+  ELSE least(1::DOUBLE, greatest(0::DOUBLE, coalesce(try_cast(json_extract_string(obj, '$.confidence') AS DOUBLE), 0.5::DOUBLE))) END AS confidence,
   coalesce(res, 'en') AS predicted_label FROM j6),
 parsed AS (SELECT row_id, true_label, predicted_label, confidence, NOT ok AS parse_error, json_state IN ('none', 'broken') AS needs_retry, ok, obj FROM j7)"""
 
