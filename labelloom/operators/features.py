@@ -136,8 +136,16 @@ def assemble_vectors(long: DataFrame, vocab: DataFrame, key: str, weight: str) -
 
 
 def word2vec(df: DataFrame, tokens: str, dim: int = 100, window: int = 5, min_count: int = 2,
-             epochs: int = 10, seed: int = domain.SEED) -> Word2VecModel:
-    """Word vectors; rows are spread over ``numPartitions`` tasks of the fit."""
+             epochs: int = 10, seed: int = domain.SEED, max_words: int = 10_000_000) -> Word2VecModel:
+    """Word vectors fitted over ``numPartitions`` tasks.
+
+    The model (words x dim) sits on the driver, so its size is checked first; a
+    larger corpus needs a higher ``min_count``.
+    """
+    totals = df.select(F.explode(tokens).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    words = totals.where(F.col("n") >= min_count).count()
+    if words > max_words:
+        raise ValueError(f"{words} words reach min_count={min_count}; raise it to stay within {max_words}")
     parts = max(1, min(8, df.sparkSession.sparkContext.defaultParallelism))
     return Word2Vec(vectorSize=dim, windowSize=window, minCount=min_count, maxIter=epochs, seed=seed,
                     numPartitions=parts, inputCol=tokens, outputCol="doc_vector").fit(df)
@@ -149,9 +157,10 @@ Encoder = Callable[[list[str]], np.ndarray]
 
 
 class HashedEncoder:
-    """Default encoder: every token adds a fixed +-1 pattern read from its digest.
+    """Default encoder: every word token adds a fixed +-1 pattern, the bits of its md5.
 
     It stands in for a sentence encoder where no model weights are available.
+    Rows have unit length.
     """
 
     def __init__(self, dim: int = 64):
@@ -161,20 +170,22 @@ class HashedEncoder:
     def token(self, token: str) -> np.ndarray:
         row = self.known.get(token)
         if row is None:
-            digest = hashlib.shake_128(token.encode()).digest(self.dim // 8)
-            row = np.unpackbits(np.frombuffer(digest, dtype=np.uint8)).astype(np.float32) * 2 - 1
+            blocks = -(-self.dim // 128)
+            digest = b"".join(hashlib.md5((token + "|" * i).encode()).digest() for i in range(blocks))
+            bits = np.unpackbits(np.frombuffer(digest, dtype=np.uint8))[: self.dim]
+            row = bits.astype(np.float64) * 2 - 1
             if len(self.known) < 200_000:
                 self.known[token] = row
         return row
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim), dtype=np.float32)
+        out = np.zeros((len(texts), self.dim))
         for i, text in enumerate(texts):
             counts = Counter(re.findall(r"\w\w+", text.lower()))
             if counts:
-                out[i] = np.asarray(list(counts.values()), dtype=np.float32) @ np.stack([self.token(t) for t in counts])
-        norm = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(norm == 0, 1, norm)
+                out[i] = np.asarray(list(counts.values()), dtype=np.float64) @ np.stack([self.token(t) for t in counts])
+        norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        return (out / np.where(norm == 0, 1, norm)).astype(np.float32)
 
 
 def encode(df: DataFrame, key: str, text: str, factory: Callable[[], Encoder] = HashedEncoder,

@@ -44,16 +44,32 @@ def _pivot_distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (vectors @ pivots.T)))
 
 
-def _block_best(dist: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column numbers of the k best per row by (distance, id)."""
-    k = min(k, dist.shape[1])
-    kth = np.partition(dist, k - 1, axis=1)[:, k - 1 : k]
-    rows, cols = np.nonzero((dist <= kth) & np.isfinite(dist))
-    order = np.lexsort((ids[cols], dist[rows, cols], rows))
-    rows, cols = rows[order], cols[order]
-    first = np.searchsorted(rows, rows, side="left")
-    keep = np.arange(len(rows)) - first < k
-    return rows[keep], cols[keep]
+def _block_best(qm: np.ndarray, bm: np.ndarray, ids: np.ndarray, k: int, banned: np.ndarray | None):
+    """(rows, cols, distance) of the k best per query row by (rounded distance, id).
+
+    A single-precision product finds the candidates: everything within its
+    rounding error of the k-th best. Their distances are then taken in double.
+    """
+    n, dim = bm.shape
+    k = min(k, n)
+    sim = qm.astype(np.float32) @ bm.astype(np.float32).T
+    if banned is not None:
+        sim[banned] = -np.inf
+    kth = np.partition(sim, n - k, axis=1)[:, n - k]
+    # Dot products of unit rows err by at most (dim + 2) * 2**-24 on either side.
+    margin = 4 * (dim + 2) * 2.0**-24 + 4e-9
+    rows, cols = np.nonzero(sim >= (kth - np.float32(margin))[:, None])
+    finite = np.isfinite(sim[rows, cols])
+    rows, cols = rows[finite], cols[finite]
+    if len(rows) <= 64 * k * len(qm):
+        dot = np.einsum("ij,ij->i", qm[rows], bm[cols])
+    else:  # many equal vectors: the whole product is smaller than the gathered rows
+        dot = (qm @ bm.T)[rows, cols]
+    dist = np.round(1.0 - dot, 9) + 0.0
+    order = np.lexsort((ids[cols], dist, rows))
+    rows, cols, dist = rows[order], cols[order], dist[order]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
+    return rows[keep], cols[keep], dist[keep]
 
 
 def _compare(k: int, exclude: str | None, schema: pa.Schema, chunk: int = 512):
@@ -62,18 +78,15 @@ def _compare(k: int, exclude: str | None, schema: pa.Schema, chunk: int = 512):
             return schema.empty_table()
         qm, bm = unit_rows(queries["qvec"]), unit_rows(base["bvec"])
         ids = base["bid"].to_numpy()
+        sides = {"id": ("qid", "bid"), "group": ("qgroup", "bgroup")}.get(exclude)
+        mine, theirs = (queries[sides[0]].to_numpy(), base[sides[1]].to_numpy()) if sides else (None, None)
         parts = []
         for lo in range(0, queries.num_rows, chunk):
-            dist = np.round(1.0 - qm[lo : lo + chunk] @ bm.T, 9) + 0.0
-            if exclude == "id":
-                dist[queries["qid"].to_numpy()[lo : lo + chunk, None] == ids[None, :]] = np.inf
-            elif exclude == "group":
-                qg = queries["qgroup"].to_numpy()[lo : lo + chunk, None]
-                dist[qg == base["bgroup"].to_numpy()[None, :]] = np.inf
-            rows, cols = _block_best(dist, ids, k)
+            banned = mine[lo : lo + chunk, None] == theirs[None, :] if sides else None
+            rows, cols, dist = _block_best(qm[lo : lo + chunk], bm, ids, k, banned)
             parts.append(pa.table([
                 queries["qid"].take(pa.array(rows + lo)), base["bid"].take(pa.array(cols)),
-                base["payload"].take(pa.array(cols)), pa.array(dist[rows, cols]),
+                base["payload"].take(pa.array(cols)), pa.array(dist),
             ], schema=schema))
         return pa.concat_tables(parts)
 
@@ -217,11 +230,17 @@ def knn(
     few = sum(ceil(n / block_rows) for n in sizes.values()) < parts
     least = min(parts, ceil(n_query / 256)) if few and len(sizes) == 1 else 1
     plan = [(c, max(1, ceil(sizes[c] / block_rows)), max(least, ceil(n / query_rows))) for c, n in visits.items()]
-    plan = F.broadcast(spark.createDataFrame(plan, "cell int, nb int, nq int"))  # at most MAX_PIVOTS rows
-    q = q.join(plan, "cell").withColumn("qpart", F.pmod(F.hash("qid"), F.col("nq"))) \
-        .withColumn("bpart", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).drop("nb", "nq")
-    b = b.join(plan, "cell").withColumn("bpart", F.pmod(F.hash("bid"), F.col("nb"))) \
-        .withColumn("qpart", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).drop("nb", "nq")
+    if len(plan) == 1:
+        nb_col, nq_col = F.lit(plan[0][1]), F.lit(plan[0][2])
+        b = b.where(F.col("cell") == plan[0][0])
+    else:
+        table = F.broadcast(spark.createDataFrame(plan, "cell int, nb int, nq int"))  # at most MAX_PIVOTS rows
+        q, b = q.join(table, "cell"), b.join(table, "cell")
+        nb_col, nq_col = F.col("nb"), F.col("nq")
+    q = q.withColumn("qpart", F.pmod(F.hash("qid"), nq_col)) \
+        .withColumn("bpart", F.explode(F.sequence(F.lit(0), nb_col - 1))).drop("nb", "nq")
+    b = b.withColumn("bpart", F.pmod(F.hash("bid"), nb_col)) \
+        .withColumn("qpart", F.explode(F.sequence(F.lit(0), nq_col - 1))).drop("nb", "nq")
     keys = ["cell", "bpart", "qpart"]
     out = T.StructType([
         T.StructField("query_id", q.schema["qid"].dataType), T.StructField("base_id", b.schema["bid"].dataType),

@@ -82,7 +82,7 @@ def running_totals(
     local = W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     for n in values:
         df = df.withColumn(f"__l_{n}", F.sum(f"__v_{n}").over(local))
-    out = df.join(sums, part)
+    out = df.join(sums, part, "left")
     for n in values:
         out = out.withColumn(n, F.col(f"__l_{n}") + F.col(f"__o_{n}"))
     return out.drop(*keys, *[f"__{p}_{n}" for n in values for p in "vlo"])
@@ -153,7 +153,7 @@ def neighbour(
     across = W.partitionBy(*keys).orderBy(turn(BUCKET)).rowsBetween(W.unboundedPreceding, -1)
     carry = F.last("__edge", ignorenulls=True).over(across)
     borders = borders.select(*part, carry.alias("__carry"))
-    out = df.join(borders, part)
+    out = df.join(borders, part, "left")
     best = F.coalesce(F.col(got), F.col("__carry"))
     for n in names:
         out = out.withColumn(n, best[n])

@@ -104,14 +104,18 @@ def doc_vector_mean(spark, d):
     return out.select("doc_id", *[F.round(F.col("x")[i], 6).alias(n) for i, n in enumerate("abc")])
 
 
-@query("encode_batches")
+@query("encode_batches", f"""WITH sq AS (SELECT doc_id, {v.s_squeeze("text")} AS text FROM documents),
+  tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({v.s_words("text")}) AS term FROM sq) GROUP BY ALL),
+  terms AS (SELECT DISTINCT term, md5(term) AS m FROM tf), bits AS (SELECT term, j, ((('0x' || substr(m, j // 4 + 1, 1))::INTEGER >> (3 - j % 4)) & 1) * 2 - 1 AS s FROM terms, range(64) t(j)),
+  x AS (SELECT doc_id, j, cast(sum(tf * s) AS BIGINT) AS x FROM tf JOIN bits USING (term) GROUP BY doc_id, j)
+  SELECT doc_id, cast(j AS INTEGER) AS dim, round(cast(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS FLOAT)::DOUBLE, 4) AS value FROM x
+  UNION ALL SELECT doc_id, cast(j AS INTEGER), 0 FROM documents ANTI JOIN tf USING (doc_id), range(64) t(j)""")
 def encode_batches(spark, d):
-    """Embeddings of all documents through the cache: dimension, length and first component."""
+    """Embeddings of all documents, encoded once per distinct text through the cache."""
     docs = v.texts(spark, d).select("doc_id", tx.squeeze("text").alias("text"))
     out = ft.encode_cached(docs, "doc_id", "text", scratch_path(spark, "encoder-cache"))
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
-    return out.select("doc_id", F.size("embedding").alias("n_dims"), F.round(norm, 4).alias("norm"),
-                      F.round(F.col("embedding")[0].cast("double"), 4).alias("first"))
+    long = out.select("doc_id", F.posexplode("embedding").alias("dim", "x"))
+    return long.select("doc_id", "dim", F.round(F.col("x").cast("double"), 4).alias("value"))
 
 
 def _fit_and_predict(spark, d, model, vec="tfidf", **params):
@@ -234,12 +238,16 @@ def aligned_proba(spark, d):
     return out.withColumn("score", F.round("score", 6))
 
 
-@query("batch_score")
+@query("batch_score", "SELECT doc_id AS email_id, TRUE AS same, TRUE AS known FROM documents")
 def batch_score(spark, d):
-    """A stored bundle applied to mail bodies without refitting."""
+    """A stored bundle applied to mail bodies without refitting: it must answer like the model it was saved from."""
     path = scratch_path(spark, "bundle")
     docs = v.texts(spark, d).select("doc_id", "text", F.col("lang").alias("label"))
-    md.save_bundle(md.refit(docs, v.LANGS, "bow", "logreg", N_TERMS, maxIter=50), {"labels": v.LANGS}, path)
-    model, meta = md.load_bundle(spark, path)
-    mails = v.emails(spark, d).select("email_id", tx.strip_prefix("email_corpus").alias("text"))
-    return md.score(mails, model, meta["labels"], "email_id").withColumn("confidence", F.round("confidence", 3))
+    fitted = md.refit(docs, v.LANGS, "bow", "logreg", N_TERMS, maxIter=50)
+    md.save_bundle(fitted, {"labels": v.LANGS}, path)
+    loaded, meta = md.load_bundle(spark, path)
+    mails = v.emails(spark, d, heavy=True).select("email_id", tx.strip_prefix("email_corpus").alias("text"))
+    a = md.score(mails, loaded, meta["labels"], "email_id")
+    b = md.score(mails, fitted, v.LANGS, "email_id").select("email_id", F.col("pred_label").alias("p"), F.col("confidence").alias("c"))
+    same = (F.col("pred_label") == F.col("p")) & (F.round("confidence", 6) == F.round("c", 6))
+    return a.join(b, "email_id").select("email_id", same.alias("same"), F.col("pred_label").isin(v.LANGS).alias("known"))

@@ -70,17 +70,19 @@ def stream_sessions(spark, d):
                                "n_samples", "average_cpu_percent", "peak_ram_mb"))
 
 
-@query("stream_score")
+@query("stream_score", "SELECT doc_id, TRUE AS same FROM documents")
 def stream_score(spark, d):
-    """A stored bundle applied to the document stream."""
-    docs = v.documents(spark, d).select("doc_id", "text", F.col("lang").alias("label"))
+    """A stored bundle applied to the document stream answers like the same bundle in batch."""
+    docs = v.texts(spark, d).select("doc_id", "text", F.col("lang").alias("label"))
     bundle = scratch_path(spark, "bundle")
     md.save_bundle(md.refit(docs, v.LANGS, "bow", "logreg", maxIter=50), {"labels": v.LANGS}, bundle)
     model, meta = md.load_bundle(spark, bundle)
     path = scratch_path(spark, "scored")
     scored = md.score(stream_of(spark, d, "documents").select("doc_id", "text"), model, meta["labels"], "doc_id")
     sr.run_available(scored, path)
-    return spark.read.schema(scored.schema).parquet(path).withColumn("confidence", F.round("confidence", 3))
+    streamed = spark.read.schema(scored.schema).parquet(path)
+    batch = md.score(docs, model, meta["labels"], "doc_id").select("doc_id", F.col("pred_label").alias("p"))
+    return streamed.join(batch, "doc_id").select("doc_id", (F.col("pred_label") == F.col("p")).alias("same"))
 
 
 @query("stream_cache_dedup", "SELECT DISTINCT concat_ws('|', user_id::VARCHAR, event_type, props) AS key FROM events")

@@ -83,7 +83,7 @@ def vector_store_catalog(spark, d):
     return sinks.describe_store(v.table(spark, d, "embeddings"), "label")
 
 
-@query("model_bundle_io")
+@query("model_bundle_io", "SELECT doc_id, TRUE AS same FROM documents")
 def model_bundle_io(spark, d):
     """Fit, save, load and score again: per document whether both models agree."""
     path = scratch_path(spark, "bundle")
@@ -94,7 +94,7 @@ def model_bundle_io(spark, d):
     first = md.score(docs, model, v.LANGS, "doc_id")
     again = md.score(docs, loaded, meta["labels"], "doc_id").select("doc_id", F.col("pred_label").alias("again"))
     both = first.join(again, "doc_id")
-    return both.select("doc_id", "pred_label", (F.col("pred_label") == F.col("again")).alias("same"))
+    return both.select("doc_id", (F.col("pred_label") == F.col("again")).alias("same"))
 
 
 SPLIT_SQL = f"""split AS (SELECT doc_id, text, lang AS label, CASE WHEN {v.s_rank("lang", "doc_id")}

@@ -91,11 +91,11 @@ def answers(spark, d) -> DataFrame:
 def candidates(spark, d) -> DataFrame:
     """Free-form spellings of a document's source."""
     src = F.col("source")
-    kind = draw("doc_id", "cand") % 6
+    kind = draw("doc_id", "cand") % 7
     raw = (
         F.when(kind == 0, src).when(kind == 1, F.concat(F.lit("  "), F.upper(src), F.lit(" ")))
         .when(kind == 2, F.concat(F.lit("the label is "), src)).when(kind == 3, F.concat(F.lit("mail-"), src))
-        .when(kind == 4, F.substring(src, 1, 4)).otherwise(F.concat(F.lit("alias "), src))
+        .when(kind == 4, F.substring(src, 1, 4)).when(kind == 5, F.replace(src, F.lit("r"), F.lit(""))).otherwise(F.concat(F.lit("alias "), src))
     )
     return documents(spark, d).select("doc_id", raw.alias("candidate"))
 
@@ -173,9 +173,9 @@ ANSWERS = f"""answers AS (SELECT doc_id AS row_id, lang AS true_label, CASE {h("
   WHEN 5 THEN '{{"predicted_label": "unknown_thing", "confidence": 0.4, "class_scores": {{}}}}'
   ELSE concat('{{"predicted_label": "', lang, '", "confidence": 0.9, "class_scores": {{"', lang, '": 0.6, "en": 0.2}}}}') END AS raw_response
   FROM documents)"""
-CANDIDATES = f"""candidates AS (SELECT doc_id, source, CASE {h("doc_id", "cand")} % 6 WHEN 0 THEN source
+CANDIDATES = f"""candidates AS (SELECT doc_id, source, CASE {h("doc_id", "cand")} % 7 WHEN 0 THEN source
   WHEN 1 THEN concat('  ', upper(source), ' ') WHEN 2 THEN concat('the label is ', source) WHEN 3 THEN concat('mail-', source)
-  WHEN 4 THEN substr(source, 1, 4) ELSE concat('alias ', source) END AS candidate FROM documents)"""
+  WHEN 4 THEN substr(source, 1, 4) WHEN 5 THEN replace(source, 'r', '') ELSE concat('alias ', source) END AS candidate FROM documents)"""
 SAMPLES = f"""samples AS (SELECT user_id AS series_id, event_id, epoch_us(ts) AS t, value AS watts,
   {h("event_id", "cpu")} % 100 AS cpu_percent, {h("event_id", "ram")} % 4096 AS ram_mb FROM events)"""
 BINARY = f"""bin AS (SELECT doc_id, toxic AS y, ({h("doc_id", "p")} % 1000 + toxic * 300) / 1300::DOUBLE AS p FROM labels)"""

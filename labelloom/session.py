@@ -41,7 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/labelloom/{name}-{uuid.uuid4().hex}"
+    """New path below one folder per application, which may be removed after the run."""
+    return f"{shared_dir(spark)}/labelloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
