@@ -8,13 +8,15 @@ offsets across bucket borders. Results equal those of the plain window.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelloom.functions.keys import order_digest
-from labelloom.session import shuffle_width
+from labelloom.session import checked_broadcast, materialize, shuffle_width
 
 BUCKET = "__bucket"
 
@@ -110,6 +112,48 @@ def seeded_rank(
     return out.drop(BUCKET, digest)
 
 
+def seeded_take(
+    df: DataFrame,
+    by: list[str],
+    key: str,
+    seed: int,
+    size: Callable[[Column], Column],
+    out: str = "taken",
+    digits: int = 3,
+) -> DataFrame:
+    """Flag the first ``size(total)`` rows per group in seeded shuffle order.
+
+    Counts per digest prefix tell in which prefix a group is cut; only the rows
+    of that prefix (one in 16**digits) are ranked, which gives one threshold per
+    group. The full rows are then flagged by a comparison: they are never
+    shuffled or sorted.
+    """
+    df, keys = _keyed(df, by)
+    digest = order_digest(key, seed)
+    base = df.select(*keys, F.col(key).alias("__key"), digest.alias("__digest")) \
+        .withColumn(BUCKET, F.substring("__digest", 1, digits))
+    counts = base.groupBy(*keys, BUCKET).agg(F.count("*").alias("n"))
+    group = W.partitionBy(*keys)
+    counts = counts.withColumn("upto", F.sum("n").over(group.orderBy(BUCKET).rowsBetween(W.unboundedPreceding, 0))) \
+        .withColumn("size", size(F.sum("n").over(group)).cast("bigint"))
+    before = F.col("upto") - F.col("n")
+    cuts = counts.where((before < F.col("size")) & (F.col("size") <= F.col("upto"))) \
+        .select(*keys, BUCKET, (F.col("size") - before).alias("need"))
+    edge = base.join(checked_broadcast(materialize(cuts, "cuts")), [*keys, BUCKET])
+    place = F.row_number().over(group.orderBy("__digest", "__key"))
+    last = edge.withColumn("place", place).where(F.col("place") == F.col("need")) \
+        .select(*keys, F.struct("__digest", "__key").alias("__last"))
+    mine = F.struct(digest.alias("d"), F.col(key).alias("k"))
+    if not keys:
+        row = last.first()
+        if row is None:
+            return df.withColumn(out, F.lit(False))
+        bound = F.struct(F.lit(row["__last"][0]).alias("d"), F.lit(row["__last"][1]).cast(df.schema[key].dataType).alias("k"))
+        return df.withColumn(out, mine <= bound)
+    flagged = df.join(checked_broadcast(materialize(last, "thresholds")), keys, "left")
+    return flagged.withColumn(out, F.coalesce(mine <= F.col("__last"), F.lit(False))).drop(*keys, "__last")
+
+
 def position_rank(
     df: DataFrame, by: list[str], order_col: str, tie: list[str] | None = None, rank_col: str = "rank"
 ) -> DataFrame:

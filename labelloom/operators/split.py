@@ -9,17 +9,15 @@ from pyspark.sql import functions as F
 from labelloom import domain
 from labelloom.functions import text as tx
 from labelloom.functions.keys import draw, order_digest
-from labelloom.operators.ordering import seeded_rank
+from labelloom.operators.ordering import seeded_rank, seeded_take
 from labelloom.session import bounded_values
 
 
 def holdout(df: DataFrame, label: str, key: str, fraction: float = domain.TEST_FRACTION,
             seed: int = domain.SEED) -> DataFrame:
     """Add ``split``: per label exactly round(n * fraction) rows are test."""
-    ranked = seeded_rank(df, [label], key, seed, "__rank")
-    size = F.round(F.col("__rank_total") * F.lit(fraction))
-    out = ranked.withColumn("split", F.when(F.col("__rank") <= size, "test").otherwise("train"))
-    return out.drop("__rank", "__rank_total")
+    out = seeded_take(df, [label], key, seed, lambda total: F.round(total * F.lit(fraction)), "__test")
+    return out.withColumn("split", F.when(F.col("__test"), "test").otherwise("train")).drop("__test")
 
 
 def kfold(df: DataFrame, label: str, key: str, k: int = 5, seed: int = domain.SEED) -> DataFrame:
@@ -73,9 +71,8 @@ def sample_to(df: DataFrame, key: str, n: int, seed: int = domain.SEED) -> DataF
     """
     have = df.count()
     if n <= have:
-        ranked = seeded_rank(df, [], key, seed, "__rank")
-        return ranked.where(F.col("__rank") <= n).drop("__rank", "__rank_total") \
-            .withColumn("copies", F.lit(1).cast("bigint"))
+        picked = seeded_take(df, [], key, seed, lambda total: F.least(total, F.lit(n)), "__taken")
+        return picked.where("__taken").drop("__taken").withColumn("copies", F.lit(1).cast("bigint"))
     boot = seeded_rank(df, [], key, seed, "pos").drop("pos_total")
     ids = df.sparkSession.range(n)
     taken = ids.select((draw("id", f"fill{seed}") % have + 1).alias("pos")) \

@@ -5,7 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelloom.functions.keys import order_digest
-from labelloom.operators.ordering import BUCKET, neighbour, order_buckets, position_rank, running_totals, seeded_rank
+from labelloom.operators.ordering import BUCKET, neighbour, order_buckets, position_rank, running_totals, seeded_rank, seeded_take
 
 
 @pytest.fixture(scope="module")
@@ -28,6 +28,15 @@ def test_seeded_rank(skewed):
     same(got, want)
 
 
+@pytest.mark.parametrize("by", [["g"], []])
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.77, 1.0])
+def test_seeded_take(skewed, by, share):
+    got = seeded_take(skewed, by, "id", 42, lambda total: F.round(total * share), digits=2).where("taken").select("id", "g", "t", "x")
+    order = W.partitionBy(*by).orderBy(order_digest("id", 42), "id")
+    ranked = skewed.withColumn("r", F.row_number().over(order)).withColumn("n", F.count("*").over(W.partitionBy(*by)))
+    same(got, ranked.where(F.col("r") <= F.round(F.col("n") * share)).drop("r", "n"))
+
+
 def test_position_rank_with_ties(skewed):
     got = position_rank(skewed, ["g"], "t", ["id"], "r").select("id", "r")
     want = skewed.select("id", F.row_number().over(W.partitionBy("g").orderBy("t", "id")).cast("bigint").alias("r"))
