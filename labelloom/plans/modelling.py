@@ -121,7 +121,8 @@ def encode_batches(spark, d):
 def _fit_and_predict(spark, d, model, vec="tfidf", **params):
     table = md.feature_table(split_docs(spark, d), vec, v.LANGS, "doc_id", N_TERMS)
     train, test = table.where("split = 'train'"), table.where("split = 'test'")
-    fitted = md.estimator(model, n_rows=train.count(), **params).fit(train)
+    n = train.count()
+    fitted = md.fit(md.estimator(model, n_rows=n, **params), train, n)
     return md.predict(fitted, test, v.LANGS, "doc_id")
 
 
@@ -158,7 +159,7 @@ def toxic_table(spark, d, vec="tfidf_sublinear"):
 def train_gbt_binary(spark, d):
     table = toxic_table(spark, d)
     train = md.balanced_weights(table.where("split = 'train'"), "label")
-    fitted = md.estimator("gbt", weight="weight", maxIter=20, maxDepth=4).fit(train)
+    fitted = md.fit(md.estimator("gbt", weight="weight", maxIter=20, maxDepth=4), train, train.count())
     return _shown(md.predict(fitted, table.where("split = 'test'"), [0, 1], "doc_id"))
 
 
