@@ -26,6 +26,7 @@ from labelloom.functions.keys import order_digest
 from labelloom.session import materialize, shuffle_width
 
 MAX_PIVOTS = 2048
+MAX_GROUPS = 1000
 SLACK = 1e-6  # rounding of pivot distances
 
 
@@ -167,6 +168,40 @@ def _visit_cells(info: Cells, k: int, exclude: str | None):
     return visit
 
 
+def _cells(b: DataFrame, wanted: int) -> tuple[DataFrame, Cells] | None:
+    """Base rows with their nearest pivot, written once, and the figures per cell.
+
+    At most MAX_PIVOTS vectors and MAX_PIVOTS x MAX_GROUPS counts reach the driver;
+    with more groups there is no pruning.
+    """
+    if b.select("bgroup").distinct().limit(MAX_GROUPS + 1).count() > MAX_GROUPS:
+        return None
+    seeds = b.orderBy(order_digest("bid", domain.SEED)).limit(wanted).select("bvec", "bgroup").toArrow()
+    pivots = unit_rows(seeds["bvec"])
+    schema = T.StructType([
+        *b.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("reach", T.DoubleType())])
+    b = materialize(b.mapInArrow(_assign_cells(pivots), schema), "vector-cells")
+    stats = b.groupBy("cell", "bgroup").agg(
+        F.count("*").alias("n"), F.min("reach").alias("lo"), F.max("reach").alias("hi")).collect()
+    cells, groups = sorted({s["cell"] for s in stats}), sorted({s["bgroup"] for s in stats})
+    counts = np.zeros((len(cells), len(groups)), dtype=np.int64)
+    lo, hi = np.full(len(cells), np.inf), np.zeros(len(cells))
+    place, slot = {c: i for i, c in enumerate(cells)}, {g: i for i, g in enumerate(groups)}
+    for s in stats:
+        i = place[s["cell"]]
+        counts[i, slot[s["bgroup"]]] = s["n"]
+        lo[i], hi[i] = min(lo[i], s["lo"]), max(hi[i], s["hi"])
+    return b.drop("reach"), Cells(pivots, seeds["bgroup"].to_numpy(), cells, lo, hi, counts, groups)
+
+
+def _visited_share(q: DataFrame, visit, schema: T.StructType, sizes: dict, n_query: int, n_base: int) -> float:
+    """Share of the base rows a query visits, estimated on about 1,000 queries."""
+    some = q.sample(False, min(1.0, 1000 / max(1, n_query)), domain.SEED)
+    hits = some.mapInArrow(visit, schema).groupBy("cell").agg(F.count("*").alias("n")).collect()
+    seen = max(1, some.count())
+    return sum(sizes[h["cell"]] * h["n"] for h in hits) / (seen * n_base)
+
+
 def knn(
     query: DataFrame,
     base: DataFrame,
@@ -187,7 +222,8 @@ def knn(
     """(query_id, rank, base_id, payload, distance) of the k nearest base rows per query.
 
     ``exclude``: ``"id"`` leaves out the row with the query's own id,
-    ``"group"`` leaves out base rows of the query's own group (folds).
+    ``"group"`` leaves out base rows of the query's own group (folds). Both sides
+    are scanned more than once: pass written tables where they are costly.
     """
     spark = query.sparkSession
     parts = max(shuffle_width(spark), spark.sparkContext.defaultParallelism)
@@ -197,32 +233,21 @@ def knn(
                     (F.col(bgroup) if bgroup else F.lit(0)).cast("bigint").alias("bgroup"),
                     (F.col(payload) if payload else F.lit(None).cast("int")).alias("payload"))
     n_base, n_query = b.count(), q.count()
-    wanted = min(MAX_PIVOTS, n_pivots or ceil(n_base / (4 * block_rows)))
-    if wanted > 1:
-        # At most MAX_PIVOTS vectors and as many rows of figures reach the driver.
-        seeds = b.orderBy(order_digest("bid", domain.SEED)).limit(wanted).select("bvec", "bgroup").toArrow()
-        pivots = unit_rows(seeds["bvec"])
-        b = b.mapInArrow(_assign_cells(pivots), T.StructType([
-            *b.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("reach", T.DoubleType())]))
-        b = materialize(b, "vector-cells")
-        stats = b.groupBy("cell", "bgroup").agg(
-            F.count("*").alias("n"), F.min("reach").alias("lo"), F.max("reach").alias("hi")).collect()
-        cells, groups = sorted({s["cell"] for s in stats}), sorted({s["bgroup"] for s in stats})
-        counts = np.zeros((len(cells), len(groups)), dtype=np.int64)
-        lo, hi = np.full(len(cells), np.inf), np.zeros(len(cells))
-        place, slot = {c: i for i, c in enumerate(cells)}, {g: i for i, g in enumerate(groups)}
-        for s in stats:
-            i = place[s["cell"]]
-            counts[i, slot[s["bgroup"]]] = s["n"]
-            lo[i], hi[i] = min(lo[i], s["lo"]), max(hi[i], s["hi"])
-        info = Cells(pivots, seeds["bgroup"].to_numpy(), cells, lo, hi, counts, groups)
-        q = q.mapInArrow(
-            _visit_cells(info, k, exclude), T.StructType([*q.schema.fields, T.StructField("cell", T.IntegerType())]))
-        q = materialize(q, "vector-visits")
-        b = b.drop("reach")
-        visits = {r["cell"]: r["n"] for r in q.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-        sizes = dict(zip(cells, counts.sum(axis=1).tolist()))
-    else:
+    wanted = min(MAX_PIVOTS, n_pivots or (ceil(2 * n_base / block_rows) if n_base > 4 * block_rows else 1))
+    info = _cells(b, wanted) if wanted > 1 else None
+    if info is not None:
+        b, figures = info
+        visit = _visit_cells(figures, k, exclude)
+        schema = T.StructType([*q.schema.fields, T.StructField("cell", T.IntegerType())])
+        sizes = dict(zip(figures.cells, figures.counts.sum(axis=1).tolist()))
+        # Pivots pay off only if queries skip most rows; a sample of queries tells, results are not sampled.
+        worth = n_pivots is not None or _visited_share(q, visit, schema, sizes, n_query, n_base) < 0.5
+        if worth:
+            q = materialize(q.mapInArrow(visit, schema), "vector-visits")
+            visits = {r["cell"]: r["n"] for r in q.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+        else:
+            info, b = None, b.drop("cell")
+    if info is None:
         b, q = b.withColumn("cell", F.lit(0)), q.withColumn("cell", F.lit(0))
         visits, sizes = {0: n_query}, {0: n_base}
 
@@ -242,6 +267,8 @@ def knn(
     b = b.withColumn("bpart", F.pmod(F.hash("bid"), nb_col)) \
         .withColumn("qpart", F.explode(F.sequence(F.lit(0), nq_col - 1))).drop("nb", "nq")
     keys = ["cell", "bpart", "qpart"]
+    # A few partitions per group even out the hash, without tasks that get no group.
+    parts = min(parts, 4 * sum(nb * nq for _, nb, nq in plan) or 1)
     out = T.StructType([
         T.StructField("query_id", q.schema["qid"].dataType), T.StructField("base_id", b.schema["bid"].dataType),
         T.StructField("payload", b.schema["payload"].dataType), T.StructField("distance", T.DoubleType()),

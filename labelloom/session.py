@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +23,26 @@ def build_session(app: str = "labelloom", master: str | None = None, **conf) ->
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Encoder, scorer and kNN functions are pickled by module name, and workers do
+    not share the driver's import path.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        home = Path(__file__).resolve().parent
+        base = Path(tempfile.mkdtemp(prefix="labelloom-")) / home.name
+        spark.sparkContext.addPyFile(shutil.make_archive(str(base), "zip", home.parent, home.name))
+        _shipped.add(app)
 
 
 def shared_dir(spark: SparkSession) -> str:
