@@ -17,8 +17,11 @@ from labelloom import domain
 from labelloom.functions.keys import _col
 from labelloom.functions.text import json_block, lookup, strip
 
+# Thresholds of the label cascade and the patterns of broken answers.
 JACCARD_MIN = 0.4
 SIMILARITY_MIN = 0.6
+TRAILING_COMMA = r",\s*([\}\]])"
+STATED_LABEL = r'"predicted_label"\s*:\s*"([^"]+)"'
 
 
 def _strings(values) -> Column:
@@ -56,11 +59,11 @@ def has_key(obj: Column, key: str) -> Column:
 
 
 def repair_commas(c: Column) -> Column:
-    return F.regexp_replace(c, r",\s*([\}\]])", "$1")
+    return F.regexp_replace(c, TRAILING_COMMA, "$1")
 
 
 def salvage_label(c: Column) -> Column:
-    found = F.regexp_extract(c, r'"predicted_label"\s*:\s*"([^"]+)"', 1)
+    found = F.regexp_extract(c, STATED_LABEL, 1)
     return strip(F.when(found != "", found))
 
 

@@ -241,7 +241,7 @@ def knn(
         schema = T.StructType([*q.schema.fields, T.StructField("cell", T.IntegerType())])
         sizes = dict(zip(figures.cells, figures.counts.sum(axis=1).tolist()))
         # Pivots pay off only if queries skip most rows; a sample of queries tells, results are not sampled.
-        worth = n_pivots is not None or _visited_share(q, visit, schema, sizes, n_query, n_base) < 0.5
+        worth = n_pivots is not None or _visited_share(q, visit, schema, sizes, n_query, n_base) < 0.25
         if worth:
             q = materialize(q.mapInArrow(visit, schema), "vector-visits")
             visits = {r["cell"]: r["n"] for r in q.groupBy("cell").agg(F.count("*").alias("n")).collect()}

@@ -112,10 +112,14 @@ def few_shot(df: DataFrame, labels: list[str], key: str, text: str, label: str,
     return out.where(F.col("example_no") <= max_total)
 
 
+# The text form of a numbered example and the line between two.
+EXAMPLE_FORM = "Ejemplo %d:\nTexto del correo:\n%s\n\nEtiqueta correcta:\n%s"
+EXAMPLE_BREAK = "\n\n---\n\n"
+
+
 def few_shot_block(examples: DataFrame) -> DataFrame:
     """One text block of the numbered examples."""
-    block = F.format_string("Ejemplo %d:\nTexto del correo:\n%s\n\nEtiqueta correcta:\n%s",
-                            "example_no", "example", "label")
+    block = F.format_string(EXAMPLE_FORM, "example_no", "example", "label")
     rows = examples.select(F.struct("example_no", block.alias("block")).alias("e"))
     return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["block"]),
-                                 "\n\n---\n\n").alias("examples"))
+                                 EXAMPLE_BREAK).alias("examples"))

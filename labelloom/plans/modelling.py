@@ -188,8 +188,8 @@ def experiment_grid(spark, d):
     return out
 
 
-@query("cv_pipeline")
-def cv_pipeline(spark, d):
+@query("cv_refit_folds")
+def cv_refit_folds(spark, d):
     """Vectoriser and model refitted inside every fold; mean and deviation per metric."""
     docs = split_docs(spark, d).drop("split")
     folded = kfold(docs, "label", "doc_id", 3)
