@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from labelloom import domain
 from labelloom.functions.text import WORD, word_tokens
-from labelloom.session import checked_broadcast, scratch_path
+from labelloom.session import checked_broadcast, scratch_path, shuffle_width
 
 # Long form: (key, term, tf).
 
@@ -163,34 +163,45 @@ class HashedEncoder:
     Rows have unit length.
     """
 
+    KEPT = 200_000  # tokens remembered per task
+
     def __init__(self, dim: int = 64):
         self.dim = dim
-        self.known: dict[str, np.ndarray] = {}
+        self.rows: dict[str, int] = {}
+        self.table = np.empty((1024, dim), dtype=np.float32)
 
-    def token(self, token: str) -> np.ndarray:
-        row = self.known.get(token)
-        if row is None:
+    def row(self, token: str) -> int:
+        at = self.rows.get(token)
+        if at is None:
             blocks = -(-self.dim // 128)
             digest = b"".join(hashlib.md5((token + "|" * i).encode()).digest() for i in range(blocks))
             bits = np.unpackbits(np.frombuffer(digest, dtype=np.uint8))[: self.dim]
-            row = bits.astype(np.float64) * 2 - 1
-            if len(self.known) < 200_000:
-                self.known[token] = row
-        return row
+            at = self.rows[token] = len(self.rows)
+            if at == len(self.table):
+                self.table = np.concatenate([self.table, np.empty_like(self.table)])
+            self.table[at] = bits * 2.0 - 1.0
+        return at
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim))
         for i, text in enumerate(texts):
+            if len(self.rows) > self.KEPT:
+                self.rows.clear()
             counts = Counter(re.findall(r"\w\w+", text.lower()))
             if counts:
-                out[i] = np.asarray(list(counts.values()), dtype=np.float64) @ np.stack([self.token(t) for t in counts])
+                # Sums of whole numbers: exact in single precision.
+                at = [self.row(t) for t in counts]
+                out[i] = np.fromiter(counts.values(), dtype=np.float32, count=len(counts)) @ self.table[at]
         norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return (out / np.where(norm == 0, 1, norm)).astype(np.float32)
 
 
 def encode(df: DataFrame, key: str, text: str, factory: Callable[[], Encoder] = HashedEncoder,
-           batch: int = 128) -> DataFrame:
-    """(key, embedding): the encoder is built once per task and fed in batches."""
+           batch: int = 128, tasks: int | None = None) -> DataFrame:
+    """(key, embedding): the encoder is built once per task and fed in batches.
+
+    ``tasks`` spreads the rows first, for inputs with too few partitions.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = factory()
@@ -200,11 +211,8 @@ def encode(df: DataFrame, key: str, text: str, factory: Callable[[], Encoder] =
                 yield pd.DataFrame({key: part[key], "embedding": list(encoder(part[text].tolist()))})
 
     schema = T.StructType([df.schema[key], T.StructField("embedding", T.ArrayType(T.FloatType()))])
-    parts = df.sparkSession.sparkContext.defaultParallelism
     rows = df.select(key, text)
-    if rows.rdd.getNumPartitions() < parts:
-        rows = rows.repartition(parts, key)
-    return rows.mapInPandas(run, schema)
+    return (rows.repartition(tasks, key) if tasks else rows).mapInPandas(run, schema)
 
 
 def encode_cached(df: DataFrame, key: str, text: str, cache_path: str,
@@ -217,6 +225,7 @@ def encode_cached(df: DataFrame, key: str, text: str, cache_path: str,
     empty.write.mode("append").parquet(cache_path)
     cache = spark.read.schema(empty.schema).parquet(cache_path)
     missing = texts.join(cache.select("digest"), "digest", "left_anti")
-    encode(missing, "digest", text, factory).write.mode("append").parquet(cache_path)
+    tasks = max(shuffle_width(spark), spark.sparkContext.defaultParallelism)
+    encode(missing, "digest", text, factory, tasks=tasks).write.mode("append").parquet(cache_path)
     cache = spark.read.schema(empty.schema).parquet(cache_path)
     return rows.select(key, "digest").join(cache, "digest").select(key, "embedding")

@@ -85,7 +85,8 @@ def shuffle_width(spark: SparkSession) -> int:
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Give CPU-heavy work one partition per core when the input has fewer.
 
-    Large inputs already come in more splits than cores and pass unchanged.
+    Large inputs already come in more splits than cores and pass unchanged. For
+    scans only: counting the partitions of a shuffled frame would run it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
