@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from labelloom.llm import quality, toxicity
+from pyspark.sql import functions as F
+
+from labelloom.llm import bpe, packing, quality, toxicity
 from labelloom.llm.registry import query
 
 
@@ -26,3 +28,23 @@ def op4_toxicity(spark, d):
     """Toxicity score of every document, learned from the rows that are not held out."""
     docs = documents(spark, d)
     return toxicity.score(docs, toxicity.fit(docs, labels(spark, d)))
+
+
+@query("op5_packing")
+def op5_packing(spark, d):
+    """All pieces of all documents in sequences of 2,048 ids."""
+    return packing_rows(documents(spark, d))
+
+
+def packing_rows(docs):
+    return packing.pack(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                                     "sequence_id", "offset")
+
+
+@query("op6_byte_bpe")
+def op6_byte_bpe(spark, d):
+    """Token ids of every document and the bytes they decode to."""
+    rows = bpe.decode(bpe.encode(documents(spark, d)))
+    written = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(written, 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
