@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from labelloom.llm import bpe, packing, quality, toxicity
+from labelloom.llm import bpe, lm, packing, quality, toxicity
 from labelloom.llm.registry import query
 
 
@@ -48,3 +48,11 @@ def op6_byte_bpe(spark, d):
     written = F.array_join(F.col("ids").cast("array<string>"), " ")
     return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(written, 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op8_lm_score")
+def op8_lm_score(spark, d):
+    """Base and model log probability of every document."""
+    docs = documents(spark, d)
+    model, counts = lm.fit(docs)
+    return lm.score(docs, model, counts)
