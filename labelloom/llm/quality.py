@@ -115,24 +115,43 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     return linear.fit(table, share, 2 << BITS, scale=30.0, steps=60)
 
 
+def _verdict(data, off, model, keep_from):
+    """Base columns, probability (None without a model) and verdict of the rows of one chunk."""
+    base, (words, row) = counts(data, off)
+    if model is None:
+        return base, None, ~base["base_failed"]
+    z = sum(_means(model.weights, s, r, len(off) - 1) for s, r in features(data, off, words, row))
+    p = model.probability(z)
+    return base, p, ~base["base_failed"] & (p >= keep_from)
+
+
 def judge(docs: DataFrame, model, id_col="doc_id", text_col="text", keep_from: float = KEEP_FROM) -> DataFrame:
     """One row per document: base counts, base verdict, calibrated probability and the verdict."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of hashed weights
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        m = shared.value
         for batch in batches:
             for i, j, data, off in chunks(batch.column(1)):
-                base, (words, row) = counts(data, off)
-                p = None
-                if m is not None:
-                    z = sum(_means(m.weights, s, r, j - i) for s, r in features(data, off, words, row))
-                    p = m.probability(z)
-                kept = ~base["base_failed"] & (True if p is None else p >= keep_from)
+                base, p, kept = _verdict(data, off, shared.value, keep_from)
                 yield batch_of(**{id_col: batch.column(0).slice(i, j - i)}, **base, kept=kept,
                                probability=pa.nulls(j - i, pa.float64()) if p is None else p)
 
     schema = (f"`{id_col}` {id_type}, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
               "n_repeat_words long, base_failed boolean, kept boolean, probability double")
     return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
+
+
+def keep(docs: DataFrame, model, text_col="text", keep_from: float = KEEP_FROM) -> DataFrame:
+    """The documents that ``judge`` keeps, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            for i, j, data, off in chunks(batch.column(at)):
+                kept = _verdict(data, off, shared.value, keep_from)[2]
+                if kept.any():
+                    yield batch.slice(i, j - i).filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -147,12 +147,34 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.mapInArrow(meet, "u long, v long")
 
 
+def _rooted(own: DataFrame, first, radius: int) -> DataFrame:
+    """(fp, first, component) of every distinct fingerprint; ``first`` aggregates its rows."""
+    nodes = materialize(own.groupBy("fp").agg(first.alias("first")), "nodes")
+    comp = components(links(nodes.select("fp"), radius)).select(F.col("node").alias("fp"), "component")
+    return nodes.join(comp, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
+def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", radius: int = RADIUS) -> DataFrame:
+    """The document with the smallest id of every component, with all its columns.
+
+    A null id counts as larger than any; equal ids are decided by a digest of their texts, and of rows equal in
+    both one is kept.
+    """
+    digest = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    rows = docs.withColumn("_llm_digest", digest)
+    own = fingerprints(docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), digest.alias("digest"))
+                                   .alias("row"), text_col), "row", text_col)
+    rooted = _rooted(own, F.min("row"), radius)
+    kept = rooted.groupBy("component").agg(F.min("first").alias("k")).select(
+        F.col("k.id").alias("_llm_id"), F.col("k.digest").alias("_llm_kept")).distinct()
+    found = rows.join(kept, rows[id_col].eqNullSafe(kept["_llm_id"]) & (rows["_llm_digest"] == kept["_llm_kept"]))
+    return found.dropDuplicates([id_col, "_llm_digest"]).select(*docs.columns)
+
+
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", radius: int = RADIUS) -> DataFrame:
     """(id, fingerprint, component_id) of every row; the component is the smallest id reachable by links."""
     own = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = materialize(own.groupBy("fp").agg(F.min(id_col).alias("first")), "nodes")
-    comp = components(links(nodes.select("fp"), radius)).select(F.col("node").alias("fp"), "component")
-    rooted = nodes.join(comp, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    rooted = _rooted(own, F.min(id_col), radius)
     least = rooted.groupBy("component").agg(F.min("first").alias("component_id"))
     by_fp = rooted.join(least, "component").select("fp", "component_id")
     return own.join(by_fp, "fp").select(

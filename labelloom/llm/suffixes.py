@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from labelloom.llm.batches import batch_of, chunks
 from labelloom.session import materialize, shuffle_width
@@ -97,11 +98,12 @@ def _segments(texts: pa.Array):
                 yield i, j, base, some, np.array([0, len(some)])
 
 
-def _tagged(docs: DataFrame, id_col, text_col) -> DataFrame:
-    """(id, tag, text): the tag tells texts of equal ids apart."""
+def _tagged(docs: DataFrame, id_col, text_col, carry=()) -> DataFrame:
+    """(id, tag, text): the tag tells texts of equal ids apart. Carried columns follow as one struct."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     tag = F.xxhash64(text).bitwiseAND((1 << 23) - 1)
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), tag.alias("tag"), text.alias("text"))
+    more = [F.struct(*[F.col(c) for c in carry]).alias("rest")] if carry else []
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), tag.alias("tag"), text.alias("text"), *more)
 
 
 def _block_rows(tagged: DataFrame, splitters: np.ndarray | None = None) -> DataFrame:
@@ -300,8 +302,8 @@ def _open_strings(strings: DataFrame, width: int) -> DataFrame:
     return dealt.mapInArrow(run, REF)
 
 
-def repeated_spans(docs: DataFrame, id_col="doc_id", text_col="text") -> tuple[DataFrame, DataFrame]:
-    """The documents as (id, tag, text), and per (id, tag) the places whose strings occur elsewhere."""
+def repeated_places(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+    """(id, tag, places): per document the places whose strings occur elsewhere."""
     spark = docs.sparkSession
     tagged = _tagged(docs, id_col, text_col)
     documents = docs.select(id_col).count()
@@ -315,13 +317,18 @@ def repeated_spans(docs: DataFrame, id_col="doc_id", text_col="text") -> tuple[D
     opened = _open_strings(_strings(joined), width)
     opened = opened.withColumn("tag", F.col("place").bitwiseAND((1 << 23) - 1))
     whole = kinds.where("kind <> 2").select("id", "place", "tag")
-    return tagged, whole.unionByName(opened.select("id", "place", "tag")).groupBy("id", "tag").agg(
+    return whole.unionByName(opened.select("id", "place", "tag")).groupBy("id", "tag").agg(
         F.collect_set("place").alias("places"))
 
 
-def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """(id, tag, n_bytes, spans of removed bytes, kept bytes) of every row; the id is null for rows without one."""
-    tagged, places = repeated_spans(docs, id_col, text_col)
+def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", carry=()) -> DataFrame:
+    """(id, n_bytes, spans of removed bytes, kept bytes) of every row, a null id staying null.
+
+    With ``carry``, the columns of that name and the kept bytes instead.
+    """
+    places = repeated_places(docs, id_col, text_col)
+    tagged = _tagged(docs, id_col, text_col, carry)
+    rest = ["rest"] if carry else []
 
     def run(batches):
         for batch in batches:
@@ -340,11 +347,32 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFra
                     spans.append([{"start": a, "stop": b} for a, b in zip(np.flatnonzero(edge == 1).tolist(),
                                                                            np.flatnonzero(edge == -1).tolist())])
                     kept.append(own[~gone].tobytes())
-                yield batch_of(id=batch.column(0).slice(i, j - i), tag=batch.column(1).slice(i, j - i),
-                               n_bytes=pa.array(size, pa.int64()),
+                yield batch_of(id=batch.column(0).slice(i, j - i), n_bytes=pa.array(size, pa.int64()),
                                spans=pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
-                               kept=pa.array(kept, pa.binary()))
+                               kept=pa.array(kept, pa.binary()), **{c: batch.column(4).slice(i, j - i) for c in rest})
+
+    schema = StructType.fromDDL("id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
+    schema = StructType([*schema.fields, *[tagged.schema[c] for c in rest]])
+    out = tagged.join(places, ["id", "tag"], "left").select("id", "tag", "text", "places", *rest).mapInArrow(run, schema)
+    own = F.when(F.col("id") != NO_ID, F.col("id"))
+    if not carry:
+        return out.withColumn("id", own)
+    return out.select(*[F.col(f"rest.`{c}`") for c in carry], "kept")
+
+
+def without_repeats(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+    """The documents, all columns kept, with the repeated strings cut out of their texts.
+
+    A cut may fall inside a character; what is left of it goes too.
+    """
+    out = remove_repeats(docs, id_col, text_col, carry=tuple(docs.columns))
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            kept = pa.array([None if old is None else x.decode("utf-8", "ignore") for old, x in zip(
+                batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())], pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [kept if i == at else batch.column(i) for i in range(batch.num_columns - 1)], batch.schema.names[:-1])
 
-    out = tagged.join(places, ["id", "tag"], "left").select("id", "tag", "text", "places").mapInArrow(
-        run, "id long, tag long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
-    return out.withColumn("id", F.when(F.col("id") != NO_ID, F.col("id")))
+    return out.mapInArrow(run, docs.schema)
