@@ -50,7 +50,7 @@ _powers = {"n": 0}
 
 def powers(n: int):
     """Powers of ROOT and of its inverse modulo 2**64, up to n."""
-    if _powers["n"] < n:
+    if "up" not in _powers or _powers["n"] < n:
         size = max(n, CHUNK) + 1
         inverse = np.uint64(pow(int(ROOT), -1, 2**64))
         for name, base in (("up", ROOT), ("down", inverse)):
@@ -90,13 +90,12 @@ def word_bounds(data: np.ndarray, off: np.ndarray):
 def line_bounds(data: np.ndarray, off: np.ndarray):
     """Starts, ends and row of the newline-separated lines of every non-empty row."""
     breaks = np.flatnonzero(data == 10)
-    filled = off[1:] > off[:-1]
-    starts = np.union1d(off[:-1][filled], breaks + 1)
-    ends = np.union1d(off[1:][filled], breaks)
-    # A break on the last byte of a row opens an empty line there, or none where the next row begins.
+    starts = np.union1d(off[:-1][off[1:] > off[:-1]], breaks + 1)
     starts = starts[starts < len(data)]
     row = np.searchsorted(off, starts, "right") - 1
-    stop = ends[np.searchsorted(ends, starts, "left")]
+    # A line ends at the next break, or with its row.
+    next_break = np.append(breaks, len(data))[np.searchsorted(breaks, starts, "left")]
+    stop = np.minimum(next_break, off[row + 1])
     return starts, stop, row
 
 

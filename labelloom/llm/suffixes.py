@@ -324,7 +324,7 @@ def repeated_places(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
 def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", carry=()) -> DataFrame:
     """(id, n_bytes, spans of removed bytes, kept bytes) of every row, a null id staying null.
 
-    With ``carry``, the columns of that name and the kept bytes instead.
+    With ``carry``, the columns of that name and the kept bytes as ``_llm_kept`` instead.
     """
     places = repeated_places(docs, id_col, text_col)
     tagged = _tagged(docs, id_col, text_col, carry)
@@ -357,7 +357,7 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", carry=())
     own = F.when(F.col("id") != NO_ID, F.col("id"))
     if not carry:
         return out.withColumn("id", own)
-    return out.select(*[F.col(f"rest.`{c}`") for c in carry], "kept")
+    return out.select(*[F.col(f"rest.`{c}`") for c in carry], F.col("kept").alias("_llm_kept"))
 
 
 def without_repeats(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
