@@ -216,6 +216,7 @@ def resolve_closed(df: DataFrame, raw: str, labels, out: str = "label") -> DataF
     longest = F.array_max(F.array_compact(F.array(*held)))["l"]
     df = df.withColumn("__sure", F.when(F.col(raw).isNull(), F.lit(labels[0]))
                        .otherwise(F.coalesce(exact, line, longest)))
-    open_cand = F.when(F.col("__sure").isNull(), F.col("__cand"))
-    df = df.withColumn("__near", closed_similarity(labels)(open_cand))
-    return df.withColumn(out, F.coalesce("__sure", "__near")).drop("__cand", "__sure", "__near")
+    # Only distinct answers that nothing else resolved go to Python.
+    left = df.where(F.col("__sure").isNull()).select("__cand").distinct()
+    near = left.select("__cand", closed_similarity(labels)(F.col("__cand")).alias("__near"))
+    return df.join(near, "__cand", "left").withColumn(out, F.coalesce("__sure", "__near")).drop("__cand", "__sure", "__near")

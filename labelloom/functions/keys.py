@@ -15,14 +15,14 @@ def _col(c) -> Column:
 
 
 def draw(key, purpose: str) -> Column:
-    """32-bit unsigned integer drawn from (key, purpose)."""
+    """60-bit unsigned integer drawn from (key, purpose): modulo a row count it reaches every row."""
     digest = F.md5(F.concat(_col(key).cast("string"), F.lit(f"|{purpose}")))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
 def uniform(key, purpose: str) -> Column:
     """Uniform double in [0, 1)."""
-    return draw(key, purpose) / F.lit(4294967296.0)
+    return draw(key, purpose) / F.lit(float(1 << 60))
 
 
 def order_digest(key, seed: int) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from labelloom.functions.keys import _col
+from labelloom.functions.text import tokens
 
 ZERO_SHOT = (
     "Clasifica el correo en una sola de las clases de la lista. "
@@ -60,3 +61,19 @@ def chat(text, labels, answer=None, system: str = CHAT_SYSTEM) -> Column:
     if answer is not None:
         turns.append(turn("assistant", _col(answer).cast("string")))
     return F.array(*turns)
+
+
+def text_budget(labels, budget: int = 1024, system: str = CHAT_SYSTEM) -> int:
+    """Blank tokens that a chat example of ``budget`` leaves for its text, after the system turn and the longest label."""
+    return max(0, budget - len(system.replace("{labels}", label_block(labels)).split()) - max(len(l.split()) for l in labels))
+
+
+def sft_example(text, labels, answer, budget: int = 1024, system: str = CHAT_SYSTEM) -> Column:
+    """Supervised chat example within ``budget`` blank tokens: (chat, prompt_len).
+
+    Only the text is shortened, so the answer always fits; ``prompt_len`` is the length of the masked part.
+    """
+    body = F.array_join(F.slice(tokens(_col(text)), 1, text_budget(labels, budget, system)), " ")
+    turns = chat(body, labels, answer, system)
+    masked = F.length(F.lit(system.replace("{labels}", label_block(labels)))) + F.length(body)
+    return F.struct(turns.alias("chat"), masked.cast("bigint").alias("prompt_len"))

@@ -146,7 +146,9 @@ def word2vec(df: DataFrame, tokens: str, dim: int = 100, window: int = 5, min_co
     words = totals.where(F.col("n") >= min_count).count()
     if words > max_words:
         raise ValueError(f"{words} words reach min_count={min_count}; raise it to stay within {max_words}")
-    parts = max(1, min(8, df.sparkSession.sparkContext.defaultParallelism))
+    # A task per core, as long as each has a fair share of the words to learn from.
+    tokens_seen = totals.agg(F.sum("n")).first()[0] or 0
+    parts = max(1, min(df.sparkSession.sparkContext.defaultParallelism, tokens_seen // 100_000))
     return Word2Vec(vectorSize=dim, windowSize=window, minCount=min_count, maxIter=epochs, seed=seed,
                     numPartitions=parts, inputCol=tokens, outputCol="doc_vector").fit(df)
 

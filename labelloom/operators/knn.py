@@ -1,10 +1,12 @@
 """Exact k nearest neighbours by cosine distance, over tables of any size.
 
-Both sides are cut into blocks of bounded size; a task compares one query block
-with one base block by a matrix product and emits only its k best per query, so
-no pair list exists. Pivots with radii skip base cells that cannot hold a
+A side within a checked number of bytes travels to every task, which keeps the k
+best of its own rows, so the larger side is not shuffled. Else both sides are cut
+into blocks of bounded size; a task compares one query block with one base block
+by a matrix product and emits only its k best per query, so no pair list exists. Pivots with radii skip base cells that cannot hold a
 neighbour (triangle inequality on unit vectors), so the result stays exact.
-Distances are rounded to 9 places and ties go to the smaller id.
+Distances are rounded to 9 places and ties go to the smaller id. Rows without a
+vector neither ask nor answer.
 """
 
 from __future__ import annotations
@@ -23,10 +25,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from labelloom import domain
 from labelloom.functions.keys import order_digest
-from labelloom.session import materialize, shuffle_width
+from labelloom.session import materialize, shuffle_width, spread
 
 MAX_PIVOTS = 2048
 MAX_GROUPS = 1000
+SMALL_BYTES = 32 << 20  # a side up to this size is sent to every task
+CELLS_AT_ONCE = 1 << 23  # products a task holds
 SLACK = 1e-6  # rounding of pivot distances
 
 
@@ -62,10 +66,10 @@ def _block_best(qm: np.ndarray, bm: np.ndarray, ids: np.ndarray, k: int, banned:
     rows, cols = np.nonzero(sim >= (kth - np.float32(margin))[:, None])
     finite = np.isfinite(sim[rows, cols])
     rows, cols = rows[finite], cols[finite]
-    if len(rows) <= 64 * k * len(qm):
-        dot = np.einsum("ij,ij->i", qm[rows], bm[cols])
-    else:  # many equal vectors: the whole product is smaller than the gathered rows
-        dot = (qm @ bm.T)[rows, cols]
+    # One formula whatever the number of candidates, in pieces, so that ties never depend on the plan.
+    step = max(1, CELLS_AT_ONCE // max(1, dim))
+    dot = np.concatenate([np.einsum("ij,ij->i", qm[rows[i:i + step]], bm[cols[i:i + step]])
+                          for i in range(0, max(1, len(rows)), step)])
     dist = np.round(1.0 - dot, 9) + 0.0
     order = np.lexsort((ids[cols], dist, rows))
     rows, cols, dist = rows[order], cols[order], dist[order]
@@ -73,10 +77,11 @@ def _block_best(qm: np.ndarray, bm: np.ndarray, ids: np.ndarray, k: int, banned:
     return rows[keep], cols[keep], dist[keep]
 
 
-def _compare(k: int, exclude: str | None, schema: pa.Schema, chunk: int = 512):
+def _compare(k: int, exclude: str | None, schema: pa.Schema, most: int = 512):
     def compare(queries: pa.Table, base: pa.Table) -> pa.Table:
         if queries.num_rows == 0 or base.num_rows == 0:
             return schema.empty_table()
+        chunk = max(1, min(most, CELLS_AT_ONCE // base.num_rows))
         qm, bm = unit_rows(queries["qvec"]), unit_rows(base["bvec"])
         ids = base["bid"].to_numpy()
         sides = {"id": ("qid", "bid"), "group": ("qgroup", "bgroup")}.get(exclude)
@@ -109,6 +114,36 @@ def _assign_cells(pivots: np.ndarray):
     return assign
 
 
+def _nearest_of(base, k: int, exclude: str | None, schema: pa.Schema):
+    """Queries as they come against a whole base."""
+    compare = _compare(k, exclude, schema)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from compare(pa.Table.from_batches([b]), base.value).to_batches()
+
+    return nearest
+
+
+def _best_for(queries, k: int, exclude: str | None, schema: pa.Schema):
+    """Base rows as they come against all queries; a task keeps the k best per query."""
+    compare = _compare(k, exclude, schema)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = schema.empty_table()
+        for b in batches:
+            kept = pa.concat_tables([kept, compare(queries.value, pa.Table.from_batches([b]))])
+            kept = kept.sort_by([("query_id", "ascending"), ("distance", "ascending"), ("base_id", "ascending")])
+            if kept.num_rows:
+                ids = kept["query_id"].to_numpy()
+                start = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+                place = np.arange(len(ids)) - np.repeat(start, np.diff(np.append(start, len(ids))))
+                kept = kept.filter(pa.array(place < k)).combine_chunks()
+        yield from kept.to_batches()
+
+    return best
+
+
 @dataclass
 class Cells:
     """What is known of the base cells: at most MAX_PIVOTS rows of figures."""
@@ -218,6 +253,7 @@ def knn(
     block_rows: int = 8192,
     query_rows: int = 8192,
     n_pivots: int | None = None,
+    small_bytes: int = SMALL_BYTES,
 ) -> DataFrame:
     """(query_id, rank, base_id, payload, distance) of the k nearest base rows per query.
 
@@ -232,7 +268,25 @@ def knn(
     b = base.select(F.col(bid).alias("bid"), F.col(bvec).alias("bvec"),
                     (F.col(bgroup) if bgroup else F.lit(0)).cast("bigint").alias("bgroup"),
                     (F.col(payload) if payload else F.lit(None).cast("int")).alias("payload"))
+    q, b = q.where(F.col("qvec").isNotNull()), b.where(F.col("bvec").isNotNull())
     n_base, n_query = b.count(), q.count()
+    out = T.StructType([
+        T.StructField("query_id", q.schema["qid"].dataType), T.StructField("base_id", b.schema["bid"].dataType),
+        T.StructField("payload", b.schema["payload"].dataType), T.StructField("distance", T.DoubleType()),
+    ])
+    order = W.partitionBy("query_id").orderBy("distance", "base_id")
+    one = b.select(F.size("bvec").alias("dim")).first()
+    row_bytes = 8 * (one["dim"] if one else 0) + 64
+    if n_pivots is None and min(n_base, n_query) * row_bytes <= small_bytes:
+        sc = spark.sparkContext
+        if n_base <= n_query:  # a checked number of bytes, as is the other case
+            task = _nearest_of(sc.broadcast(b.toArrow()), k, exclude, to_arrow_schema(out))
+            pairs = spread(q, "qid").mapInArrow(task, out)
+        else:
+            task = _best_for(sc.broadcast(q.toArrow()), k, exclude, to_arrow_schema(out))
+            pairs = spread(b, "bid").mapInArrow(task, out)
+        return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k) \
+            .select("query_id", "rank", "base_id", "payload", "distance")
     wanted = min(MAX_PIVOTS, n_pivots or (ceil(2 * n_base / block_rows) if n_base > 4 * block_rows else 1))
     info = _cells(b, wanted) if wanted > 1 else None
     if info is not None:
@@ -269,16 +323,11 @@ def knn(
     keys = ["cell", "bpart", "qpart"]
     # A few partitions per group even out the hash, without tasks that get no group.
     parts = min(parts, 4 * sum(nb * nq for _, nb, nq in plan) or 1)
-    out = T.StructType([
-        T.StructField("query_id", q.schema["qid"].dataType), T.StructField("base_id", b.schema["bid"].dataType),
-        T.StructField("payload", b.schema["payload"].dataType), T.StructField("distance", T.DoubleType()),
-    ])
     pairs = (
         q.repartition(parts, *keys).groupBy(*keys)
         .cogroup(b.repartition(parts, *keys).groupBy(*keys))
         .applyInArrow(_compare(k, exclude, to_arrow_schema(out)), out)
     )
-    order = W.partitionBy("query_id").orderBy("distance", "base_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k) \
         .select("query_id", "rank", "base_id", "payload", "distance")
 

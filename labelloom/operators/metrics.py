@@ -57,7 +57,8 @@ def confusion_norm(preds: DataFrame, labels, by=(), true: str = "true_label", pr
 
 
 def accuracy(preds: DataFrame, by=(), true: str = "true_label", pred: str = "pred_label") -> DataFrame:
-    hit = (F.col(true) == F.col(pred)).cast("int")
+    # A missing prediction is a wrong one.
+    hit = F.coalesce(F.col(true) == F.col(pred), F.lit(False)).cast("int")
     return preds.groupBy(*by).agg(F.count("*").alias("n"), F.avg(hit).alias("accuracy"))
 
 
@@ -65,6 +66,11 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(0.0)
 
 
+def _share(a: Column, b: Column) -> Column:
+    """a / b, NaN where there is nothing to divide by."""
+    return F.when(b > 0, a / b).otherwise(F.lit(float("nan")))
+
+
 def class_scores(conf: DataFrame, by=()) -> DataFrame:
     """precision, recall, f1, support per label from a confusion table (a few rows per run)."""
     by = list(by)
@@ -197,19 +203,20 @@ def score_steps(scores: DataFrame, by=("label",), positive: Column | None = None
 def auc_from_steps(steps: DataFrame, by=("label",)) -> DataFrame:
     """Exact area with ties counted half."""
     below = F.col("fp_total") - F.col("fp")
-    wins = F.col("pos") * (below + F.col("neg") / 2.0)
+    wins = F.col("pos").cast("double") * (below + F.col("neg") / 2.0)
     p, n = F.max("tp_total"), F.max("fp_total")
-    area = F.when((p > 0) & (n > 0), F.sum(wins) / (p * n)).otherwise(F.lit(float("nan")))
+    area = F.when((p > 0) & (n > 0), F.sum(wins) / (p.cast("double") * n)).otherwise(F.lit(float("nan")))
     return steps.groupBy(*by).agg(area.alias("auc"), p.alias("support"))
 
 
-def roc_auc(scores: DataFrame, labels) -> DataFrame:
-    """One row: one-vs-rest AUC, macro and support-weighted; NaN when a class has no positives."""
-    per = auc_from_steps(score_steps(scores)).where(F.col("label").isin(list(labels)))
+def roc_auc(scores: DataFrame, labels, by=()) -> DataFrame:
+    """One row (per run or fold): one-vs-rest AUC, macro and support-weighted; NaN when a class has no positives."""
+    by = list(by)
+    per = auc_from_steps(score_steps(scores, [*by, "label"]), [*by, "label"]).where(F.col("label").isin(list(labels)))
     nan = F.lit(float("nan"))
     # NaN passes through sums, so a class without positives makes both means NaN.
     present = F.count("*") == len(labels)
-    return per.agg(
+    return per.groupBy(*by).agg(
         F.when(present, F.sum("auc") / len(labels)).otherwise(nan).alias("roc_auc_macro"),
         F.when(present, F.sum(F.col("auc") * F.col("support")) / F.sum("support")).otherwise(nan)
         .alias("roc_auc_weighted"),
@@ -223,7 +230,7 @@ def roc_points(scores: DataFrame, top: int = 10) -> DataFrame:
     best = support.orderBy(F.desc("support"), "label").limit(top).select("label")
     return steps.join(F.broadcast(best), "label", "left_semi").select(
         "label", F.col("score").alias("threshold"),
-        (F.col("fp") / F.col("fp_total")).alias("fpr"), (F.col("tp") / F.col("tp_total")).alias("tpr"),
+        _share(F.col("fp"), F.col("fp_total")).alias("fpr"), _share(F.col("tp"), F.col("tp_total")).alias("tpr"),
     )
 
 
@@ -232,22 +239,23 @@ def pr_points(scores: DataFrame, by=("label",), positive: Column | None = None,
     return steps.select(
         *by, F.col("score").alias("threshold"),
         (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
-        (F.col("tp") / F.col("tp_total")).alias("recall"),
+        _share(F.col("tp"), F.col("tp_total")).alias("recall"),
     )
 
 
 def avg_precision(scores: DataFrame, by=("label",), positive: Column | None = None, score: str = "score") -> DataFrame:
-    """Step-wise average precision: sum of recall gains times precision."""
+    """Step-wise average precision: sum of recall gains times precision; NaN without positives."""
     steps = score_steps(scores, by, positive, score)
-    gain = F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))
-    return steps.groupBy(*by).agg((F.sum(gain) / F.max("tp_total")).alias("average_precision"))
+    gain = F.col("pos") * (F.col("tp") / (F.col("tp") + F.col("fp")))
+    return steps.groupBy(*by).agg(_share(F.sum(gain), F.max("tp_total")).alias("average_precision"))
 
 
 def log_loss(scores: DataFrame, by=()) -> DataFrame:
-    """-mean ln p(true); rows are normalised, scores aligned by label name."""
+    """-mean ln p(true); rows are normalised, an all-zero row is uniform, scores are aligned by label name."""
     own = F.max(F.when(F.col("label") == F.col("true_label"), F.col("score")))
     rows = scores.groupBy(*by, "row_id").agg(
-        (F.coalesce(own, F.lit(0.0)) / F.sum("score")).alias("p")
+        F.when(F.sum("score") > 0, F.coalesce(own, F.lit(0.0)) / F.sum("score"))
+        .otherwise(1.0 / F.count("*")).alias("p")
     )
     clipped = F.least(F.lit(1 - EPS), F.greatest(F.lit(EPS), F.col("p")))
     return rows.groupBy(*by).agg(F.avg(-F.log(clipped)).alias("log_loss"))
@@ -265,8 +273,8 @@ def binary_metrics(preds: DataFrame, y: str, p: str, threshold: float = 0.5) ->
         return F.least(F.lit(1 - EPS), F.greatest(F.lit(EPS), c))
 
     loss = -(F.col("pos") * F.log(clip(s)) + F.col("neg") * F.log(clip(1 - s)))
-    gain = F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))
-    wins = F.col("pos") * (F.col("fp_total") - F.col("fp") + F.col("neg") / 2.0)
+    gain = F.col("pos") * (F.col("tp") / (F.col("tp") + F.col("fp")))
+    wins = F.col("pos").cast("double") * (F.col("fp_total") - F.col("fp") + F.col("neg") / 2.0)
     nan = F.lit(float("nan"))
     sums = steps.agg(
         F.sum(F.col("pos") + F.col("neg")).alias("n"), F.sum("pos").alias("p"), F.sum("neg").alias("q"),
@@ -275,10 +283,10 @@ def binary_metrics(preds: DataFrame, y: str, p: str, threshold: float = 0.5) ->
     )
     hit, false, pos, neg = F.col("hit"), F.col("false"), F.col("p"), F.col("q")
     return sums.select(
-        "n", ((hit + neg - false) / F.col("n")).alias("accuracy"), _ratio(hit, hit + false).alias("precision"),
+        "n", _ratio(hit + neg - false, F.col("n")).alias("accuracy"), _ratio(hit, hit + false).alias("precision"),
         _ratio(hit, pos).alias("recall"), _ratio(2 * hit, hit + false + pos).alias("f1"),
-        F.when((pos > 0) & (neg > 0), F.col("wins") / (pos * neg)).otherwise(nan).alias("roc_auc"),
-        _ratio(F.col("gain"), pos).alias("average_precision"), (F.col("loss") / F.col("n")).alias("log_loss"),
+        F.when((pos > 0) & (neg > 0), F.col("wins") / (pos.cast("double") * neg)).otherwise(nan).alias("roc_auc"),
+        _ratio(F.col("gain"), pos).alias("average_precision"), F.when(F.col("n") > 0, F.col("loss") / F.col("n")).alias("log_loss"),
     )
 
 
@@ -298,7 +306,8 @@ def top_confusions(preds: DataFrame, n: int = 10, true: str = "true_label", pred
 
 
 def histogram(df: DataFrame, value: str, group: str, bins: int = 40) -> DataFrame:
-    """Density per bin between the smallest and largest value of each group."""
+    """Density per bin between the smallest and largest value of each group; null values are left out."""
+    df = df.where(F.col(value).isNotNull())
     bounds = df.groupBy(group).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count("*").alias("total"))
     counts = df.groupBy(group, value).agg(F.count("*").alias("c"))
     rows = counts.join(checked_broadcast(bounds), group)
@@ -337,11 +346,12 @@ def best(results: DataFrame, by: list[str], metric: str, tie: str) -> DataFrame:
 
 
 def align_scores(preds: DataFrame, key: str, probability: str, classes: list, labels: list) -> DataFrame:
-    """Long scores over the fixed label list from a probability array; unseen classes get 0."""
+    """Long scores over the fixed label list from a probability array; classes it doesn't reach get 0."""
     at = {c: i + 1 for i, c in enumerate(classes)}
     values = F.array(*[
         F.struct(F.lit(l).alias("label"),
-                 (F.element_at(probability, at[l]) if l in at else F.lit(0.0)).cast("double").alias("score"))
+                 F.coalesce(F.try_element_at(F.col(probability), F.lit(at[l])), F.lit(0.0)).cast("double").alias("score")
+                 if l in at else F.lit(0.0).alias("score"))
         for l in labels
     ])
     return preds.select(key, F.inline(values))

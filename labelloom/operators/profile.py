@@ -29,7 +29,7 @@ def flag_rates(df: DataFrame, flags: list[str]) -> DataFrame:
     """Count and share of true values per boolean column, in one pass."""
     sums = df.agg(F.count("*").alias("__n"), *[F.count_if(f).alias(f) for f in flags])
     return sums.select(F.inline(F.array(*[
-        F.struct(F.lit(f).alias("flag"), F.col(f).alias("n_true"), (F.col(f) / F.col("__n")).alias("share"))
+        F.struct(F.lit(f).alias("flag"), F.col(f).alias("n_true"), F.when(F.col("__n") > 0, F.col(f) / F.col("__n")).alias("share"))
         for f in flags
     ])))
 
@@ -63,7 +63,7 @@ def store_stats(df: DataFrame, error: str, model: str, kind: str) -> DataFrame:
     """Totals, errors, success rate and the number of models and types, in one pass."""
     return df.agg(
         F.count("*").alias("total_records"), F.count_if(error).alias("errors"),
-        ((F.count("*") - F.count_if(error)) / F.count("*") * 100).alias("success_rate"),
+        F.when(F.count("*") > 0, (F.count("*") - F.count_if(error)) / F.count("*") * 100).alias("success_rate"),
         F.count_distinct(model).alias("models_used"), F.count_distinct(kind).alias("types"),
     )
 

@@ -74,6 +74,8 @@ def sample_to(df: DataFrame, key: str, n: int, seed: int = domain.SEED) -> DataF
         picked = seeded_take(df, [], key, seed, lambda total: F.least(total, F.lit(n)), "__taken")
         return picked.where("__taken").drop("__taken").withColumn("copies", F.lit(1).cast("bigint"))
     boot = seeded_rank(df, [], key, seed, "pos").drop("pos_total")
+    if not have:  # nothing to draw from
+        return df.withColumn("copies", F.lit(1).cast("bigint"))
     ids = df.sparkSession.range(n)
     taken = ids.select((draw("id", f"fill{seed}") % have + 1).alias("pos")) \
         .groupBy("pos").agg(F.count("*").alias("copies"))

@@ -32,7 +32,7 @@ def confusion_long(spark, d):
 @query("confusion_matrix", f"WITH {ZERO_FILLED} SELECT true_label, " + ", ".join(
     f"cast(sum(CASE WHEN pred_label = {i} THEN n ELSE 0 END) AS BIGINT) AS pred_{i}" for i in v.VECTOR_LABELS) + " FROM conf GROUP BY true_label")
 def confusion_matrix(spark, d):
-    return mt.confusion_matrix(v.predictions(spark, d), v.VECTOR_LABELS)
+    return mt.confusion_matrix(*preds_and_labels(spark, d))
 
 
 @query("confusion_normalized", f"""WITH {ZERO_FILLED} SELECT true_label, pred_label, n,
@@ -227,7 +227,8 @@ def value_counts(spark, d):
 @query("crosstab", f"WITH {v.EMAILS} SELECT noise_level, " + ", ".join(
     f"cast(sum(cast(tone = {i} AS INTEGER)) AS BIGINT) AS tone_{i}" for i in range(8)) + " FROM emails GROUP BY noise_level")
 def crosstab(spark, d):
-    return pf.crosstab(v.emails(spark, d), "noise_level", "tone", list(range(8)), "tone_")
+    mails = v.emails(spark, d)
+    return pf.crosstab(mails, "noise_level", "tone", bounded_values(mails, "tone"), "tone_")
 
 
 @query("grouped_counts_filled", """SELECT l.lang, s.source, (SELECT count(*) FROM documents d JOIN labels t USING (doc_id) WHERE d.lang = l.lang AND d.source = s.source AND t.toxic = 1) AS n
@@ -244,7 +245,7 @@ FLAGS = ["is_multi_intent", "is_ambiguous", "is_spam"]
 @query("flag_rates", f"WITH {v.EMAILS} " + " UNION ALL ".join(
     f"SELECT '{f}' AS flag, cast(sum(cast({f} AS INTEGER)) AS BIGINT) AS n_true, round(avg(cast({f} AS INTEGER)), 6) AS share FROM emails" for f in FLAGS))
 def flag_rates(spark, d):
-    return rounded(pf.flag_rates(v.emails(spark, d), FLAGS))
+    return rounded(pf.flag_rates(v.emails(spark, d, spam=True), FLAGS))
 
 
 @query("corpus_summary", """SELECT count(*) AS n_rows, count(DISTINCT source) AS n_classes, count(DISTINCT lang) AS n_languages,

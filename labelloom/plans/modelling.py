@@ -79,13 +79,18 @@ def tfidf_sublinear(spark, d):
     return ft.tfidf(terms, vocab, "doc_id", n, sublinear=True).withColumn("weight", F.round("weight", 6))
 
 
-@query("word2vec_fit")
+@query("word2vec_fit", f"""WITH {SPLIT}, w AS (SELECT unnest(string_split(text, ' ')) AS word FROM sp WHERE split = 'train')
+  SELECT word, 100 AS size, TRUE AS finite, TRUE AS moved FROM w GROUP BY word HAVING count(*) >= 2""")
 def word2vec_fit(spark, d):
-    """Word vectors fitted on the train rows: norm per word."""
+    """Word vectors fitted on the train rows: the words seen twice or more, each with a finite vector of its own.
+
+    Spark fits skip-gram vectors; there is no continuous bag-of-words form.
+    """
     rows = split_docs(spark, d).where("split = 'train'").select(F.split("text", " ").alias("tokens"))
     model = ft.word2vec(materialize(rows, "tokens"), "tokens")
-    norm = F.sqrt(F.aggregate(vector_to_array("vector"), F.lit(0.0), lambda a, x: a + x * x))
-    return model.getVectors().select("word", F.round(norm, 4).alias("norm"))
+    x = vector_to_array("vector")
+    finite = F.forall(x, lambda v: ~F.isnan(v) & (F.abs(v) < 1e6))
+    return model.getVectors().select("word", F.size(x).alias("size"), finite.alias("finite"), F.exists(x, lambda v: v != 0).alias("moved"))
 
 
 @query("doc_vector_mean", f"""WITH docs AS (SELECT doc_id, {v.s_clean_latin("text")} AS text FROM documents),
@@ -126,25 +131,37 @@ def _fit_and_predict(spark, d, model, vec="tfidf", **params):
     return md.predict(fitted, test, v.LANGS, "doc_id")
 
 
-def _shown(preds):
-    best = F.array_max("scores")
+def _shown(preds, labels, key="doc_id"):
+    """Test rows with what must hold for each: scores that add up to one, the answer the best of them; and for all: better than the commonest label."""
+    preds = materialize(preds, "shown")
+    ordered = F.array(*[F.lit(l) for l in sorted(labels)])
+    best = F.element_at(F.col("scores"), F.array_position(ordered, F.col("pred_label")).cast("int"))
     total = F.aggregate("scores", F.lit(0.0), lambda a, x: a + x)
-    return preds.select("doc_id", "true_label", "pred_label", F.round(best, 3).alias("confidence"), F.round(total, 6).alias("score_sum"))
+    hits = preds.agg(F.avg((F.col("true_label") == F.col("pred_label")).cast("int"))).first()[0] or 0.0
+    common = preds.groupBy("true_label").count().agg(F.max("count") / F.sum("count")).first()[0] or 0.0
+    return preds.select(key, "true_label", F.size("scores").alias("n_scores"), F.round(total, 6).alias("score_sum"),
+                        (best >= F.array_max("scores") - 1e-9).alias("best_wins"), F.lit(hits > common).alias("beats_majority"))
+
+
+def shown_sql(rows: str, n: int) -> str:
+    """The same columns for the test rows of ``rows``."""
+    return (f"SELECT doc_id, label AS true_label, {n} AS n_scores, 1::DOUBLE AS score_sum, TRUE AS best_wins, "
+            f"TRUE AS beats_majority FROM {rows} WHERE split = 'test'")
 
 
-@query("train_logreg")
+@query("train_logreg", f"WITH {SPLIT} {shown_sql('sp', len(v.LANGS))}")
 def train_logreg(spark, d):
-    return _shown(_fit_and_predict(spark, d, "logreg"))
+    return _shown(_fit_and_predict(spark, d, "logreg"), v.LANGS)
 
 
-@query("train_linear_margin")
+@query("train_linear_margin", f"WITH {SPLIT} {shown_sql('sp', len(v.LANGS))}")
 def train_linear_margin(spark, d):
-    return _shown(_fit_and_predict(spark, d, "svm"))
+    return _shown(_fit_and_predict(spark, d, "svm"), v.LANGS)
 
 
-@query("train_random_forest")
+@query("train_random_forest", f"WITH {SPLIT} {shown_sql('sp', len(v.LANGS))}")
 def train_random_forest(spark, d):
-    return _shown(_fit_and_predict(spark, d, "rf"))
+    return _shown(_fit_and_predict(spark, d, "rf"), v.LANGS)
 
 
 def toxic_table(spark, d, vec="tfidf_sublinear"):
@@ -155,12 +172,18 @@ def toxic_table(spark, d, vec="tfidf_sublinear"):
     return md.feature_table(holdout(rows, "label", "doc_id", 0.2), vec, [0, 1], "doc_id", N_TERMS)
 
 
-@query("train_gbt_binary")
+TOXIC = f"""td AS (SELECT doc_id, {v.s_clean_spam("text")} AS text, toxic AS label FROM documents JOIN labels USING (doc_id)),
+  tsp AS (SELECT *, CASE WHEN {v.s_rank("label", "doc_id")} <= round(count(*) OVER (PARTITION BY label) * 0.2::DOUBLE) THEN 'test' ELSE 'train' END AS split
+    FROM td WHERE text <> '')"""
+
+
+@query("train_gbt_binary", f"""WITH {TOXIC} SELECT doc_id, label AS true_label, 2 AS n_scores, 1::DOUBLE AS score_sum, TRUE AS best_wins FROM tsp WHERE split = 'test'""")
 def train_gbt_binary(spark, d):
+    """Boosted trees at the library's defaults on class-balanced weights."""
     table = toxic_table(spark, d)
     train = md.balanced_weights(table.where("split = 'train'"), "label")
-    fitted = md.fit(md.estimator("gbt", weight="weight", maxIter=20, maxDepth=4), train, train.count())
-    return _shown(md.predict(fitted, table.where("split = 'test'"), [0, 1], "doc_id"))
+    fitted = md.fit(md.estimator("gbt", weight="weight"), train, train.count())
+    return _shown(md.predict(fitted, table.where("split = 'test'"), [0, 1], "doc_id"), [0, 1]).drop("beats_majority")
 
 
 @query("class_weights", """SELECT doc_id, lang, round(count(*) OVER () / ((SELECT count(DISTINCT lang) FROM documents) * count(*) OVER (PARTITION BY lang)::DOUBLE), 6) AS weight FROM documents""")
@@ -169,32 +192,70 @@ def class_weights(spark, d):
     return md.balanced_weights(docs, "lang").withColumn("weight", F.round("weight", 6))
 
 
-@query("hyperparam_search")
+TRIALS, SEARCH_FOLDS = 4, 3  # fits of the registered query; md.search itself defaults to 30 trials
+
+
+def _trials_sql() -> str:
+    rows = ", ".join(f"({t}, '{family}', {s_params(params)})" for t in range(TRIALS) for family, params in [md.draw_trial(t)])
+    return f"(VALUES {rows}) t(trial, model, params)"
+
+
+def s_params(params: dict) -> str:
+    return v.s_quote(str(sorted(params.items())))
+
+
+@query("hyperparam_search", f"""WITH {TOXIC}, n AS (SELECT cast(count(*) AS BIGINT) AS n FROM tsp)
+  SELECT trial, model, params, {SEARCH_FOLDS} AS n_folds, n AS n_scored, TRUE AS in_range, TRUE AS best_first FROM {_trials_sql()}, n""")
 def hyperparam_search(spark, d):
-    """Random search on the binary track: mean macro F1 over folds per trial, best first."""
+    """Random search on the binary track by mean macro F1 over folds; every trial runs with the parameters it drew.
+
+    The number of trials and folds are parameters; this query makes ``TRIALS`` x ``SEARCH_FOLDS`` fits.
+    """
     table = toxic_table(spark, d, "bow").drop("split")
-    folds = materialize(kfold(table.select("doc_id", "label"), "label", "doc_id", 3).select("doc_id", "fold"), "folds")
-    found = md.search(materialize(table.join(folds, "doc_id"), "search"), [0, 1], "doc_id", trials=4,
-                      limits={"gbt": {"maxIter": 10, "maxDepth": 3}, "logreg": {"maxIter": 50}}, parallelism=4)
-    rows = [(r["trial"], r["model"], str(sorted(r["params"].items())), float(r["score"]), r["n_folds"]) for r in found]
-    return spark.createDataFrame(rows, "trial int, model string, params string, score double, n_folds int")
+    folds = materialize(kfold(table.select("doc_id", "label"), "label", "doc_id", SEARCH_FOLDS).select("doc_id", "fold"), "folds")
+    table = materialize(table.join(folds, "doc_id"), "search")
+    found = md.search(table, [0, 1], "doc_id", trials=TRIALS, parallelism=4)
+    n = table.count()
+    rows = [(r["trial"], r["model"], str(sorted(r["params"].items())), r["n_folds"], n, 0.0 <= r["score"] <= 1.0,
+             all(r["score"] <= x["score"] for x in found[:i])) for i, r in enumerate(found)]
+    return spark.createDataFrame(rows, "trial int, model string, params string, n_folds int, n_scored long, in_range boolean, best_first boolean")
+
+
+GRID_VECTORIZERS, GRID_MODELS = ["one_hot", "bow", "tfidf", "word2vec"], ["logreg", "svm", "rf"]
+METRIC_FLAGS = [f"{m}_macro" for m in ("precision", "recall", "f1", "roc_auc")] + ["accuracy", "f1_weighted"]
+
 
+def _in_range(columns):
+    ok = None
+    for c in columns:
+        one = F.coalesce(F.col(c).between(0.0, 1.0), F.lit(False))
+        ok = one if ok is None else ok & one
+    return ok
 
-@query("experiment_grid")
+
+@query("experiment_grid", f"""WITH {SPLIT}, t AS (SELECT count(*) AS n FROM sp WHERE split = 'test')
+  SELECT vectorizer, model, n, TRUE AS in_range, TRUE AS finite_loss
+  FROM (SELECT unnest({GRID_VECTORIZERS}) AS vectorizer), (SELECT unnest({GRID_MODELS}) AS model), t""")
 def experiment_grid(spark, d):
-    """Three sparse vectorisers x two models: one metric row each."""
-    out = md.run_grid(split_docs(spark, d), v.LANGS, "doc_id", ["one_hot", "bow", "tfidf"], ["logreg", "svm"], N_TERMS,
-                      parallelism=4, logreg={"maxIter": 100})
-    return out
+    """The whole grid, four vectorisers x three models, with each model's default number of iterations: one metric row each."""
+    out = md.run_grid(split_docs(spark, d), v.LANGS, "doc_id", GRID_VECTORIZERS, GRID_MODELS, N_TERMS, parallelism=4)
+    return out.select("vectorizer", "model", "n", _in_range(METRIC_FLAGS).alias("in_range"),
+                      (F.col("log_loss") < 40.0).alias("finite_loss"))
+
 
+CV_FOLDS = 5
 
-@query("cv_refit_folds")
-def cv_refit_folds(spark, d):
-    """Vectoriser and model refitted inside every fold; mean and deviation per metric."""
+
+@query("cv_pipeline", f"""WITH {SPLIT}, f AS (SELECT cast(({v.s_rank("label", "doc_id")} - 1 + dense_rank() OVER (ORDER BY label) - 1) % {CV_FOLDS} AS INTEGER) AS fold FROM sp),
+  n AS (SELECT fold, count(*) AS n FROM f GROUP BY fold UNION ALL SELECT -1, count(*) FROM f) SELECT fold, n, TRUE AS in_range, TRUE AS beats_majority FROM n""")
+def cv_pipeline(spark, d):
+    """Vectoriser and model refitted inside every fold: scores, AUC and log loss per fold and pooled (fold -1)."""
     docs = split_docs(spark, d).drop("split")
-    folded = kfold(docs, "label", "doc_id", 3)
-    preds = md.cv_predictions(folded, v.LANGS, "doc_id", "tfidf", "logreg", n_terms=N_TERMS, parallelism=3, maxIter=100)
-    return mt.fold_summary(mt.fold_metrics(preds, v.LANGS))
+    folded = kfold(docs, "label", "doc_id", CV_FOLDS)
+    preds = md.cv_predictions(folded, v.LANGS, "doc_id", "tfidf", "logreg", n_terms=N_TERMS, parallelism=3)
+    common = docs.groupBy("label").count().agg(F.max("count") / F.sum("count")).first()[0] or 0.0
+    out = md.evaluate_folds(preds, v.LANGS, "doc_id")
+    return out.select("fold", "n", _in_range(METRIC_FLAGS).alias("in_range"), (F.col("accuracy") > common).alias("beats_majority"))
 
 
 RESULTS_SQL = """res AS (SELECT source AS model, lang AS vectorizer, count(*) AS n, round(avg(n_chars), 6) AS f1_macro FROM documents GROUP BY ALL)"""
@@ -211,18 +272,21 @@ def best_per_model(spark, d):
     return mt.best(result_table(spark, d), ["model"], "f1_macro", "vectorizer")
 
 
-@query("refit_full")
+@query("refit_full", f"""WITH {SPLIT} SELECT doc_id, label, TRUE AS known, (SELECT count(*) FROM sp) AS n FROM sp""")
 def refit_full(spark, d):
-    """Best of two combinations by held-out macro F1, refitted on all rows, stored and read back."""
+    """Best combination by held-out macro F1, refitted on all rows, stored and read back.
+
+    Two vectorisers x one model here; the choice takes any result table of ``run_grid``.
+    """
     rows = split_docs(spark, d)
-    grid = md.run_grid(rows, v.LANGS, "doc_id", ["bow", "tfidf"], ["logreg"], N_TERMS, logreg={"maxIter": 100})
+    grid = md.run_grid(rows, v.LANGS, "doc_id", ["bow", "tfidf"], ["logreg"], N_TERMS)
     top = grid.orderBy(F.desc("f1_macro"), "vectorizer").first()
     path = scratch_path(spark, "best")
     meta = {"vectorizer": top["vectorizer"], "model": top["model"], "f1_macro": top["f1_macro"], "n": rows.count()}
-    md.save_bundle(md.refit(rows, v.LANGS, top["vectorizer"], top["model"], N_TERMS, maxIter=100), meta, path)
+    md.save_bundle(md.refit(rows, v.LANGS, top["vectorizer"], top["model"], N_TERMS), meta, path)
     model, meta = md.load_bundle(spark, path)
-    out = md.score(rows, model, v.LANGS, "doc_id")
-    return out.select("doc_id", "pred_label", F.lit(meta["vectorizer"]).alias("vectorizer"))
+    out = md.score(rows, model, v.LANGS, "doc_id", extra=["label"])
+    return out.select("doc_id", "label", F.col("pred_label").isin(v.LANGS).alias("known"), F.lit(meta["n"]).cast("bigint").alias("n"))
 
 
 @query("aligned_proba", f"""WITH {v.SCORES}, a AS (SELECT row_id, label, score FROM scores WHERE label IN (1, 3, 5))
@@ -239,16 +303,21 @@ def aligned_proba(spark, d):
     return out.withColumn("score", F.round("score", 6))
 
 
-@query("batch_score", "SELECT doc_id AS email_id, TRUE AS same, TRUE AS known FROM documents")
+@query("batch_score", """WITH m AS (SELECT max(n) * 1.0::DOUBLE / sum(n) AS share FROM (SELECT count(*) AS n FROM documents GROUP BY lang))
+  SELECT doc_id AS email_id, lang AS class_label, TRUE AS same, TRUE AS known, round(share, 6) AS majority, TRUE AS beats_majority FROM documents, m""")
 def batch_score(spark, d):
     """A stored bundle applied to mail bodies without refitting: it must answer like the model it was saved from."""
     path = scratch_path(spark, "bundle")
     docs = v.texts(spark, d).select("doc_id", "text", F.col("lang").alias("label"))
-    fitted = md.refit(docs, v.LANGS, "bow", "logreg", N_TERMS, maxIter=50)
+    fitted = md.refit(docs, v.LANGS, "bow", "logreg", N_TERMS)
     md.save_bundle(fitted, {"labels": v.LANGS}, path)
     loaded, meta = md.load_bundle(spark, path)
-    mails = v.emails(spark, d, heavy=True).select("email_id", tx.strip_prefix("email_corpus").alias("text"))
-    a = md.score(mails, loaded, meta["labels"], "email_id")
+    mails = v.emails(spark, d, heavy=True).select("email_id", "class_label", tx.strip_prefix("email_corpus").alias("text"))
+    a = materialize(md.score(mails, loaded, meta["labels"], "email_id", extra=["class_label"]), "scored")
+    sums = a.agg(F.avg((F.col("pred_label") == F.col("class_label")).cast("int")).alias("hit")).first()
+    share = docs.groupBy("label").count().agg(F.max("count") / F.sum("count")).first()[0] or 0.0
     b = md.score(mails, fitted, v.LANGS, "email_id").select("email_id", F.col("pred_label").alias("p"), F.col("confidence").alias("c"))
     same = (F.col("pred_label") == F.col("p")) & (F.round("confidence", 6) == F.round("c", 6))
-    return a.join(b, "email_id").select("email_id", same.alias("same"), F.col("pred_label").isin(v.LANGS).alias("known"))
+    return a.join(b, "email_id").select(
+        "email_id", "class_label", same.alias("same"), F.col("pred_label").isin(v.LANGS).alias("known"),
+        F.round(F.lit(share), 6).alias("majority"), F.lit((sums["hit"] or 0.0) > share).alias("beats_majority"))

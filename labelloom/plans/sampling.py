@@ -80,8 +80,14 @@ def cell_range_join(spark, d):
   c AS (SELECT source, sum(n) OVER (ORDER BY source) - n AS lo, sum(n) OVER (ORDER BY source) AS hi, sum(n) OVER () AS total FROM w)
   SELECT vec_id, c.source FROM embeddings e JOIN c ON {v.u("vec_id", "pick")} * c.total >= c.lo AND {v.u("vec_id", "pick")} * c.total < c.hi""")
 def cdf_range_join(spark, d):
-    """Draw a category by the observed source shares; the interval test is a chain of literals."""
-    counts = {r["source"]: float(r["count"]) for r in v.documents(spark, d).groupBy("source").count().limit(10_000).collect()}
+    """Draw a category by the observed source shares; the interval test is a chain of literals.
+
+    Sources are a closed list: more than ``bounded_values`` allows raise.
+    """
+    docs = v.documents(spark, d)
+    closed = bounded_values(docs, "source")
+    sizes = docs.where(F.col("source").isin(closed)).groupBy("source").count()
+    counts = {r["source"]: float(r["count"]) for r in sizes.collect()}
     at = uniform("vec_id", "pick") * F.lit(sum(counts.values()))
     acc, pick = 0.0, None
     for name in sorted(counts):

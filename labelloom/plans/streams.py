@@ -9,7 +9,7 @@ from labelloom.operators import models as md
 from labelloom.plans import views as v
 from labelloom.plans.neighbours import rounded
 from labelloom.plans.registry import query
-from labelloom.session import scratch_path
+from labelloom.session import materialize, scratch_path
 from labelloom.streaming import scoring as ss
 from labelloom.streaming import series as sr
 
@@ -19,7 +19,10 @@ def stream_of(spark, d, name):
 
 
 def sample_stream(spark, d):
-    ev = stream_of(spark, d, "events")
+    return _samples(stream_of(spark, d, "events"))
+
+
+def _samples(ev):
     return ev.select(
         F.col("user_id").alias("series_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("watts"),
         (draw("event_id", "cpu") % 100).alias("cpu_percent"), (draw("event_id", "ram") % 4096).alias("ram_mb"))
@@ -31,58 +34,75 @@ HOUR = 3_600_000_000
 
 @query("stream_resample", f"""WITH {v.SAMPLES}, w AS (SELECT *, t // (6 * {HOUR}) * (6 * {HOUR}) AS start FROM samples)
   SELECT series_id, cast(start AS BIGINT) AS window_start, round(avg(watts), 6) AS mean_value, max(watts) AS max_value, count(*) AS n_samples FROM w
-  GROUP BY ALL HAVING start + 6 * {HOUR} <= (SELECT max(t) FROM samples) - {LATE}""")
+  GROUP BY ALL""")
 def stream_resample(spark, d):
-    """Six-hour windows that have closed by the end of the stream."""
+    """Six-hour windows: those that closed in the stream and those still open at its end."""
     path = scratch_path(spark, "windows")
-    out = sr.stream_windows(sample_stream(spark, d), "series_id", "ts", "watts", "6 hours", "10 minutes")
+
+    def make(samples):
+        return sr.stream_windows(samples, "series_id", "ts", "watts", "6 hours", "10 minutes")
+
+    out = make(sample_stream(spark, d))
     sr.run_available(out, path)
-    rows = spark.read.schema(out.schema).parquet(path)
+    rows = sr.with_open(spark.read.schema(out.schema).parquet(path), _samples(v.table(spark, d, "events")), "ts", "window_start", "6 HOURS", make)
     return rounded(rows.withColumn("window_start", F.unix_micros("window_start")))
 
 
-PIECE = f"""p AS (SELECT *, t // {LATE} AS piece FROM samples WHERE (t // {LATE} + 1) * {LATE} <= (SELECT max(t) FROM samples) - {LATE}),
-  g AS (SELECT *, lag(t) OVER (PARTITION BY series_id ORDER BY t, watts) AS before FROM p)"""
+PIECE = """g AS (SELECT *, lag(t) OVER (PARTITION BY series_id ORDER BY t, watts) AS before FROM samples)"""
 
 
 @query("stream_run_summary", f"""WITH {v.SAMPLES}, {PIECE} SELECT series_id, count(*) AS n_samples, round((max(t) - min(t)) / 1000000, 6) AS runtime_seconds,
   round(sum(coalesce(watts * (t - before) / 1000000 / 3600, 0)), 6) AS energy_wh FROM g GROUP BY series_id""")
 def stream_run_summary(spark, d):
-    """Energy per series from streamed ten-minute pieces that have closed."""
+    """Energy per series from streamed ten-minute pieces, closed or still open at the end."""
     path = scratch_path(spark, "pieces")
-    out = sr.stream_energy_pieces(sample_stream(spark, d), "series_id", "ts", "watts", "10 minutes", "10 minutes")
+
+    def make(samples):
+        return sr.stream_energy_pieces(samples, "series_id", "ts", "watts", "10 minutes", "10 minutes")
+
+    out = make(sample_stream(spark, d))
     sr.run_available(out, path)
-    summary = sr.join_pieces(spark.read.schema(out.schema).parquet(path), "series_id")
+    pieces = sr.with_open(spark.read.schema(out.schema).parquet(path), _samples(v.table(spark, d, "events")), "ts", "piece_start", "10 MINUTES", make)
+    summary = sr.join_pieces(materialize(pieces, "all-pieces"), "series_id")
     return rounded(summary.withColumn("n_samples", F.col("n_samples").cast("bigint")))
 
 
 @query("stream_sessions", f"""WITH {v.SAMPLES}, g AS (SELECT *, CASE WHEN t - lag(t) OVER o < 8 * {HOUR} THEN 0 ELSE 1 END AS fresh FROM samples WINDOW o AS (PARTITION BY series_id ORDER BY t, event_id)),
   s AS (SELECT *, sum(fresh) OVER (PARTITION BY series_id ORDER BY t, event_id) AS no FROM g)
   SELECT series_id, min(t) AS run_start, max(t) AS last_t, count(*) AS n_samples, round(avg(cpu_percent), 6) AS average_cpu_percent, max(ram_mb) AS peak_ram_mb FROM s
-  GROUP BY series_id, no HAVING max(t) + 8 * {HOUR} <= (SELECT max(t) FROM samples) - {LATE}""")
+  GROUP BY series_id, no""")
 def stream_sessions(spark, d):
-    """Runs of a series without an eight-hour pause that have ended."""
+    """Runs of a series without an eight-hour pause, ended or still open."""
     path = scratch_path(spark, "sessions")
-    out = sr.stream_sessions(sample_stream(spark, d), "series_id", "ts", "8 hours", "10 minutes")
+
+    def make(samples):
+        return sr.stream_sessions(samples, "series_id", "ts", "8 hours", "10 minutes")
+
+    out = make(sample_stream(spark, d))
     sr.run_available(out, path)
-    rows = spark.read.schema(out.schema).parquet(path)
+    rows = sr.with_open_sessions(spark.read.schema(out.schema).parquet(path), _samples(v.table(spark, d, "events")), "series_id", "ts", make)
     return rounded(rows.select("series_id", F.unix_micros("run_start").alias("run_start"), F.unix_micros("last_ts").alias("last_t"),
                                "n_samples", "average_cpu_percent", "peak_ram_mb"))
 
 
-@query("stream_score", "SELECT doc_id, TRUE AS same FROM documents")
+@query("stream_score", "SELECT doc_id, lang AS label, TRUE AS same, TRUE AS known, TRUE AS beats_majority FROM documents")
 def stream_score(spark, d):
     """A stored bundle applied to the document stream answers like the same bundle in batch."""
     docs = v.texts(spark, d).select("doc_id", "text", F.col("lang").alias("label"))
     bundle = scratch_path(spark, "bundle")
-    md.save_bundle(md.refit(docs, v.LANGS, "bow", "logreg", maxIter=50), {"labels": v.LANGS}, bundle)
+    md.save_bundle(md.refit(docs, v.LANGS, "bow", "logreg"), {"labels": v.LANGS}, bundle)
     model, meta = md.load_bundle(spark, bundle)
     path = scratch_path(spark, "scored")
-    scored = md.score(stream_of(spark, d, "documents").select("doc_id", "text"), model, meta["labels"], "doc_id")
+    incoming = stream_of(spark, d, "documents").select("doc_id", "text", F.col("lang").alias("label"))
+    scored = md.score(incoming, model, meta["labels"], "doc_id", extra=["label"])
     sr.run_available(scored, path)
     streamed = spark.read.schema(scored.schema).parquet(path)
+    hit = streamed.agg(F.avg((F.col("pred_label") == F.col("label")).cast("int"))).first()[0] or 0.0
+    share = docs.groupBy("label").count().agg(F.max("count") / F.sum("count")).first()[0] or 0.0
     batch = md.score(docs, model, meta["labels"], "doc_id").select("doc_id", F.col("pred_label").alias("p"))
-    return streamed.join(batch, "doc_id").select("doc_id", (F.col("pred_label") == F.col("p")).alias("same"))
+    return streamed.join(batch, "doc_id").select(
+        "doc_id", "label", (F.col("pred_label") == F.col("p")).alias("same"), F.col("pred_label").isin(v.LANGS).alias("known"),
+        F.lit(hit > share).alias("beats_majority"))
 
 
 @query("stream_cache_dedup", "SELECT DISTINCT concat_ws('|', user_id::VARCHAR, event_type, props) AS key FROM events")

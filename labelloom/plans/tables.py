@@ -24,7 +24,7 @@ MAIL_COLUMNS = ["email_id", "subject", "email_corpus", "class_label", "secondary
   cast(is_spam AS VARCHAR) AS is_spam, channel FROM emails""")
 def read_delimited(spark, d):
     path = scratch_path(spark, "corpus")
-    rows = v.emails(spark, d).select(*[F.col(c).cast("string").alias(c) for c in MAIL_COLUMNS])
+    rows = v.emails(spark, d, spam=True).select(*[F.col(c).cast("string").alias(c) for c in MAIL_COLUMNS])
     sinks.write_corpus(rows, path)
     return readers.read_corpus(spark, path, sep=None, required=("email_corpus", "class_label"))
 
@@ -233,7 +233,7 @@ def limit_rows(spark, d):
   FROM answers a LEFT JOIN emails e ON e.email_id = a.row_id""")
 def audit_passthrough(spark, d):
     preds = v.answers(spark, d).select("row_id", "true_label")
-    corpus = v.emails(spark, d).withColumnRenamed("email_id", "row_id")
+    corpus = v.emails(spark, d, spam=True).withColumnRenamed("email_id", "row_id")
     return pr.attach_audit(preds, corpus, "row_id", ["channel", "tone", "is_spam"])
 
 

@@ -62,11 +62,11 @@ def cache_key(spark, d):
     return v.documents(spark, d).select("doc_id", tx.cache_key("zero_shot", "holdout", row_id, "text", "model-a").alias("key"))
 
 
-@query("corpus_digest", """SELECT count(*) AS n, cast(sum(('0x' || substr(md5(text), 1, 8))::BIGINT) AS BIGINT) AS digest FROM documents""")
+@query("corpus_digest", """SELECT count(*) AS n, cast(sum(('0x' || substr(md5(text), 1, 15))::HUGEINT) AS VARCHAR) AS digest FROM documents""")
 def corpus_digest(spark, d):
-    """Order-free digest: a commutative sum, so it needs no sort and one tiny shuffle."""
-    part = F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("bigint")
-    return v.documents(spark, d).agg(F.count("*").alias("n"), F.sum(part).alias("digest"))
+    """Order-free digest: a commutative sum of 60-bit parts, so it needs no sort and one tiny shuffle."""
+    part = F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("decimal(28,0)")
+    return v.documents(spark, d).agg(F.count("*").alias("n"), F.sum(part).cast("string").alias("digest"))
 
 
 LABEL_LINES = rd.label_block(v.LANGS)
@@ -293,13 +293,15 @@ def map_lookup_default(spark, d):
     return v.documents(spark, d).select("doc_id", tx.lookup("lang", HINTS, "otro idioma").alias("hint"))
 
 
-@query("sft_examples", rf"""WITH b AS (SELECT doc_id, lang, {v.s_blank_tokens("text")} AS t FROM documents)
-  SELECT doc_id, concat('system|', replace({v.s_quote(rd.CHAT_SYSTEM)}, '{{labels}}', {v.s_quote(LABEL_LINES)}), '||user|', array_to_string(t[1:64], ' '), '||assistant|', lang) AS chat,
-  cast(length(replace({v.s_quote(rd.CHAT_SYSTEM)}, '{{labels}}', {v.s_quote(LABEL_LINES)})) + length(array_to_string(t[1:64], ' ')) AS BIGINT) AS prompt_len, lang AS answer FROM b""")
+SFT_SYSTEM = v.s_quote(rd.CHAT_SYSTEM).replace("{labels}", LABEL_LINES)
+SFT_ROOM = rd.text_budget(v.LANGS)
+
+
+@query("sft_examples", rf"""WITH b AS (SELECT doc_id, lang, array_to_string(({v.s_blank_tokens("text")})[1:{SFT_ROOM}], ' ') AS body FROM documents)
+  SELECT doc_id, concat('system|', {SFT_SYSTEM}, '||user|', body, '||assistant|', lang) AS chat,
+  cast(length({SFT_SYSTEM}) + length(body) AS BIGINT) AS prompt_len, lang AS answer FROM b""")
 def sft_examples(spark, d):
-    """Chat examples; the text keeps a blank-token budget so the answer always fits, the prompt part is masked."""
-    rows = v.texts(spark, d).select("doc_id", "lang", F.array_join(F.slice(tx.tokens("text"), 1, 64), " ").alias("body"))
-    chat = rd.chat("body", v.LANGS, "lang")
-    shown = F.array_join(F.transform(chat, lambda t: F.concat(t["role"], F.lit("|"), t["content"])), "||")
-    prompt = F.aggregate(F.slice(chat, 1, 2), F.lit(0), lambda a, t: a + F.length(t["content"]))
-    return rows.select("doc_id", shown.alias("chat"), prompt.cast("bigint").alias("prompt_len"), F.col("lang").alias("answer"))
+    """Chat examples within the default token budget; the prompt part is masked."""
+    rows = v.texts(spark, d).select("doc_id", "lang", rd.sft_example("text", v.LANGS, "lang").alias("e"))
+    shown = F.array_join(F.transform("e.chat", lambda t: F.concat(t["role"], F.lit("|"), t["content"])), "||")
+    return rows.select("doc_id", shown.alias("chat"), "e.prompt_len", F.col("lang").alias("answer"))

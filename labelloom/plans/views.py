@@ -28,10 +28,14 @@ def texts(spark, d) -> DataFrame:
     return spread(documents(spark, d), "doc_id")
 
 
-def emails(spark, d, heavy: bool = False) -> DataFrame:
-    doc, lab = texts(spark, d) if heavy else documents(spark, d), table(spark, d, "labels").select("doc_id", "toxic")
+def emails(spark, d, heavy: bool = False, spam: bool = False) -> DataFrame:
+    """Mails; ``labels`` is read and joined only for the ``is_spam`` column."""
+    doc = texts(spark, d) if heavy else documents(spark, d)
+    if spam:
+        doc = doc.join(table(spark, d, "labels").select("doc_id", "toxic"), "doc_id", "left")
     multi = draw("doc_id", "multi") % 5 == 0
-    return doc.join(lab, "doc_id", "left").select(
+    flag = [(F.coalesce("toxic", F.lit(0)) == 1).alias("is_spam")] if spam else []
+    return doc.select(
         F.col("doc_id").alias("email_id"),
         F.substring("text", 1, 40).alias("subject"),
         F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("BODY: "), "text")).otherwise(F.col("text")).alias("email_corpus"),
@@ -39,7 +43,7 @@ def emails(spark, d, heavy: bool = False) -> DataFrame:
         F.when(multi, F.col("source")).alias("secondary_label"),
         multi.alias("is_multi_intent"),
         (draw("doc_id", "amb") % 100 < 15).alias("is_ambiguous"),
-        (F.coalesce("toxic", F.lit(0)) == 1).alias("is_spam"),
+        *flag,
         F.col("lang").alias("language"),
         (draw("doc_id", "tone") % 8).alias("tone"),
         (draw("doc_id", "noise") % 4).alias("noise_level"),
@@ -142,11 +146,11 @@ def drafts(spark, d) -> DataFrame:
 # SQL text of the same views.
 
 def h(key: str, purpose: str) -> str:
-    return f"('0x' || substr(md5(concat({key}, '|{purpose}')), 1, 8))::BIGINT"
+    return f"('0x' || substr(md5(concat({key}, '|{purpose}')), 1, 15))::BIGINT"
 
 
 def u(key: str, purpose: str) -> str:
-    return f"({h(key, purpose)} / 4294967296::DOUBLE)"
+    return f"({h(key, purpose)} / {float(1 << 60)!r}::DOUBLE)"
 
 
 def micros(ts: str) -> str:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Transformer
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from labelloom.session import scratch_path
 from labelloom.sources.sinks import merge_results
-from labelloom.streaming.series import run_available
 
 
 def stream_dedup(stream: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
@@ -16,46 +15,54 @@ def stream_dedup(stream: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
-def stream_score(stream: DataFrame, model: Transformer, path: str, columns: list[str], checkpoint: str | None = None):
-    """Apply a fitted bundle to a stream; the checkpoint makes a restart resume without repeats."""
-    return run_available(model.transform(stream).select(*columns), path, checkpoint)
+def newest(spark, path: str, schema) -> DataFrame:
+    """Rows of the newest version stored below ``path``; none when nothing has been stored."""
+    try:
+        every = spark.read.schema(StructType([*schema.fields, StructField("version", LongType())])).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+    last = every.agg(F.max("version")).first()[0]
+    return every.where(F.col("version") == F.lit(last)).drop("version")
 
 
 def stream_confusion(stream: DataFrame, path: str, true: str = "true_label", pred: str = "pred_label") -> DataFrame:
-    """Running (true, pred) counts; every micro-batch replaces the small result table."""
+    """Running (true, pred) counts; every micro-batch stores the small result table as a version of its own.
+
+    The checkpoint beside ``path`` and the stored versions are all the state there is, so a restart goes on.
+    """
     counts = stream.groupBy(true, pred).agg(F.count("*").alias("n"))
-    versions = []
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        target = f"{path}/version={batch_id}"
-        batch.write.mode("overwrite").parquet(target)
-        versions.append(target)
+        batch.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
 
     query = (
         counts.writeStream.outputMode("complete").foreachBatch(publish)
-        .option("checkpointLocation", scratch_path(stream.sparkSession, "stream-checkpoint"))
-        .trigger(availableNow=True).start()
+        .option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return stream.sparkSession.read.parquet(versions[-1])
+    return newest(stream.sparkSession, path, counts.schema)
 
 
 def foreach_merge(stream: DataFrame, start: DataFrame, keys: list[str], path: str) -> DataFrame:
-    """Merge each micro-batch of result rows into the table; a version folder per batch keeps it idempotent."""
-    spark = stream.sparkSession
-    start.write.mode("overwrite").parquet(f"{path}/start")
-    versions = [f"{path}/start"]
+    """Merge each micro-batch of result rows into the table; a version folder per batch keeps it idempotent.
+
+    The start table is stored once, as the version before the first batch. A batch merges into the newest version
+    before its own, read from storage, so a restarted or repeated batch gives the same table.
+    """
+    spark, schema = stream.sparkSession, start.schema
+    if newest(spark, path, schema).isEmpty():
+        start.write.mode("overwrite").parquet(f"{path}/version=-1")
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        target = f"{path}/batch-{batch_id}"
-        if target not in versions:
-            merge_results(spark.read.parquet(versions[-1]), batch, keys).write.mode("overwrite").parquet(target)
-            versions.append(target)
+        every = spark.read.schema(StructType([*schema.fields, StructField("version", LongType())])).parquet(path)
+        before = every.where(F.col("version") < batch_id)
+        last = before.agg(F.max("version")).first()[0]
+        old = spark.read.schema(schema).parquet(f"{path}/version={-1 if last is None else last}")
+        merge_results(old, batch, keys).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
 
     query = (
-        stream.writeStream.foreachBatch(merge)
-        .option("checkpointLocation", scratch_path(spark, "stream-checkpoint"))
+        stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}-checkpoint")
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.parquet(versions[-1])
+    return newest(spark, path, schema)

@@ -48,6 +48,23 @@ def stream_windows(stream: DataFrame, series: str, ts: str, value: str, step: st
     )
 
 
+def with_open(closed: DataFrame, rows: DataFrame, ts: str, start: str, step: str, make) -> DataFrame:
+    """Closed windows of a stream plus those it still held open when it ended, made from ``rows``, the same events in batch.
+
+    Windows close in the order of their starts, so everything after the last closed start is open.
+    """
+    last = closed.agg(F.max(start).alias("last")).first()["last"]
+    left = rows if last is None else rows.where(F.col(ts) >= F.lit(last) + F.expr(f"INTERVAL {step}"))
+    return closed.unionByName(make(left))
+
+
+def with_open_sessions(closed: DataFrame, rows: DataFrame, series: str, ts: str, make) -> DataFrame:
+    """Ended sessions plus, per series, those after the last ended one."""
+    last = closed.groupBy(series).agg(F.max("last_ts").alias("__last"))
+    left = rows.join(last, series, "left").where(F.col("__last").isNull() | (F.col(ts) > F.col("__last"))).drop("__last")
+    return closed.unionByName(make(left))
+
+
 def stream_sessions(stream: DataFrame, series: str, ts: str, gap: str, lateness: str) -> DataFrame:
     """Runs of a series without a pause longer than ``gap``: span, count, mean CPU, peak RAM."""
     return (

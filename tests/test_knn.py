@@ -34,7 +34,7 @@ def brute(rows, k, exclude):
 
 @pytest.mark.parametrize("exclude", [None, "id", "group"])
 @pytest.mark.parametrize("options", [
-    {}, {"block_rows": 40, "query_rows": 50}, {"n_pivots": 12, "block_rows": 30, "query_rows": 30}, {"n_pivots": 40},
+    {}, {"small_bytes": 0}, {"small_bytes": 0, "block_rows": 40, "query_rows": 50}, {"n_pivots": 12, "block_rows": 30, "query_rows": 30}, {"n_pivots": 40},
 ])
 def test_equals_brute_force(vectors, exclude, options):
     df, rows = vectors
@@ -43,6 +43,17 @@ def test_equals_brute_force(vectors, exclude, options):
     assert {(r.query_id, r.rank, r.base_id) for r in got.collect()} == brute(rows, 5, exclude)
 
 
+@pytest.mark.parametrize("small_bytes", [0, 1 << 20])
+def test_few_queries_and_null_vectors(spark, vectors, small_bytes):
+    df, rows = vectors
+    few = df.where("vec_id < 7").select("vec_id", "embedding")
+    none = spark.createDataFrame([(999, None)], "vec_id long, embedding array<float>")
+    store = df.unionByName(none, allowMissingColumns=True)
+    got = nn.knn(few.unionByName(none), store, 5, payload="label", small_bytes=small_bytes)
+    want = {x for x in brute(rows, 5, None) if x[0] < 7}
+    assert {(r.query_id, r.rank, r.base_id) for r in got.collect()} == want
+
+
 def test_k_larger_than_base(vectors):
     df, rows = vectors
     got = nn.knn(df.where("vec_id < 4"), df.where("vec_id < 4"), 10, exclude="id")
