@@ -218,10 +218,17 @@ def encode(df: DataFrame, key: str, text: str, factory: Callable[[], Encoder] =
 
 
 def encode_cached(df: DataFrame, key: str, text: str, cache_path: str,
-                  factory: Callable[[], Encoder] = HashedEncoder) -> DataFrame:
-    """Encode each distinct text once and keep it in a parquet cache keyed by the text digest."""
+                  factory: Callable[[], Encoder] = HashedEncoder, encoder: str | None = None) -> DataFrame:
+    """Encode each distinct text once and keep it in a parquet cache keyed by encoder and text.
+
+    ``encoder`` names the encoder; by default its type and width do. An entry that was appended twice, as by a
+    repeated run, counts once.
+    """
     spark = df.sparkSession
-    rows = df.select(key, F.sha2(F.col(text), 256).alias("digest"), text)
+    if encoder is None:
+        made = factory()
+        encoder = f"{type(made).__module__}.{type(made).__qualname__}:{getattr(made, 'dim', '')}"
+    rows = df.select(key, F.sha2(F.concat(F.lit(f"{encoder}|"), F.col(text)), 256).alias("digest"), text)
     texts = rows.groupBy("digest").agg(F.first(text).alias(text))
     empty = spark.createDataFrame([], "digest string, embedding array<float>")
     empty.write.mode("append").parquet(cache_path)
@@ -229,5 +236,5 @@ def encode_cached(df: DataFrame, key: str, text: str, cache_path: str,
     missing = texts.join(cache.select("digest"), "digest", "left_anti")
     tasks = max(shuffle_width(spark), spark.sparkContext.defaultParallelism)
     encode(missing, "digest", text, factory, tasks=tasks).write.mode("append").parquet(cache_path)
-    cache = spark.read.schema(empty.schema).parquet(cache_path)
+    cache = spark.read.schema(empty.schema).parquet(cache_path).dropDuplicates(["digest"])
     return rows.select(key, "digest").join(cache, "digest").select(key, "embedding")

@@ -309,12 +309,12 @@ def histogram(df: DataFrame, value: str, group: str, bins: int = 40) -> DataFram
     """Density per bin between the smallest and largest value of each group; null values are left out."""
     df = df.where(F.col(value).isNotNull())
     bounds = df.groupBy(group).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count("*").alias("total"))
-    counts = df.groupBy(group, value).agg(F.count("*").alias("c"))
+    counts = df.groupBy(group, value).agg(F.count("*").alias("__c"))
     rows = counts.join(checked_broadcast(bounds), group)
     width = (F.col("hi") - F.col("lo")) / bins
     at = F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("lo")) / width).cast("int"))
     rows = rows.withColumn("width", width).withColumn("bin", F.when(width > 0, at).otherwise(0))
-    return rows.groupBy(group, "bin", "lo", "width", "total").agg(F.sum("c").alias("n")).select(
+    return rows.groupBy(group, "bin", "lo", "width", "total").agg(F.sum("__c").alias("n")).select(
         group, "bin", (F.col("lo") + F.col("bin") * F.col("width")).alias("left"), "n",
         F.when(F.col("width") > 0, F.col("n") / (F.col("total") * F.col("width"))).alias("density"),
     )

@@ -24,10 +24,16 @@ BUCKET = "__bucket"
 def order_buckets(df: DataFrame, order_col: str, n_buckets: int | None = None) -> DataFrame:
     """Add a bucket number that grows with ``order_col`` and holds about 1/n of the rows.
 
-    Borders are quantiles of the data, so a dense stretch gets more buckets.
-    ``order_col`` must be numeric.
+    Borders are quantiles of the data, so a dense stretch gets more buckets. Those of
+    text come from a bounded sample of its distinct values.
     """
     n = n_buckets or shuffle_width(df.sparkSession)
+    if dict(df.dtypes)[order_col] == "string":
+        distinct = df.select(F.col(order_col).alias("x")).where("x is not null").distinct()
+        sample = sorted(r["x"] for r in distinct.orderBy(F.xxhash64("x")).limit(32 * n).collect())
+        borders = sorted({sample[len(sample) * i // n] for i in range(1, n)}) if sample else []
+        passed = F.size(F.filter(F.array(*[F.lit(b) for b in borders]), lambda b: b <= F.col(order_col))) if borders else F.lit(0)
+        return df.withColumn(BUCKET, F.coalesce(passed, F.lit(0)).cast("double"))
     probs = [i / n for i in range(1, n)]
     edges = df.stat.approxQuantile(order_col, probs, 1.0 / (4 * n)) if n > 1 else []
     edges = sorted(set(edges or []))

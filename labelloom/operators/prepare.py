@@ -113,7 +113,7 @@ def index_labels(df: DataFrame, labels: list, label: str, positive=None, out: st
     if positive is not None and len(ordered) == 2:
         ordered = sorted(ordered, key=lambda l: l == positive)
     table = F.create_map(*[F.lit(x) for i, l in enumerate(ordered) for x in (l, i)])
-    return df.withColumn(out, F.element_at(table, F.col(label)))
+    return df.withColumn(out, F.try_element_at(table, F.col(label)))
 
 
 def binarize(df: DataFrame, key: str, true_label: str, labels: list) -> DataFrame:

@@ -17,6 +17,7 @@ from labelloom.functions.render import ZERO_SHOT, render
 from labelloom.session import materialize
 
 Scorer = Callable[[str], str]
+SHORTEN_ON = ("context", "time.?out", "timed out")  # errors of a client that call for a shorter text
 
 
 def ask(df: DataFrame, prompt: str, factory: Callable[[], Scorer], out: str = "raw_response") -> DataFrame:
@@ -53,14 +54,16 @@ def classify_answers(
     template: str = ZERO_SHOT,
     descriptions=None,
     examples: str = "",
-    levels=(0, 1, 2),
+    passes: int = 3,
+    shorten_on=SHORTEN_ON,
 ) -> DataFrame:
-    """Prompt, score and parse every row; unanswered rows retry with shorter text.
+    """Prompt, score and parse every row; rows without a usable answer are asked again.
 
-    ``levels`` lists the text variant of each pass (0 = whole body). A pass runs
-    only on the rows the one before could not answer, so there are at most
-    ``len(levels)`` passes over a shrinking table. Empty texts are not asked:
-    they get the fallback label and uniform scores.
+    A call that fails because the prompt is too long or takes too long is repeated with a shorter text, one
+    step shorter each time and always zero-shot. Unreadable answers and other errors repeat the same prompt. A pass
+    runs only on the rows the one before could not answer, so there are at most ``passes`` over a
+    shrinking table. Empty texts are not asked: they get the fallback label and uniform scores.
+    ``few_shot_block`` of training rows gives ``examples`` for a few-shot ``template``.
     """
     labels = list(labels)
     uniform = F.map_from_entries(F.array(*[
@@ -74,20 +77,26 @@ def classify_answers(
         "class_scores": uniform, "attempts": F.lit(0),
     }
     done = [blank.withColumns({**flat, "parse_error": F.lit(False)})]
-    todo = rows.where(F.col("body") != "")
+    todo = rows.where(F.col("body") != "").withColumn("__level", F.lit(0))
+    too_long = F.lower("error").rlike("|".join(shorten_on))
     final = ["raw_response", "predicted_label", "confidence", "class_scores", "attempts", "parse_error"]
-    for attempt, level in enumerate(levels, start=1):
-        body = tx.shrink("body", level) if level else F.col("body")
-        asked = todo.withColumn("prompt", render(body, labels, template, descriptions, examples))
+    for attempt in range(1, passes + 1):
+        prompt = F.when(F.col("__level") == 0, render("body", labels, template, descriptions, examples))
+        for level in (1, 2, 3):
+            prompt = prompt.when(F.col("__level") == level, render(tx.shrink("body", level), labels, ZERO_SHOT, descriptions))
+        asked = todo.withColumn("prompt", prompt)
         parsed = parse_answer(ask(asked, "prompt", factory), "raw_response", labels, aliases, fallback)
+        parsed = parsed.withColumn("needs_retry", F.col("needs_retry") | F.col("error").isNotNull())
+        shorter = F.least(F.lit(3), F.col("__level") + F.coalesce(too_long, F.lit(False)).cast("int"))
+        parsed = parsed.withColumn("__level", shorter)
         parsed = materialize(parsed.withColumn("attempts", F.lit(attempt)).drop("prompt", "json_state"), "answers")
         done.append(parsed.where(~F.col("needs_retry")).select(*kept, *final))
-        todo = parsed.where("needs_retry").select(*kept, F.coalesce("raw_response", F.lit("")).alias("__last"))
-        if attempt < len(levels):
+        todo = parsed.where("needs_retry").select(*kept, "__level", F.coalesce("raw_response", F.lit("")).alias("__last"))
+        if attempt < passes:
             todo = todo.drop("__last")
             if todo.isEmpty():
                 return reduce(DataFrame.unionByName, [d.select(*kept, *final) for d in done])
-    left = todo.withColumns({**flat, "raw_response": F.col("__last"), "attempts": F.lit(len(levels)),
+    left = todo.withColumns({**flat, "raw_response": F.col("__last"), "attempts": F.lit(passes),
                              "parse_error": F.lit(True)})
     return reduce(DataFrame.unionByName, [d.select(*kept, *final) for d in [*done, left]])
 

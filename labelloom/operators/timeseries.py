@@ -130,7 +130,9 @@ def smooth(df: DataFrame, series: str, t: str, tie: str, value: str, window: int
     )
     share = F.when(n < window, F.lit(1.0)).otherwise(weight / F.lit(float(window)))
     return sent.groupBy(series, F.col("at").alias("pos")).agg(
-        F.max(F.when(i == p, F.col(t))).alias(t), F.sum(F.col(value) * share).alias("smoothed")
+        F.max(F.when(i == p, F.col(t))).alias(t),
+        # A missing sample leaves no number for the positions it takes part in.
+        F.when(F.count(value) == F.count("*"), F.sum(F.col(value) * share)).alias("smoothed")
     )
 
 

@@ -20,13 +20,12 @@ LIMIT = 600  # characters the small test client accepts
 def digest_scorer(labels: list[str], limit: int | None = None):
     """Client factory for checks: the answer depends on the prompt's md5 only.
 
-    With ``limit`` a longer prompt gets an empty answer, as from a client whose
-    context is exceeded.
+    With ``limit`` a longer prompt fails, as at a client whose context is exceeded.
     """
     def build():
         def answer(prompt: str) -> str:
             if limit is not None and len(prompt) > limit:
-                return ""
+                raise ValueError("context length exceeded")
             n = int(hashlib.md5(prompt.encode()).hexdigest()[:8], 16)
             return json.dumps({"predicted_label": labels[n % len(labels)], "confidence": (n % 100) / 100})
 
@@ -55,7 +54,7 @@ PICK = "list_extract(['de', 'en', 'es', 'fr'], n % 4 + 1)"
   SELECT doc_id, true_label, CASE WHEN body = '' THEN 'en' ELSE {PICK} END AS predicted_label, CASE WHEN body = '' THEN 0 ELSE round((n % 100) / 100, 6) END AS confidence,
   FALSE AS parse_error, CASE WHEN body = '' THEN 0 ELSE 1 END AS attempts FROM a""")
 def answer_scoring(spark, d):
-    out = sc.classify_answers(mails(spark, d), "doc_id", "text", digest_scorer(v.LANGS), v.LANGS, {}, "en", ZERO_SHOT, levels=(0,))
+    out = sc.classify_answers(mails(spark, d), "doc_id", "text", digest_scorer(v.LANGS), v.LANGS, {}, "en", ZERO_SHOT, passes=1)
     return out.select("doc_id", "true_label", "predicted_label", F.round("confidence", 6).alias("confidence"), "parse_error", "attempts")
 
 
@@ -94,7 +93,7 @@ def scored_through_cache(spark, d):
     cache = rows.join(seen, "doc_id", "left_semi").select("key", F.lit("cached").alias("predicted_label"))
 
     def score(misses):
-        return sc.classify_answers(misses.drop("body"), "doc_id", "text", digest_scorer(v.LANGS), v.LANGS, {}, "en", levels=(0,))
+        return sc.classify_answers(misses.drop("body"), "doc_id", "text", digest_scorer(v.LANGS), v.LANGS, {}, "en", passes=1)
 
     out = sc.with_cache(rows.drop("body"), cache, "key", score)
     return out.select("key", "doc_id", "predicted_label")
