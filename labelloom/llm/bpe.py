@@ -13,9 +13,11 @@ encoded one by one; ids beyond the vocabulary raise.
 from __future__ import annotations
 
 import base64
+import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from labelloom.llm.batches import batch_of
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-LEAF, CACHED, CHUNK = 24, 600_000, 1 << 20
+LEAF, CACHED, CHUNK = 24, 1_200_000, 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -43,23 +45,24 @@ class BytePairs:
                                      .replace(r"\S", r"\P{White_Space}")).findall
         self.leaf, self.cached = leaf, cached
         self.known: dict[str, bytes] = {}
+        self.table = None
 
     def merge(self, piece: bytes) -> list[int]:
         """Merge the neighbours of lowest rank until none can be merged."""
-        ranks = self.ranks
+        ranks, get = self.ranks, self.ranks.get
         parts = [piece[i:i + 1] for i in range(len(piece))]
-        pairs = [ranks.get(a + b, _NONE) for a, b in zip(parts, parts[1:])]
+        pairs = [get(piece[i:i + 2], _NONE) for i in range(len(piece) - 1)]
         while pairs:
             low = min(pairs)
             if low == _NONE:
                 break
             i = pairs.index(low)
-            parts[i:i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
+            joined = parts[i] = parts[i] + parts[i + 1]
+            del parts[i + 1], pairs[i]
             if i < len(pairs):
-                pairs[i] = ranks.get(parts[i] + parts[i + 1], _NONE)
+                pairs[i] = get(joined + parts[i + 1], _NONE)
             if i:
-                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], _NONE)
+                pairs[i - 1] = get(parts[i - 1] + joined, _NONE)
         return [ranks[p] for p in parts]
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -86,30 +89,52 @@ class BytePairs:
             a, b = a + (a if grow_a else 0), b + (b if grow_b else 0)
 
     def decode(self, ids) -> bytes:
-        """Bytes of ids, halves concatenated up the tree."""
-        if len(ids) <= 1024:
+        """Bytes of ids, halves concatenated up the tree; a leaf's tokens are gathered from one table."""
+        n = len(ids)
+        if n <= 8:
             return b"".join(map(self.bytes_of.__getitem__, ids))
-        half = len(ids) // 2
-        return self.decode(ids[:half]) + self.decode(ids[half:])
+        if n > 1 << 15:
+            return self.decode(ids[:n // 2]) + self.decode(ids[n // 2:])
+        if self.table is None:
+            size = max(self.bytes_of) + 1
+            self.size_of = np.array([len(self.bytes_of.get(i, b"")) for i in range(size)])
+            self.start_of = np.cumsum(self.size_of) - self.size_of
+            self.table = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(size)), np.uint8)
+        ids = np.asarray(ids)
+        if ids.min() < 0 or ids.max() >= len(self.size_of) or not self.size_of[ids].all():
+            raise ValueError("an id beyond the vocabulary")
+        size = self.size_of[ids]
+        end = np.cumsum(size)
+        return self.table[np.repeat(self.start_of[ids] - (end - size), size) + np.arange(end[-1])].tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as 32-bit integers in native order."""
         found = self.matches(text)
         known = self.known
-        try:
-            return b"".join(map(known.__getitem__, found))
-        except KeyError:
-            pass
-        new = {m: np.array(self.encode_piece(m.encode()), np.int32).tobytes() for m in set(found).difference(known)}
-        if len(known) + len(new) <= self.cached:
-            known.update(new)
-            return b"".join(map(known.__getitem__, found))
-        return b"".join([known[m] if m in known else new[m] for m in found])
+        ids = list(map(known.get, found))
+        left = ids.count(None)
+        at, passing = -1, {}
+        for _ in range(left):
+            at = ids.index(None, at + 1)
+            m = found[at]
+            new = known.get(m) or passing.get(m)
+            if new is None:
+                new = _pack(self.encode_piece(m.encode()))
+                if len(known) < self.cached:
+                    known[m] = new
+                else:
+                    passing[m] = new
+            ids[at] = new
+        return b"".join(ids)
 
 
 _NONE = 1 << 62
 
 
+def _pack(ids: list[int]) -> bytes:
+    return struct.pack(f"={len(ids)}i", *ids)
+
+
 def _lists(parts: list[bytes]) -> pa.Array:
     ends = np.cumsum([0, *[len(p) // 4 for p in parts]]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), np.int32)))
@@ -147,7 +172,10 @@ def decode(rows: DataFrame, id_col="doc_id", ids_col="ids", path: str = RANKS) -
             step = 256
             for i in range(0, batch.num_rows, step):
                 some = ids.slice(i, step)
-                out = [coder.decode(x or []) for x in some.to_pylist()]
+                filled = pc.fill_null(pc.list_value_length(some), 0).to_numpy(zero_copy_only=False)
+                stops = np.cumsum(filled)
+                flat = some.flatten().to_numpy(zero_copy_only=False)
+                out = [coder.decode(flat[a - n:a]) for a, n in zip(stops.tolist(), filled.tolist())]
                 yield batch_of(**{id_col: batch.column(0).slice(i, step), "ids": some, "decoded": pa.array(out, pa.binary())})
 
     return rows.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {id_type}, ids array<int>, decoded binary")
