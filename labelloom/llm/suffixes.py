@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -35,6 +36,7 @@ from labelloom.session import materialize, shuffle_width
 
 LENGTH = 200
 GRAM, BLOCK = 64, 69  # anchors are grams; at most BLOCK string starts share a block
+NARROW, HOT_CORE = 8, 1000  # a core with more rows is cut into blocks of NARROW starts
 CORE = LENGTH - BLOCK + 1
 SEGMENT = 1 << 18
 SAMPLE = 2000  # documents whose leading tokens give the splitters
@@ -231,31 +233,34 @@ def _classes(group: np.ndarray, bytes_: np.ndarray):
     return order, np.concatenate([[-1], lcp])
 
 
-def compare_strings(core, strings, reach, weight):
-    """Flags (row, j): whether the string j bytes before the core occurs in another row or the row counts twice."""
-    n = len(strings)
+def compare_strings(core, strings, reach, weight, block: int = BLOCK):
+    """Flags (row, j): whether the string j bytes before the core occurs in another row or the row counts twice.
+
+    Rows hold at most ``block`` strings each, whose common core starts ``reach`` bytes into the row.
+    """
+    n, size = len(strings), LENGTH - block + 1
     length = np.array([len(s) for s in strings])
-    before, after = np.zeros((n, BLOCK - 1), np.uint8), np.zeros((n, BLOCK - 1), np.uint8)
-    middle = np.zeros((n, CORE), np.uint8)
+    before, after = np.zeros((n, block - 1), np.uint8), np.zeros((n, block - 1), np.uint8)
+    middle = np.zeros((n, size), np.uint8)
     for i, s in enumerate(strings):
-        b, a = s[:reach[i]], s[reach[i] + CORE:]
+        b, a = s[:reach[i]], s[reach[i] + size:]
         before[i, :len(b)] = np.frombuffer(b, np.uint8)[::-1]
         after[i, :len(a)] = np.frombuffer(a, np.uint8)
-        middle[i] = np.frombuffer(s[reach[i]:reach[i] + CORE], np.uint8)
+        middle[i] = np.frombuffer(s[reach[i]:reach[i] + size], np.uint8)
     # Rows of one group have the same bytes in the core, not only the same hash.
     order, lcp = _classes(core, middle)
     group = np.empty(n, np.int64)
-    group[order] = np.cumsum(lcp < CORE)
+    group[order] = np.cumsum(lcp < size)
     lo, l_lcp = _classes(group, before)
     ro, r_lcp = _classes(group, after)
-    least, most = BLOCK - 1 - (length - reach - CORE), reach
-    flags = np.zeros((n, BLOCK), bool)
-    for j in range(BLOCK):
+    least, most = block - 1 - (length - reach - size), reach
+    flags = np.zeros((n, block), bool)
+    for j in range(block):
         at = np.flatnonzero((least <= j) & (j <= most))
         if not len(at):
             continue
         left, right = np.empty(n, np.int64), np.empty(n, np.int64)
-        left[lo], right[ro] = np.cumsum(l_lcp < j), np.cumsum(r_lcp < BLOCK - 1 - j)
+        left[lo], right[ro] = np.cumsum(l_lcp < j), np.cumsum(r_lcp < block - 1 - j)
         key = left[at] * (n + 1) + right[at]
         by = np.argsort(key, kind="quicksort")
         new = np.ones(len(by), bool)
@@ -265,15 +270,50 @@ def compare_strings(core, strings, reach, weight):
     return flags
 
 
+def _narrower(strings: DataFrame) -> DataFrame:
+    """Rows cut into rows of at most NARROW starts, whose longer cores tell near copies apart."""
+    size = LENGTH - NARROW + 1
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for string, reach, id_, place, kind in zip(*[batch.column(c).to_pylist() for c in (
+                    "string", "reach", "id", "place", "kind")]):
+                first, count, tag = place >> 32, (place >> 23) & 0x1FF, place & ((1 << 23) - 1)
+                # Starts lie reach, reach - 1, ... bytes before the core.
+                for part in range((reach - count + 1) // NARROW, reach // NARROW + 1):
+                    far = min(reach, part * NARROW + NARROW - 1)
+                    near = max(reach - count + 1, part * NARROW)
+                    some = string[reach - far:reach - near + LENGTH]
+                    own = far - part * NARROW
+                    core = xxhash.xxh64_intdigest(some[own:own + size], part) - (1 << 63)
+                    out.append((core, some, own, id_, ((first + reach - far) << 32) | ((far - near + 1) << 23) | tag, kind))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), batch.schema)], schema=batch.schema)
+
+    return strings.mapInArrow(run, strings.schema)
+
+
 def _open_strings(strings: DataFrame, width: int) -> DataFrame:
-    """Places (first start, count, tag) of the strings of kind 2 blocks that occur elsewhere."""
+    """Places (first start, count, tag) of the strings of kind 2 blocks that occur elsewhere.
+
+    Cores with very many rows, as of a passage in a large share of the documents, are cut into narrower blocks first.
+    """
+    hot = materialize(strings.groupBy("core").count().where(F.col("count") > HOT_CORE).select("core"), "hot")
+    if hot.isEmpty():
+        return _judged(strings, width, BLOCK)
+    cold = _judged(strings.join(hot, "core", "left_anti"), width, BLOCK)
+    return cold.unionByName(_judged(_narrower(strings.join(hot, "core", "left_semi")), width, NARROW))
+
+
+def _judged(strings: DataFrame, width: int, block: int) -> DataFrame:
     dealt = strings.repartition(width, "core").sortWithinPartitions("core")
 
     def judge(t):
         place, kind = t["place"].to_numpy(), t["kind"].to_numpy()
         reach = t["reach"].to_numpy().astype(np.int64)
         flags = compare_strings(t["core"].to_numpy().view(np.uint64), t["string"].to_pylist(), reach,
-                                np.where(kind == 3, 2, 1))
+                                np.where(kind == 3, 2, 1), block)
         flags[kind == 3] = False
         # Column j of row i starts j bytes before the core; runs of set columns are runs of starts.
         step = np.diff(np.pad(flags, ((0, 0), (1, 1))).astype(np.int8), axis=1)
@@ -314,7 +354,7 @@ def repeated_places(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
     compared = kinds.where("kind > 1").groupBy("id", "tag").agg(F.collect_list(F.struct("place", "kind")).alias("p"))
     compared = compared.select("id", "tag", F.col("p.place").alias("place"), F.col("p.kind").alias("kind"))
     joined = tagged.join(compared, ["id", "tag"]).select("id", "tag", "text", "place", "kind")
-    opened = _open_strings(_strings(joined), width)
+    opened = _open_strings(materialize(_strings(joined), "strings"), width)
     opened = opened.withColumn("tag", F.col("place").bitwiseAND((1 << 23) - 1))
     whole = kinds.where("kind <> 2").select("id", "place", "tag")
     return whole.unionByName(opened.select("id", "place", "tag")).groupBy("id", "tag").agg(

@@ -199,10 +199,12 @@ def test_suffixes_equal_brute_force(spark):
     check_suffixes(spark, rows, edge.table(spark, rows))
 
 
-def test_suffixes_on_small_alphabets_and_edits(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [suffixes.HOT_CORE, 3])
+def test_suffixes_on_small_alphabets_and_edits(spark, monkeypatch, hot):
     # Few distinct bytes, near copies cut and joined anywhere, long texts in parts, and buckets that split tokens.
     monkeypatch.setattr(suffixes, "SEGMENT", 2000)
     monkeypatch.setattr(suffixes, "BUCKET_ROWS", 50)
+    monkeypatch.setattr(suffixes, "HOT_CORE", hot)
     rng = random.Random(5)
     pool = ["".join(rng.choice("ab") for _ in range(900)) for _ in range(4)] + ["".join(rng.choice("abc ") for _ in range(7000))]
     rows = []
