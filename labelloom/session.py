@@ -7,8 +7,11 @@ import tempfile
 import uuid
 from pathlib import Path
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def build_session(app: str = "labelloom", master: str | None = None, **conf) -> SparkSession:
@@ -66,6 +69,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/labelloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove this application's scratch folder; frames read from it are gone afterwards."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/labelloom/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as parquet in the shared folder and read it back.
 
@@ -92,14 +102,32 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast ``df`` only after counting that it is within ``max_rows``.
-
-    Beyond the bound the frame is returned unhinted, so the join is a shuffle
-    join that AQE can split on skew.
+def _row_bytes(df: DataFrame):
+    """Expression for about the bytes of a row: fixed columns count 8, others by their length."""
+    total = F.lit(0).cast("bigint")
+    for field in df.schema.fields:
+        column, kind = F.col(f"`{field.name}`"), field.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            size = F.octet_length(column)
+        elif isinstance(kind, T.ArrayType):
+            size = F.size(column) * 8
+        elif isinstance(kind, VectorUDT):
+            size = F.size(vector_to_array(column)) * 8
+        else:
+            size = F.lit(8)
+        total = total + F.coalesce(size, F.lit(0))
+    return total
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 64 << 20) -> DataFrame:
+    """Broadcast ``df`` only after counting that it is within ``max_rows`` and about ``max_bytes``.
+
+    Beyond a bound the frame is returned unhinted, so the join is a shuffle
+    join that AQE can split on skew. The count computes the frame: pass written
+    or aggregated ones.
     """
-    within = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if within else df
+    seen = df.limit(max_rows + 1).agg(F.count("*").alias("n"), F.sum(_row_bytes(df)).alias("b")).first()
+    return F.broadcast(df) if seen["n"] <= max_rows and (seen["b"] or 0) <= max_bytes else df
 
 
 def bounded_values(df: DataFrame, column: str, max_values: int = 10_000) -> list:
