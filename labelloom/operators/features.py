@@ -29,14 +29,34 @@ from labelloom.session import checked_broadcast, scratch_path, shuffle_width
 
 # Long form: (key, term, tf).
 
+def counted(tokens: Column) -> Column:
+    """Array of (term, tf) of an array of tokens: sorted, equal neighbours counted."""
+    def runs(s):
+        n = F.size(s)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+
+        def lengths(at):
+            return F.transform(at, lambda p, j: F.struct(
+                F.get(s, p).alias("term"), (F.coalesce(F.get(at, j + 1), n) - p).cast("bigint").alias("tf")))
+
+        return _let(starts, lengths)
+
+    return F.when(F.size(tokens) > 0, _let(F.sort_array(tokens), runs))
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def term_counts(df: DataFrame, key: str, text: str = "text", tokens: Column | None = None, keep=()) -> DataFrame:
-    """Term frequency per row; a row's tokens combine in its map task before the shuffle.
+    """Term frequency per row (one per key), counted inside the row, so no token is shuffled.
 
     ``keep`` carries row columns such as the split along.
     """
     tokens = tokens if tokens is not None else word_tokens(text)
-    rows = df.select(key, *keep, F.explode(tokens).alias("term"))
-    return rows.groupBy(key, *keep, "term").agg(F.count("*").alias("tf"))
+    rows = df.select(key, *keep, tokens.alias("__tokens")).where(F.size("__tokens") > 0)
+    return rows.select(key, *keep, F.inline(counted(F.col("__tokens"))))
 
 
 def vocabulary(terms: DataFrame, n: int = domain.MAX_TERMS, min_count: int = 1) -> DataFrame:
@@ -73,7 +93,7 @@ def doc_vectors(df: DataFrame, key: str, tokens: Column, vectors: DataFrame, dim
 
     ``vectors`` is (term, vector) with a vector column.
     """
-    counts = df.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    counts = term_counts(df, key, tokens=tokens)
     rows = counts.join(checked_broadcast(vectors), "term")
     means = rows.groupBy(key).agg(
         Summarizer.mean(F.col("vector"), F.col("tf").cast("double")).alias("doc_vector")
