@@ -25,14 +25,16 @@ from labelloom.llm.batches import batch_of, chunks
 
 WINDOW, CLOSING = 2048, 1
 OPEN_MOST = 512
-CACHED_WORDS = 700_000
+CACHED_WORDS = 1_500_000
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # the apostrophe starts units of its own
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 class WordIds:
     """Token ids of texts as little-endian 32-bit bytes, remembered per blank-separated word.
 
-    The tokenizer drops white space and never looks across it, so words can be encoded on their own.
+    The tokenizer drops white space, never looks across it and folds case, so lower-cased words can be encoded on
+    their own. A word of letters is one unit of the tokenizer, which ends with its only word-end token.
     """
 
     def __init__(self, path: str, most: int = CACHED_WORDS):
@@ -43,18 +45,51 @@ class WordIds:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[bytes, bytes] = {}
         self.most = most
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def learn(self, words) -> dict[bytes, bytes]:
         """Ids of words not remembered; kept as long as there is room."""
-        words = list(words)
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        new = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, found)}
+        plain, other, joined, new, known = [], [], [], {}, self.known
+        asked = set(words)
+        for w in words:
+            t = w.decode("utf-8", "replace")
+            if t.isalpha():
+                plain.append((w, t))
+                continue
+            # Letters and a tail of signs are two units, encoded one by one; letters are mostly known already.
+            core = t.rstrip(SIGNS)
+            if not core.isalpha():
+                other.append((w, t))
+                continue
+            a, b = core.encode(), t[len(core):].encode()
+            joined.append((w, a, b))
+            for part, kind in ((a, plain), (b, other)):
+                if part not in known and part not in asked:
+                    asked.add(part)
+                    kind.append((part, part.decode()))
+        for i in range(0, len(plain), 20_000):
+            part = plain[i:i + 20_000]
+            found = self.tokenizer.encode_batch_fast([" ".join([t for _, t in part])], add_special_tokens=False)[0]
+            ids = np.array(found.ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(part):  # a letter the tokenizer's own tables don't take for one
+                other += part
+                continue
+            raw, at = ids.tobytes(), 0
+            for (w, _), stop in zip(part, (4 * stops).tolist()):
+                new[w] = raw[at:stop]
+                at = stop
+        found = self.tokenizer.encode_batch_fast([t for _, t in other], add_special_tokens=False)
+        new |= {w: np.array(e.ids, "<u4").tobytes() for (w, _), e in zip(other, found)}
+        new |= {w: (known[a] if a in known else new[a]) + (known[b] if b in known else new[b]) for w, a, b in joined}
         if len(self.known) + len(new) <= self.most:
             self.known.update(new)
         return new
 
     def of(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
+        split = [t.lower().split() for t in texts]
         fresh = set().union(*split).difference(self.known)
         look = self.known
         if fresh:
