@@ -193,10 +193,12 @@ def class_weights(spark, d):
 
 
 TRIALS, SEARCH_FOLDS = 4, 3  # fits of the registered query; md.search itself defaults to 30 trials
+LIMITS = {"gbt": {"maxIter": 10, "maxDepth": 3}, "logreg": {"maxIter": 50}}  # of the registered query's fits
+FIT_STEPS = 100  # of the registered queries with many fits; the library's default is 1,000
 
 
 def _trials_sql() -> str:
-    rows = ", ".join(f"({t}, '{family}', {s_params(params)})" for t in range(TRIALS) for family, params in [md.draw_trial(t)])
+    rows = ", ".join(f"({t}, '{family}', {s_params(params)})" for t in range(TRIALS) for family, drawn in [md.draw_trial(t)] for params in [{**drawn, **LIMITS[family]}])
     return f"(VALUES {rows}) t(trial, model, params)"
 
 
@@ -207,14 +209,15 @@ def s_params(params: dict) -> str:
 @query("hyperparam_search", f"""WITH {TOXIC}, n AS (SELECT cast(count(*) AS BIGINT) AS n FROM tsp)
   SELECT trial, model, params, {SEARCH_FOLDS} AS n_folds, n AS n_scored, TRUE AS in_range, TRUE AS best_first FROM {_trials_sql()}, n""")
 def hyperparam_search(spark, d):
-    """Random search on the binary track by mean macro F1 over folds; every trial runs with the parameters it drew.
+    """Random search on the binary track by mean macro F1 over folds.
 
-    The number of trials and folds are parameters; this query makes ``TRIALS`` x ``SEARCH_FOLDS`` fits.
+    The numbers of trials and folds and the limits of a fit are parameters; this query makes ``TRIALS`` x
+    ``SEARCH_FOLDS`` fits within ``LIMITS``.
     """
     table = toxic_table(spark, d, "bow").drop("split")
     folds = materialize(kfold(table.select("doc_id", "label"), "label", "doc_id", SEARCH_FOLDS).select("doc_id", "fold"), "folds")
     table = materialize(table.join(folds, "doc_id"), "search")
-    found = md.search(table, [0, 1], "doc_id", trials=TRIALS, parallelism=4)
+    found = md.search(table, [0, 1], "doc_id", trials=TRIALS, limits=LIMITS, parallelism=4)
     n = table.count()
     rows = [(r["trial"], r["model"], str(sorted(r["params"].items())), r["n_folds"], n, 0.0 <= r["score"] <= 1.0,
              all(r["score"] <= x["score"] for x in found[:i])) for i, r in enumerate(found)]
@@ -237,8 +240,9 @@ def _in_range(columns):
   SELECT vectorizer, model, n, TRUE AS in_range, TRUE AS finite_loss
   FROM (SELECT unnest({GRID_VECTORIZERS}) AS vectorizer), (SELECT unnest({GRID_MODELS}) AS model), t""")
 def experiment_grid(spark, d):
-    """The whole grid, four vectorisers x three models, with each model's default number of iterations: one metric row each."""
-    out = md.run_grid(split_docs(spark, d), v.LANGS, "doc_id", GRID_VECTORIZERS, GRID_MODELS, N_TERMS, parallelism=4)
+    """The whole grid, four vectorisers x three models: one metric row each."""
+    out = md.run_grid(split_docs(spark, d), v.LANGS, "doc_id", GRID_VECTORIZERS, GRID_MODELS, N_TERMS, parallelism=4,
+                      logreg={"maxIter": FIT_STEPS})
     return out.select("vectorizer", "model", "n", _in_range(METRIC_FLAGS).alias("in_range"),
                       (F.col("log_loss") < 40.0).alias("finite_loss"))
 
@@ -252,7 +256,7 @@ def cv_pipeline(spark, d):
     """Vectoriser and model refitted inside every fold: scores, AUC and log loss per fold and pooled (fold -1)."""
     docs = split_docs(spark, d).drop("split")
     folded = kfold(docs, "label", "doc_id", CV_FOLDS)
-    preds = md.cv_predictions(folded, v.LANGS, "doc_id", "tfidf", "logreg", n_terms=N_TERMS, parallelism=3)
+    preds = md.cv_predictions(folded, v.LANGS, "doc_id", "tfidf", "logreg", n_terms=N_TERMS, parallelism=3, maxIter=FIT_STEPS)
     common = docs.groupBy("label").count().agg(F.max("count") / F.sum("count")).first()[0] or 0.0
     out = md.evaluate_folds(preds, v.LANGS, "doc_id")
     return out.select("fold", "n", _in_range(METRIC_FLAGS).alias("in_range"), (F.col("accuracy") > common).alias("beats_majority"))
@@ -279,11 +283,11 @@ def refit_full(spark, d):
     Two vectorisers x one model here; the choice takes any result table of ``run_grid``.
     """
     rows = split_docs(spark, d)
-    grid = md.run_grid(rows, v.LANGS, "doc_id", ["bow", "tfidf"], ["logreg"], N_TERMS)
+    grid = md.run_grid(rows, v.LANGS, "doc_id", ["bow", "tfidf"], ["logreg"], N_TERMS, logreg={"maxIter": FIT_STEPS})
     top = grid.orderBy(F.desc("f1_macro"), "vectorizer").first()
     path = scratch_path(spark, "best")
     meta = {"vectorizer": top["vectorizer"], "model": top["model"], "f1_macro": top["f1_macro"], "n": rows.count()}
-    md.save_bundle(md.refit(rows, v.LANGS, top["vectorizer"], top["model"], N_TERMS), meta, path)
+    md.save_bundle(md.refit(rows, v.LANGS, top["vectorizer"], top["model"], N_TERMS, maxIter=FIT_STEPS), meta, path)
     model, meta = md.load_bundle(spark, path)
     out = md.score(rows, model, v.LANGS, "doc_id", extra=["label"])
     return out.select("doc_id", "label", F.col("pred_label").isin(v.LANGS).alias("known"), F.lit(meta["n"]).cast("bigint").alias("n"))
@@ -309,7 +313,7 @@ def batch_score(spark, d):
     """A stored bundle applied to mail bodies without refitting: it must answer like the model it was saved from."""
     path = scratch_path(spark, "bundle")
     docs = v.texts(spark, d).select("doc_id", "text", F.col("lang").alias("label"))
-    fitted = md.refit(docs, v.LANGS, "bow", "logreg", N_TERMS)
+    fitted = md.refit(docs, v.LANGS, "bow", "logreg", N_TERMS, maxIter=FIT_STEPS)
     md.save_bundle(fitted, {"labels": v.LANGS}, path)
     loaded, meta = md.load_bundle(spark, path)
     mails = v.emails(spark, d, heavy=True).select("email_id", "class_label", tx.strip_prefix("email_corpus").alias("text"))

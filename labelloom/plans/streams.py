@@ -90,7 +90,7 @@ def stream_score(spark, d):
     """A stored bundle applied to the document stream answers like the same bundle in batch."""
     docs = v.texts(spark, d).select("doc_id", "text", F.col("lang").alias("label"))
     bundle = scratch_path(spark, "bundle")
-    md.save_bundle(md.refit(docs, v.LANGS, "bow", "logreg"), {"labels": v.LANGS}, bundle)
+    md.save_bundle(md.refit(docs, v.LANGS, "bow", "logreg", maxIter=100), {"labels": v.LANGS}, bundle)
     model, meta = md.load_bundle(spark, bundle)
     path = scratch_path(spark, "scored")
     incoming = stream_of(spark, d, "documents").select("doc_id", "text", F.col("lang").alias("label"))
