@@ -4,7 +4,9 @@ Words are counted over all training documents. The most frequent ones, a fixed n
 network's vocabulary, in classes of about equal training counts; every other word is the unknown word, and its own probability given
 that is its add-one share of the unknown words' training counts. So the model is a distribution over all
 texts, and counts behind it cover the whole training part. The network itself is fitted by truncated
-backpropagation on a bounded sample of training documents. Scoring carries the state across
+backpropagation on all training documents: after a start on a small sample, every epoch deals the documents to
+tasks of about ``TASK_TOKENS`` tokens, each task trains on all of its own from the shared weights, and the weights are
+averaged in two steps, each task counting by its tokens. Scoring carries the state across
 windows, so the log-likelihood is that of the complete document; documents share the lanes of a batch.
 
 Counts of frequent words travel to every task as one table of fixed size; rarer words of each document meet their counts
@@ -17,6 +19,7 @@ held out and never learned from. Without training documents every word is unknow
 
 from __future__ import annotations
 
+import copy
 import math
 import zlib
 from collections import Counter
@@ -32,8 +35,10 @@ from labelloom.session import materialize
 HOLD, HELD = 7, 2
 VOCABULARY, CLASSES, HIDDEN = 1500, 40, 16
 FREQUENT = 60_000  # words whose counts every task holds
-TRAIN_ROWS, TRAIN_TOKENS = 400, 250_000  # bound of the fitted sample
+TRAIN_ROWS, TRAIN_TOKENS = 400, 250_000  # bound of the sample that sets the first weights
+TASK_TOKENS = 1 << 21  # training tokens of a task of an epoch, which its memory follows
 WINDOW, LANES, EPOCHS, RATE = 32, 512, 2, 0.02
+TASK_LANES = 256
 END = b""  # no word is empty
 
 
@@ -181,7 +186,7 @@ class Model:
             g["w"][lo:hi], g["v"][lo:hi] = di.T @ flat[at], di.sum(axis=0)
             ds[at] += di @ p["w"][lo:hi]
         ds = ds.reshape(states[1:].shape)
-        carry = np.zeros_like(state)
+        carry, read = np.zeros_like(state), []
         for t in range(len(x) - 1, -1, -1):
             z, r, c = gates[t]
             s, d = states[t], ds[t] + carry
@@ -190,11 +195,15 @@ class Model:
             drs = dc @ p["u"][:, 2 * h:].T
             dr = drs * s * r * (1 - r)
             a = np.concatenate([dz, dr, dc], axis=1)
-            np.add.at(g["e"], x[t], a)
+            read.append(a)
             g["b"] += a.sum(axis=0)
             g["u"][:, :2 * h] += s.T @ a[:, :2 * h]
             g["u"][:, 2 * h:] += (r * s).T @ dc
             carry = d * (1 - z) + drs * r + a[:, :2 * h] @ p["u"][:, :2 * h].T
+        ids = x[::-1].ravel()
+        order = np.argsort(ids, kind="stable")
+        at = np.flatnonzero(np.diff(ids[order], prepend=-1))
+        g["e"][ids[order[at]]] = np.add.reduceat(np.concatenate(read)[order], at)
         return g, states[-1]
 
     @property
@@ -214,7 +223,8 @@ class Model:
                 if step == 0 or len(fresh) != len(state):
                     state = np.zeros((x.shape[1], HIDDEN), np.float32)
                 state = np.where(fresh[:, None], 0, state).astype(np.float32)
-                g, state = self.gradients(x, y, keep, state)
+                live = np.flatnonzero(keep.any(axis=0))
+                g, state[live] = self.gradients(x[:, live], y[:, live], keep[:, live], state[live])
                 step += 1
                 lr = rate * max(0.05, 1 - step / (planned + 1))
                 for k in self.p:
@@ -264,37 +274,81 @@ def _windows(texts, lanes, width, start):
 
 
 def fit(docs: DataFrame, id_col="doc_id", text_col="text") -> tuple[Model, DataFrame]:
-    """The fitted model and the table of all training counts."""
+    """The model fitted on all training documents, and the table of all training counts."""
     counts = materialize(word_counts(docs, id_col, text_col), "word-counts")
     sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
     model = Model(dict(zip(top["word"].to_pylist(), top["n"].to_pylist())), sums["n"] or 0, sums["v"])
-    key = F.col(id_col).cast("string")
-    rest = F.crc32(key.cast("binary")) % HOLD
-    picked = (docs.select(id_col).where(rest != HELD).withColumn("_d", F.xxhash64(F.lit("lm"), key))
-              .orderBy("_d", id_col).limit(TRAIN_ROWS).select(id_col).distinct())
-    # At most TRAIN_ROWS ids: small enough for every task whatever the input.
-    sample = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), id_col)
+    encoded = materialize(encode_training(docs, model, id_col, text_col), "training-ids")
+    # At most TRAIN_ROWS rows, each cut to TRAIN_TOKENS ids of two bytes: small enough for the driver whatever the input.
+    head = F.expr(f"substring(ids, 1, {2 * TRAIN_TOKENS})")
+    picked = encoded.withColumn("_d", F.xxhash64(F.lit("lm"), "key")).orderBy("_d", "key", "ids").limit(TRAIN_ROWS)
+    room, chosen = TRAIN_TOKENS, []
+    for row in picked.select(head.alias("ids")).toLocalIterator():
+        chosen.append(np.frombuffer(row["ids"], np.uint16)[:room])
+        room -= len(chosen[-1])
+        if room <= 0:
+            break
+    model.fit(chosen)
+    for epoch in range(EPOCHS):
+        model.p = epoch_weights(encoded, model, epoch)
+    return model, counts
+
+
+def encode_training(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> DataFrame:
+    """(key, ids) of every training document: its vocabulary ids, two bytes each, the end token last."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
+            keys = batch.column(0).to_pylist()
             for i, j, data, off in chunks(batch.column(1)):
                 raw = data.tobytes()
-                ids = [shared.value.encode(words_of(raw[off[r]:off[r + 1]])).tobytes() for r in range(j - i)]
-                yield batch_of(key=batch.column(0).slice(i, j - i).cast(pa.string()), ids=pa.array(ids, pa.binary()))
-
-    got = sample.select(id_col, "text").mapInArrow(run, "key string, ids binary").dropDuplicates(["key"]).toArrow()
-    texts = [np.frombuffer(x, np.int32) for _, x in sorted(zip(got["key"].to_pylist(), got["ids"].to_pylist()))]
-    room, chosen = TRAIN_TOKENS, []
-    for t in sorted(texts, key=len):  # short documents first, so that the bound keeps many of them
-        if room <= 0:
-            break
-        chosen.append(t)
-        room -= len(t)
-    chosen = [chosen[i] for i in np.random.default_rng(5).permutation(len(chosen))]
-    model.fit(chosen)
-    return model, counts
+                rows = [r for r in range(j - i) if in_training(keys[i + r])]
+                ids = [shared.value.encode(words_of(raw[off[r]:off[r + 1]])).astype(np.uint16).tobytes() for r in rows]
+                yield batch_of(key=pa.array([str(keys[i + r]) for r in rows], pa.string()), ids=pa.array(ids, pa.binary()))
+
+    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, "key string, ids binary")
+
+
+def epoch_weights(encoded: DataFrame, model: Model, epoch: int) -> dict[str, np.ndarray]:
+    """Weights after one epoch: every task trains on all its documents, the weights are averaged by tokens."""
+    tasks = max(1, -(-model.total // TASK_TOKENS))
+    slots = math.isqrt(tasks - 1) + 1  # one sum each, so that the driver gets about the root of the tasks
+    shared = encoded.sparkSession.sparkContext.broadcast(model)
+    rate = RATE / 2**(epoch + 1)
+
+    def train(batches):
+        rows = sorted(r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        if rows:
+            texts = [np.frombuffer(ids, np.uint16) for _, ids in rows]
+            texts = [texts[k] for k in np.random.default_rng(epoch).permutation(len(texts))]
+            part, own = zlib.crc32(repr(rows[0][0]).encode()), copy.copy(shared.value)
+            own.p = {k: x.copy() for k, x in own.p.items()}
+            own.fit(texts, TASK_LANES, 1, rate)
+            flat = np.concatenate([own.p[k].ravel() for k in sorted(own.p)]).astype(np.float64)
+            n = sum(map(len, texts))
+            yield batch_of(slot=pa.array([part % slots], pa.int32()), part=pa.array([part], pa.int64()),
+                           n=pa.array([n], pa.int64()), sums=pa.array([(flat * n).tobytes()], pa.binary()))
+
+    def add(table: pa.Table) -> pa.Table:
+        rows = table.sort_by("part")  # the same order of adding on every run
+        total = sum(np.frombuffer(x.as_buffer()) for x in rows["sums"])
+        return pa.table({"slot": rows["slot"].slice(0, 1), "n": pa.array([sum(rows["n"].to_pylist())], pa.int64()),
+                         "sums": pa.array([total.tobytes()], pa.binary())})
+
+    trained = encoded.repartition(tasks, "key", "ids").mapInArrow(train, "slot int, part long, n long, sums binary")
+    summed = trained.groupBy("slot").applyInArrow(add, "slot int, n long, sums binary").toArrow().sort_by("slot")
+    n = sum(summed["n"].to_pylist())
+    if not n:
+        return model.p
+    flat = sum(np.frombuffer(x.as_buffer()) for x in summed["sums"]) / n
+    out, at = {}, 0
+    for k in sorted(model.p):
+        x = model.p[k]
+        out[k] = flat[at:at + x.size].reshape(x.shape).astype(np.float32)
+        at += x.size
+    return out
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:

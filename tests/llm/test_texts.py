@@ -322,3 +322,19 @@ def test_lm_beats_its_base(spark):
     held = [r for r in rows if r.held_out]
     assert sum(r.score for r in held) > 0.98 * sum(r.base_score for r in held)
     assert sum(r.score > r.base_score for r in held) > 0.9 * len(held)
+
+
+def test_lm_learns_from_the_long_documents_too(spark, monkeypatch):
+    monkeypatch.setattr(lm, "VOCABULARY", 60)
+    monkeypatch.setattr(lm, "TRAIN_TOKENS", 2_000)
+    monkeypatch.setattr(lm, "TASK_TOKENS", 20_000, raising=False)
+    rng = np.random.default_rng(8)
+    # Short documents in any order of words, long ones in which each word names the next.
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 30, 8))) for i in range(420)]
+    rows += [(i, " ".join(f"w{(i + k) % 30}" for k in range(1_500))) for i in range(420, 490)]
+    docs = edge.table(spark, rows)
+    model, counts = lm.fit(docs)
+    held = [r for r in lm.score(docs, model, counts).collect() if r.held_out and r.n_tokens > 1_000]
+    assert sum(r.score for r in held) > 0.8 * sum(r.base_score for r in held)
+    again, _ = lm.fit(docs.repartition(5))
+    assert all(np.array_equal(model.p[k], again.p[k]) for k in model.p)
