@@ -9,6 +9,7 @@ from labelloom.operators import features as ft
 from labelloom.operators import models as md
 from labelloom.operators import scoring as sc
 from labelloom.operators.split import holdout, kfold
+from labelloom.plans import modelling
 from labelloom.session import materialize
 
 LABELS = ["fruta", "metal", "verbo"]
@@ -110,6 +111,30 @@ def test_search_orders_trials(corpus):
     assert found[0]["score"] >= found[1]["score"] and found[0]["n_folds"] == 2
 
 
+def test_search_query_refits_the_winner(spark, sf, monkeypatch):
+    seen, real = {}, getattr(md, "refit_best", None)
+
+    def ids(df):
+        return {r.doc_id for r in df.select("doc_id").collect()}
+
+    def search(table, labels, key, **options):
+        seen["searched"] = ids(table)
+        return [{"trial": 0, "model": "logreg", "params": {"C": 1.0, "maxIter": 5}, "score": 0.5, "n_folds": 3}]
+
+    def refit_best(found, train, test, labels, key):
+        seen["train"], out = ids(train), real(found, train, test, labels, key)
+        seen["tested"] = ids(out)
+        return out
+
+    monkeypatch.setattr(md, "search", search)
+    monkeypatch.setattr(md, "refit_best", refit_best, raising=False)
+    row = modelling.hyperparam_search(spark, sf).first()
+    split = {r.doc_id: r.split for r in modelling.toxic_table(spark, sf, "bow").select("doc_id", "split").collect()}
+    assert seen["searched"] == seen["train"] == {k for k, s in split.items() if s == "train"}
+    assert seen["tested"] == {k for k, s in split.items() if s == "test"}
+    assert row.n_scored == len(split) and row.in_range
+
+
 def test_weights_sum_to_rows(corpus):
     assert md.balanced_weights(corpus, "label").agg(F.sum("weight")).first()[0] == pytest.approx(150)
 
