@@ -194,7 +194,6 @@ def class_weights(spark, d):
 
 TRIALS, SEARCH_FOLDS = 4, 3  # fits of the registered query; md.search itself defaults to 30 trials
 LIMITS = {"gbt": {"maxIter": 10, "maxDepth": 3}, "logreg": {"maxIter": 50}}  # of the registered query's fits
-FIT_STEPS = 100  # of the registered queries with many fits; the library's default is 1,000
 
 
 def _trials_sql() -> str:
@@ -229,6 +228,7 @@ def hyperparam_search(spark, d):
 
 
 GRID_VECTORIZERS, GRID_MODELS = ["one_hot", "bow", "tfidf", "word2vec"], ["logreg", "svm", "rf"]
+REFIT_VECTORIZERS = GRID_VECTORIZERS[:3]
 METRIC_FLAGS = [f"{m}_macro" for m in ("precision", "recall", "f1", "roc_auc")] + ["accuracy", "f1_weighted"]
 
 
@@ -245,8 +245,7 @@ def _in_range(columns):
   FROM (SELECT unnest({GRID_VECTORIZERS}) AS vectorizer), (SELECT unnest({GRID_MODELS}) AS model), t""")
 def experiment_grid(spark, d):
     """The whole grid, four vectorisers x three models: one metric row each."""
-    out = md.run_grid(split_docs(spark, d), v.LANGS, "doc_id", GRID_VECTORIZERS, GRID_MODELS, N_TERMS, parallelism=4,
-                      logreg={"maxIter": FIT_STEPS})
+    out = md.run_grid(split_docs(spark, d), v.LANGS, "doc_id", GRID_VECTORIZERS, GRID_MODELS, N_TERMS, parallelism=4)
     return out.select("vectorizer", "model", "n", _in_range(METRIC_FLAGS).alias("in_range"),
                       (F.col("log_loss") < 40.0).alias("finite_loss"))
 
@@ -260,7 +259,7 @@ def cv_pipeline(spark, d):
     """Vectoriser and model refitted inside every fold: scores, AUC and log loss per fold and pooled (fold -1)."""
     docs = split_docs(spark, d).drop("split")
     folded = kfold(docs, "label", "doc_id", CV_FOLDS)
-    preds = md.cv_predictions(folded, v.LANGS, "doc_id", "tfidf", "logreg", n_terms=N_TERMS, parallelism=3, maxIter=FIT_STEPS)
+    preds = md.cv_predictions(folded, v.LANGS, "doc_id", "tfidf", "logreg", n_terms=N_TERMS, parallelism=3)
     common = docs.groupBy("label").count().agg(F.max("count") / F.sum("count")).first()[0] or 0.0
     out = md.evaluate_folds(preds, v.LANGS, "doc_id")
     return out.select("fold", "n", _in_range(METRIC_FLAGS).alias("in_range"), (F.col("accuracy") > common).alias("beats_majority"))
@@ -284,14 +283,14 @@ def best_per_model(spark, d):
 def refit_full(spark, d):
     """Best combination by held-out macro F1, refitted on all rows, stored and read back.
 
-    Two vectorisers x one model here; the choice takes any result table of ``run_grid``.
+    The cells of the grid but those of word vectors, whose document means are no pipeline stage that ``refit`` could store.
     """
     rows = split_docs(spark, d)
-    grid = md.run_grid(rows, v.LANGS, "doc_id", ["bow", "tfidf"], ["logreg"], N_TERMS, logreg={"maxIter": FIT_STEPS})
-    top = grid.orderBy(F.desc("f1_macro"), "vectorizer").first()
+    grid = md.run_grid(rows, v.LANGS, "doc_id", REFIT_VECTORIZERS, GRID_MODELS, N_TERMS, parallelism=4)
+    top = grid.orderBy(F.desc("f1_macro"), "vectorizer", "model").first()
     path = scratch_path(spark, "best")
     meta = {"vectorizer": top["vectorizer"], "model": top["model"], "f1_macro": top["f1_macro"], "n": rows.count()}
-    md.save_bundle(md.refit(rows, v.LANGS, top["vectorizer"], top["model"], N_TERMS, maxIter=FIT_STEPS), meta, path)
+    md.save_bundle(md.refit(rows, v.LANGS, top["vectorizer"], top["model"], N_TERMS), meta, path)
     model, meta = md.load_bundle(spark, path)
     out = md.score(rows, model, v.LANGS, "doc_id", extra=["label"])
     return out.select("doc_id", "label", F.col("pred_label").isin(v.LANGS).alias("known"), F.lit(meta["n"]).cast("bigint").alias("n"))
@@ -317,7 +316,7 @@ def batch_score(spark, d):
     """A stored bundle applied to mail bodies without refitting: it must answer like the model it was saved from."""
     path = scratch_path(spark, "bundle")
     docs = v.texts(spark, d).select("doc_id", "text", F.col("lang").alias("label"))
-    fitted = md.refit(docs, v.LANGS, "bow", "logreg", N_TERMS, maxIter=FIT_STEPS)
+    fitted = md.refit(docs, v.LANGS, "bow", "logreg", N_TERMS)
     md.save_bundle(fitted, {"labels": v.LANGS}, path)
     loaded, meta = md.load_bundle(spark, path)
     mails = v.emails(spark, d, heavy=True).select("email_id", "class_label", tx.strip_prefix("email_corpus").alias("text"))

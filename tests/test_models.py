@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from labelloom.operators import features as ft
 from labelloom.operators import models as md
 from labelloom.operators import scoring as sc
 from labelloom.operators.split import holdout, kfold
-from labelloom.plans import modelling
+from labelloom.plans import modelling, streams
 from labelloom.session import materialize
 
 LABELS = ["fruta", "metal", "verbo"]
@@ -135,6 +136,32 @@ def test_search_query_refits_the_winner(spark, sf, monkeypatch):
     assert row.n_scored == len(split) and row.in_range
 
 
+@pytest.mark.parametrize("name", ["experiment_grid", "cv_pipeline", "refit_full", "batch_score", "stream_score"])
+def test_queries_fit_with_the_default_steps(spark, sf, monkeypatch, name):
+    steps = []
+
+    def fit(est, train, n_rows):
+        last = est.getStages()[-1] if hasattr(est, "getStages") else est
+        if isinstance(last, LogisticRegression):
+            steps.append(last.getMaxIter())
+        raise InterruptedError
+
+    monkeypatch.setattr(md, "fit", fit)
+    monkeypatch.setattr(modelling, "GRID_VECTORIZERS", ["bow"])
+    with pytest.raises(InterruptedError):
+        getattr(streams if name == "stream_score" else modelling, name)(spark, sf)
+    assert steps and set(steps) == {1000}
+
+
+def test_refit_query_chooses_among_nine_cells(spark, sf, monkeypatch):
+    def run_grid(df, labels, key, vectorizers, models, *a, **k):
+        raise InterruptedError(len(vectorizers) * len(models))
+
+    monkeypatch.setattr(md, "run_grid", run_grid)
+    with pytest.raises(InterruptedError, match="9"):
+        modelling.refit_full(spark, sf)
+
+
 def test_weights_sum_to_rows(corpus):
     assert md.balanced_weights(corpus, "label").agg(F.sum("weight")).first()[0] == pytest.approx(150)
 
