@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from labelloom.llm.batches import batch_of, chunks, mix, powers, span_hashes, word_bounds
 from labelloom.llm.components import groups
-from labelloom.session import materialize, shuffle_width
+from labelloom.session import checked_broadcast, materialize, shuffle_width
 
 WINDOW = 35
 GRAM = 8
@@ -286,9 +286,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     candidates = table.drop("ids").join(grams.hint("merge"), "chunk")
     edges = _edge_verdicts(candidates, bounds)
     paths = materialize(_paths(table.drop("ids").join(grams.join(edges, "chunk").hint("merge"), "chunk"), bounds), "paths")
-    # Equal words at two source coordinates or more; counts combine before the shuffle.
-    sure = paths.groupBy("words").agg(F.count("*").alias("n")).where("n > 1").select("words")
-    gone = paths.join(sure, "words").groupBy("chunk").agg(F.collect_list(F.struct("first", "windows")).alias("paths"))
+    # Words that no other source coordinate has; counts combine before the shuffle, and few paths are left over.
+    lone = paths.groupBy("words").agg(F.count("*").alias("n"), F.min("chunk").alias("chunk"), F.min("first").alias("first"))
+    lone = materialize(lone.where("n = 1").select("chunk", "first"), "lone")
+    gone = paths.join(checked_broadcast(lone), ["chunk", "first"], "left_anti").groupBy("chunk").agg(F.collect_list(F.struct("first", "windows")).alias("paths"))
 
     def run(batches):
         for batch in batches:
