@@ -14,7 +14,8 @@ every later step sends packed arrays from chunks to buckets of hashes and joins
    one are joined where the node between them has one way in and one way out. Every occurrence of an edge then runs
    through its whole path, so the occurrences of a path have the same extent, and one row stands for all its windows.
 4. Verification. The words at the source coordinates of every path are read again and digested with 128 bits; a path
-   is removed only where another place has the same words. Hashes alone never decide.
+   is removed only where another place has the same words. Hashes alone never decide; a repeat could stay hidden only
+   where two different words with equal 64-bit hashes stand in equal surroundings.
 
 Every step but the last join moves fixed-width hashes; texts travel compressed, by chunk, three times.
 
@@ -178,8 +179,9 @@ def _per_chunk(rows: DataFrame, schema: str, make) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                chunk = Chunk(row["size"], row["ends"], row["blob"])
+            for r in range(batch.num_rows):  # one chunk at a time in memory
+                row = batch.slice(r, 1).to_pylist()[0]
+                chunk = Chunk(row["size"], row.pop("ends"), row.pop("blob"))
                 chunk.hash_windows()
                 out = make(row, chunk)
                 if out is not None:
