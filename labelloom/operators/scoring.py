@@ -14,9 +14,12 @@ from labelloom import domain
 from labelloom.functions import text as tx
 from labelloom.functions.answers import parse_answer
 from labelloom.functions.render import ZERO_SHOT, render
-from labelloom.session import materialize
+from labelloom.session import file_system, materialize
+from labelloom.sources.buckets import BucketTable
+from labelloom.streaming.series import run_available
 
 Scorer = Callable[[str], str]
+CHUNK = 50  # rows whose answers are committed together
 SHORTEN_ON = ("context", "time.?out", "timed out")  # errors of a client that call for a shorter text
 
 
@@ -43,6 +46,24 @@ def ask(df: DataFrame, prompt: str, factory: Callable[[], Scorer], out: str = "r
     return df.mapInPandas(run, schema)
 
 
+def stored_pass(rows: DataFrame, path: str, step: Callable[[DataFrame], DataFrame], chunk: int = CHUNK, wave: int | None = None) -> DataFrame:
+    """``step(rows)`` with answers committed while the pass runs.
+
+    The rows are written once as files of at most ``chunk`` rows. A stream then takes ``wave`` files at a time (one per core
+    by default), and its file sink and checkpoint commit the answers of a wave exactly once. The same call on the same
+    ``path`` goes on after the last committed wave; the rows of the first call count, even if ``rows`` has changed.
+    """
+    spark = rows.sparkSession
+    fs, done = file_system(spark, f"{path}/rows/_SUCCESS")
+    if not fs.exists(done):
+        rows.write.mode("overwrite").option("maxRecordsPerFile", chunk).parquet(f"{path}/rows")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", wave or spark.sparkContext.defaultParallelism) \
+        .parquet(f"{path}/rows")
+    answers = step(stream)
+    run_available(answers, f"{path}/answers", f"{path}/checkpoint")
+    return spark.read.schema(answers.schema).parquet(f"{path}/answers")
+
+
 def classify_answers(
     df: DataFrame,
     key: str,
@@ -56,6 +77,8 @@ def classify_answers(
     examples: str = "",
     passes: int = 3,
     shorten_on=SHORTEN_ON,
+    store: str | None = None,
+    chunk: int = CHUNK,
 ) -> DataFrame:
     """Prompt, score and parse every row; rows without a usable answer are asked again.
 
@@ -64,6 +87,9 @@ def classify_answers(
     runs only on the rows the one before could not answer, so there are at most ``passes`` over a
     shrinking table. Empty texts are not asked: they get the fallback label and uniform scores.
     ``few_shot_block`` of training rows gives ``examples`` for a few-shot ``template``.
+
+    With ``store``, a folder of this run, answers are kept as they come (``stored_pass``): the same call after a crash
+    asks only what has no answer yet.
     """
     labels = list(labels)
     uniform = F.map_from_entries(F.array(*[
@@ -84,12 +110,14 @@ def classify_answers(
         prompt = F.when(F.col("__level") == 0, render("body", labels, template, descriptions, examples))
         for level in (1, 2, 3):
             prompt = prompt.when(F.col("__level") == level, render(tx.shrink("body", level), labels, ZERO_SHOT, descriptions))
-        asked = todo.withColumn("prompt", prompt)
-        parsed = parse_answer(ask(asked, "prompt", factory), "raw_response", labels, aliases, fallback)
-        parsed = parsed.withColumn("needs_retry", F.col("needs_retry") | F.col("error").isNotNull())
-        shorter = F.least(F.lit(3), F.col("__level") + F.coalesce(too_long, F.lit(False)).cast("int"))
-        parsed = parsed.withColumn("__level", shorter)
-        parsed = materialize(parsed.withColumn("attempts", F.lit(attempt)).drop("prompt", "json_state"), "answers")
+
+        def step(rows: DataFrame, prompt=prompt, attempt=attempt) -> DataFrame:
+            parsed = parse_answer(ask(rows.withColumn("prompt", prompt), "prompt", factory), "raw_response", labels, aliases, fallback)
+            parsed = parsed.withColumn("needs_retry", F.col("needs_retry") | F.col("error").isNotNull())
+            shorter = F.least(F.lit(3), F.col("__level") + F.coalesce(too_long, F.lit(False)).cast("int"))
+            return parsed.withColumn("__level", shorter).withColumn("attempts", F.lit(attempt)).drop("prompt", "json_state")
+
+        parsed = stored_pass(todo, f"{store}/pass-{attempt}", step, chunk) if store else materialize(step(todo), "answers")
         done.append(parsed.where(~F.col("needs_retry")).select(*kept, *final))
         todo = parsed.where("needs_retry").select(*kept, "__level", F.coalesce("raw_response", F.lit("")).alias("__last"))
         if attempt < passes:
@@ -107,3 +135,14 @@ def with_cache(df: DataFrame, cache: DataFrame, key: str, score: Callable[[DataF
     hits = df.join(cache, key)
     misses = score(df.join(cache.select(key), key, "left_anti"))
     return hits.select(*df.columns, *columns).unionByName(misses.select(*df.columns, *columns))
+
+
+def through_store(df: DataFrame, answers: BucketTable, key: str, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Answers of every row from a stored table, which keeps those asked now for the next run.
+
+    Rows with the same ``key`` are asked once; only the buckets of new keys are rewritten.
+    """
+    known = answers.read()
+    new = score(df.join(known.select(key), key, "left_anti").dropDuplicates([key]))
+    answers.upsert(new.select(*answers.schema.names))
+    return df.join(answers.read(), key)

@@ -6,14 +6,20 @@ import hashlib
 import json
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelloom.functions import text as tx
-from labelloom.functions.render import ZERO_SHOT
+from labelloom.functions.render import FEW_SHOT, ZERO_SHOT
 from labelloom.operators import scoring as sc
+from labelloom.operators.split import few_shot, few_shot_block, holdout
 from labelloom.plans import views as v
 from labelloom.plans.registry import query
-from labelloom.plans.texts import ZERO
+from labelloom.plans.texts import LABEL_LINES, ZERO
+from labelloom.session import materialize, scratch_path
+from labelloom.sources import sinks
+from labelloom.sources.buckets import BucketTable
 
+CHUNK = 500  # rows whose answers the test client commits together
 LIMIT = 600  # characters the small test client accepts
 
 
@@ -97,3 +103,56 @@ def scored_through_cache(spark, d):
 
     out = sc.with_cache(rows.drop("body"), cache, "key", score)
     return out.select("key", "doc_id", "predicted_label")
+
+
+@query("answers_resumable", f"""WITH {BODY}, a AS (SELECT doc_id, true_label, body, {asked('body')} AS n FROM mails),
+  s AS (SELECT *, CASE WHEN body = '' THEN 'en' ELSE {PICK} END AS predicted_label, CASE WHEN body = '' THEN 0 ELSE (n % 100) / 100 END AS confidence FROM a)
+  SELECT 'zero_shot' AS strategy, true_label, predicted_label, cast(true_label = predicted_label AS INTEGER) AS is_correct, round(confidence, 6) AS confidence,
+    0 AS parse_error, doc_id AS email_id, {", ".join(f"CASE WHEN body = '' THEN 0.25 WHEN predicted_label = '{l}' THEN 1 ELSE 0 END::DOUBLE AS score_{l}" for l in v.LANGS)} FROM s""")
+def answers_resumable(spark, d):
+    """Answers committed in chunks while the pass runs, exported wide: correctness, audit columns and one score per label."""
+    out = sc.classify_answers(mails(spark, d), "doc_id", "text", digest_scorer(v.LANGS), v.LANGS, {}, "en", ZERO_SHOT, passes=1,
+                              store=scratch_path(spark, "answering"), chunk=CHUNK)
+    wide = sinks.wide_predictions(out.withColumn("email_id", F.col("doc_id")), v.LANGS, audit=["email_id"], strategy="zero_shot")
+    return wide.select(*[F.round(c, 6).alias(c) if c == "confidence" or c.startswith("score_") else c for c in wide.columns])
+
+
+# The prompt of a body: the few-shot template with the numbered block of the train rows' examples.
+_FEW_PROMPT = f"replace(replace(replace({v.s_quote(FEW_SHOT)}, '{{labels}}', {v.s_quote(LABEL_LINES)}), '{{examples}}', examples), '{{text}}', body)"
+
+
+@query("few_shot_answers", f"""WITH sp AS (SELECT doc_id, lang AS label, text, CASE WHEN {v.s_rank("lang", "doc_id")} <= round(count(*) OVER (PARTITION BY lang) * 0.3::DOUBLE) THEN 'test' ELSE 'train' END AS split FROM documents),
+  b AS (SELECT doc_id, label, split, {v.s_truncate(v.s_normalize_body("text"), 3000, " [TEXTO TRUNCADO]")} AS body FROM sp),
+  r AS (SELECT *, cast(length(body) BETWEEN 50 AND 500 AS INTEGER) AS in_band, md5(concat('42|', doc_id)) AS digest FROM b WHERE split = 'train' AND length(body) > 10),
+  k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY in_band DESC, digest) AS rn, max(in_band) OVER (PARTITION BY label) AS best FROM r),
+  few AS (SELECT row_number() OVER (ORDER BY md5(concat(digest, '|shuffle'))) AS example_no, label, {v.s_truncate("body", 400, " [...]")} AS example FROM k WHERE rn <= 1 AND in_band = best),
+  block AS (SELECT coalesce(string_agg(concat('Ejemplo ', example_no, ':', chr(10), 'Texto del correo:', chr(10), example, chr(10), chr(10), 'Etiqueta correcta:', chr(10), label), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY example_no), '') AS examples FROM few),
+  a AS (SELECT doc_id, label, body, ('0x' || substr(md5({_FEW_PROMPT}), 1, 8))::BIGINT AS n FROM b, block WHERE split = 'test')
+  SELECT 'few_shot' AS strategy, doc_id, label AS true_label, CASE WHEN body = '' THEN 'en' ELSE {PICK} END AS predicted_label, CASE WHEN body = '' THEN 0 ELSE round((n % 100) / 100, 6) END AS confidence FROM a""")
+def few_shot_answers(spark, d):
+    """Few-shot classification end to end: examples from the train rows only, prompts and answers for the test rows."""
+    docs = v.texts(spark, d).select("doc_id", "text", F.col("lang").alias("label"))
+    rows = materialize(holdout(docs, "label", "doc_id"), "split")
+    examples = few_shot(rows.where("split = 'train'"), v.LANGS, "doc_id", "text", "label")
+    block = few_shot_block(examples).first()["examples"]  # one example per label of a closed list
+    out = sc.classify_answers(rows.where("split = 'test'").drop("split"), "doc_id", "text", digest_scorer(v.LANGS), v.LANGS, {}, "en",
+                              FEW_SHOT, examples=block, passes=1)
+    return out.select(F.lit("few_shot").alias("strategy"), "doc_id", F.col("label").alias("true_label"), "predicted_label",
+                      F.round("confidence", 6).alias("confidence"))
+
+
+@query("answers_written_back", f"""WITH {BODY}, m AS (SELECT m.*, md5(concat_ws('|', 'zero', 'holdout', doc_id::VARCHAR, md5(body), 'm')) AS key FROM mails m WHERE body <> ''),
+  a AS (SELECT m.*, {asked('body')} AS n FROM m) SELECT key, doc_id, {PICK} AS predicted_label, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS asked_in FROM a""")
+def answers_written_back(spark, d):
+    """Two runs through a stored table of answers: the second asks only what the first, over every other row, has not."""
+    body = tx.truncate_words(tx.normalize_body("text"))
+    rows = mails(spark, d).withColumn("body", body).where("body <> ''")
+    rows = rows.withColumn("key", tx.cache_key("zero", "holdout", "doc_id", "body", "m")).drop("body")
+    store = BucketTable(spark, scratch_path(spark, "answers"), T.StructType.fromDDL("key string, predicted_label string, asked_in int"), ["key"])
+
+    def score(run):
+        return lambda misses: sc.classify_answers(misses, "doc_id", "text", digest_scorer(v.LANGS), v.LANGS, {}, "en", passes=1) \
+            .withColumn("asked_in", F.lit(run))
+
+    sc.through_store(rows.where("doc_id % 2 = 0"), store, "key", score(1))
+    return sc.through_store(rows, store, "key", score(2)).select("key", "doc_id", "predicted_label", "asked_in")

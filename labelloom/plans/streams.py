@@ -9,26 +9,22 @@ from labelloom.operators import models as md
 from labelloom.plans import views as v
 from labelloom.plans.neighbours import rounded
 from labelloom.plans.registry import query
-from labelloom.session import materialize, scratch_path
+from labelloom.session import scratch_path
 from labelloom.streaming import scoring as ss
 from labelloom.streaming import series as sr
+from labelloom.streaming.runs import stream_runs
 
 
 def stream_of(spark, d, name):
-    return sr.read_stream(spark, d, v.table(spark, d, name).schema, f"{name}.parquet")
+    return sr.table_stream(spark, d, f"{name}.parquet", v.table(spark, d, name).schema)
 
 
 def sample_stream(spark, d):
-    return _samples(stream_of(spark, d, "events"))
-
-
-def _samples(ev):
-    return ev.select(
+    return stream_of(spark, d, "events").select(
         F.col("user_id").alias("series_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("watts"),
         (draw("event_id", "cpu") % 100).alias("cpu_percent"), (draw("event_id", "ram") % 4096).alias("ram_mb"))
 
 
-LATE = 600_000_000
 HOUR = 3_600_000_000
 
 
@@ -36,35 +32,25 @@ HOUR = 3_600_000_000
   SELECT series_id, cast(start AS BIGINT) AS window_start, round(avg(watts), 6) AS mean_value, max(watts) AS max_value, count(*) AS n_samples FROM w
   GROUP BY ALL""")
 def stream_resample(spark, d):
-    """Six-hour windows: those that closed in the stream and those still open at its end."""
-    path = scratch_path(spark, "windows")
-
-    def make(samples):
-        return sr.stream_windows(samples, "series_id", "ts", "watts", "6 hours", "10 minutes")
-
-    out = make(sample_stream(spark, d))
-    sr.run_available(out, path)
-    rows = sr.with_open(spark.read.schema(out.schema).parquet(path), _samples(v.table(spark, d, "events")), "ts", "window_start", "6 HOURS", make)
+    """Six-hour windows, all closed by the stream."""
+    rows, _ = sr.run_closed(sample_stream(spark, d), lambda samples: sr.stream_windows(samples, "series_id", "ts", "watts", "6 hours", "10 minutes"),
+                            "ts", scratch_path(spark, "windows"))
     return rounded(rows.withColumn("window_start", F.unix_micros("window_start")))
 
 
-PIECE = """g AS (SELECT *, lag(t) OVER (PARTITION BY series_id ORDER BY t, watts) AS before FROM samples)"""
+PAUSE = 48 * HOUR
 
 
-@query("stream_run_summary", f"""WITH {v.SAMPLES}, {PIECE} SELECT series_id, count(*) AS n_samples, round((max(t) - min(t)) / 1000000, 6) AS runtime_seconds,
-  round(sum(coalesce(watts * (t - before) / 1000000 / 3600, 0)), 6) AS energy_wh FROM g GROUP BY series_id""")
+@query("stream_run_summary", f"""WITH {v.SAMPLES}, g AS (SELECT *, lag(t) OVER o AS before, CASE WHEN t - lag(t) OVER o < {PAUSE} THEN 0 ELSE 1 END AS fresh FROM samples WINDOW o AS (PARTITION BY series_id ORDER BY t, event_id)),
+  r AS (SELECT *, sum(fresh) OVER (PARTITION BY series_id ORDER BY t, event_id) AS no FROM g)
+  SELECT series_id, min(t) AS run_start, count(*) AS n_samples, round((max(t) - min(t)) / 1000000, 6) AS runtime_seconds,
+    round(avg(cpu_percent), 6) AS average_cpu_percent, max(ram_mb)::DOUBLE AS peak_ram_mb, round(avg(watts), 6) AS average_watts,
+    round(sum(CASE WHEN fresh = 1 THEN 0 ELSE watts * (t - before) / 1000000 / 3600 END), 6) AS energy_wh, 0::BIGINT AS late_pieces FROM r GROUP BY series_id, no""")
 def stream_run_summary(spark, d):
-    """Energy per series from streamed ten-minute pieces, closed or still open at the end."""
-    path = scratch_path(spark, "pieces")
-
-    def make(samples):
-        return sr.stream_energy_pieces(samples, "series_id", "ts", "watts", "10 minutes", "10 minutes")
-
-    out = make(sample_stream(spark, d))
-    sr.run_available(out, path)
-    pieces = sr.with_open(spark.read.schema(out.schema).parquet(path), _samples(v.table(spark, d, "events")), "ts", "piece_start", "10 MINUTES", make)
-    summary = sr.join_pieces(materialize(pieces, "all-pieces"), "series_id")
-    return rounded(summary.withColumn("n_samples", F.col("n_samples").cast("bigint")))
+    """Runs of a series without a two-day pause, summed up by the stream's own state and timers; pieces dropped as late beside."""
+    rows, late = sr.run_closed(sample_stream(spark, d), lambda samples: stream_runs(samples, "series_id", "ts", "event_id", PAUSE, "10 minutes"),
+                               "ts", scratch_path(spark, "runs"))
+    return rounded(rows.withColumn("late_pieces", F.lit(late).cast("bigint")))
 
 
 @query("stream_sessions", f"""WITH {v.SAMPLES}, g AS (SELECT *, CASE WHEN t - lag(t) OVER o < 8 * {HOUR} THEN 0 ELSE 1 END AS fresh FROM samples WINDOW o AS (PARTITION BY series_id ORDER BY t, event_id)),
@@ -72,15 +58,9 @@ def stream_run_summary(spark, d):
   SELECT series_id, min(t) AS run_start, max(t) AS last_t, count(*) AS n_samples, round(avg(cpu_percent), 6) AS average_cpu_percent, max(ram_mb) AS peak_ram_mb FROM s
   GROUP BY series_id, no""")
 def stream_sessions(spark, d):
-    """Runs of a series without an eight-hour pause, ended or still open."""
-    path = scratch_path(spark, "sessions")
-
-    def make(samples):
-        return sr.stream_sessions(samples, "series_id", "ts", "8 hours", "10 minutes")
-
-    out = make(sample_stream(spark, d))
-    sr.run_available(out, path)
-    rows = sr.with_open_sessions(spark.read.schema(out.schema).parquet(path), _samples(v.table(spark, d, "events")), "series_id", "ts", make)
+    """Runs of a series without an eight-hour pause, all ended by the stream."""
+    rows, _ = sr.run_closed(sample_stream(spark, d), lambda samples: sr.stream_sessions(samples, "series_id", "ts", "8 hours", "10 minutes"),
+                            "ts", scratch_path(spark, "sessions"))
     return rounded(rows.select("series_id", F.unix_micros("run_start").alias("run_start"), F.unix_micros("last_ts").alias("last_t"),
                                "n_samples", "average_cpu_percent", "peak_ram_mb"))
 

@@ -15,6 +15,7 @@ from labelloom.plans import views as v
 from labelloom.plans.registry import query
 from labelloom.session import bounded_values, scratch_path
 from labelloom.sources import readers, sinks
+from labelloom.sources.buckets import BucketTable
 
 MAIL_COLUMNS = ["email_id", "subject", "email_corpus", "class_label", "secondary_label", "is_multi_intent", "is_spam", "channel"]
 
@@ -73,7 +74,10 @@ def vector_store_upsert(spark, d):
         .select("vec_id", ((F.col("label") + 1) % 10).alias("label"), F.lit(1).alias("version"))
     added = base.where(uniform("vec_id", "insert") < 0.1) \
         .select((F.col("vec_id") + 1000000).alias("vec_id"), "label", F.lit(1).alias("version"))
-    return sinks.upsert(base, changed.unionByName(added), "vec_id", "version")
+    store = BucketTable(spark, scratch_path(spark, "vectors"), base.schema, ["vec_id"])
+    store.upsert(base)
+    store.upsert(changed.unionByName(added), order="version")
+    return store.read()
 
 
 @query("vector_store_catalog", """SELECT cast(sum(n) AS BIGINT) AS n_rows, count(label) AS n_classes,
@@ -101,23 +105,43 @@ SPLIT_SQL = f"""split AS (SELECT doc_id, text, lang AS label, CASE WHEN {v.s_ran
   <= round(count(*) OVER (PARTITION BY lang) * 0.3::DOUBLE) THEN 'test' ELSE 'train' END AS split FROM documents)"""
 
 
-@query("write_splits", f"""WITH {SPLIT_SQL} SELECT split, label, count(*) AS n, (SELECT count(DISTINCT lang) FROM documents) AS n_labels
-  FROM split GROUP BY split, label""")
+@query("write_splits", f"""WITH {SPLIT_SQL} SELECT split, doc_id, label, md5(text) AS text_md5, (SELECT count(DISTINCT lang) FROM documents) AS n_labels FROM split""")
 def write_splits(spark, d):
+    """The rows of both parts as they are read back, with the number of stored labels."""
     path = scratch_path(spark, "splits")
     docs = v.documents(spark, d).select("doc_id", "text", F.col("lang").alias("label"))
     sinks.write_splits(holdout(docs, "label", "doc_id"), path)
     rows, labels = sinks.read_splits(spark, path)
     n = labels.count()
-    return rows.groupBy("split", "label").agg(F.count("*").alias("n")).withColumn("n_labels", F.lit(n).cast("bigint"))
+    return rows.select("split", "doc_id", "label", F.md5("text").alias("text_md5"), F.lit(n).cast("bigint").alias("n_labels"))
 
 
-@query("export_reports", f"""WITH {v.PREDICTIONS} SELECT 'predictions' AS report, count(*) AS n_rows FROM predictions
-  UNION ALL SELECT 'metrics', 1 UNION ALL SELECT 'class_report', (SELECT count(DISTINCT label) + 3 FROM embeddings)
-  UNION ALL SELECT 'confusion', (SELECT count(DISTINCT label) * count(DISTINCT label) FROM embeddings)
-  UNION ALL SELECT 'errors', count(*) FROM predictions WHERE true_label <> pred_label""")
+WIDE_SQL = f"""SELECT 'run' AS run, p.row_id, p.true_label, p.pred_label AS predicted_label, cast(p.true_label = p.pred_label AS INTEGER) AS is_correct,
+  round(max(s.score), 6) AS confidence, {", ".join(f"round(max(s.score) FILTER (s.label = {l}), 6) AS score_{l}" for l in v.VECTOR_LABELS)}
+  FROM predictions p JOIN scores s USING (row_id) GROUP BY ALL"""
+
+
+@query("export_predictions", f"WITH {v.PREDICTIONS} {WIDE_SQL}")
+def export_predictions(spark, d):
+    """The predictions file of a run, read back: correctness, confidence, the audit key and a score per label."""
+    long = v.scores(spark, d).groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "score"))).alias("class_scores"))
+    preds = v.predictions(spark, d).join(long, "row_id").withColumn("confidence", F.array_max(F.map_values("class_scores")))
+    wide = sinks.wide_predictions(preds, v.VECTOR_LABELS, pred="pred_label", audit=["row_id"], run="run")
+    path = sinks.export_run({"predictions": wide}, scratch_path(spark, "wide"))["predictions"]
+    back = spark.read.parquet(path)
+    return back.select(*[F.round(c, 6).alias(c) if c == "confidence" or c.startswith("score_") else c for c in back.columns])
+
+
+@query("export_reports", f"""WITH {v.PREDICTIONS}, labels_ AS (SELECT DISTINCT label FROM embeddings),
+  cells AS (SELECT t.label AS a, p.label AS b, count(q.row_id) AS n FROM labels_ t CROSS JOIN labels_ p LEFT JOIN predictions q ON q.true_label = t.label AND q.pred_label = p.label GROUP BY ALL),
+  sums AS (SELECT l.label, sum(n) FILTER (a = l.label) AS support, sum(n) FILTER (b = l.label) AS told, sum(n) FILTER (a = l.label AND b = l.label) AS hit FROM cells, labels_ l GROUP BY l.label)
+  SELECT 'predictions' AS report, row_id::VARCHAR AS name, pred_label::DOUBLE AS value FROM predictions
+  UNION ALL SELECT 'errors', row_id::VARCHAR, pred_label::DOUBLE FROM predictions WHERE true_label <> pred_label
+  UNION ALL SELECT 'confusion', a || '-' || b, n::DOUBLE FROM cells
+  UNION ALL SELECT 'f1', label::VARCHAR, round(CASE WHEN support + told = 0 THEN 0 ELSE 2 * hit / (support + told) END, 6)::DOUBLE FROM sums
+  UNION ALL SELECT 'metrics', 'accuracy', round(sum(cast(true_label = pred_label AS INTEGER)) / count(*), 6)::DOUBLE FROM predictions""")
 def export_reports(spark, d):
-    """Five report tables from one written predictions table; the result lists what was written."""
+    """Report tables of a run, made from its one written predictions table; the values as they are read back."""
     labels = v.vector_labels(spark, d)
     path = scratch_path(spark, "reports")
     paths = sinks.export_run({"predictions": v.predictions(spark, d)}, path)
@@ -127,9 +151,19 @@ def export_reports(spark, d):
         "metrics": mt.prf_from_confusion(conf, labels), "class_report": mt.report_from_confusion(conf, labels),
         "confusion": conf, "errors": preds.where("true_label <> pred_label"),
     }, path)
+    read = {name: spark.read.parquet(p) for name, p in paths.items()}
+
+    def shown(report, name, value, rows=None):
+        rows = read[report] if rows is None else rows
+        return rows.select(F.lit(report).alias("report"), F.col(name).cast("string").alias("name"), F.round(F.col(value).cast("double"), 6).alias("value"))
+
+    classes = read["class_report"].where(F.col("label").isin([str(l) for l in labels]))
+    cells = read["confusion"].withColumn("cell", F.concat_ws("-", F.col("true_label").cast("string"), F.col("pred_label").cast("string")))
     return readers.union_sources([
-        spark.read.parquet(p).agg(F.count("*").alias("n_rows")).withColumn("report", F.lit(n)) for n, p in paths.items()
-    ]).select("report", "n_rows")
+        shown("predictions", "row_id", "pred_label"), shown("errors", "row_id", "pred_label"), shown("confusion", "cell", "n", cells),
+        shown("class_report", "label", "f1", classes).withColumn("report", F.lit("f1")),
+        shown("metrics", "name", "accuracy", read["metrics"].withColumn("name", F.lit("accuracy"))),
+    ]).select("report", "name", "value")
 
 
 @query("merge_results", """WITH old AS (SELECT source, lang, round(avg(n_chars), 6) AS score, 0 AS run FROM documents GROUP BY ALL),

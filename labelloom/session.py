@@ -69,11 +69,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/labelloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop file system, path) of any path that Spark reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, at = file_system(spark, path)
+    return fs.exists(at) and fs.getFileStatus(at).isDirectory()
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Remove this application's scratch folder; frames read from it are gone afterwards."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/labelloom/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    fs, at = file_system(spark, f"{shared_dir(spark)}/labelloom/{spark.sparkContext.applicationId}")
+    fs.delete(at, True)
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -61,6 +61,19 @@ def read_splits(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/labels")
 
 
+def wide_predictions(df: DataFrame, labels, true: str = "true_label", pred: str = "predicted_label", scores: str = "class_scores",
+                     audit=(), **named) -> DataFrame:
+    """One row per answer as result files hold it: the named values, both labels, ``is_correct`` and ``parse_error`` as 0/1,
+    a column ``score_<label>`` per label (0 where the answer names none) and the audit columns as they came.
+    """
+    flags = [F.col("parse_error").cast("int").alias("parse_error")] if "parse_error" in df.columns else []
+    right = F.coalesce(F.col(true) == F.col(pred), F.lit(False)).cast("int")
+    return df.select(
+        *[F.lit(x).alias(k) for k, x in named.items()], F.col(true).alias("true_label"), F.col(pred).alias("predicted_label"),
+        right.alias("is_correct"), "confidence", *flags, *audit,
+        *[F.coalesce(F.col(scores)[l], F.lit(0.0)).alias(f"score_{l}") for l in labels])
+
+
 def export_run(tables: dict[str, DataFrame], path: str) -> dict[str, str]:
     """Write each report of a run as its own table; returns the paths by name."""
     out = {}
@@ -74,15 +87,3 @@ def merge_results(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Result table where new rows replace old rows with the same keys."""
     kept = old.join(new.select(*keys).distinct(), keys, "left_anti")
     return kept.unionByName(new, allowMissingColumns=True)
-
-
-def upsert(base: DataFrame, updates: DataFrame, key: str, version: str) -> DataFrame:
-    """Insert or replace by key: the row with the highest version wins.
-
-    ``max_by`` combines on the map side, so a key with very many versions is
-    reduced before the shuffle.
-    """
-    stacked = base.unionByName(updates)
-    rest = [c for c in stacked.columns if c != key]
-    picked = stacked.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(version)).alias("__row"))
-    return picked.select(key, "__row.*")

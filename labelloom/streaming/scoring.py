@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from labelloom.sources.sinks import merge_results
+from labelloom.sources.buckets import BucketTable
 
 
 def stream_dedup(stream: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
@@ -43,26 +43,16 @@ def stream_confusion(stream: DataFrame, path: str, true: str = "true_label", pre
     return newest(stream.sparkSession, path, counts.schema)
 
 
-def foreach_merge(stream: DataFrame, start: DataFrame, keys: list[str], path: str) -> DataFrame:
-    """Merge each micro-batch of result rows into the table; a version folder per batch keeps it idempotent.
+def foreach_merge(stream: DataFrame, start: DataFrame, keys: list[str], path: str, buckets: int = 64, order: str | None = None) -> DataFrame:
+    """Merge each micro-batch of result rows into a bucketed table; what a batch writes follows the batch.
 
-    The start table is stored once, as the version before the first batch. A batch merges into the newest version
-    before its own, read from storage, so a restarted or repeated batch gives the same table.
+    The start table is version 0 and batch n is version n + 1, so a repeated batch changes nothing and a restart goes on.
     """
-    spark, schema = stream.sparkSession, start.schema
-    if newest(spark, path, schema).isEmpty():
-        start.write.mode("overwrite").parquet(f"{path}/version=-1")
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        every = spark.read.schema(StructType([*schema.fields, StructField("version", LongType())])).parquet(path)
-        before = every.where(F.col("version") < batch_id)
-        last = before.agg(F.max("version")).first()[0]
-        old = spark.read.schema(schema).parquet(f"{path}/version={-1 if last is None else last}")
-        merge_results(old, batch, keys).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-
+    table = BucketTable(stream.sparkSession, path, start.schema, keys, buckets)
+    table.upsert(start, 0)
     query = (
-        stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}-checkpoint")
-        .trigger(availableNow=True).start()
+        stream.writeStream.foreachBatch(lambda batch, batch_id: table.upsert(batch, batch_id + 1, order))
+        .option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return newest(spark, path, schema)
+    return table.read()

@@ -1,7 +1,11 @@
 """Structured Streaming forms of the series operators.
 
-Late rows: the watermark drops rows older than ``lateness``; the number dropped
-is in the progress of the query (``dropped_rows``).
+Late rows: the watermark drops rows older than ``lateness``; the number dropped is in the progress of the query
+(``dropped_rows``). Files read in one trigger may be in any order; over several triggers they must come in the order of
+their events, up to ``lateness``.
+
+``run_closed`` ends a stream: a marker row far behind all events moves the watermark on, so that the stream itself closes and
+emits what it still holds open, and no batch pass is needed for the rest.
 """
 
 from __future__ import annotations
@@ -10,8 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from labelloom.operators.ordering import BUCKET, neighbour, order_buckets
-from labelloom.session import scratch_path
+from labelloom.session import is_folder, scratch_path
+
+END = "9999-01-01"  # time of the marker that closes a stream; events lie before it
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_stream(spark: SparkSession, path: str, schema, name: str = "*.parquet", max_files: int = 1000) -> DataFrame:
@@ -20,6 +27,21 @@ def read_stream(spark: SparkSession, path: str, schema, name: str = "*.parquet",
         .option("maxFilesPerTrigger", max_files).parquet(path)
 
 
+def table_stream(spark: SparkSession, folder: str, name: str, schema, max_files: int = 1000) -> DataFrame:
+    """A table as a stream, whether it is one file ``folder/name`` or a folder of part files of that name."""
+    path = f"{folder}/{name}"
+    return read_stream(spark, path, schema, max_files=max_files) if is_folder(spark, path) \
+        else read_stream(spark, folder, schema, name, max_files)
+
+
+def watermarked(stream: DataFrame, ts: str, lateness: str) -> DataFrame:
+    """The stream with its watermark, without the marker that ``run_closed`` adds.
+
+    The condition is on the event time, so it stays above the watermark and the marker counts for it.
+    """
+    return stream.withWatermark(ts, lateness).where(F.col(ts) < F.lit(END).cast("timestamp"))
+
+
 def run_available(stream: DataFrame, path: str, checkpoint: str | None = None) -> StreamingQuery:
     """Process everything that is there into a parquet table, exactly once, then stop."""
     checkpoint = checkpoint or scratch_path(stream.sparkSession, "stream-checkpoint")
@@ -31,8 +53,40 @@ def run_available(stream: DataFrame, path: str, checkpoint: str | None = None) -
     return query
 
 
+def run_open(stream: DataFrame, make, ts: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Process what is there of ``make(stream)`` and keep the stream open for more and for ``close_stream``."""
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{checkpoint}-end")
+    marks = read_stream(spark, f"{checkpoint}-end", stream.schema)
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKS)  # timers and state variables need it
+    try:
+        return run_available(make(stream.unionByName(marks)), path, checkpoint)
+    finally:
+        spark.conf.set(PROVIDER, before)
+
+
+def close_stream(stream: DataFrame, make, ts: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Add the marker and let the stream emit all that is open; later events would be late."""
+    spark = stream.sparkSession
+    marker = [(F.lit(END) if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name) for f in stream.schema.fields]
+    spark.range(1).select(*marker).write.mode("append").parquet(f"{checkpoint}-end")
+    return run_open(stream, make, ts, path, checkpoint)
+
+
+def run_closed(stream: DataFrame, make, ts: str, path: str, checkpoint: str | None = None) -> tuple[DataFrame, int]:
+    """All rows of ``make(stream)`` from the first event to the last, and the number of rows dropped as late.
+
+    ``make`` sets the watermark by ``watermarked``.
+    """
+    checkpoint = checkpoint or scratch_path(stream.sparkSession, "stream-checkpoint")
+    queries = [run(stream, make, ts, path, checkpoint) for run in (run_open, close_stream)]
+    rows = stream.sparkSession.read.schema(make(stream).schema).parquet(path)
+    return rows, sum(dropped_rows(q) for q in queries)
+
+
 def dropped_rows(query: StreamingQuery) -> int:
-    """Rows the watermark dropped over the recorded progress."""
+    """Rows the watermark dropped over the recorded progress; before a window, those of one task and window count once."""
     return sum(
         op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators
     )
@@ -41,76 +95,19 @@ def dropped_rows(query: StreamingQuery) -> int:
 def stream_windows(stream: DataFrame, series: str, ts: str, value: str, step: str, lateness: str) -> DataFrame:
     """Mean, maximum and count per series and window, emitted when the window closes."""
     return (
-        stream.withWatermark(ts, lateness)
+        watermarked(stream, ts, lateness)
         .groupBy(series, F.window(ts, step).alias("w"))
         .agg(F.avg(value).alias("mean_value"), F.max(value).alias("max_value"), F.count("*").alias("n_samples"))
         .select(series, F.col("w.start").alias("window_start"), "mean_value", "max_value", "n_samples")
     )
 
 
-def with_open(closed: DataFrame, rows: DataFrame, ts: str, start: str, step: str, make) -> DataFrame:
-    """Closed windows of a stream plus those it still held open when it ended, made from ``rows``, the same events in batch.
-
-    Windows close in the order of their starts, so everything after the last closed start is open.
-    """
-    last = closed.agg(F.max(start).alias("last")).first()["last"]
-    left = rows if last is None else rows.where(F.col(ts) >= F.lit(last) + F.expr(f"INTERVAL {step}"))
-    return closed.unionByName(make(left))
-
-
-def with_open_sessions(closed: DataFrame, rows: DataFrame, series: str, ts: str, make) -> DataFrame:
-    """Ended sessions plus, per series, those after the last ended one."""
-    last = closed.groupBy(series).agg(F.max("last_ts").alias("__last"))
-    left = rows.join(last, series, "left").where(F.col("__last").isNull() | (F.col(ts) > F.col("__last"))).drop("__last")
-    return closed.unionByName(make(left))
-
-
 def stream_sessions(stream: DataFrame, series: str, ts: str, gap: str, lateness: str) -> DataFrame:
     """Runs of a series without a pause longer than ``gap``: span, count, mean CPU, peak RAM."""
     return (
-        stream.withWatermark(ts, lateness)
+        watermarked(stream, ts, lateness)
         .groupBy(series, F.session_window(ts, gap).alias("w"))
         .agg(F.count("*").alias("n_samples"), F.avg("cpu_percent").alias("average_cpu_percent"),
              F.max("ram_mb").alias("peak_ram_mb"), F.max(ts).alias("last_ts"))
         .select(series, F.col("w.start").alias("run_start"), "last_ts", "n_samples", "average_cpu_percent", "peak_ram_mb")
     )
-
-
-def stream_energy_pieces(stream: DataFrame, series: str, ts: str, watts: str, piece: str, lateness: str) -> DataFrame:
-    """Energy inside short time pieces of a series, with the samples at both ends.
-
-    Energy needs the order of samples. State keeps the samples of one short
-    piece only, whatever the length of the series; ``join_pieces`` then adds the
-    steps between pieces.
-    """
-    sample = F.struct(F.col("t"), F.col(watts).alias("w"))
-    pieces = (
-        stream.withColumn("t", F.unix_micros(ts)).withWatermark(ts, lateness)
-        .groupBy(series, F.window(ts, piece).alias("w"))
-        .agg(F.sort_array(F.collect_list(sample)).alias("s"))
-    )
-    step = F.expr(
-        "aggregate(slice(s, 2, size(s)), named_struct('e', 0.0D, 't', s[0].t), "
-        "(a, x) -> named_struct('e', a.e + x.w * (x.t - a.t) / 1000000 / 3600, 't', x.t), a -> a.e)"
-    )
-    return pieces.select(
-        series, F.col("w.start").alias("piece_start"), F.size("s").cast("bigint").alias("n_samples"),
-        F.expr("s[0].t").alias("first_t"), F.expr("s[0].w").alias("first_watts"),
-        F.expr("element_at(s, -1).t").alias("last_t"), step.alias("inner_wh"),
-    )
-
-
-def join_pieces(pieces: DataFrame, series: str) -> DataFrame:
-    """Energy, sample count and runtime per series from the written pieces.
-
-    The step into a piece starts at the end of the piece before it; a series may
-    have any number of pieces.
-    """
-    rows = neighbour(order_buckets(pieces, "first_t"), [series], ["first_t"], {"before_t": F.col("last_t")}).drop(BUCKET)
-    gap = (F.col("first_t") - F.col("before_t")) / 1_000_000 / 3600
-    rows = rows.withColumn("cross", F.coalesce(F.col("first_watts") * gap, F.lit(0.0)))
-    return rows.groupBy(series).agg(
-        F.sum("n_samples").alias("n_samples"),
-        ((F.max("last_t") - F.min("first_t")) / 1_000_000).alias("runtime_seconds"),
-        F.sum(F.col("inner_wh") + F.col("cross")).alias("energy_wh"),
-    )

@@ -95,12 +95,6 @@ def test_label_index(spark):
     assert {(r.label, r.label_index) for r in pr.index_labels(df, ["spam", "amigo"], "label", "spam").collect()} == {("spam", 1), ("amigo", 0)}
 
 
-def test_upsert_latest_version_wins(spark):
-    base = spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "id int, v string, ver int")
-    new = spark.createDataFrame([(2, "c", 1), (2, "d", 2), (3, "e", 1)], "id int, v string, ver int")
-    assert sorted((r.id, r.v) for r in sinks.upsert(base, new, "id", "ver").collect()) == [(1, "a"), (2, "d"), (3, "e")]
-
-
 def test_plan_shares_follow_the_weights(spark):
     plan = pl.corpus_plan(spark.range(20_000), "id")
     n = {r.class_label: r["count"] for r in plan.groupBy("class_label").count().collect()}

@@ -83,20 +83,6 @@ def at(seconds):
     return dt.datetime(2024, 1, 1) + dt.timedelta(seconds=seconds)
 
 
-def test_streamed_energy_equals_batch_over_many_batches(spark, tmp_path):
-    points = [(0, 5), (30, 6), (90, 7), (200, 1), (400, 9), (2000, 0)]
-    src = str(tmp_path / "in")
-    for i in range(0, len(points), 2):
-        write_events(spark, src, [("s", at(t), float(w)) for t, w in points[i : i + 2]])
-    stream = sr.read_stream(spark, src, "series string, ts timestamp, watts double", max_files=1)
-    out = sr.stream_energy_pieces(stream, "series", "ts", "watts", "1 minute", "5 seconds")
-    sr.run_available(out, str(tmp_path / "out"))
-    row = sr.join_pieces(spark.read.parquet(str(tmp_path / "out")), "series").first()
-    closed = [p for p in points if p[0] < 1900]
-    want = sum(w * (t - closed[i][0]) / 3600 for i, (t, w) in enumerate(closed[1:]))
-    assert row.n_samples == len(closed) and row.energy_wh == pytest.approx(want)
-
-
 def test_restart_resumes_without_repeats(spark, tmp_path):
     src, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
     write_events(spark, src, [("s", at(0), 1.0)])
