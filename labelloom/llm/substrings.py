@@ -40,7 +40,8 @@ from labelloom.session import checked_broadcast, materialize, shuffle_width
 WINDOW = 35
 GRAM = 8
 CHUNK_BYTES = 2 << 20
-BUCKET_BYTES = 24 << 20  # text behind one bucket of hashes
+PART_BYTES = 24 << 20  # text behind one partition of hash buckets
+PER_PART = 6  # buckets per partition, so that partitions are even
 EDGE, NONE, MIXED = np.uint64(1), np.uint64(2), np.uint64(0)
 REPEATED, ONE_NEXT, ONE_BEFORE = 1, 2, 4
 _LOW = np.uint64(0xFFFFFFFF)
@@ -103,7 +104,7 @@ class Chunk:
         fresh = np.ones(len(place), bool)
         fresh[1:] = place[1:] != place[:-1]
         self.run = np.cumsum(fresh) - 1
-        self.grams = gram[place[fresh]]
+        self.grams = mix(gram[place[fresh]])  # the smallest hashes lie close together, their own hashes do not
 
     def candidates(self, bounds, answers) -> np.ndarray:
         """Indices of the windows whose minimiser is repeated, by the buckets' answers."""
@@ -190,7 +191,7 @@ def _per_chunk(rows: DataFrame, schema: str, make) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _asked(dealt: DataFrame, buckets: int, name: str, answer) -> DataFrame:
+def _asked(dealt: DataFrame, parts: int, name: str, answer) -> DataFrame:
     """Answers of the buckets by chunk: (chunk, answers), written."""
 
     def run(batches):
@@ -203,7 +204,7 @@ def _asked(dealt: DataFrame, buckets: int, name: str, answer) -> DataFrame:
                            said=pa.array([said[e - s:e].tobytes() for s, e in zip(size, ends)], pa.binary()),
                            any=np.add.reduceat(said, ends - size, dtype=np.int64) > 0)
 
-    said = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket") \
+    said = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket") \
         .mapInArrow(run, "chunk long, bucket int, said binary, any boolean").where("any")
     return materialize(said.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "said")).alias(name)), name)
 
@@ -224,7 +225,7 @@ def _repeated_grams(table: DataFrame, bounds: np.ndarray) -> DataFrame:
         return said
 
     dealt = _per_chunk(table, "bucket int, chunk long, keys binary, twice binary", send)
-    return _asked(dealt, len(bounds) + 1, "gram_answers", answer)
+    return _asked(dealt, (len(bounds) + 1) // PER_PART, "gram_answers", answer)
 
 
 def _edge_verdicts(candidates: DataFrame, bounds: np.ndarray) -> DataFrame:
@@ -249,7 +250,7 @@ def _edge_verdicts(candidates: DataFrame, bounds: np.ndarray) -> DataFrame:
         return said
 
     dealt = _per_chunk(candidates, "bucket int, chunk long, keys binary, twice binary, after binary, before binary", send)
-    return _asked(dealt, len(bounds) + 1, "edge_answers", answer)
+    return _asked(dealt, (len(bounds) + 1) // PER_PART, "edge_answers", answer)
 
 
 def _paths(judged: DataFrame, bounds: np.ndarray) -> DataFrame:
@@ -283,7 +284,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     table = materialize(_chunked(docs, id_col, text_col), "chunks")
     size = table.agg(F.sum("size")).first()[0] or 0
-    bounds = _bounds(max(shuffle_width(spark), size // BUCKET_BYTES))
+    bounds = _bounds(PER_PART * max(shuffle_width(spark), size // PART_BYTES))
     grams = _repeated_grams(table, bounds)
     candidates = table.drop("ids").join(grams.hint("merge"), "chunk")
     edges = _edge_verdicts(candidates, bounds)

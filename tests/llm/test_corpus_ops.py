@@ -72,7 +72,7 @@ def test_windows_with_branches_loops_and_hot_passages(spark):
 def test_windows_across_many_chunks(spark, monkeypatch):
     pairs = [(k, t) for s in range(5) for k, t in edge.rows(s % 3)]
     monkeypatch.setattr(substrings, "CHUNK_BYTES", 2000)
-    monkeypatch.setattr(substrings, "BUCKET_BYTES", 2000)
+    monkeypatch.setattr(substrings, "PART_BYTES", 2000)
     assert spark_windows(spark, pairs) == without_windows(pairs)
 
 
