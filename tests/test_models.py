@@ -107,9 +107,22 @@ def test_cv_predicts_every_row_once(corpus):
 def test_search_orders_trials(corpus):
     table = md.feature_table(corpus.where("label <> 'verbo'"), "bow", LABELS[:2], "doc_id").drop("split")
     folds = kfold(table.select("doc_id", "label"), "label", "doc_id", 2).select("doc_id", "fold")
-    found = md.search(materialize(table.join(folds, "doc_id")), LABELS[:2], "doc_id", trials=2, families=("logreg",),
-                      limits={"logreg": {"maxIter": 20}})
-    assert found[0]["score"] >= found[1]["score"] and found[0]["n_folds"] == 2
+    found = md.search(materialize(table.join(folds, "doc_id")), LABELS[:2], "doc_id", trials=6, families=("logreg",))
+    assert [r["n_folds"] for r in found] == [2] * 6 and {r["trial"] for r in found} == set(range(6))
+    assert all(a["score"] >= b["score"] for a, b in zip(found, found[1:]))
+    assert all(r["params"] == md.draw_trial(r["trial"], families=("logreg",))[1] for r in found)
+    assert found[0]["score"] > 0.95
+
+
+def test_search_bounds_the_tree_fits(corpus, monkeypatch):
+    fits = []
+    monkeypatch.setattr(md, "draw_trial", lambda t, *a: ("gbt", {"maxIter": 3 - t, "maxDepth": 2}) if t else ("logreg", {"C": 1.0, "maxIter": 9}))
+    real = md.fit
+    monkeypatch.setattr(md, "fit", lambda est, train, n: fits.append(est.getMaxIter()) or real(est, train, n))
+    table = md.feature_table(corpus.where("label <> 'verbo'"), "bow", LABELS[:2], "doc_id").drop("split")
+    folds = kfold(table.select("doc_id", "label"), "label", "doc_id", 3).select("doc_id", "fold")
+    found = md.search(materialize(table.join(folds, "doc_id")), LABELS[:2], "doc_id", trials=3, tree_trials=1, tree_folds=2, metric="accuracy")
+    assert fits == [1, 1] and {(r["trial"], r["n_folds"]) for r in found} == {(0, 3), (2, 2)}
 
 
 def test_search_query_refits_the_winner(spark, sf, monkeypatch):
