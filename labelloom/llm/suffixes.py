@@ -32,19 +32,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from labelloom.llm.batches import batch_of, chunks
-from labelloom.session import materialize, shuffle_width
+from labelloom.session import checked_broadcast, materialize, shuffle_width
 
 LENGTH = 200
 GRAM, BLOCK = 64, 69  # anchors are grams; at most BLOCK string starts share a block
-NARROW, HOT_CORE = 8, 1000  # a core with more rows is cut into blocks of NARROW starts
+HOT_CORE = 1000  # the strings of a core with more rows are counted one by one, without meeting in a task
 CORE = LENGTH - BLOCK + 1
 SEGMENT = 1 << 18
 SAMPLE = 2000  # documents whose leading tokens give the splitters
 BUCKET_ROWS = 400_000
 NO_ID = -(1 << 63)
 _TABLE = np.random.default_rng(20240517).integers(0, 2**64, 256, dtype=np.uint64)
+_COUNT = (1 << 32) - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-REF = "id long, place long"
+REF = "id long, tag long, place long"
 
 
 def _pair(a, b):
@@ -101,17 +102,17 @@ def _segments(texts: pa.Array):
 
 
 def _tagged(docs: DataFrame, id_col, text_col, carry=()) -> DataFrame:
-    """(id, tag, text): the tag tells texts of equal ids apart. Carried columns follow as one struct."""
+    """(id, tag, text): the tag, 64 bits of the text's hash, tells texts of equal ids apart. Carried columns follow as one struct."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    tag = F.xxhash64(text).bitwiseAND((1 << 23) - 1)
+    tag = F.xxhash64(text)
     more = [F.struct(*[F.col(c) for c in carry]).alias("rest")] if carry else []
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), tag.alias("tag"), text.alias("text"), *more)
 
 
 def _block_rows(tagged: DataFrame, splitters: np.ndarray | None = None) -> DataFrame:
-    """Blocks as (core, whole, id, place) with the bucket of their leading token, or -1 - bucket where that spans several.
+    """Blocks as (core, whole, id, tag, place) with the bucket of their leading token, or -1 - bucket where that spans several.
 
-    A place holds the first start, the count and the document's tag.
+    A place holds the first start and the count.
     """
 
     def run(batches):
@@ -121,17 +122,17 @@ def _block_rows(tagged: DataFrame, splitters: np.ndarray | None = None) -> DataF
                 row, first, count, _, core, whole = blocks(data, off)
                 if not len(row):
                     continue
-                id_, place = ids[i + row], ((first - off[row] + base) << 32) | (count << 23) | tags[i + row]
+                id_, tag, place = ids[i + row], tags[i + row], ((first - off[row] + base) << 32) | count
                 if splitters is None:
                     bucket = np.zeros(len(core), np.int32)
                 else:
                     lo = np.searchsorted(splitters, core, "left")
                     wide = np.searchsorted(splitters, core, "right") - lo
                     # A leading token equal to several splitters is dealt to all buckets they bound.
-                    turn = (id_.view(np.uint64) * _ODD ^ place.view(np.uint64)) * _ODD >> np.uint64(33)
+                    turn = ((id_ ^ tag).view(np.uint64) * _ODD ^ place.view(np.uint64)) * _ODD >> np.uint64(33)
                     share = (turn % (wide + 1).astype(np.uint64)).astype(np.int64)
                     bucket = np.where(wide > 1, -1 - (lo + share), lo).astype(np.int32)
-                yield batch_of(core=core.view(np.int64), whole=whole.view(np.int64), id=id_, place=place, bucket=bucket)
+                yield batch_of(core=core.view(np.int64), whole=whole.view(np.int64), id=id_, tag=tag, place=place, bucket=bucket)
 
     return tagged.select("id", "tag", "text").mapInArrow(run, f"core long, whole long, {REF}, bucket int")
 
@@ -178,7 +179,7 @@ def _verdicts(rows: DataFrame, width: int) -> DataFrame:
         keep = np.flatnonzero(kind)
         for i in range(0, len(keep), 1 << 17):
             k = keep[i:i + (1 << 17)]
-            yield batch_of(id=t["id"].to_numpy()[order[k]], place=t["place"].to_numpy()[order[k]], kind=kind[k])
+            yield batch_of(**{c: t[c].to_numpy()[order[k]] for c in ("id", "tag", "place")}, kind=kind[k])
 
     return rows.repartition(width, "bucket").mapInArrow(run, f"{REF}, kind int")
 
@@ -206,7 +207,7 @@ def _strings(joined: DataFrame) -> DataFrame:
                 out = []
                 # The text's part around each block gives its anchor again.
                 for p, k in zip(place.tolist(), kind.tolist()):
-                    first, count = p >> 32, (p >> 23) & 0x1FF
+                    first, count = p >> 32, p & _COUNT
                     string = raw[first:first + count - 1 + LENGTH]
                     out.append((string, p, k))
                 data = np.frombuffer(b"".join(s for s, _, _ in out), np.uint8)
@@ -215,7 +216,7 @@ def _strings(joined: DataFrame) -> DataFrame:
                 at = np.searchsorted(row, np.arange(len(out)))
                 yield batch_of(
                     core=core[at].view(np.int64), string=pa.array([s for s, _, _ in out], pa.binary()),
-                    reach=reach[at].astype(np.int32), id=np.full(len(out), ids[r]), place=place,
+                    reach=reach[at].astype(np.int32), id=np.full(len(out), ids[r]), tag=np.full(len(out), tags[r]), place=place,
                     kind=kind.astype(np.int32))
 
     return joined.mapInArrow(run, f"core long, string binary, reach int, {REF}, kind int")
@@ -270,57 +271,53 @@ def compare_strings(core, strings, reach, weight, block: int = BLOCK):
     return flags
 
 
-def _narrower(strings: DataFrame) -> DataFrame:
-    """Rows cut into rows of at most NARROW starts, whose longer cores tell near copies apart."""
-    size = LENGTH - NARROW + 1
+def _counted(strings: DataFrame) -> DataFrame:
+    """Places of the strings of kind 2 rows that occur elsewhere, each string counted by a digest of its bytes.
+
+    For cores with very many rows, as of a passage in a large share of the documents: equal strings are added up before
+    the shuffle, and those that stand alone are taken out by place, so no core and no string gathers its rows.
+    """
 
     def run(batches):
         for batch in batches:
-            out = []
-            for string, reach, id_, place, kind in zip(*[batch.column(c).to_pylist() for c in (
-                    "string", "reach", "id", "place", "kind")]):
-                first, count, tag = place >> 32, (place >> 23) & 0x1FF, place & ((1 << 23) - 1)
-                # Starts lie reach, reach - 1, ... bytes before the core.
-                for part in range((reach - count + 1) // NARROW, reach // NARROW + 1):
-                    far = min(reach, part * NARROW + NARROW - 1)
-                    near = max(reach - count + 1, part * NARROW)
-                    some = string[reach - far:reach - near + LENGTH]
-                    own = far - part * NARROW
-                    core = xxhash.xxh64_intdigest(some[own:own + size], part) - (1 << 63)
-                    out.append((core, some, own, id_, ((first + reach - far) << 32) | ((far - near + 1) << 23) | tag, kind))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), batch.schema)], schema=batch.schema)
-
-    return strings.mapInArrow(run, strings.schema)
+            for string, reach, id_, tag, place, kind in zip(*[batch.column(c).to_pylist() for c in (
+                    "string", "reach", "id", "tag", "place", "kind")]):
+                first, n = place >> 32, place & _COUNT
+                yield batch_of(
+                    digest=pa.array([xxhash.xxh3_128_digest(string[j:j + LENGTH]) for j in range(n)], pa.binary()),
+                    id=np.full(n, id_), tag=np.full(n, tag), place=((first + np.arange(n)) << 32) | 1,
+                    weight=np.full(n, 2 if kind == 3 else 1), kind=np.full(n, kind, np.int32))
 
+    each = materialize(strings.mapInArrow(run, f"digest binary, {REF}, weight long, kind int"), "hot-strings")
+    lone = each.groupBy("digest").agg(F.sum("weight").alias("n"), *[F.min(c).alias(c) for c in ("id", "tag", "place")])
+    lone = lone.where("n = 1").select("id", "tag", "place")
+    return each.where("kind = 2").join(lone, ["id", "tag", "place"], "left_anti").select("id", "tag", "place")
 
-def _open_strings(strings: DataFrame, width: int) -> DataFrame:
-    """Places (first start, count, tag) of the strings of kind 2 blocks that occur elsewhere.
 
-    Cores with very many rows, as of a passage in a large share of the documents, are cut into narrower blocks first.
-    """
+def _open_strings(strings: DataFrame, width: int) -> DataFrame:
+    """Places (first start, count) of the strings of kind 2 blocks that occur elsewhere."""
     hot = materialize(strings.groupBy("core").count().where(F.col("count") > HOT_CORE).select("core"), "hot")
     if hot.isEmpty():
-        return _judged(strings, width, BLOCK)
-    cold = _judged(strings.join(hot, "core", "left_anti"), width, BLOCK)
-    return cold.unionByName(_judged(_narrower(strings.join(hot, "core", "left_semi")), width, NARROW))
+        return _judged(strings, width)
+    cold = _judged(strings.join(checked_broadcast(hot), "core", "left_anti"), width)
+    return cold.unionByName(_counted(strings.join(checked_broadcast(hot), "core", "left_semi")))
 
 
-def _judged(strings: DataFrame, width: int, block: int) -> DataFrame:
+def _judged(strings: DataFrame, width: int) -> DataFrame:
     dealt = strings.repartition(width, "core").sortWithinPartitions("core")
 
     def judge(t):
         place, kind = t["place"].to_numpy(), t["kind"].to_numpy()
         reach = t["reach"].to_numpy().astype(np.int64)
         flags = compare_strings(t["core"].to_numpy().view(np.uint64), t["string"].to_pylist(), reach,
-                                np.where(kind == 3, 2, 1), block)
+                                np.where(kind == 3, 2, 1))
         flags[kind == 3] = False
         # Column j of row i starts j bytes before the core; runs of set columns are runs of starts.
         step = np.diff(np.pad(flags, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         row, lo = np.nonzero(step == 1)
         _, hi = np.nonzero(step == -1)
         first = (place[row] >> 32) + reach[row] - (hi - 1)
-        return batch_of(id=t["id"].to_numpy()[row], place=(first << 32) | ((hi - lo) << 23) | (place[row] & ((1 << 23) - 1)))
+        return batch_of(id=t["id"].to_numpy()[row], tag=t["tag"].to_numpy()[row], place=(first << 32) | (hi - lo))
 
     def run(batches):
         left = None
@@ -349,13 +346,11 @@ def repeated_places(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
     documents = docs.select(id_col).count()
     splitters, width = _splitters(tagged, documents, shuffle_width(spark))
     kinds = materialize(_verdicts(_block_rows(tagged, splitters), width), "verdicts")
-    kinds = kinds.withColumn("tag", F.col("place").bitwiseAND((1 << 23) - 1))
     width = max(shuffle_width(spark), width)
     compared = kinds.where("kind > 1").groupBy("id", "tag").agg(F.collect_list(F.struct("place", "kind")).alias("p"))
     compared = compared.select("id", "tag", F.col("p.place").alias("place"), F.col("p.kind").alias("kind"))
     joined = tagged.join(compared, ["id", "tag"]).select("id", "tag", "text", "place", "kind")
     opened = _open_strings(materialize(_strings(joined), "strings"), width)
-    opened = opened.withColumn("tag", F.col("place").bitwiseAND((1 << 23) - 1))
     whole = kinds.where("kind <> 2").select("id", "place", "tag")
     return whole.unionByName(opened.select("id", "place", "tag")).groupBy("id", "tag").agg(
         F.collect_set("place").alias("places"))
@@ -380,7 +375,7 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", carry=())
                     p = np.array(places[r].as_py() or [], np.int64)
                     step = np.zeros(len(own) + 1, np.int32)
                     np.add.at(step, p >> 32, 1)
-                    np.add.at(step, (p >> 32) + ((p >> 23) & 0x1FF) - 1 + LENGTH, -1)
+                    np.add.at(step, (p >> 32) + (p & _COUNT) - 1 + LENGTH, -1)
                     gone = np.cumsum(step[:-1]) > 0
                     edge = np.diff(np.pad(gone, 1).astype(np.int8))
                     size.append(len(own))

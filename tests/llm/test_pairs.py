@@ -219,6 +219,15 @@ def test_suffixes_on_small_alphabets_and_edits(spark, monkeypatch, hot):
     check_suffixes(spark, rows, edge.table(spark, rows))
 
 
+def test_suffixes_of_very_many_null_ids(spark):
+    rng = random.Random(6)
+    words = [edge.sentence(rng, 6) for _ in range(400)]
+    rows = [(None if i % 5 else 7, "".join(rng.sample(words, 9))[:rng.randrange(205, 330)]) for i in range(24_000)]
+    shared = "".join(rng.sample(words, 9))[:230]
+    rows += [(None, f"{i:09d}{shared}") for i in range(50)] + [(None, rows[3][1])] * 2
+    check_suffixes(spark, rows, spark.createDataFrame(rows, "doc_id long, text string"))
+
+
 def test_compare_strings_is_exact():
     rng = random.Random(8)
     text = [bytes(rng.choice(b"ab") for _ in range(260)) for _ in range(3)]
