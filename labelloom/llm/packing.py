@@ -3,8 +3,10 @@
 A document's ids end with one closing id. Whole windows are cut off its front; the rest goes to
 the fill level that keeps the sum of squared counts of partially filled windows smallest, read off
 a level array. Each task packs the documents it reads, so nothing is gathered;
-when its input ends (or more than ``OPEN_MOST`` windows are open) the emptiest open windows are
-cut up to fill the fullest, which leaves one padded window per task at most.
+when its input ends the emptiest open windows are cut up to fill the fullest, which leaves one padded window per task at
+most. The rule keeps about as many windows open as would fill the levels once, some hundreds.
+
+Texts that hold the string of one of the tokenizer's added tokens are encoded by the unchanged tokenizer as a whole.
 
 Defined results: a null text counts as empty, and an empty text still has its closing id;
 repeated rows are packed one by one; a null id stays null.
@@ -24,7 +26,6 @@ from pyspark.sql import functions as F
 from labelloom.llm.batches import batch_of, chunks
 
 WINDOW, CLOSING = 2048, 1
-OPEN_MOST = 512
 CACHED_WORDS = 1_500_000
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # the apostrophe starts units of its own
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -42,7 +43,9 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True  # parts of their strings in a word are ordinary text
+        self.whole = Tokenizer.from_file(path)
+        self.added = [t.content.lower().encode() for t in self.whole.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
         self.most = most
         vocabulary = self.tokenizer.get_vocab()
@@ -88,8 +91,17 @@ class WordIds:
             self.known.update(new)
         return new
 
-    def of(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.lower().split() for t in texts]
+    def of(self, given: list[bytes]) -> list[bytes]:
+        texts = [t.lower() for t in given]
+        marked = {i: raw for i, (raw, t) in enumerate(zip(given, texts)) if any(a in t for a in self.added)}
+        split = [[] if i in marked else t.split() for i, t in enumerate(texts)]
+        out = self._joined(split)
+        for i, raw in marked.items():
+            ids = self.whole.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids
+            out[i] = np.array(ids, "<u4").tobytes()
+        return out
+
+    def _joined(self, split: list[list[bytes]]) -> list[bytes]:
         fresh = set().union(*split).difference(self.known)
         look = self.known
         if fresh:
@@ -144,9 +156,9 @@ class Levels:
         self.put(level + n, window)
         return None
 
-    def settle(self, leave: int):
-        """Cut up the emptiest open windows to fill the fullest until at most ``leave`` are open; yields full ones."""
-        while self.open > leave:
+    def settle(self):
+        """Cut up the emptiest open windows to fill the fullest until one is open at most; yields full ones."""
+        while self.open > 1:
             levels = np.flatnonzero(self.counts)
             top, bottom = int(levels[-1]), int(levels[0])
             target, source = self.take(top), self.take(bottom)
@@ -167,7 +179,7 @@ class Levels:
                 yield target
 
     def drain(self):
-        yield from self.settle(1)
+        yield from self.settle()
         for level in np.flatnonzero(self.counts):
             while self.counts[level]:
                 yield self.take(int(level))
@@ -216,9 +228,6 @@ def pack(docs: DataFrame, id_col="doc_id", text_col="text", path: str = TOKENIZE
                         full = levels.place((key, cut, ids[4 * cut:], total))
                         if full:
                             close(full)
-                        if levels.open > OPEN_MOST:
-                            for full in levels.settle(OPEN_MOST // 2):
-                                close(full)
                 if done:
                     yield rows()
         for left in levels.drain():

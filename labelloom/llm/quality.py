@@ -111,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
                     yield batch_of(key=batch.column("key").slice(i + r, 1), y=batch.column("y").slice(i + r, 1),
                                    slots=pa.array([slots.tobytes()]), values=pa.array([values.tobytes()]))
 
-    table = sample.mapInArrow(extract, "key long, y int, slots binary, values binary").toArrow()
+    table = sample.withColumn("key", F.col("key").cast("string")).mapInArrow(extract, "key string, y int, slots binary, values binary").toArrow()
     return linear.fit(table, share, 2 << BITS, scale=30.0, steps=60)
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -14,6 +15,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from labelloom.llm import bpe, linear, lm, packing, quality, toxicity
 from labelloom.llm.catalog import QUERIES
@@ -124,7 +126,7 @@ def test_toxicity_edges(spark):
 
 
 def check_pieces(rows, pieces, window=packing.WINDOW):
-    tok = packing.WordIds(packing.TOKENIZER).tokenizer
+    tok = Tokenizer.from_file(packing.TOKENIZER)  # as it comes
     want = Counter((k, np.array(tok.encode(t or "", add_special_tokens=False).ids + [1], "<u4").tobytes()) for k, t in rows)
     by, seq, total = defaultdict(list), defaultdict(list), 0
     for p in pieces:
@@ -159,6 +161,31 @@ def test_packing_edges(spark):
     assert packing.pack(edge.empty(spark)).count() == 0
 
 
+def test_packing_takes_added_tokens_as_the_tokenizer_does(spark):
+    rows = [(1, "hello <|startoftext|> a"), (2, "in<|endoftext|>side"), (3, "<|STARTOFTEXT|> Upper"), (4, "<|startoftext"), (5, "|> <| plain"),
+            (6, "<|endoftext|><|startoftext|>"), (7, "two\n<|endoftext|>\tlines é")]
+    got = packing.pack(edge.table(spark, rows)).collect()
+    check_pieces(rows, got)
+    assert 49406 in np.frombuffer(next(p.ids for p in got if p.doc_id == 1), "<u4")
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "long"])
+def test_labelled_fits_take_ids_of_any_type(spark, kind):
+    rng = random.Random(3)
+    rows = [(i, edge.sentence(rng, 30) + (" vile awful" if i % 3 == 0 else " nice fine")) for i in range(90)]
+    make = str if kind == "string" else int
+    docs = spark.createDataFrame([(make(k), t) for k, t in rows], f"doc_id {kind}, text string")
+    labels = spark.createDataFrame([(make(k), int(k % 3 > 0), int(k % 3 == 0)) for k, _ in rows], f"doc_id {kind}, quality int, toxic int")
+    judged = quality.judge(docs, quality.fit(docs, labels))
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
+    assert judged.count() == scored.count() == 90 and judged.schema["doc_id"].dataType == scored.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    # The fit depends on the ids' text alone.
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    same = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic")
+    want = {str(r.doc_id): r.score for r in toxicity.score(plain, toxicity.fit(plain, same)).collect()}
+    assert {str(r.doc_id): r.score for r in scored.collect()} == pytest.approx(want, abs=1e-6)
+
+
 def test_packing_pads_one_window_per_task(spark):
     rows = [(i, edge.sentence(__import__("random").Random(i), 40 + i % 200)) for i in range(400)]
     got = packing.pack(edge.table(spark, rows).coalesce(1)).collect()
@@ -183,7 +210,7 @@ def test_levels_pick_the_smallest_sum_of_squares():
         assert costs[level] == min(costs.values())
         levels.place((0, 0, b"\0" * 4 * n, n))
         assert sum(len(s) for s in levels.stacks.values()) == levels.open == levels.counts[1:64].sum()
-    for _ in levels.settle(1):
+    for _ in levels.settle():
         pass
     assert levels.open <= 1
 
