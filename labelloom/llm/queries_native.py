@@ -33,7 +33,7 @@ def op7_secret_scan(spark, d):
     """Secrets of every document: counts of the base kinds, their digest, and all spans."""
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
     found = secrets.scan(docs)
-    spans = F.col("secret_spans")
+    spans = F.col(secrets.SPANS)
 
     def number(kind):
         return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
@@ -44,28 +44,32 @@ def op7_secret_scan(spark, d):
 
 
 _ESC = r"replace(replace(replace(text, '\', '\b'), '<', '\l'), '#', '\h')"
+_STEPS = ", ".join(f"'{a}>{b}'" for a, nexts in chat.TEMPLATE.follows.items() for b in nexts)
+_LAST = ", ".join(f"'{r}'" for r in chat.TEMPLATE.last)
 _SAID = "coalesce(role, '') || chr(10) || coalesce(text, '') || chr(10)"
 
 
 @query("op9_chat_format", f"""WITH c AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
     UNION ALL SELECT -7, 0, 'user', '{PROBE_TEXT}' UNION ALL SELECT -7, 1, 'assistant', '{PROBE_TEXT}')
+  , o AS (SELECT *, row_number() OVER w - 1 AS i, coalesce(lag(role) OVER w, '') || '>' || role AS step FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
   SELECT conv_id, count(*) AS n_turns, sha256(string_agg({_SAID}, '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
     coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
     sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
     sum(4 + CASE role WHEN 'system' THEN 6 WHEN 'user' THEN 4 WHEN 'assistant' THEN 9
-        ELSE 2 + length(replace(replace(replace(replace(role, '\\', '\\b'), '<', '\\l'), '#', '\\h'), ':', '\\c')) END + 2 + length({_ESC}) + 8)::BIGINT AS formatted_chars
-  FROM c GROUP BY conv_id""")
+        ELSE 2 + length(replace(replace(replace(replace(role, '\\', '\\b'), '<', '\\l'), '#', '\\h'), ':', '\\c')) END + 2 + length({_ESC}) + 8)::BIGINT AS formatted_chars,
+    min(i) FILTER (step NOT IN ({_STEPS})) AS first_bad, count(*) FILTER (step NOT IN ({_STEPS})) = 0 AND arg_max(role, i) IN ({_LAST}) AS valid_order
+  FROM o GROUP BY conv_id""")
 def op9_chat_format(spark, d):
-    """Every conversation formatted by the template, and what is read back from the result."""
+    """Every conversation formatted by the template, what is read back from the result, and what the machine says of its turn order."""
     rows = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-7, 0, "user", PROBE_TEXT), (-7, 1, "assistant", PROBE_TEXT)],
                                   "conv_id long, turn long, role string, text string")
     chats = chat.format_chats(rows.unionByName(probe))
-    back = chats.select("conv_id", "formatted", chat.read_chats(F.col("formatted")).alias("turns"),
+    back = chats.select("conv_id", "formatted", "valid_order", "first_bad", chat.read_chats(F.col("formatted")).alias("turns"),
                         chat.trained_text(F.col("segments")).alias("trained"))
     said = F.array_join(F.transform("turns", lambda s: F.concat(s["role"], F.lit("\n"), s["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
         F.length("trained").cast("bigint").alias("loss_chars"), F.sha2(F.col("trained"), 256).alias("loss_sha256"),
-        F.length("formatted").cast("bigint").alias("formatted_chars"))
+        F.length("formatted").cast("bigint").alias("formatted_chars"), "first_bad", "valid_order")

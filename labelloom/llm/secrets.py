@@ -52,6 +52,7 @@ MORE = (
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
 )
 RULES = BASE + MORE
+SPANS = "_llm_secret_spans"  # reserved column name
 
 
 def trigram_query(pattern: str, most: int = 64) -> list[list[frozenset[str]]]:
@@ -131,23 +132,47 @@ def candidates(index: DataFrame, rules=RULES) -> DataFrame:
     return own.select("id", F.array_compact(kinds).alias("kinds")).where(F.size("kinds") > 0)
 
 
+def _once(value: Column, make) -> Column:
+    """``make`` of a value that is computed once, wherever ``make`` names it."""
+    return F.transform(F.array(value), make)[0]
+
+
+def _blocks(items: Column) -> Column:
+    """The array cut into arrays of about the square root of its size: steps that append to an array stay cheap."""
+    def cut(all_: Column) -> Column:
+        n = F.size(all_)
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
+        return F.when(n == 0, F.array(all_)).otherwise(
+            F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1)), width), lambda at: F.slice(all_, at, width)))
+
+    return _once(items, cut)
+
+
 def spans_of(text: Column, rule: Rule, order: int) -> Column:
     """Array of (start, stop, order, kind) of one rule's matches in ``text``."""
     pattern = F.lit(rule.pattern)
     gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
     hits = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
     sized = hits if rule.group == 0 else F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length)
-    empty = F.array().cast("array<struct<start:int,stop:int,order:int,kind:string>>")
-    walk = F.aggregate(
-        F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), sized.alias("sized")),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.coalesce(x["hit"], F.lit(0))).alias("at"),
-            F.when(x["sized"] >= rule.least, F.concat(acc["out"], F.array(F.struct(
-                (acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["hit"]).alias("stop"),
-                F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"))))).otherwise(acc["out"]).alias("out")),
-        lambda acc: acc["out"])
-    return walk
+    span = "struct<start:int,stop:int,order:int,kind:string>"
+
+    def walked(block: Column, at: Column) -> Column:
+        """(place after the block, its spans) when the block begins at ``at``."""
+        return F.aggregate(
+            block, F.struct(at.alias("at"), F.array().cast(f"array<{span}>").alias("out")),
+            lambda acc, x: F.struct(
+                (acc["at"] + x["gap"] + F.coalesce(x["hit"], F.lit(0))).alias("at"),
+                F.when(x["sized"] >= rule.least, F.concat(acc["out"], F.array(F.struct(
+                    (acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["hit"]).alias("stop"),
+                    F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"))))).otherwise(acc["out"]).alias("out")))
+
+    def joined(acc: Column, block: Column) -> Column:
+        return _once(walked(block, acc["at"]), lambda here: F.struct(
+            here["at"].alias("at"), F.concat(acc["out"], F.array(here["out"])).alias("out")))
+
+    whole = F.aggregate(_blocks(F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), sized.alias("sized"))),
+                        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{span}>>").alias("out")), joined)
+    return F.flatten(whole["out"])
 
 
 def _scan_pattern(rule: Rule) -> Rule:
@@ -158,23 +183,23 @@ def _scan_pattern(rule: Rule) -> Rule:
 
 
 def scan(docs: DataFrame, id_col="doc_id", text_col="text", rules=RULES) -> DataFrame:
-    """The rows of ``docs`` with ``secret_spans``, an array of (start, stop, order, kind) ordered by start, then rule."""
+    """The rows of ``docs`` with ``SPANS``, an array of (start, stop, order, kind) ordered by start, then rule."""
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     named = {g for q in queries.values() for clause in q for s in clause for g in s}
     found = candidates(postings(docs, named, id_col, text_col), rules).select(
-        F.col("id").alias("_secret_id"), F.col("kinds").alias("_secret_kinds"))
-    rows = docs.join(found, docs[id_col].eqNullSafe(found["_secret_id"]), "left")
+        F.col("id").alias("_llm_secret_id"), F.col("kinds").alias("_llm_secret_kinds"))
+    rows = docs.join(found, docs[id_col].eqNullSafe(found["_llm_secret_id"]), "left")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     none = F.array().cast("array<struct<start:int,stop:int,order:int,kind:string>>")
     parts = []
     for order, rule in enumerate(rules):
         own = _scan_pattern(rule)
-        wanted = F.array_contains("_secret_kinds", rule.kind) if queries[rule.kind] else text.rlike(own.pattern)
+        wanted = F.array_contains("_llm_secret_kinds", rule.kind) if queries[rule.kind] else text.rlike(own.pattern)
         parts.append(F.when(wanted, spans_of(text, own, order)).otherwise(none))
     spans = F.array_sort(F.concat(*parts), lambda a, b: F.when(
         (a["start"] < b["start"]) | (a["start"] == b["start"]) & (a["order"] < b["order"]), -1).otherwise(
         F.when((a["start"] == b["start"]) & (a["order"] == b["order"]), 0).otherwise(1)))
-    return rows.withColumn("secret_spans", spans).drop("_secret_id", "_secret_kinds")
+    return rows.withColumn(SPANS, spans).drop("_llm_secret_id", "_llm_secret_kinds")
 
 
 def written(spans: Column) -> Column:
@@ -184,13 +209,27 @@ def written(spans: Column) -> Column:
 
 
 def masked(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """``text`` with every span, overlapping ones as one, replaced by ``mark``."""
-    kept = F.aggregate(
-        spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(
-            s["start"] < acc["at"],
-            F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), acc["out"].alias("out"))).otherwise(
-            F.struct(s["stop"].alias("at"), F.concat(
-                acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out"))),
-        lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
-    return F.when(F.size(spans) > 0, kept).otherwise(text)
+    """``text`` with every span, overlapping ones as one, replaced by ``mark``.
+
+    Spans come in blocks, and the pieces of a block are cut from its own stretch of the text.
+    """
+    def inside(block: Column, base: Column, stretch: Column) -> Column:
+        """The stretch, which begins at ``base`` and ends with the block's last span, with its marks."""
+        pieces = F.aggregate(
+            block, F.struct(base.alias("at"), F.array().cast("array<string>").alias("out")),
+            lambda acc, s: F.when(
+                s["start"] < acc["at"],
+                F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), acc["out"].alias("out"))).otherwise(
+                F.struct(s["stop"].alias("at"), F.concat(acc["out"], F.array(
+                    F.substr(stretch, acc["at"] - base + 1, s["start"] - acc["at"]), F.lit(mark))).alias("out"))),
+            lambda acc: acc["out"])
+        return F.array_join(pieces, "")
+
+    def joined(acc: Column, block: Column) -> Column:
+        end = F.greatest(acc["at"], F.array_max(F.transform(block, lambda s: s["stop"])))
+        return _once(end, lambda end: F.struct(end.alias("at"), F.concat(acc["out"], F.array(_once(
+            F.substr(text, acc["at"] + 1, end - acc["at"]), lambda stretch: inside(block, acc["at"], stretch)))).alias("out")))
+
+    whole = F.aggregate(_blocks(spans), F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), joined,
+                        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1)))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)

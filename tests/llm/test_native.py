@@ -1,6 +1,8 @@
 """Secret scans and chat formatting: edges, round trips, plans without Python."""
 
+import random
 import re
+import time
 from collections import Counter
 
 import edge
@@ -30,19 +32,19 @@ def plain(text):
 
 def test_spans_equal_plain_python(spark):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(None, TEXTS[3]), (None, TEXTS[5]), (3, TEXTS[5]), (3, TEXTS[3]), (3, TEXTS[3])]
-    got = secrets.scan(edge.table(spark, rows)).select("doc_id", "text", secrets.written(F.col("secret_spans")), "word").collect()
+    got = secrets.scan(edge.table(spark, rows)).select("doc_id", "text", secrets.written(F.col(secrets.SPANS)), "word").collect()
     assert Counter(map(tuple, got)) == Counter((k, t, plain(t), "w") for k, t in rows)
     assert sum(bool(plain(t)) for t in TEXTS) >= 8
 
 
 def test_long_text_with_many_secrets(spark):
     text = " ".join(f"filler{i} password=abcdef{i}" for i in range(3000))
-    got = secrets.scan(edge.table(spark, [(1, text)])).select(secrets.written(F.col("secret_spans"))).first()[0]
+    got = secrets.scan(edge.table(spark, [(1, text)])).select(secrets.written(F.col(secrets.SPANS))).first()[0]
     assert got == plain(text)
 
 
 def test_masked_text(spark):
-    got = secrets.scan(edge.table(spark, list(enumerate(TEXTS)))).select("doc_id", secrets.masked(F.col("text"), F.col("secret_spans"))).collect()
+    got = secrets.scan(edge.table(spark, list(enumerate(TEXTS)))).select("doc_id", secrets.masked(F.col("text"), F.col(secrets.SPANS))).collect()
     text = dict(map(tuple, got))
     assert text[0] is None and text[2] == "nothing here" and text[3] == "id [SECRET] end"
     assert text[12] == "[SECRET] tokens"
@@ -93,6 +95,40 @@ def test_round_trip(spark):
     assert got[1].formatted.startswith("### System: s</turn>\n### User: ")
 
 
+def test_many_matches_in_one_text(spark):
+    piece = 'password = "abcdef12"; x AKIA' + "A" * 16 + " "
+    text = piece * 20_000
+    started = time.time()
+    row = secrets.scan(edge.table(spark, [(1, text)])).select(
+        F.col(secrets.SPANS).alias("s"), secrets.masked(F.col("text"), F.col(secrets.SPANS)).alias("m")).first()
+    assert time.time() - started < 20  # a few seconds on an idle machine; minutes if it grew with the square
+    assert [(x["start"], x["stop"]) for x in row.s] == [(i * len(piece) + a, i * len(piece) + b) for i in range(20_000) for a, b in ((0, 20), (25, 45))]
+    assert row.m == "[SECRET]\"; x [SECRET] " * 20_000
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 5, 8, 9, 10, 17])
+def test_masks_of_few_and_overlapping_spans(spark, n):
+    rng = random.Random(n)
+    text = "".join(rng.choice("abcé😀 ") for _ in range(60))
+    spans = sorted((a, a + rng.randrange(1, 9)) for a in (rng.randrange(50) for _ in range(n)))
+    rows = spark.createDataFrame([(text, [(a, min(b, 60), 0, "k") for a, b in spans])],
+                                 "t string, s array<struct<start:int,stop:int,order:int,kind:string>>")
+    want, at = "", 0
+    for a, b in spans:
+        if a >= at:
+            want += text[at:a] + "[SECRET]"
+        at = max(at, min(b, 60))
+    assert rows.select(secrets.masked(F.col("t"), F.col("s"))).first()[0] == want + text[at:]
+
+
+def test_a_column_of_the_old_name_stays(spark):
+    import corpus_pipeline
+
+    rows = spark.createDataFrame([(1, "password: abcdefgh", "mine", 18)], "doc_id long, text string, secret_spans string, n_chars long")
+    out = corpus_pipeline.secret_scan(spark, rows, None)
+    assert out.columns == rows.columns and out.first().secret_spans == "mine" and "abcdefgh" not in out.first().text
+
+
 def test_state_machine(spark):
     got = chats(spark, ROWS)
     assert {k: r.valid_order for k, r in got.items()} == {1: True, 2: False, 3: False, 4: False, None: False, 5: False}

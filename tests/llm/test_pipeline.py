@@ -44,10 +44,10 @@ def test_repeats_and_secrets_are_gone(stages):
             for t in [test_pairs.np.frombuffer(raw, test_pairs.np.uint8)[~gone].tobytes().decode("utf-8", "ignore")]}
     assert {r.doc_id: r.text for r in stages[3].collect()} == want
     assert all(r.n_chars == len(r.text) for r in stages[4].collect())
-    left = secrets.scan(stages[4]).where(F.size("secret_spans") > 0)
+    left = secrets.scan(stages[4]).where(F.size(secrets.SPANS) > 0)
     assert left.count() == 0
     assert stages[4].count() == stages[3].count()
-    hit = secrets.scan(stages[3]).where(F.size("secret_spans") > 0).select("doc_id")
+    hit = secrets.scan(stages[3]).where(F.size(secrets.SPANS) > 0).select("doc_id")
     assert sorted(stages[4].where("contains(text, '[SECRET]')").select("doc_id").collect()) == sorted(hit.collect())
 
 
