@@ -44,7 +44,7 @@ def secret_scan(spark, docs, sf_dir):
     """Documents with every secret masked."""
     ship_package(spark)
     found = secrets.scan(docs)
-    return _sized(found.withColumn("text", secrets.masked(F.col("text"), F.col("secret_spans"))).select(*docs.columns))
+    return _sized(found.withColumn("text", secrets.masked(F.col("text"), F.col(secrets.SPANS))).select(*docs.columns))
 
 
 def packing(spark, docs, sf_dir):
