@@ -11,6 +11,7 @@ vector neither ask nor answer.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import ceil
@@ -350,48 +351,66 @@ def knn_scores(neighbours: DataFrame, labels: list) -> DataFrame:
     return found.select("query_id", F.inline(shares))
 
 
-def vote_multiset(neighbours: DataFrame, boot: DataFrame, k: int) -> DataFrame:
-    """Bootstrap neighbours: each base row counts as often as it was drawn, up to ``k`` copies.
+def bootstrap_votes(labels: list, drawn: np.ndarray, own: np.ndarray, k: int):
+    """(label index or -1 per iteration, iterations whose list was too short) for one query.
 
-    ``neighbours`` holds a ranked list per query; ``boot`` has (iteration, id,
-    multiplicity). Only out-of-bag queries are kept. ``copies`` is the vote
-    weight and ``reached`` tells whether the list sufficed.
+    ``drawn`` is neighbours x iterations, nearest first: each neighbour counts as often as it was drawn, up to ``k``
+    copies in all. Iterations that drew the query itself (``own``) are no test of it. Ties go to the label
+    whose nearest copy comes first.
     """
-    train = boot.where(F.col("multiplicity") > 0)
-    tests = boot.where(F.col("multiplicity") == 0).select("iteration", F.col("id").alias("query_id"))
-    # base_id has at most one row per iteration, so this join adds one row per iteration and neighbour.
-    rows = neighbours.join(train.withColumnRenamed("id", "base_id"), "base_id")
-    rows = rows.join(tests, ["iteration", "query_id"])
-    before = F.sum("multiplicity").over(
-        W.partitionBy("iteration", "query_id").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
-    )
-    rows = rows.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < k)
-    return rows.withColumn("copies", F.least("multiplicity", F.lit(k) - F.col("before")))
+    before = np.cumsum(drawn, axis=0) - drawn
+    copies = np.minimum(drawn, np.maximum(k - before, 0))
+    places = {x: i for i, x in enumerate(dict.fromkeys(labels))}
+    votes, first = np.zeros((len(places), drawn.shape[1]), np.int64), np.full((len(places), drawn.shape[1]), len(labels))
+    for rank, label in enumerate(labels):
+        i = places[label]
+        votes[i] += copies[rank]
+        first[i] = np.where((copies[rank] > 0) & (first[i] == len(labels)), rank, first[i])
+    best = (votes * (len(labels) + 1) - first).argmax(axis=0)
+    told = (own == 0) & (copies.sum(axis=0) > 0)
+    return np.where(told, best, -1), (own == 0) & (copies.sum(axis=0) < k)
 
 
 def knn_bootstrap(base: DataFrame, boot: DataFrame, k: int, payload: str, vec_id: str = "vec_id",
                   n_rows: int | None = None, start: int | None = None) -> DataFrame:
-    """(iteration, query_id, pred_label) for out-of-bag rows of every iteration.
+    """Confusion counts (iteration, true_label, pred_label, n) of the out-of-bag rows of every iteration.
 
-    One neighbour list serves all iterations. When a list runs out before ``k``
+    ``boot`` has (vec_id, draws), see ``split.bootstrap``. One neighbour list serves all iterations: a query meets the draws
+    of its neighbours once, votes in all iterations at once and leaves counts only. When a list runs out before ``k``
     copies are found its length is doubled, so the vote is exact.
     """
     n_rows = n_rows or base.count()
-    m = min(n_rows - 1, start or 4 * k)
-    boot = materialize(boot, "bootstrap")
-    out_of_bag = boot.where(F.col("multiplicity") == 0).count()
+    m = min(n_rows - 1, start or 8 * k)
+    kind = base.schema[payload].dataType
+    boot = materialize(boot.select(F.col(vec_id).alias("base_id"), "draws"), "bootstrap")
+    own = base.select(F.col(vec_id).alias("query_id"), F.col(payload).alias("true_label")) \
+        .join(boot.withColumnRenamed("base_id", "query_id").withColumnRenamed("draws", "own"), "query_id")
+
+    def vote(batches):
+        counts, short = Counter(), 0
+        for batch in batches:
+            for true, mine, found in zip(*[batch.column(c).to_pylist() for c in ("true_label", "own", "found")]):
+                labels = list(dict.fromkeys(f["payload"] for f in found))
+                drawn = np.stack([np.frombuffer(f["draws"], np.uint8) for f in found]).astype(np.int64)
+                best, few = bootstrap_votes([f["payload"] for f in found], drawn, np.frombuffer(mine, np.uint8), k)
+                short += int(few.sum())
+                for it in np.flatnonzero(best >= 0).tolist():
+                    counts[it, true, labels[best[it]]] += 1
+        rows = [(*cell, n) for cell, n in counts.items()] + ([(-1, None, None, short)] if short else [])
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
+    schema = T.StructType([T.StructField("iteration", T.LongType()), T.StructField("true_label", kind),
+                           T.StructField("pred_label", kind), T.StructField("n", T.LongType())])
+    arrow = to_arrow_schema(schema)
     while True:
-        near = knn(base, base, m, qid=vec_id, bid=vec_id, payload=payload, exclude="id")
-        rows = materialize(vote_multiset(near, boot, k), "boot-votes")
-        full = rows.groupBy("iteration", "query_id").agg(F.sum("copies").alias("c")).where(F.col("c") >= k).count()
-        if m >= n_rows - 1 or full >= out_of_bag:
-            break
+        near = knn(base, base, m, qid=vec_id, bid=vec_id, payload=payload, exclude="id").join(boot, "base_id")
+        lists = near.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "payload", "draws"))).alias("found"))
+        each = lists.join(own, "query_id").select("true_label", "own", "found").mapInArrow(vote, schema)
+        votes = materialize(each.groupBy("iteration", "true_label", "pred_label").agg(F.sum("n").alias("n")), "boot-votes")
+        if m >= n_rows - 1 or votes.where("iteration < 0").isEmpty():
+            return votes.where("iteration >= 0")
         m = min(n_rows - 1, 2 * m)
-    votes = rows.groupBy("iteration", "query_id", "payload").agg(
-        F.sum("copies").alias("votes"), F.min("rank").alias("first_rank")
-    )
-    pick = F.max_by("payload", F.struct("votes", (-F.col("first_rank")).alias("r")))
-    return votes.groupBy("iteration", "query_id").agg(pick.alias("pred_label"))
 
 
 def search(store: DataFrame, vectors: DataFrame, n: int, metadata: list[str], vec_id: str = "vec_id") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,38 +32,71 @@ def kfold(df: DataFrame, label: str, key: str, k: int = 5, seed: int = domain.SE
     return out.drop("__rank", "__rank_total")
 
 
-def draws(spark, n: int, iterations: int, seed: int) -> DataFrame:
-    """``iterations`` x ``n`` draws with replacement: (iteration, pos) with multiplicity."""
-    ids = spark.range(iterations * n)
-    it = F.floor(F.col("id") / n).cast("bigint")
-    slot = F.col("id") % n
-    name = F.concat_ws("-", it.cast("string"), slot.cast("string"))
-    drawn = ids.select(it.alias("iteration"), (draw(name, f"boot{seed}") % n + 1).alias("pos"))
-    return drawn.groupBy("iteration", "pos").agg(F.count("*").alias("multiplicity"))
+POSITIONS = 4096  # rows whose draws are added up together
 
 
 def bootstrap(df: DataFrame, key: str, iterations: int, seed: int = domain.SEED) -> DataFrame:
-    """(iteration, key, multiplicity) for every row and iteration; 0 marks out-of-bag rows.
+    """(key, draws): one byte per iteration, how often the row was drawn in it; 0 marks an out-of-bag row.
 
-    The position of a row is its exact seeded rank over the whole table.
+    Every iteration draws as many rows as there are, with replacement. A row's position is its exact seeded rank over the
+    whole table. Draws travel packed by block of positions, so no row per row and iteration is ever made.
     """
     n = df.count()
     pos = seeded_rank(df.select(key), [], key, seed, "pos").select(key, "pos")
-    every = pos.select(key, "pos", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("it"))
-    every = every.withColumn("iteration", F.col("it").cast("bigint"))
-    drawn = draws(df.sparkSession, n, iterations, seed)
-    return every.join(drawn, ["iteration", "pos"], "left").select(
-        "iteration", key, F.coalesce("multiplicity", F.lit(0)).cast("bigint").alias("multiplicity")
-    )
+    name = lambda i: F.concat_ws("-", i.cast("string"), F.col("id").cast("string"))
+    slots = df.sparkSession.range(n).select(F.transform(
+        F.sequence(F.lit(0), F.lit(iterations - 1)), lambda i: draw(name(i), f"boot{seed}") % n).alias("at"))
+
+    def deal(batches):
+        for batch in batches:
+            at = batch.column(0).flatten().to_numpy()
+            event = at % POSITIONS * iterations + np.tile(np.arange(iterations), batch.num_rows)
+            order = np.argsort(at // POSITIONS, kind="stable")
+            block, event = (at // POSITIONS)[order], event[order].astype(np.int32)
+            first = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else []
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(block[first], pa.int64()), pa.array([e.tobytes() for e in np.split(event, first[1:])], pa.binary())], ["block", "events"])
+
+    def add(batches):
+        block, seen = None, None
+        for batch in batches:
+            for b, events in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if b != block:
+                    if block is not None:
+                        yield packed(block, seen)
+                    block, seen = b, np.zeros(POSITIONS * iterations, np.int64)
+                seen += np.bincount(np.frombuffer(events, np.int32), minlength=len(seen))
+        if block is not None:
+            yield packed(block, seen)
+
+    def packed(block, seen):
+        if seen.max() > 255:
+            raise OverflowError("a row was drawn more than 255 times in one iteration")
+        raw = seen.astype(np.uint8).tobytes()
+        rows = min(POSITIONS, n - block * POSITIONS)
+        return pa.RecordBatch.from_arrays([
+            pa.array(block * POSITIONS + 1 + np.arange(rows), pa.int64()),
+            pa.array([raw[i * iterations:(i + 1) * iterations] for i in range(rows)], pa.binary())], ["pos", "draws"])
+
+    drawn = slots.mapInArrow(deal, "block long, events binary").repartition("block").sortWithinPartitions("block") \
+        .mapInArrow(add, "pos long, draws binary")
+    return pos.join(drawn, "pos", "left").select(key, F.coalesce("draws", F.lit(bytes(iterations))).alias("draws"))
 
 
 def bootstrap_sizes(boot: DataFrame, min_oob: int = 2) -> DataFrame:
     """Distinct training rows and out-of-bag rows per iteration; tiny test sets are skipped."""
-    return boot.groupBy("iteration").agg(
-        F.count_if(F.col("multiplicity") > 0).alias("n_train"),
-        F.count_if(F.col("multiplicity") == 0).alias("n_oob"),
-        F.sum("multiplicity").alias("n_draws"),
-    ).where(F.col("n_oob") >= min_oob)
+    def run(batches):
+        sums = 0
+        for batch in batches:
+            rows = [np.frombuffer(x, np.uint8) for x in batch.column(0).to_pylist()]
+            for i in range(0, len(rows), 4096):
+                m = np.stack(rows[i:i + 4096])
+                sums = sums + np.stack([(m > 0).sum(axis=0), (m == 0).sum(axis=0), m.sum(axis=0, dtype=np.int64)])
+        if not isinstance(sums, int):
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.shape[1])), *map(pa.array, sums)], ["iteration", "n_train", "n_oob", "n_draws"])
+
+    each = boot.select("draws").mapInArrow(run, "iteration long, n_train long, n_oob long, n_draws long")
+    return each.groupBy("iteration").agg(*[F.sum(c).alias(c) for c in ("n_train", "n_oob", "n_draws")]).where(F.col("n_oob") >= min_oob)
 
 
 def sample_to(df: DataFrame, key: str, n: int, seed: int = domain.SEED) -> DataFrame:

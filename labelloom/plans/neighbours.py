@@ -143,9 +143,7 @@ BOOT_PREDS = f"""{BOOT_SQL}, allpairs AS (SELECT q.vec_id AS query_id, b.vec_id
 
 def bootstrap_metrics(spark, d):
     e = v.table(spark, d, "embeddings")
-    votes = nn.knn_bootstrap(e, boot(spark, d), K, "label")
-    truth = e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("true_label"))
-    return mt.prf(votes.join(truth, "query_id"), v.vector_labels(spark, d), ["iteration"])
+    return mt.prf_from_confusion(nn.knn_bootstrap(e, boot(spark, d), K, "label"), v.vector_labels(spark, d), ["iteration"])
 
 
 @query("knn_bootstrap_eval", f"WITH {BOOT_PREDS}, {s_prf('bpreds', VEC_LABELS, 'iteration')} SELECT * FROM prf")

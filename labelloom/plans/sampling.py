@@ -140,7 +140,7 @@ def stratified_kfold(spark, d):
     return sp.kfold(v.documents(spark, d).select("doc_id", "lang"), "lang", "doc_id", 5)
 
 
-ITERATIONS = 5
+ITERATIONS = 100
 BOOT_SQL = f"""pos AS (SELECT vec_id AS id, {v.s_rank("", "vec_id")} AS pos FROM embeddings), cnt AS (SELECT count(*) AS n FROM embeddings),
   drawn AS (SELECT it AS iteration, {v.h("concat(it, '-', slot)", "boot42")} % cnt.n + 1 AS pos FROM cnt, range({ITERATIONS}) t(it), range((SELECT n FROM cnt)) s(slot)),
   mult AS (SELECT iteration, pos, count(*) AS multiplicity FROM drawn GROUP BY ALL),
@@ -149,8 +149,7 @@ BOOT_SQL = f"""pos AS (SELECT vec_id AS id, {v.s_rank("", "vec_id")} AS pos FROM
 
 
 def boot(spark, d):
-    rows = sp.bootstrap(v.table(spark, d, "embeddings"), "vec_id", ITERATIONS)
-    return rows.withColumnRenamed("vec_id", "id")
+    return sp.bootstrap(v.table(spark, d, "embeddings"), "vec_id", ITERATIONS)
 
 
 @query("bootstrap_oob", f"""WITH {BOOT_SQL} SELECT iteration, cast(sum(cast(multiplicity > 0 AS INTEGER)) AS BIGINT) AS n_train,

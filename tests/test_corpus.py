@@ -1,5 +1,7 @@
 """Readers, sinks, splits, resamples and planning."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +67,16 @@ def test_bootstrap_draws(spark):
     for r in sp.bootstrap_sizes(boot).collect():
         assert r.n_draws == 200 and r.n_train + r.n_oob == 200 and 50 < r.n_oob < 95
     assert sp.bootstrap_sizes(sp.bootstrap(spark.range(1), "id", 2)).count() == 0
+    assert sp.bootstrap_sizes(sp.bootstrap(spark.range(0), "id", 2)).count() == 0
+
+
+def test_bootstrap_draws_by_position(spark, monkeypatch):
+    monkeypatch.setattr(sp, "POSITIONS", 7)
+    n, its = 60, 5
+    got = {r.id: list(r.draws) for r in sp.bootstrap(spark.range(n), "id", its).collect()}
+    ranked = sorted(range(n), key=lambda k: hashlib.md5(f"42|{k}".encode()).hexdigest())
+    drawn = [[int(hashlib.md5(f"{i}-{s}|boot42".encode()).hexdigest()[:15], 16) % n for s in range(n)] for i in range(its)]
+    assert got == {k: [drawn[i].count(p) for i in range(its)] for p, k in enumerate(ranked)}
 
 
 @pytest.mark.parametrize("n", [0, 40, 100, 250])

@@ -81,12 +81,27 @@ def test_scores_sum_to_one(spark):
 
 def test_bootstrap_widens_short_lists(spark, vectors):
     """A one-neighbour start list has to grow until five drawn copies are found."""
-    from labelloom.operators.split import bootstrap
+    from labelloom.operators.split import bootstrap, bootstrap_sizes
 
     df, _ = vectors
-    boot = bootstrap(df, "vec_id", 2).withColumnRenamed("vec_id", "id")
+    boot = bootstrap(df, "vec_id", 2)
     short = nn.knn_bootstrap(df, boot, 5, "label", start=1)
     long = nn.knn_bootstrap(df, boot, 5, "label", start=299)
     key = lambda d: sorted(map(tuple, d.collect()))
     assert key(short) == key(long)
-    assert short.count() == boot.where(F.col("multiplicity") == 0).count()
+    assert short.agg(F.sum("n")).first()[0] == bootstrap_sizes(boot).agg(F.sum("n_oob")).first()[0]
+
+
+def test_bootstrap_votes_equal_a_loop():
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        m, its, k = int(rng.integers(1, 12)), 6, int(rng.integers(1, 6))
+        labels = rng.choice(list("abc"), m).tolist()
+        drawn, own = rng.poisson(0.8, (m, its)), rng.poisson(0.7, its)
+        best, few = nn.bootstrap_votes(labels, drawn, own, k)
+        names = list(dict.fromkeys(labels))
+        for i in range(its):
+            copies = [l for l, n in zip(labels, drawn[:, i]) for _ in range(n)][:k]
+            want = max(names, key=lambda l: (copies.count(l), -copies.index(l) if l in copies else -99)) if copies and not own[i] else None
+            assert (names[best[i]] if best[i] >= 0 else None) == want
+            assert few[i] == (own[i] == 0 and len(copies) < k)
