@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -199,8 +201,29 @@ def closed_similarity(labels, similarity_min: float = SIMILARITY_MIN):
     return match
 
 
-def resolve_closed(df: DataFrame, raw: str, labels, out: str = "label") -> DataFrame:
-    """Map every answer to one of ``labels``; never null."""
+def _most_alike(text: Column, label: str) -> Column:
+    """Upper bound of the sequence similarity of an ASCII text and a label: their shared characters, in any order."""
+    counts = Counter(label.lower())
+    shared = [F.least(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))), F.lit(n)) for c, n in sorted(counts.items())]
+    total = reduce(lambda a, b: a + b, shared, F.lit(0))
+    return F.when(F.length(text) + len(label) == 0, 1.0).otherwise(2.0 * total / (F.length(text) + len(label)))
+
+
+def _most_words(text: Column, labels: list[str]) -> Column:
+    """Label with the most words in common with an ASCII text, the first of equals."""
+    own = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\w+"), F.lit(0)))
+    shared = [F.struct(F.size(F.array_intersect(own, _strings(sorted(set(re.findall(r"\w+", l.lower())))))).alias("n"),
+                       F.lit(-i).alias("ord"), F.lit(l).alias("l")) for i, l in enumerate(labels)]
+    return F.array_max(F.array(*shared))["l"]
+
+
+def resolve_closed(df: DataFrame, raw: str, labels, out: str = "label", compared: str | None = None,
+                   similarity_min: float = SIMILARITY_MIN) -> DataFrame:
+    """Map every answer to one of ``labels``; never null.
+
+    Sequence similarity is computed in Python, for those distinct answers only whose characters could make a label reach
+    ``similarity_min``; ``compared`` names a column that tells which rows these were.
+    """
     labels = list(labels)
     cand = strip(F.regexp_replace(strip(raw), "\\A[\"'`.]+|[\"'`.]+\\z", ""))
     df = df.withColumn("__cand", cand)
@@ -216,7 +239,14 @@ def resolve_closed(df: DataFrame, raw: str, labels, out: str = "label") -> DataF
     longest = F.array_max(F.array_compact(F.array(*held)))["l"]
     df = df.withColumn("__sure", F.when(F.col(raw).isNull(), F.lit(labels[0]))
                        .otherwise(F.coalesce(exact, line, longest)))
-    # Only distinct answers that nothing else resolved go to Python.
-    left = df.where(F.col("__sure").isNull()).select("__cand").distinct()
-    near = left.select("__cand", closed_similarity(labels)(F.col("__cand")).alias("__near"))
-    return df.join(near, "__cand", "left").withColumn(out, F.coalesce("__sure", "__near")).drop("__cand", "__sure", "__near")
+    # Only distinct answers that nothing else resolved and that may be alike enough go to Python.
+    left = df.where(F.col("__sure").isNull()).select("__cand").distinct().withColumn("__low", F.lower("__cand"))
+    plain = F.col("__cand").rlike(r"\A[\x00-\x7F]*\z")
+    alike = reduce(lambda a, b: a | b, [_most_alike(F.col("__low"), l) >= similarity_min - 1e-9 for l in labels])
+    left = left.withColumn("__asked", ~plain | alike)
+    near = F.coalesce(closed_similarity(labels, similarity_min)(F.when(F.col("__asked"), F.col("__cand"))), _most_words(F.col("__low"), labels))
+    near = left.select("__cand", "__asked", near.alias("__near"))
+    df = df.join(near, "__cand", "left").withColumn(out, F.coalesce("__sure", "__near"))
+    if compared:
+        df = df.withColumn(compared, F.coalesce("__asked", F.lit(False)))
+    return df.drop("__cand", "__sure", "__near", "__asked")

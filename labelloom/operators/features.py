@@ -11,9 +11,9 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.feature import (
-    IDF, CountVectorizer, ElementwiseProduct, Normalizer, RegexTokenizer, Word2Vec, Word2VecModel,
+    IDF, CountVectorizer, ElementwiseProduct, Normalizer, RegexTokenizer, SQLTransformer, Word2Vec, Word2VecModel,
 )
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.stat import Summarizer
@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from labelloom import domain
 from labelloom.functions.text import WORD, word_tokens
+from labelloom.operators.wordvectors import WordVectors
 from labelloom.session import checked_broadcast, scratch_path, shuffle_width
 
 # Long form: (key, term, tf).
@@ -122,15 +123,34 @@ class SmoothTfIdf(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, D
         return PipelineModel([scaled, Normalizer(p=2.0, inputCol=f"{out}_raw", outputCol=out)])
 
 
-def vectorizer_stages(name: str, text: str = "text", n_terms: int = domain.MAX_TERMS, out: str = "features") -> list:
-    """Pipeline stages of ``one_hot``, ``bow`` or ``tfidf``."""
-    split = RegexTokenizer(inputCol=text, outputCol="tokens", pattern=WORD, gaps=False, toLowercase=True)
+def skip_gram(df: DataFrame, tokens: str) -> DataFrame:
+    """(term, vector) of Spark's own word vectors."""
+    return word2vec(df.select(tokens), tokens).getVectors().select(F.col("word").alias("term"), vector_to_array("vector", "float32").alias("vector"))
+
+
+def vectorizer_stages(name: str, text: str = "text", n_terms: int = domain.MAX_TERMS, out: str = "features",
+                      preprocess: str | None = None, tokenize: str | None = None) -> list:
+    """Pipeline stages of ``one_hot``, ``bow``, ``tfidf`` or ``word2vec``; all of them are stored with the pipeline.
+
+    ``preprocess`` is a SQL expression over the row that replaces the text, ``tokenize`` one that gives its array of tokens,
+    in which ``prepared`` names the text. By default words of two letters and more, for word vectors what blanks separate.
+    """
+    steps, source = [], text
+    if preprocess or tokenize:
+        source = "prepared"
+        steps.append(SQLTransformer(statement=f"SELECT *, {preprocess or f'`{text}`'} AS prepared FROM __THIS__"))
+    if tokenize or name == "word2vec":
+        steps.append(SQLTransformer(statement=f"SELECT *, {tokenize or f"split(`{source}`, ' ')"} AS tokens FROM __THIS__"))
+    else:
+        steps.append(RegexTokenizer(inputCol=source, outputCol="tokens", pattern=WORD, gaps=False, toLowercase=True))
+    if name == "word2vec":
+        return [*steps, WordVectors(skip_gram, "tokens", out)]
     counts_out = "counts" if name == "tfidf" else out
     count = CountVectorizer(inputCol="tokens", outputCol=counts_out, vocabSize=n_terms, binary=name == "one_hot")
     if name in ("one_hot", "bow"):
-        return [split, count]
+        return [*steps, count]
     if name == "tfidf":
-        return [split, count, SmoothTfIdf(inputCol="counts", outputCol=out)]
+        return [*steps, count, SmoothTfIdf(inputCol="counts", outputCol=out)]
     raise ValueError(f"unknown vectoriser {name}")
 
 
@@ -220,7 +240,7 @@ class HashedEncoder:
 
 def encode(df: DataFrame, key: str, text: str, factory: Callable[[], Encoder] = HashedEncoder,
            batch: int = 128, tasks: int | None = None) -> DataFrame:
-    """(key, embedding): the encoder is built once per task and fed in batches.
+    """(key, embedding): the encoder is built once per task and fed in batches; a null text counts as empty.
 
     ``tasks`` spreads the rows first, for inputs with too few partitions.
     """
@@ -233,7 +253,7 @@ def encode(df: DataFrame, key: str, text: str, factory: Callable[[], Encoder] =
                 yield pd.DataFrame({key: part[key], "embedding": list(encoder(part[text].tolist()))})
 
     schema = T.StructType([df.schema[key], T.StructField("embedding", T.ArrayType(T.FloatType()))])
-    rows = df.select(key, text)
+    rows = df.select(key, F.coalesce(F.col(text), F.lit("")).alias(text))
     return (rows.repartition(tasks, key) if tasks else rows).mapInPandas(run, schema)
 
 
@@ -248,7 +268,8 @@ def encode_cached(df: DataFrame, key: str, text: str, cache_path: str,
     if encoder is None:
         made = factory()
         encoder = f"{type(made).__module__}.{type(made).__qualname__}:{getattr(made, 'dim', '')}"
-    rows = df.select(key, F.sha2(F.concat(F.lit(f"{encoder}|"), F.col(text)), 256).alias("digest"), text)
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = df.select(key, F.sha2(F.concat(F.lit(f"{encoder}|"), body), 256).alias("digest"), body.alias(text))
     texts = rows.groupBy("digest").agg(F.first(text).alias(text))
     empty = spark.createDataFrame([], "digest string, embedding array<float>")
     empty.write.mode("append").parquet(cache_path)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelloom.session import shuffle_width
+
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column)
@@ -71,3 +75,39 @@ def store_stats(df: DataFrame, error: str, model: str, kind: str) -> DataFrame:
 def response_records(prompts: DataFrame, responses: DataFrame, key: str, context: str) -> DataFrame:
     """Prompt metadata joined with its response; the context is cut to 200 characters."""
     return prompts.join(responses, key).withColumn(context, F.substring(context, 1, 200))
+
+
+# Two primes below 2**31 and a base: products stay within 64 bits, so SQL can state the digest.
+DIGEST_PRIMES, DIGEST_BASE = (2147483647, 2147483629), 1_000_003
+
+
+def ordered_digest(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(n, digest): number of rows and 16 hexadecimal digits that depend on every key and text and on the rows' order by key.
+
+    A polynomial hash of the row hashes. Hashes of consecutive pieces combine, by (length, hash), to the hash of the whole,
+    so every range of keys is reduced where it lies and any partitioning gives the same digest. Rows with equal
+    keys are ordered by their text's hash; a null counts as a text of its own.
+    """
+    row = F.md5(F.concat_ws("|", F.coalesce(F.col(key).cast("string"), F.lit("\0")), F.coalesce(F.col(text), F.lit("\0"))))
+    parts = [(F.conv(F.substring(row, at, 15), 16, 10).cast("bigint") % p).alias(f"h{i}") for i, (at, p) in enumerate(zip((1, 17), DIGEST_PRIMES))]
+    rows = df.select(F.col(key).alias("key"), row.alias("row"), *parts)
+    width = shuffle_width(df.sparkSession)
+    ordered = rows.repartitionByRange(width, F.col("key").asc_nulls_first(), "row").sortWithinPartitions(F.col("key").asc_nulls_first(), "row")
+
+    def reduce_piece(batches):
+        n, hashes = 0, [0, 0]
+        for batch in batches:
+            n += batch.num_rows
+            for i, p in enumerate(DIGEST_PRIMES):
+                acc = hashes[i]
+                for h in batch.column(f"h{i}").to_pylist():
+                    acc = (acc * DIGEST_BASE + h) % p
+                hashes[i] = acc
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (TaskContext.get().partitionId(), n, *hashes)], ["piece", "n", "h0", "h1"])
+
+    pieces = ordered.mapInArrow(reduce_piece, "piece long, n long, h0 long, h1 long").collect()  # a row per partition
+    n, whole = 0, [0, 0]
+    for r in sorted(pieces, key=lambda r: r["piece"]):
+        n += r["n"]
+        whole = [(w * pow(DIGEST_BASE, r["n"], p) + r[f"h{i}"]) % p for i, (w, p) in enumerate(zip(whole, DIGEST_PRIMES))]
+    return df.sparkSession.createDataFrame([(n, "".join(f"{w:08x}" for w in whole))], "n long, digest string")

@@ -235,7 +235,6 @@ def hyperparam_search(spark, d):
 
 
 GRID_VECTORIZERS, GRID_MODELS = ["one_hot", "bow", "tfidf", "word2vec"], ["logreg", "svm", "rf"]
-REFIT_VECTORIZERS = GRID_VECTORIZERS[:3]
 METRIC_FLAGS = [f"{m}_macro" for m in ("precision", "recall", "f1", "roc_auc")] + ["accuracy", "f1_weighted"]
 
 
@@ -288,12 +287,9 @@ def best_per_model(spark, d):
 
 @query("refit_full", f"""WITH {SPLIT} SELECT doc_id, label, TRUE AS known, (SELECT count(*) FROM sp) AS n FROM sp""")
 def refit_full(spark, d):
-    """Best combination by held-out macro F1, refitted on all rows, stored and read back.
-
-    The cells of the grid but those of word vectors, whose document means are no pipeline stage that ``refit`` could store.
-    """
+    """Best combination of the whole grid by held-out macro F1, refitted on all rows, stored and read back."""
     rows = split_docs(spark, d)
-    grid = md.run_grid(rows, v.LANGS, "doc_id", REFIT_VECTORIZERS, GRID_MODELS, N_TERMS, parallelism=4)
+    grid = md.run_grid(rows, v.LANGS, "doc_id", GRID_VECTORIZERS, GRID_MODELS, N_TERMS, parallelism=4)
     top = grid.orderBy(F.desc("f1_macro"), "vectorizer", "model").first()
     path = scratch_path(spark, "best")
     meta = {"vectorizer": top["vectorizer"], "model": top["model"], "f1_macro": top["f1_macro"], "n": rows.count()}

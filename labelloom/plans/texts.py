@@ -9,6 +9,7 @@ from labelloom.functions import answers as an
 from labelloom.functions import render as rd
 from labelloom.functions import text as tx
 from labelloom.functions.keys import draw
+from labelloom.operators import profile as pf
 from labelloom.operators.drafts import BODY_TAG, extract_mail
 from labelloom.operators.planning import corpus_plan, render_plan
 from labelloom.plans import views as v
@@ -62,11 +63,22 @@ def cache_key(spark, d):
     return v.documents(spark, d).select("doc_id", tx.cache_key("zero_shot", "holdout", row_id, "text", "model-a").alias("key"))
 
 
-@query("corpus_digest", """SELECT count(*) AS n, cast(sum(('0x' || substr(md5(text), 1, 15))::HUGEINT) AS VARCHAR) AS digest FROM documents""")
+def _power_sql(prime: int) -> str:
+    """The digest's base to the power e, by squares."""
+    return (f"list_reduce(list_concat([1::BIGINT], range(40, -1, -1)), lambda a, bit: "
+            f"(a * a % {prime}) * CASE WHEN (e >> bit) & 1 = 1 THEN {pf.DIGEST_BASE} ELSE 1 END % {prime})")
+
+
+_HEX = "||".join(f"printf('%08x', (sum((('0x' || substr(m, {at}, 15))::BIGINT % {p}) * {_power_sql(p)} % {p}) % {p})::BIGINT)"
+                 for at, p in zip((1, 17), pf.DIGEST_PRIMES))
+
+
+@query("corpus_digest", f"""WITH r AS (SELECT doc_id, md5(concat_ws('|', coalesce(doc_id::VARCHAR, chr(0)), coalesce(text, chr(0)))) AS m FROM documents),
+  o AS (SELECT m, count(*) OVER () - row_number() OVER (ORDER BY doc_id NULLS FIRST, m) AS e FROM r)
+  SELECT count(*) AS n, {_HEX} AS digest FROM o""")
 def corpus_digest(spark, d):
-    """Order-free digest: a commutative sum of 60-bit parts, so it needs no sort and one tiny shuffle."""
-    part = F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("decimal(28,0)")
-    return v.documents(spark, d).agg(F.count("*").alias("n"), F.sum(part).cast("string").alias("digest"))
+    """Sixteen digits that change with any text, any id and the order of the rows by id."""
+    return pf.ordered_digest(v.documents(spark, d), "doc_id", "text")
 
 
 LABEL_LINES = rd.label_block(v.LANGS)
@@ -255,7 +267,8 @@ def resolve_label(spark, d):
 def resolve_label_closed(spark, d):
     docs = v.documents(spark, d)
     labels = bounded_values(docs, "source")
-    return an.resolve_closed(v.candidates(spark, d), "candidate", labels).select("doc_id", "candidate", "label")
+    out = an.resolve_closed(v.candidates(spark, d), "candidate", labels, compared="compared")
+    return out.select("doc_id", "candidate", "label", "compared")
 
 
 L4 = "[" + ", ".join(v.s_quote(x) for x in v.LANGS) + "]"

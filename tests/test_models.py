@@ -3,13 +3,15 @@
 import numpy as np
 import pytest
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from labelloom.operators import features as ft
 from labelloom.operators import models as md
 from labelloom.operators import scoring as sc
+from labelloom.operators.prepare import index_labels
 from labelloom.operators.split import holdout, kfold
+from labelloom.operators.wordvectors import WordVectorModel
 from labelloom.plans import modelling, streams
 from labelloom.session import materialize
 
@@ -166,15 +168,56 @@ def test_queries_fit_with_the_default_steps(spark, sf, monkeypatch, name):
     assert steps and set(steps) == {1000}
 
 
-def test_refit_query_chooses_among_nine_cells(spark, sf, monkeypatch):
+def test_refit_query_chooses_among_all_cells(spark, sf, monkeypatch):
     def run_grid(df, labels, key, vectorizers, models, *a, **k):
         raise InterruptedError(len(vectorizers) * len(models))
 
     monkeypatch.setattr(md, "run_grid", run_grid)
-    with pytest.raises(InterruptedError, match="9"):
+    with pytest.raises(InterruptedError, match="12"):
         modelling.refit_full(spark, sf)
 
 
+def test_word_vector_bundle_loads_in_a_new_session(spark, corpus, tmp_path):
+    model = md.refit(corpus, LABELS, "word2vec", "logreg")
+    path = str(tmp_path / "bundle")
+    md.save_bundle(model, {"labels": LABELS}, path)
+    want = sorted(map(tuple, md.score(corpus, model, LABELS, "doc_id").collect()))
+    loaded, meta = md.load_bundle(spark.newSession(), path)
+    got = sorted(map(tuple, md.score(corpus, loaded, meta["labels"], "doc_id").collect()))
+    assert [g[:2] for g in got] == [w[:2] for w in want] and [g[2] for g in got] == pytest.approx([w[2] for w in want])
+
+
+def test_word_vector_means(spark):
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 3.0])], "term string, vector array<float>")
+    rows = spark.createDataFrame([(1, ["a", "b", "a", "zz"]), (2, ["zz"]), (3, []), (4, None)], "id int, tokens array<string>")
+    got = {r.id: r.features.toArray().tolist() for r in WordVectorModel(vectors=vectors).transform(rows).collect()}
+    assert got == {1: [2 / 3, 1.0], 2: [0, 0], 3: [0, 0], 4: [0, 0]}
+    # The join form gives the same means.
+    joined = ft.doc_vectors(rows.where("id < 4"), "id", F.col("tokens"), vectors.select("term", array_to_vector("vector").alias("vector")), 2)
+    for r in joined.collect():
+        assert r.doc_vector.toArray().tolist() == pytest.approx(got[r.id])
+
+
+def test_vectoriser_callbacks_are_stored(spark, corpus, tmp_path):
+    fitted = md.fit(md.pipeline("tfidf", "logreg", n_rows=150, preprocess="regexp_replace(upper(text), '[0-9]+', '#')",
+                                tokenize="filter(split(prepared, '[^A-Z#]+'), x -> length(x) > 0)"),
+                    index_labels(corpus, LABELS, "label"), 150)
+    words = set(fitted.stages[2].vocabulary)
+    assert words and all(w == w.upper() for w in words)
+    path = str(tmp_path / "bundle")
+    md.save_bundle(fitted, {}, path)
+    loaded, _ = md.load_bundle(spark, path)
+    assert sorted(map(tuple, md.score(corpus, loaded, LABELS, "doc_id").collect())) == sorted(map(tuple, md.score(corpus, fitted, LABELS, "doc_id").collect()))
+
+
+@pytest.mark.parametrize("cached", [False, True])
+def test_null_texts_are_encoded_as_empty(spark, tmp_path, cached):
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, "some words")], "id int, text string")
+    out = ft.encode_cached(rows, "id", "text", str(tmp_path / "c")) if cached else ft.encode(rows, "id", "text")
+    got = {r.id: r.embedding for r in out.collect()}
+    assert set(got) == {1, 2, 3} and got[1] == got[2] and not any(got[1]) and any(got[3])
+
+
 def test_weights_sum_to_rows(corpus):
     assert md.balanced_weights(corpus, "label").agg(F.sum("weight")).first()[0] == pytest.approx(150)
 

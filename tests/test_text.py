@@ -1,9 +1,12 @@
 """Text, draft and answer functions on hand-made edge rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from labelloom import domain
+from labelloom.operators import profile as pf
 from labelloom.functions import answers as an
 from labelloom.functions import text as tx
 from labelloom.operators.drafts import extract_mail
@@ -130,3 +133,32 @@ def test_placeholders_and_truncation(spark):
     raw = "SUBJECT: Para [Nombre]\n---\nHola [Nombre], su [DNI] y [x] sin final"
     out = extract_mail(spark.createDataFrame([(raw,)], "raw string")).first()
     assert out.placeholders == ["[DNI]", "[Nombre]"] and out.truncated
+
+
+def test_pruned_similarity_gives_the_same_answers(spark):
+    rng = random.Random(4)
+    labels = ["solicitud_baja", "Alta nueva", "queja", "x", "otro irrelevante", "ñandú", "--"]
+    cands = ["", "zzz", "quejas", "baja solicitud", "otro", "ALTA", "nueva_alta", "irrelevante", "ñandu", "qéuja", "a" * 300, "x_y", "-"]
+    cands += ["".join(rng.choice("solicitudbajaquenñ _") for _ in range(rng.randrange(1, 18))) for _ in range(300)]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cands)], "id int, c string")
+    every = df.withColumn("__cand", F.col("c")).select("id", an.closed_similarity(labels)(F.trim("c")).alias("want"))
+    rows = an.resolve_closed(df, "c", labels, compared="asked").join(every, "id").collect()
+    low = [l.lower() for l in labels]
+    asked = [r for r in rows if r.asked]
+    for r in rows:
+        told = r.c.strip()
+        if r.asked or not any(l in told.lower() for l in low):
+            assert r.label == r.want, r
+    assert 0 < len(asked) < len(rows) / 2
+
+
+def test_ordered_digest(spark):
+    rows = [(i, f"text {i}") for i in range(300)] + [(None, "a"), (None, None), (5, "again")]
+    digest = lambda pairs, n=1: pf.ordered_digest(spark.createDataFrame(pairs, "id long, t string").repartition(n), "id", "t").first()
+    first = digest(rows)
+    assert first.n == len(rows) and len(first.digest) == 16
+    assert digest(rows[::-1], 7) == first
+    swapped = list(rows)
+    swapped[3], swapped[9] = (3, "text 9"), (9, "text 3")
+    assert len({first.digest, digest(swapped).digest, digest(rows[:-1]).digest, digest([*rows, rows[0]]).digest}) == 4
+    assert digest([]).n == 0
