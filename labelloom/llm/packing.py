@@ -44,8 +44,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # parts of their strings in a word are ordinary text
-        self.whole = Tokenizer.from_file(path)
-        self.added = [t.content.lower().encode() for t in self.whole.get_added_tokens_decoder().values()]
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
         self.most = most
         vocabulary = self.tokenizer.get_vocab()
@@ -96,9 +95,11 @@ class WordIds:
         marked = {i: raw for i, (raw, t) in enumerate(zip(given, texts)) if any(a in t for a in self.added)}
         split = [[] if i in marked else t.split() for i, t in enumerate(texts)]
         out = self._joined(split)
-        for i, raw in marked.items():
-            ids = self.whole.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids
-            out[i] = np.array(ids, "<u4").tobytes()
+        if marked:
+            self.tokenizer.encode_special_tokens = False  # as it comes
+            for i, raw in marked.items():
+                out[i] = np.array(self.tokenizer.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+            self.tokenizer.encode_special_tokens = True
         return out
 
     def _joined(self, split: list[list[bytes]]) -> list[bytes]:
