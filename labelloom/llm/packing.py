@@ -27,7 +27,7 @@ from labelloom.llm.batches import batch_of, chunks
 
 WINDOW, CLOSING = 2048, 1
 CACHED_WORDS = 1_500_000
-SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # the apostrophe starts units of its own
+SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # the apostrophe starts units of its own
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -51,26 +51,28 @@ class WordIds:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def learn(self, words) -> dict[bytes, bytes]:
+    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of words not remembered; kept as long as there is room."""
+        texts = b" ".join(words).decode("utf-8", "replace").split(" ")
         plain, other, joined, new, known = [], [], [], {}, self.known
+        letters = list(map(str.isalpha, texts))
+        plain += [x for x, ok in zip(zip(words, texts), letters) if ok]
         asked = set(words)
-        for w in words:
-            t = w.decode("utf-8", "replace")
-            if t.isalpha():
-                plain.append((w, t))
-                continue
-            # Letters and a tail of signs are two units, encoded one by one; letters are mostly known already.
-            core = t.rstrip(SIGNS)
+        odd = [x for x, ok in zip(zip(words, texts), letters) if not ok]
+        # Letters and a tail of signs are two units, encoded one by one; letters are mostly known already.
+        for (w, t), a in zip(odd, [w.rstrip(SIGNS) for w, _ in odd]):
+            core = t[:len(t) - len(w) + len(a)]
             if not core.isalpha():
                 other.append((w, t))
                 continue
-            a, b = core.encode(), t[len(core):].encode()
+            b = w[len(a):]
             joined.append((w, a, b))
-            for part, kind in ((a, plain), (b, other)):
-                if part not in known and part not in asked:
-                    asked.add(part)
-                    kind.append((part, part.decode()))
+            if a not in known and a not in asked:
+                asked.add(a)
+                plain.append((a, core))
+            if b not in known and b not in asked:
+                asked.add(b)
+                other.append((b, b.decode()))
         for i in range(0, len(plain), 20_000):
             part = plain[i:i + 20_000]
             found = self.tokenizer.encode_batch_fast([" ".join([t for _, t in part])], add_special_tokens=False)[0]
@@ -79,10 +81,8 @@ class WordIds:
             if len(stops) != len(part):  # a letter the tokenizer's own tables don't take for one
                 other += part
                 continue
-            raw, at = ids.tobytes(), 0
-            for (w, _), stop in zip(part, (4 * stops).tolist()):
-                new[w] = raw[at:stop]
-                at = stop
+            raw, stops = ids.tobytes(), (4 * stops).tolist()
+            new.update(zip([w for w, _ in part], map(raw.__getitem__, map(slice, [0, *stops], stops))))
         found = self.tokenizer.encode_batch_fast([t for _, t in other], add_special_tokens=False)
         new |= {w: np.array(e.ids, "<u4").tobytes() for (w, _), e in zip(other, found)}
         new |= {w: (known[a] if a in known else new[a]) + (known[b] if b in known else new[b]) for w, a, b in joined}
@@ -103,14 +103,14 @@ class WordIds:
         return out
 
     def _joined(self, split: list[list[bytes]]) -> list[bytes]:
-        fresh = set().union(*split).difference(self.known)
-        look = self.known
-        if fresh:
-            new = self.learn(fresh)
-            if not fresh <= look.keys():
-                return [b"".join([look[w] if w in look else new[w] for w in words]) for words in split]
-        get = look.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        get = self.known.get
+        found = [list(map(get, words)) for words in split]
+        open_ = [i for i, ids in enumerate(found) if None in ids]
+        if open_:
+            new = self.learn(list({w: None for i in open_ for w, ids in zip(split[i], found[i]) if ids is None}))
+            for i in open_:
+                found[i] = [new[w] if ids is None else ids for w, ids in zip(split[i], found[i])]
+        return [b"".join(ids) for ids in found]
 
 
 class Levels:

@@ -280,13 +280,15 @@ def _counted(strings: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for string, reach, id_, tag, place, kind in zip(*[batch.column(c).to_pylist() for c in (
-                    "string", "reach", "id", "tag", "place", "kind")]):
-                first, n = place >> 32, place & _COUNT
-                yield batch_of(
-                    digest=pa.array([xxhash.xxh3_128_digest(string[j:j + LENGTH]) for j in range(n)], pa.binary()),
-                    id=np.full(n, id_), tag=np.full(n, tag), place=((first + np.arange(n)) << 32) | 1,
-                    weight=np.full(n, 2 if kind == 3 else 1), kind=np.full(n, kind, np.int32))
+            for i in range(0, batch.num_rows, 500):
+                some = batch.slice(i, 500)
+                id_, tag, place, kind = (some.column(c).to_numpy() for c in ("id", "tag", "place", "kind"))
+                n = place & _COUNT
+                digests = [xxhash.xxh3_128_digest(s[j:j + LENGTH]) for s, k in zip(some.column("string").to_pylist(), n.tolist()) for j in range(k)]
+                within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                yield batch_of(digest=pa.array(digests, pa.binary()), id=np.repeat(id_, n), tag=np.repeat(tag, n),
+                               place=((np.repeat(place >> 32, n) + within) << 32) | 1, weight=np.repeat(np.where(kind == 3, 2, 1), n),
+                               kind=np.repeat(kind, n))
 
     each = materialize(strings.mapInArrow(run, f"digest binary, {REF}, weight long, kind int"), "hot-strings")
     lone = each.groupBy("digest").agg(F.sum("weight").alias("n"), *[F.min(c).alias(c) for c in ("id", "tag", "place")])
@@ -359,7 +361,8 @@ def repeated_places(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
 def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", carry=()) -> DataFrame:
     """(id, n_bytes, spans of removed bytes, kept bytes) of every row, a null id staying null.
 
-    With ``carry``, the columns of that name and the kept bytes as ``_llm_kept`` instead.
+    With ``carry``, the columns of that name and the kept text as ``_llm_kept`` instead; a cut may fall inside a
+    character, and what is left of it goes too.
     """
     places = repeated_places(docs, id_col, text_col)
     tagged = _tagged(docs, id_col, text_col, carry)
@@ -381,12 +384,12 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", carry=())
                     size.append(len(own))
                     spans.append([{"start": a, "stop": b} for a, b in zip(np.flatnonzero(edge == 1).tolist(),
                                                                            np.flatnonzero(edge == -1).tolist())])
-                    kept.append(own[~gone].tobytes())
+                    kept.append(own[~gone].tobytes().decode("utf-8", "ignore") if carry else own[~gone].tobytes())
                 yield batch_of(id=batch.column(0).slice(i, j - i), n_bytes=pa.array(size, pa.int64()),
                                spans=pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
-                               kept=pa.array(kept, pa.binary()), **{c: batch.column(4).slice(i, j - i) for c in rest})
+                               kept=pa.array(kept, pa.string() if carry else pa.binary()), **{c: batch.column(4).slice(i, j - i) for c in rest})
 
-    schema = StructType.fromDDL("id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
+    schema = StructType.fromDDL("id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept " + ("string" if carry else "binary"))
     schema = StructType([*schema.fields, *[tagged.schema[c] for c in rest]])
     out = tagged.join(places, ["id", "tag"], "left").select("id", "tag", "text", "places", *rest).mapInArrow(run, schema)
     own = F.when(F.col("id") != NO_ID, F.col("id"))
@@ -396,18 +399,9 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", carry=())
 
 
 def without_repeats(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """The documents, all columns kept, with the repeated strings cut out of their texts.
-
-    A cut may fall inside a character; what is left of it goes too.
-    """
-    out = remove_repeats(docs, id_col, text_col, carry=tuple(docs.columns))
-
-    def run(batches):
-        for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            kept = pa.array([None if old is None else x.decode("utf-8", "ignore") for old, x in zip(
-                batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())], pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [kept if i == at else batch.column(i) for i in range(batch.num_columns - 1)], batch.schema.names[:-1])
-
-    return out.mapInArrow(run, docs.schema)
+    """The documents, all columns kept, with the repeated strings cut out of their texts; a null text stays null."""
+    others = [c for c in docs.columns if c != text_col]
+    rows = docs.withColumn("_llm_none", F.col(text_col).isNull())
+    out = remove_repeats(rows, id_col, text_col, carry=(*others, "_llm_none"))
+    text = F.when(~F.col("_llm_none"), F.col("_llm_kept")).alias(text_col)
+    return out.select(*[text if c == text_col else F.col(f"`{c}`") for c in docs.columns])
