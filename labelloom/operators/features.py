@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.feature import (
     IDF, CountVectorizer, ElementwiseProduct, Normalizer, RegexTokenizer, SQLTransformer, Word2Vec, Word2VecModel,
@@ -25,8 +27,9 @@ from pyspark.sql import types as T
 
 from labelloom import domain
 from labelloom.functions.text import WORD, word_tokens
+from labelloom.operators.cbow import cbow
 from labelloom.operators.wordvectors import WordVectors
-from labelloom.session import checked_broadcast, scratch_path, shuffle_width
+from labelloom.session import checked_broadcast, scratch_path, shuffle_width, table_size
 
 # Long form: (key, term, tf).
 
@@ -89,6 +92,48 @@ def tfidf(terms: DataFrame, vocab: DataFrame, key: str, n_docs: int, sublinear:
     return rows.select(key, "term", (F.col("w") / norm).alias("weight"))
 
 
+def tfidf_rows(df: DataFrame, key: str, vocab: DataFrame, n_docs: int, text: str = "text", tokens: Column | None = None,
+               sublinear: bool = False, keep=()) -> DataFrame:
+    """(key, keep..., cells): per row its vocabulary terms as (idx, term, weight), of unit length together.
+
+    As ``tfidf``, but terms are counted, weighted and normalised inside the row, so nothing is shuffled. The vocabulary goes to
+    every task, a number of terms its maker has bounded; its size is checked.
+    """
+    spark = df.sparkSession
+    if table_size(vocab)[1] > 256 << 20:
+        raise ValueError("the vocabulary is too large for every task; use tfidf on term counts")
+    table = vocab.orderBy(F.desc("cf"), "term").select("term", "df").toArrow()
+    idf = np.log((1.0 + n_docs) / (1.0 + table["df"].to_numpy())) + 1.0
+    shared = spark.sparkContext.broadcast((table["term"].combine_chunks().cast(pa.string()), idf))
+    tokens = tokens if tokens is not None else word_tokens(text)
+    rows = df.select(key, *keep, counted(tokens).alias("counts")).where("counts is not null")
+
+    def run(batches):
+        terms, idf = shared.value
+        for batch in batches:
+            counts = batch.column("counts")
+            flat = counts.flatten()
+            size = pc.list_value_length(counts).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = pc.fill_null(pc.index_in(flat.field("term").cast(pa.string()), value_set=terms), -1).to_numpy(zero_copy_only=False)
+            known = at >= 0
+            row = np.repeat(np.arange(batch.num_rows), size)[known]
+            tf = flat.field("tf").to_numpy(zero_copy_only=False)[known].astype(float)
+            weight = (np.log(tf) + 1.0 if sublinear else tf) * idf[at[known]]
+            norm = np.sqrt(np.bincount(row, weight * weight, batch.num_rows))
+            weight = weight / norm[row]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))])
+            # Vectors want their indices in order.
+            order = np.lexsort((at[known], row))
+            cells = pa.StructArray.from_arrays(
+                [pa.array(at[known][order].astype(np.int32)), terms.take(pa.array(at[known][order])), pa.array(weight[order])], ["idx", "term", "weight"])
+            cells = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), cells)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (key, *keep)], cells], [key, *keep, "cells"])
+
+    cell = T.StructType([T.StructField("idx", T.IntegerType()), T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType())])
+    schema = T.StructType([*[rows.schema[c] for c in (key, *keep)], T.StructField("cells", T.ArrayType(cell))])
+    return rows.mapInArrow(run, schema).where(F.size("cells") > 0)
+
+
 def doc_vectors(df: DataFrame, key: str, tokens: Column, vectors: DataFrame, dim: int) -> DataFrame:
     """Mean of the vectors of in-vocabulary tokens, zeros when there are none.
 
@@ -123,6 +168,11 @@ class SmoothTfIdf(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, D
         return PipelineModel([scaled, Normalizer(p=2.0, inputCol=f"{out}_raw", outputCol=out)])
 
 
+def bag_vectors(df: DataFrame, tokens: str) -> DataFrame:
+    """(term, vector) of continuous bag-of-words vectors."""
+    return cbow(df.select(tokens), tokens)
+
+
 def skip_gram(df: DataFrame, tokens: str) -> DataFrame:
     """(term, vector) of Spark's own word vectors."""
     return word2vec(df.select(tokens), tokens).getVectors().select(F.col("word").alias("term"), vector_to_array("vector", "float32").alias("vector"))
@@ -144,7 +194,7 @@ def vectorizer_stages(name: str, text: str = "text", n_terms: int = domain.MAX_T
     else:
         steps.append(RegexTokenizer(inputCol=source, outputCol="tokens", pattern=WORD, gaps=False, toLowercase=True))
     if name == "word2vec":
-        return [*steps, WordVectors(skip_gram, "tokens", out)]
+        return [*steps, WordVectors(bag_vectors, "tokens", out)]
     counts_out = "counts" if name == "tfidf" else out
     count = CountVectorizer(inputCol="tokens", outputCol=counts_out, vocabSize=n_terms, binary=name == "one_hot")
     if name in ("one_hot", "bow"):
@@ -154,25 +204,20 @@ def vectorizer_stages(name: str, text: str = "text", n_terms: int = domain.MAX_T
     raise ValueError(f"unknown vectoriser {name}")
 
 
-def assemble_vectors(long: DataFrame, vocab: DataFrame, key: str, weight: str) -> DataFrame:
-    """Sparse vectors (key, features) from long weights.
+def row_vectors(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """Sparse vectors (key, features) of the rows of ``tfidf_rows``.
 
     The vector column type is stored as a struct of size, indices and values, so
     writing that struct and reading it back as a vector needs no Python per row.
     """
-    index = vocab.select("term", (F.row_number().over(W.orderBy(F.desc("cf"), "term")) - 1).alias("idx"))
-    size = vocab.count()
-    cells = long.join(checked_broadcast(index), "term").groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("idx", F.col(weight).cast("double").alias("w")))).alias("c")
-    )
-    packed = cells.select(key, F.struct(
+    packed = rows.select(key, F.struct(
         F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"),
-        F.transform("c", lambda x: x["idx"]).alias("indices"), F.transform("c", lambda x: x["w"]).alias("values"),
+        F.transform("cells", lambda x: x["idx"]).alias("indices"), F.transform("cells", lambda x: x["weight"]).alias("values"),
     ).alias("features"))
-    path = scratch_path(long.sparkSession, "vectors")
+    path = scratch_path(rows.sparkSession, "vectors")
     packed.write.parquet(path)
     schema = T.StructType([packed.schema[key], T.StructField("features", VectorUDT())])
-    return long.sparkSession.read.schema(schema).parquet(path)
+    return rows.sparkSession.read.schema(schema).parquet(path)
 
 
 def word2vec(df: DataFrame, tokens: str, dim: int = 100, window: int = 5, min_count: int = 2,

@@ -26,7 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from labelloom import domain
 from labelloom.functions.keys import order_digest
-from labelloom.session import materialize, shuffle_width, spread
+from labelloom.session import materialize, shuffle_width, spread, table_size
 
 MAX_PIVOTS = 2048
 MAX_GROUPS = 1000
@@ -270,15 +270,13 @@ def knn(
                     (F.col(bgroup) if bgroup else F.lit(0)).cast("bigint").alias("bgroup"),
                     (F.col(payload) if payload else F.lit(None).cast("int")).alias("payload"))
     q, b = q.where(F.col("qvec").isNotNull()), b.where(F.col("bvec").isNotNull())
-    n_base, n_query = b.count(), q.count()
+    (n_base, base_bytes), (n_query, query_bytes) = table_size(b), table_size(q)
     out = T.StructType([
         T.StructField("query_id", q.schema["qid"].dataType), T.StructField("base_id", b.schema["bid"].dataType),
         T.StructField("payload", b.schema["payload"].dataType), T.StructField("distance", T.DoubleType()),
     ])
     order = W.partitionBy("query_id").orderBy("distance", "base_id")
-    one = b.select(F.size("bvec").alias("dim")).first()
-    row_bytes = 8 * (one["dim"] if one else 0) + 64
-    if n_pivots is None and min(n_base, n_query) * row_bytes <= small_bytes:
+    if n_pivots is None and (base_bytes if n_base <= n_query else query_bytes) <= small_bytes:
         sc = spark.sparkContext
         if n_base <= n_query:  # a checked number of bytes, as is the other case
             task = _nearest_of(sc.broadcast(b.toArrow()), k, exclude, to_arrow_schema(out))

@@ -14,7 +14,7 @@ from labelloom import domain
 from labelloom.functions import text as tx
 from labelloom.functions.answers import parse_answer
 from labelloom.functions.render import ZERO_SHOT, render
-from labelloom.session import file_system, materialize
+from labelloom.session import has_parts, materialize
 from labelloom.sources.buckets import BucketTable
 from labelloom.streaming.series import run_available
 
@@ -54,9 +54,9 @@ def stored_pass(rows: DataFrame, path: str, step: Callable[[DataFrame], DataFram
     ``path`` goes on after the last committed wave; the rows of the first call count, even if ``rows`` has changed.
     """
     spark = rows.sparkSession
-    fs, done = file_system(spark, f"{path}/rows/_SUCCESS")
-    if not fs.exists(done):
+    if not has_parts(spark, f"{path}/written"):
         rows.write.mode("overwrite").option("maxRecordsPerFile", chunk).parquet(f"{path}/rows")
+        spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{path}/written")  # from here on the rows stay
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", wave or spark.sparkContext.defaultParallelism) \
         .parquet(f"{path}/rows")
     answers = step(stream)

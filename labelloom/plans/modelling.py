@@ -11,6 +11,7 @@ from labelloom.functions.keys import uniform
 from labelloom.operators import features as ft
 from labelloom.operators import metrics as mt
 from labelloom.operators import models as md
+from labelloom.operators.cbow import cbow
 from labelloom.operators.split import holdout, kfold
 from labelloom.plans import views as v
 from labelloom.plans.registry import query
@@ -67,30 +68,32 @@ def _tfidf_sql(tf: str) -> str:
   SELECT doc_id, term, round(w / norm, 6) AS weight FROM w JOIN nrm USING (doc_id)"""
 
 
+def _weights(spark, d, sublinear):
+    rows = split_docs(spark, d)
+    train = rows.where("split = 'train'")
+    vocab = materialize(ft.vocabulary(ft.term_counts(train, "doc_id"), N_TERMS), "vocab")
+    cells = ft.tfidf_rows(rows, "doc_id", vocab, train.count(), sublinear=sublinear)
+    return cells.select("doc_id", F.inline("cells")).select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
 @query("tfidf_smooth_l2", _tfidf_sql("tf::DOUBLE"))
 def tfidf_smooth_l2(spark, d):
-    terms, vocab, n = train_terms(spark, d)
-    return ft.tfidf(terms, vocab, "doc_id", n).withColumn("weight", F.round("weight", 6))
+    return _weights(spark, d, False)
 
 
 @query("tfidf_sublinear", _tfidf_sql("(ln(tf) + 1)"))
 def tfidf_sublinear(spark, d):
-    terms, vocab, n = train_terms(spark, d)
-    return ft.tfidf(terms, vocab, "doc_id", n, sublinear=True).withColumn("weight", F.round("weight", 6))
+    return _weights(spark, d, True)
 
 
 @query("word2vec_fit", f"""WITH {SPLIT}, w AS (SELECT unnest(string_split(text, ' ')) AS word FROM sp WHERE split = 'train')
   SELECT word, 100 AS size, TRUE AS finite, TRUE AS moved FROM w GROUP BY word HAVING count(*) >= 2""")
 def word2vec_fit(spark, d):
-    """Word vectors fitted on the train rows: the words seen twice or more, each with a finite vector of its own.
-
-    Spark fits skip-gram vectors; there is no continuous bag-of-words form.
-    """
+    """Bag-of-words vectors fitted on the train rows: the words seen twice or more, each with a finite vector of its own."""
     rows = split_docs(spark, d).where("split = 'train'").select(F.split("text", " ").alias("tokens"))
-    model = ft.word2vec(materialize(rows, "tokens"), "tokens")
-    x = vector_to_array("vector")
+    x = F.col("vector")
     finite = F.forall(x, lambda v: ~F.isnan(v) & (F.abs(v) < 1e6))
-    return model.getVectors().select("word", F.size(x).alias("size"), finite.alias("finite"), F.exists(x, lambda v: v != 0).alias("moved"))
+    return cbow(rows, "tokens").select(F.col("term").alias("word"), F.size(x).alias("size"), finite.alias("finite"), F.exists(x, lambda v: v != 0).alias("moved"))
 
 
 @query("doc_vector_mean", f"""WITH docs AS (SELECT doc_id, {v.s_clean_latin("text")} AS text FROM documents),

@@ -80,6 +80,12 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return fs.exists(at) and fs.getFileStatus(at).isDirectory()
 
 
+def has_parts(spark: SparkSession, path: str) -> bool:
+    """Whether a folder holds a written part file. A table of one file is there as a whole or not at all."""
+    fs, at = file_system(spark, path)
+    return fs.exists(at) and any(e.getPath().getName().startswith("part-") for e in fs.listStatus(at))
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Remove this application's scratch folder; frames read from it are gone afterwards."""
     fs, at = file_system(spark, f"{shared_dir(spark)}/labelloom/{spark.sparkContext.applicationId}")
@@ -129,6 +135,12 @@ def _row_bytes(df: DataFrame):
     return total
 
 
+def table_size(df: DataFrame) -> tuple[int, int]:
+    """Rows and about the bytes of a table, payloads and keys included."""
+    row = df.agg(F.count("*").alias("n"), F.sum(_row_bytes(df)).alias("b")).first()
+    return row["n"], row["b"] or 0
+
+
 def checked_broadcast(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 64 << 20) -> DataFrame:
     """Broadcast ``df`` only after counting that it is within ``max_rows`` and about ``max_bytes``.
 

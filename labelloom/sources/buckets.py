@@ -1,7 +1,7 @@
 """A versioned table in key buckets: an upsert rewrites only the buckets its keys fall into.
 
 Layout below ``path``: ``data/version=V/bucket=B`` holds the rows of a bucket as version V left them, ``manifest/version=V``
-one row per non-empty bucket with the version that wrote it. A version exists once its manifest is committed, so a
+one row per non-empty bucket with the version that wrote it, in one file. A version exists once that file is there, so a
 writer that dies leaves nothing that readers see, and doing a version again that is there changes nothing. Readers take
 the newest manifest and read just the folders it names; a reader of an older version is not disturbed until
 ``vacuum``. One writer at a time.
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from labelloom.session import file_system, materialize
+from labelloom.session import file_system, has_parts, materialize
 
 BUCKET = "__bucket"
 
@@ -31,12 +31,8 @@ class BucketTable:
         fs, at = file_system(self.spark, f"{self.path}/manifest")
         if not fs.exists(at):
             return []
-        found = []
-        for entry in fs.listStatus(at):
-            name = entry.getPath().getName()
-            done = entry.getPath().suffix("/_SUCCESS")
-            if name.startswith("version=") and fs.exists(done):
-                found.append(int(name.removeprefix("version=")))
+        names = [entry.getPath().getName() for entry in fs.listStatus(at)]
+        found = [int(n.removeprefix("version=")) for n in names if n.startswith("version=") and has_parts(self.spark, f"{self.path}/manifest/{n}")]
         return sorted(found)
 
     def homes(self, version: int | None) -> dict[int, int]:

@@ -187,6 +187,19 @@ def test_word_vector_bundle_loads_in_a_new_session(spark, corpus, tmp_path):
     assert [g[:2] for g in got] == [w[:2] for w in want] and [g[2] for g in got] == pytest.approx([w[2] for w in want])
 
 
+@pytest.mark.parametrize("sublinear", [False, True])
+def test_weights_in_rows_equal_the_long_form(spark, corpus, sublinear):
+    texts = corpus.select("doc_id", F.when(F.col("doc_id") % 10 == 0, "").otherwise(F.concat("text", F.lit(" pera Pera"))).alias("text"))
+    terms = materialize(ft.term_counts(texts, "doc_id"))
+    vocab = materialize(ft.vocabulary(terms, 9))
+    want = {(r.doc_id, r.term): r.weight for r in ft.tfidf(terms, vocab, "doc_id", 150, sublinear=sublinear).collect()}
+    rows = ft.tfidf_rows(texts, "doc_id", vocab, 150, sublinear=sublinear)
+    got = {(r.doc_id, r.term): r.weight for r in rows.select("doc_id", F.inline("cells")).collect()}
+    assert got == pytest.approx(want) and want
+    for r in ft.row_vectors(rows, "doc_id", vocab.count()).collect():
+        assert r.features.norm(2) == pytest.approx(1) and r.features.size == 9 and (np.diff(r.features.indices) > 0).all()
+
+
 def test_word_vector_means(spark):
     vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 3.0])], "term string, vector array<float>")
     rows = spark.createDataFrame([(1, ["a", "b", "a", "zz"]), (2, ["zz"]), (3, []), (4, None)], "id int, tokens array<string>")
