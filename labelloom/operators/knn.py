@@ -2,8 +2,8 @@
 
 A side within a checked number of bytes travels to every task, which keeps the k
 best of its own rows, so the larger side is not shuffled. Else both sides are cut
-into blocks of bounded size; a task compares one query block with one base block
-by a matrix product and emits only its k best per query, so no pair list exists. Pivots with radii skip base cells that cannot hold a
+into blocks of bounded size, few enough that what travels grows with the input; a task compares one query block with one base block
+by matrix products and emits only its k best per query, so no pair list exists. Pivots with radii skip base cells that cannot hold a
 neighbour (triangle inequality on unit vectors), so the result stays exact.
 Distances are rounded to 9 places and ties go to the smaller id. Rows without a
 vector neither ask nor answer.
@@ -32,6 +32,9 @@ MAX_PIVOTS = 2048
 MAX_GROUPS = 1000
 SMALL_BYTES = 32 << 20  # a side up to this size is sent to every task
 CELLS_AT_ONCE = 1 << 23  # products a task holds
+SLICE = 4096  # base rows whose k-th best bounds the others
+BLOCK_BYTES = 48 << 20  # of the vectors of a block, in double precision
+ANSWER_BYTES = 40  # of an answer on its way, about
 SLACK = 1e-6  # rounding of pivot distances
 
 
@@ -50,23 +53,49 @@ def _pivot_distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (vectors @ pivots.T)))
 
 
-def _block_best(qm: np.ndarray, bm: np.ndarray, ids: np.ndarray, k: int, banned: np.ndarray | None):
+def _candidates(sim: np.ndarray, least: np.ndarray):
+    """(rows, cols, similarity) of the products of at least ``least`` per row; not a number never is."""
+    at = np.flatnonzero(sim >= least[:, None])
+    rows, cols = np.divmod(at, sim.shape[1])
+    return rows, cols, sim.ravel()[at]
+
+
+def _block_best(qm: np.ndarray, bm: np.ndarray, flat: np.ndarray, ids: np.ndarray, k: int, banned: np.ndarray | None):
     """(rows, cols, distance) of the k best per query row by (rounded distance, id).
 
-    A single-precision product finds the candidates: everything within its
-    rounding error of the k-th best. Their distances are then taken in double.
+    A single-precision product with ``flat`` (dimensions x base rows) finds the candidates: everything within its
+    rounding error of the k-th best. Their distances are then taken in double. The k-th best of the first
+    ``SLICE`` base rows is a bound for the slices that follow, so that only few products are looked at twice.
     """
     n, dim = bm.shape
     k = min(k, n)
-    sim = qm.astype(np.float32) @ bm.astype(np.float32).T
-    if banned is not None:
-        sim[banned] = -np.inf
-    kth = np.partition(sim, n - k, axis=1)[:, n - k]
     # Dot products of unit rows err by at most (dim + 2) * 2**-24 on either side.
-    margin = 4 * (dim + 2) * 2.0**-24 + 4e-9
-    rows, cols = np.nonzero(sim >= (kth - np.float32(margin))[:, None])
-    finite = np.isfinite(sim[rows, cols])
-    rows, cols = rows[finite], cols[finite]
+    margin = np.float32(4 * (dim + 2) * 2.0**-24 + 4e-9)
+    single, step = qm.astype(np.float32), max(SLICE, 8 * k)
+    bound, found = None, []
+    for lo in range(0, n, step):
+        sim = single @ flat[:, lo:lo + step]
+        if banned is not None:
+            sim[banned[:, lo:lo + step]] = -np.inf
+        if bound is None:
+            width = sim.shape[1]
+            bound = np.partition(sim, width - k, axis=1)[:, width - k] - margin
+        rows, cols, near = _candidates(sim, bound)
+        found.append((rows, cols + lo, near))
+    rows, cols, near = (np.concatenate(x) for x in zip(*found))
+    finite = np.isfinite(near)
+    rows, cols, near = rows[finite], cols[finite], near[finite]
+    if len(found) > 1:
+        # The k-th best of all slices, where there are as many.
+        order = np.lexsort((-near, rows))
+        rows, cols, near = rows[order], cols[order], near[order]
+        start = np.searchsorted(rows, np.arange(len(qm)))
+        last = start + k - 1
+        enough = last < np.append(start[1:], len(rows))
+        least = np.full(len(qm), -np.inf, np.float32)
+        least[enough] = near[last[enough]] - margin
+        keep = near >= least[rows]
+        rows, cols = rows[keep], cols[keep]
     # One formula whatever the number of candidates, in pieces, so that ties never depend on the plan.
     step = max(1, CELLS_AT_ONCE // max(1, dim))
     dot = np.concatenate([np.einsum("ij,ij->i", qm[rows[i:i + step]], bm[cols[i:i + step]])
@@ -84,13 +113,14 @@ def _compare(k: int, exclude: str | None, schema: pa.Schema, most: int = 512):
             return schema.empty_table()
         chunk = max(1, min(most, CELLS_AT_ONCE // base.num_rows))
         qm, bm = unit_rows(queries["qvec"]), unit_rows(base["bvec"])
+        flat = np.ascontiguousarray(bm.T, dtype=np.float32)
         ids = base["bid"].to_numpy()
         sides = {"id": ("qid", "bid"), "group": ("qgroup", "bgroup")}.get(exclude)
         mine, theirs = (queries[sides[0]].to_numpy(), base[sides[1]].to_numpy()) if sides else (None, None)
         parts = []
         for lo in range(0, queries.num_rows, chunk):
             banned = mine[lo : lo + chunk, None] == theirs[None, :] if sides else None
-            rows, cols, dist = _block_best(qm[lo : lo + chunk], bm, ids, k, banned)
+            rows, cols, dist = _block_best(qm[lo : lo + chunk], bm, flat, ids, k, banned)
             parts.append(pa.table([
                 queries["qid"].take(pa.array(rows + lo)), base["bid"].take(pa.array(cols)),
                 base["payload"].take(pa.array(cols)), pa.array(dist),
@@ -230,12 +260,25 @@ def _cells(b: DataFrame, wanted: int) -> tuple[DataFrame, Cells] | None:
     return b.drop("reach"), Cells(pivots, seeds["bgroup"].to_numpy(), cells, lo, hi, counts, groups)
 
 
-def _visited_share(q: DataFrame, visit, schema: T.StructType, sizes: dict, n_query: int, n_base: int) -> float:
-    """Share of the base rows a query visits, estimated on about 1,000 queries."""
+def _visited_share(q: DataFrame, visit, schema: T.StructType, sizes: dict, n_query: int, n_base: int) -> tuple[float, float]:
+    """Share of the base rows and number of the cells a query visits, estimated on about 1,000 queries."""
     some = q.sample(False, min(1.0, 1000 / max(1, n_query)), domain.SEED)
     hits = some.mapInArrow(visit, schema).groupBy("cell").agg(F.count("*").alias("n")).collect()
     seen = max(1, some.count())
-    return sum(sizes[h["cell"]] * h["n"] for h in hits) / (seen * n_base)
+    return sum(sizes[h["cell"]] * h["n"] for h in hits) / (seen * n_base), sum(h["n"] for h in hits) / seen
+
+
+def _grid(tasks: int, n_base: int, n_query: int, base_row: float, query_row: float, k: int, block_rows: int, query_rows: int) -> tuple[int, int]:
+    """Blocks of the base and of the queries that are compared each with each.
+
+    A base row travels once per block of queries, a query and its k answers once per block of the base. There are about
+    ``tasks`` pairs of blocks, dealt so that least travels, whatever the number of rows: what is moved grows with the
+    input, until ``BLOCK_BYTES`` bounds a block. ``block_rows`` and ``query_rows`` are the least blocks worth a task.
+    """
+    wide = tasks * max(1, n_base) * base_row / (max(1, n_query) * (query_row + ANSWER_BYTES * k))
+    nb = min(ceil(n_base / block_rows), max(1, round(wide ** 0.5)), tasks)
+    nq = min(ceil(n_query / query_rows), ceil(tasks / max(1, nb)))
+    return max(1, nb, ceil(n_base * base_row / BLOCK_BYTES)), max(1, nq, ceil(n_query * query_row / BLOCK_BYTES))
 
 
 def knn(
@@ -264,6 +307,7 @@ def knn(
     """
     spark = query.sparkSession
     parts = max(shuffle_width(spark), spark.sparkContext.defaultParallelism)
+    tasks = 4 * spark.sparkContext.defaultParallelism  # pairs of blocks; shuffle_width may grow with the input
     q = query.select(F.col(qid).alias("qid"), F.col(qvec).alias("qvec"),
                      (F.col(qgroup) if qgroup else F.lit(0)).cast("bigint").alias("qgroup"))
     b = base.select(F.col(bid).alias("bid"), F.col(bvec).alias("bvec"),
@@ -294,7 +338,9 @@ def knn(
         schema = T.StructType([*q.schema.fields, T.StructField("cell", T.IntegerType())])
         sizes = dict(zip(figures.cells, figures.counts.sum(axis=1).tolist()))
         # Pivots pay off only if queries skip most rows; a sample of queries tells, results are not sampled.
-        worth = n_pivots is not None or _visited_share(q, visit, schema, sizes, n_query, n_base) < 0.25
+        # A visit is a copy of the query, so they must not be many more than the blocks of a plain comparison.
+        share, copies = (0.0, 0.0) if n_pivots else _visited_share(q, visit, schema, sizes, n_query, n_base)
+        worth = share < 0.25 and copies <= 2 * ceil(tasks ** 0.5)
         if worth:
             q = materialize(q.mapInArrow(visit, schema), "vector-visits")
             visits = {r["cell"]: r["n"] for r in q.groupBy("cell").agg(F.count("*").alias("n")).collect()}
@@ -305,9 +351,9 @@ def knn(
         visits, sizes = {0: n_query}, {0: n_base}
 
     # Cells above the block size are split by id hash on both sides.
-    few = sum(ceil(n / block_rows) for n in sizes.values()) < parts
-    least = min(parts, ceil(n_query / 256)) if few and len(sizes) == 1 else 1
-    plan = [(c, max(1, ceil(sizes[c] / block_rows)), max(least, ceil(n / query_rows))) for c, n in visits.items()]
+    base_row, query_row = base_bytes / max(1, n_base), query_bytes / max(1, n_query)
+    least = min(query_rows, 256) if len(sizes) == 1 else query_rows
+    plan = [(c, *_grid(ceil(tasks / len(visits)), sizes[c], n, base_row, query_row, k, block_rows, least)) for c, n in visits.items()]
     if len(plan) == 1:
         nb_col, nq_col = F.lit(plan[0][1]), F.lit(plan[0][2])
         b = b.where(F.col("cell") == plan[0][0])
@@ -321,7 +367,8 @@ def knn(
         .withColumn("qpart", F.explode(F.sequence(F.lit(0), nq_col - 1))).drop("nb", "nq")
     keys = ["cell", "bpart", "qpart"]
     # A few partitions per group even out the hash, without tasks that get no group.
-    parts = min(parts, 4 * sum(nb * nq for _, nb, nq in plan) or 1)
+    groups = sum(nb * nq for _, nb, nq in plan) or 1
+    parts = min(max(parts, 2 * groups), 4 * groups)
     pairs = (
         q.repartition(parts, *keys).groupBy(*keys)
         .cogroup(b.repartition(parts, *keys).groupBy(*keys))

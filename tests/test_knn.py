@@ -105,3 +105,28 @@ def test_bootstrap_votes_equal_a_loop():
             want = max(names, key=lambda l: (copies.count(l), -copies.index(l) if l in copies else -99)) if copies and not own[i] else None
             assert (names[best[i]] if best[i] >= 0 else None) == want
             assert few[i] == (own[i] == 0 and len(copies) < k)
+
+
+@pytest.mark.parametrize("exclude", [None, "id", "group"])
+def test_slices_of_a_block_equal_brute_force(vectors, monkeypatch, exclude):
+    """The bound of the first slice loses no neighbour of the others, copies included."""
+    import pyarrow as pa
+
+    _, rows = vectors
+    monkeypatch.setattr(nn, "SLICE", 16)
+    out = pa.schema([("query_id", pa.int64()), ("base_id", pa.int64()), ("payload", pa.int32()), ("distance", pa.float64())])
+    ids, vecs, folds = pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.list_(pa.float32())), pa.array([r[3] for r in rows])
+    labels = pa.array([r[2] for r in rows], pa.int32())
+    got = nn._compare(3, exclude, out)(
+        pa.table([ids, vecs, folds], ["qid", "qvec", "qgroup"]), pa.table([ids, vecs, folds, labels], ["bid", "bvec", "bgroup", "payload"]))
+    assert {(r["query_id"], r["base_id"]) for r in got.to_pylist()} == {(q, b) for q, _, b in brute(rows, 3, exclude)}
+
+
+def test_blocks_do_not_multiply_with_the_rows():
+    """What travels, rows times blocks, grows with the input while the blocks fit; small wished blocks change nothing."""
+    for n in (10**5, 10**6, 10**7):
+        for block in (64, 8192):
+            nb, nq = nn._grid(48, n, n, 8.0, 8.0, 5, block, block)
+            assert nb * nq <= 64 * max(1, n * 8 / nn.BLOCK_BYTES) ** 2
+    nb, nq = nn._grid(48, 10**8, 10**8, 512.0, 512.0, 5, 8192, 8192)
+    assert 10**8 / nb * 512 <= nn.BLOCK_BYTES and 10**8 / nq * 512 <= nn.BLOCK_BYTES
