@@ -22,6 +22,11 @@ PLACEHOLDER = r"\[[^\]]{2,40}\]"
 SENTENCE_END = rf"""[.!?»"'][{BLANK}]*\z"""
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c) -> Column:
     """Trim every kind of blank on both sides."""
     return F.regexp_replace(_col(c), rf"\A[{BLANK}]+|[{BLANK}]+\z", "")
@@ -60,7 +65,8 @@ def clean_spam(c) -> Column:
 
 def normalize_body(c) -> Column:
     text = F.coalesce(_col(c), F.lit(""))
-    text = F.regexp_replace(text, r"[ \t]+", " ")
+    # A single blank stays as it is, so that most words need no replacement.
+    text = F.regexp_replace(text, r"[ \t]{2,}|\t", " ")
     return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
@@ -72,18 +78,19 @@ def last_blank(c: Column) -> Column:
 
 def truncate_words(c, n: int = domain.MAX_BODY_CHARS, marker: str = domain.BODY_MARKER) -> Column:
     """Cut to ``n`` characters, back to the last space when it lies beyond 80 % of ``n``."""
-    text = _col(c)
-    head = F.substring(text, 1, n)
-    at = last_blank(head)
-    cut = F.when(at > F.lit(0.8 * n), F.substring(head, F.lit(1), at)).otherwise(head)
-    return F.when(F.length(text) > n, F.concat(cut, F.lit(marker))).otherwise(text)
+    def cut(head):
+        return let(last_blank(head), lambda at: F.when(at > F.lit(0.8 * n), F.substring(head, F.lit(1), at)).otherwise(head))
+
+    return let(_col(c), lambda text: F.when(
+        F.length(text) > n, F.concat(let(F.substring(text, 1, n), cut), F.lit(marker))).otherwise(text))
 
 
 def cut_at_blank(c: Column, n: Column) -> Column:
     """First ``n`` characters without the last, possibly broken word."""
-    head = F.substring(c, F.lit(1), n)
-    at = last_blank(head)
-    return F.when(at >= 0, F.substring(head, F.lit(1), at)).otherwise(head)
+    def cut(head):
+        return let(last_blank(head), lambda at: F.when(at >= 0, F.substring(head, F.lit(1), at)).otherwise(head))
+
+    return let(F.substring(c, F.lit(1), n), cut)
 
 
 def shrink(c, level: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,7 +30,7 @@ def ask(df: DataFrame, prompt: str, factory: Callable[[], Scorer], out: str = "r
     """
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType()), T.StructField("error", T.StringType())])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = factory()
 
         def call(text: str) -> tuple[str | None, str | None]:
@@ -39,11 +39,12 @@ def ask(df: DataFrame, prompt: str, factory: Callable[[], Scorer], out: str = "r
             except Exception as e:  # noqa: BLE001 - any client error is a row value
                 return None, str(e)
 
-        for frame in frames:
-            answers = [call(p) for p in frame[prompt]]
-            yield frame.assign(**{out: [a for a, _ in answers], "error": [e for _, e in answers]})
+        for batch in batches:
+            answers = [call(p) for p in batch.column(prompt).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *[pa.array([x[i] for x in answers], pa.string()) for i in (0, 1)]], [*batch.schema.names, out, "error"])
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def stored_pass(rows: DataFrame, path: str, step: Callable[[DataFrame], DataFrame], chunk: int = CHUNK, wave: int | None = None) -> DataFrame:
@@ -95,7 +96,8 @@ def classify_answers(
     uniform = F.map_from_entries(F.array(*[
         F.struct(F.lit(l).alias("key"), F.lit(1.0 / len(labels)).alias("value")) for l in labels
     ]))
-    rows = df.withColumn("body", tx.truncate_words(tx.normalize_body(text)))
+    # Blank and other rows are read apart, so the text is cleaned once and written.
+    rows = materialize(df.withColumn("body", tx.truncate_words(tx.normalize_body(text))), "bodies")
     blank = rows.where(F.col("body") == "")
     kept = [*df.columns, "body"]
     flat = {

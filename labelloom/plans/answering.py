@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelloom.functions import text as tx
+from labelloom.functions.answers import fixed
 from labelloom.functions.render import FEW_SHOT, ZERO_SHOT
 from labelloom.operators import scoring as sc
 from labelloom.operators.split import few_shot, few_shot_block, holdout
@@ -46,6 +47,12 @@ def mails(spark, d):
     return v.texts(spark, d).select("doc_id", F.col("lang").alias("true_label"), F.when(blank, "  ").otherwise(F.col("text")).alias("text"))
 
 
+def keyed_mails(spark, d):
+    """Mails whose cleaned body is not blank, with their cache key; cleaned once and written, as several joins read them."""
+    rows = fixed(mails(spark, d), body=tx.truncate_words(tx.normalize_body("text"))).where("body <> ''")
+    return materialize(rows.withColumn("key", tx.cache_key("zero", "holdout", "doc_id", "body", "m")).drop("body"), "keyed")
+
+
 BODY = f"""mails AS (SELECT doc_id, lang AS true_label, {v.s_truncate(v.s_normalize_body("CASE WHEN source = 'src3' THEN '  ' ELSE text END"), 3000, " [TEXTO TRUNCADO]")} AS body FROM documents)"""
 
 
@@ -92,16 +99,14 @@ def scorer_hook(spark, d):
   a AS (SELECT m.*, {asked('body')} AS n FROM m) SELECT a.key, a.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'cached' ELSE {PICK} END AS predicted_label FROM a LEFT JOIN labels l ON l.doc_id = a.doc_id""")
 def scored_through_cache(spark, d):
     """Rows found in a prediction cache keep it, the rest is asked."""
-    body = tx.truncate_words(tx.normalize_body("text"))
-    rows = mails(spark, d).withColumn("body", body).where("body <> ''")
-    rows = rows.withColumn("key", tx.cache_key("zero", "holdout", "doc_id", "body", "m"))
+    rows = keyed_mails(spark, d)
     seen = v.table(spark, d, "labels").select("doc_id")
     cache = rows.join(seen, "doc_id", "left_semi").select("key", F.lit("cached").alias("predicted_label"))
 
     def score(misses):
-        return sc.classify_answers(misses.drop("body"), "doc_id", "text", digest_scorer(v.LANGS), v.LANGS, {}, "en", passes=1)
+        return sc.classify_answers(misses, "doc_id", "text", digest_scorer(v.LANGS), v.LANGS, {}, "en", passes=1)
 
-    out = sc.with_cache(rows.drop("body"), cache, "key", score)
+    out = sc.with_cache(rows, cache, "key", score)
     return out.select("key", "doc_id", "predicted_label")
 
 
@@ -145,9 +150,7 @@ def few_shot_answers(spark, d):
   a AS (SELECT m.*, {asked('body')} AS n FROM m) SELECT key, doc_id, {PICK} AS predicted_label, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS asked_in FROM a""")
 def answers_written_back(spark, d):
     """Two runs through a stored table of answers: the second asks only what the first, over every other row, has not."""
-    body = tx.truncate_words(tx.normalize_body("text"))
-    rows = mails(spark, d).withColumn("body", body).where("body <> ''")
-    rows = rows.withColumn("key", tx.cache_key("zero", "holdout", "doc_id", "body", "m")).drop("body")
+    rows = keyed_mails(spark, d)
     store = BucketTable(spark, scratch_path(spark, "answers"), T.StructType.fromDDL("key string, predicted_label string, asked_in int"), ["key"])
 
     def score(run):

@@ -162,3 +162,33 @@ def test_ordered_digest(spark):
     swapped[3], swapped[9] = (3, "text 9"), (9, "text 3")
     assert len({first.digest, digest(swapped).digest, digest(rows[:-1]).digest, digest([*rows, rows[0]]).digest}) == 4
     assert digest([]).n == 0
+
+
+def test_bodies_equal_a_plain_loop(spark):
+    """Runs of blanks and tabs, cuts at the last blank and texts without one, against Python."""
+    import re
+
+    from labelloom import domain
+    from labelloom.functions import text as tx
+
+    rows = ["", " ", "a\tb", "a \t b", "\t", "a  b\n\n\n\nc ", "x" * 50, "ab " * 20, "ab" * 14 + " " + "c" * 30, "word " + "y" * 60, None]
+
+    def plain(t):
+        t = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", t or "")).strip()
+        if len(t) <= 30:
+            return t
+        at = t[:30].rfind(" ")
+        return (t[:30][:at] if at > 24 else t[:30]) + domain.BODY_MARKER
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "id int, t string")
+    got = {r.id: r.b for r in df.select("id", tx.truncate_words(tx.normalize_body("t"), 30).alias("b")).collect()}
+    assert got == {i: plain(t) for i, t in enumerate(rows)}
+
+
+def test_the_body_is_cleaned_once_per_row(spark):
+    """The cleaned text stands once in the plan, however long the cut's expression is."""
+    from labelloom.functions import text as tx
+
+    df = spark.createDataFrame([("a",)], "t string").select(tx.truncate_words(tx.normalize_body("t")).alias("b"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count("{3,}") == 1
