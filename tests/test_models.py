@@ -267,3 +267,26 @@ def test_failed_calls_end_in_the_fallback(spark):
     assert (got[3].predicted_label, got[3].attempts, got[3].parse_error) == ("verbo", 0, False)
     assert got[3]["class_scores"] == pytest.approx({l: 1 / 3 for l in LABELS})
     assert len(got) == 3
+
+
+def test_weights_do_not_depend_on_the_pieces_of_a_batch(spark, monkeypatch):
+    """Rows weighed two at a time give what all at once give; texts without words have no row."""
+    from labelloom.operators import features as ft
+
+    rows = [(i, t) for i, t in enumerate(["aa bb aa", "", "bb cc", None, "cc cc cc dd", "aa dd", "!"])]
+    df = spark.createDataFrame(rows, "id int, text string").coalesce(1)
+    vocab = ft.vocabulary(ft.term_counts(df, "id"), 10).cache()
+    found = []
+    for n in (100, 2):
+        monkeypatch.setattr(ft, "PIECE_ROWS", n)
+        found.append({(r.id, c.term): c.weight for r in ft.tfidf_rows(df, "id", vocab, 7).collect() for c in r.cells})
+    assert found[0] == found[1] and {i for i, _ in found[0]} == {0, 2, 4, 5}
+
+
+def test_words_are_taken_once_per_row(spark):
+    """The pattern of the words stands once in the optimised plan: no filter takes them again."""
+    from labelloom.operators import features as ft
+
+    df = spark.createDataFrame([(1, "aa bb")], "id int, text string")
+    plan = ft.term_counts(df, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
