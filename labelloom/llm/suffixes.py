@@ -36,6 +36,7 @@ from labelloom.session import checked_broadcast, materialize, shuffle_width
 
 LENGTH = 200
 GRAM, BLOCK = 64, 69  # anchors are grams; at most BLOCK string starts share a block
+HOT_PIECE = 4096  # rows of hot cores whose strings a task adds up at once
 HOT_CORE = 1000  # the strings of a core with more rows are counted one by one, without meeting in a task
 CORE = LENGTH - BLOCK + 1
 SEGMENT = 1 << 18
@@ -274,26 +275,45 @@ def compare_strings(core, strings, reach, weight, block: int = BLOCK):
 def _counted(strings: DataFrame) -> DataFrame:
     """Places of the strings of kind 2 rows that occur elsewhere, each string counted by a digest of its bytes.
 
-    For cores with very many rows, as of a passage in a large share of the documents: equal strings are added up before
-    the shuffle, and those that stand alone are taken out by place, so no core and no string gathers its rows.
+    For cores with very many rows, as of a passage in a large share of the documents: equal strings are added up in the
+    task before anything is written, so that only strings it saw once go on with their places; those that stand alone are
+    taken out by place. No core and no string gathers its rows.
     """
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                some = batch.slice(i, 500)
+            for i in range(0, batch.num_rows, HOT_PIECE):
+                some = batch.slice(i, HOT_PIECE)
                 id_, tag, place, kind = (some.column(c).to_numpy() for c in ("id", "tag", "place", "kind"))
                 n = place & _COUNT
-                digests = [xxhash.xxh3_128_digest(s[j:j + LENGTH]) for s, k in zip(some.column("string").to_pylist(), n.tolist()) for j in range(k)]
-                within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                yield batch_of(digest=pa.array(digests, pa.binary()), id=np.repeat(id_, n), tag=np.repeat(tag, n),
-                               place=((np.repeat(place >> 32, n) + within) << 32) | 1, weight=np.repeat(np.where(kind == 3, 2, 1), n),
-                               kind=np.repeat(kind, n))
-
-    each = materialize(strings.mapInArrow(run, f"digest binary, {REF}, weight long, kind int"), "hot-strings")
-    lone = each.groupBy("digest").agg(F.sum("weight").alias("n"), *[F.min(c).alias(c) for c in ("id", "tag", "place")])
-    lone = lone.where("n = 1").select("id", "tag", "place")
-    return each.where("kind = 2").join(lone, ["id", "tag", "place"], "left_anti").select("id", "tag", "place")
+                raw = b"".join(xxhash.xxh3_128_digest(s[j:j + LENGTH]) for s, k in zip(some.column("string").to_pylist(), n.tolist()) for j in range(k))
+                digest, row = np.frombuffer(raw, np.uint64).reshape(-1, 2), np.repeat(np.arange(len(n)), n)
+                within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                order = np.lexsort(digest.T)
+                new = np.ones(len(order), bool)
+                new[1:] = (digest[order[1:]] != digest[order[:-1]]).any(axis=1)
+                run = _runs(new)
+                total = np.bincount(run, np.where(kind == 3, 2, 1)[row[order]]).astype(np.int64)
+                one = order[new]
+                at = row[one]
+                yield batch_of(digest=pa.array([raw[16 * k:16 * k + 16] for k in one.tolist()], pa.binary()), id=id_[at], tag=tag[at],
+                               place=((place[at] >> 32) + within[one]) << 32 | 1, weight=total)
+                # What occurs twice here needs no answer: runs of such strings as places without a digest.
+                found = np.zeros(len(order), bool)
+                found[order] = total[run] > 1
+                found &= (kind == 2)[row]
+                begin = found & ((within == 0) | ~np.concatenate([[False], found[:-1]]))
+                count = np.bincount(np.cumsum(begin)[found] - 1, minlength=begin.sum())
+                first = np.flatnonzero(begin)
+                at = row[first]
+                yield batch_of(digest=pa.nulls(len(first), pa.binary()), id=id_[at], tag=tag[at],
+                               place=((place[at] >> 32) + within[first]) << 32 | count, weight=np.zeros(len(first), np.int64))
+
+    each = materialize(strings.mapInArrow(run, f"digest binary, {REF}, weight long"), "hot-strings")
+    sent, ref = each.where("digest is not null"), ["id", "tag", "place"]
+    lone = sent.groupBy("digest").agg(F.sum("weight").alias("n"), *[F.min(c).alias(c) for c in ref]).where("n = 1").select(ref)
+    asked = sent.where("weight = 1").join(lone, ref, "left_anti").select(ref)
+    return each.where("digest is null").select(ref).unionByName(asked)
 
 
 def _open_strings(strings: DataFrame, width: int) -> DataFrame:

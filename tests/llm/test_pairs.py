@@ -219,6 +219,30 @@ def test_suffixes_on_small_alphabets_and_edits(spark, monkeypatch, hot):
     check_suffixes(spark, rows, edge.table(spark, rows))
 
 
+@pytest.mark.parametrize("piece", [7, 4096])
+def test_strings_of_hot_cores_are_added_up_in_the_task(spark, monkeypatch, piece):
+    monkeypatch.setattr(suffixes, "HOT_CORE", 3)
+    monkeypatch.setattr(suffixes, "HOT_PIECE", piece, raising=False)
+    seen, real = {}, suffixes.materialize
+
+    def written(df, name):
+        out = real(df, name)
+        seen[name] = out.count(), out
+        return out
+
+    monkeypatch.setattr(suffixes, "materialize", written)
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(600))
+    rows = []
+    for i in range(60):  # near copies, an edit each
+        at = rng.randrange(600)
+        rows.append((i, text[:at] + rng.choice("XYZ") + text[at + 1:]))
+    check_suffixes(spark, rows, spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    hot = seen["strings"][1].groupBy("core").agg(F.count("*").alias("n"), F.sum(F.length("string") - suffixes.LENGTH + 1).alias("k")).where("n > 3")
+    if piece > 60:
+        assert seen["hot-strings"][0] < 0.8 * hot.agg(F.sum("k")).first()[0]
+
+
 def test_suffixes_of_very_many_null_ids(spark):
     rng = random.Random(6)
     words = [edge.sentence(rng, 6) for _ in range(400)]
