@@ -290,3 +290,28 @@ def test_words_are_taken_once_per_row(spark):
     df = spark.createDataFrame([(1, "aa bb")], "id int, text string")
     plan = ft.term_counts(df, "id")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1
+
+
+def test_a_fit_reads_features_not_texts(corpus, monkeypatch):
+    seen, real = [], md.fit
+    monkeypatch.setattr(md, "fit", lambda est, train, n: seen.append(train) or real(est, train, n))
+    md.refit(corpus, LABELS, "bow", "logreg")
+    md.cv_predictions(kfold(corpus.drop("split"), "label", "doc_id", 2), LABELS, "doc_id", "tfidf", "logreg")
+    plans = [t._jdf.queryExecution().optimizedPlan().toString() for t in seen]
+    assert len(plans) == 3 and all("features" in t.columns for t in seen)
+    assert not any("text#" in p or "tokens#" in p for p in plans)
+
+
+@pytest.mark.parametrize("rows", [modelling.split_docs, modelling.toxic_table])
+def test_rows_are_cleaned_once(spark, sf, monkeypatch, rows):
+    plans = []
+
+    def stop(df, *a, **k):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        raise InterruptedError
+
+    monkeypatch.setattr(modelling, "materialize", stop)
+    monkeypatch.setattr(modelling, "holdout", stop)
+    with pytest.raises(InterruptedError):
+        rows(spark, sf)
+    assert plans[0].count("regexp_extract_all") == 1
