@@ -23,6 +23,7 @@ import copy
 import math
 import zlib
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,9 @@ FREQUENT = 60_000  # words whose counts every task holds
 TRAIN_ROWS, TRAIN_TOKENS = 400, 250_000  # bound of the sample that sets the first weights
 TASK_TOKENS = 1 << 21  # training tokens of a task of an epoch, which its memory follows
 WINDOW, LANES, EPOCHS, RATE = 32, 512, 2, 0.02
-TASK_LANES = 256
+TASK_LANES, MIN_LANES = 256, 32
+FURTHEST = 4  # windows that are read as one where few lanes are left
+AT_ONCE = 16_384  # words whose probabilities are worked out together
 END = b""  # no word is empty
 
 
@@ -111,8 +114,10 @@ class Model:
         self.p = {k: x.astype(np.float32) for k, x in self.p.items()}
 
     def encode(self, words: list[bytes]) -> np.ndarray:
-        get, unknown = self.ids.get, self.unknown
-        return np.array([get(w, unknown) for w in words] + [self.end], np.int32)
+        ids = np.empty(len(words) + 1, np.int32)
+        ids[:-1] = np.fromiter(map(self.ids.get, words, repeat(self.unknown)), np.int32, len(words))
+        ids[-1] = self.end
+        return ids
 
     def log10_share(self, count: int) -> float:
         """Add-one log share of a word with this training count among all words (the base model)."""
@@ -122,88 +127,143 @@ class Model:
         """Add-one log share of a word with this training count among the unknown words."""
         return math.log10((count + 1) / (self.unknown_total + self.unknown_distinct + 1))
 
+    def _gates(self):
+        """Recurrent weights of the gates z and r, one above the other, and of the candidate."""
+        u, h = self.p["u"], HIDDEN
+        return np.stack([u[:, :h], u[:, h:2 * h]]).astype(np.float32), np.ascontiguousarray(u[:, 2 * h:], np.float32)
+
     def run(self, x, state):
-        """States (T + 1, lanes, hidden) and the gates after reading the ids x (T, lanes)."""
-        p, h = self.p, HIDDEN
-        states, gates = np.empty((len(x) + 1, *state.shape), np.float32), []
+        """States (T + 1, lanes, hidden) and the gates z and r (2, T, lanes, hidden) and c after reading the ids x (T, lanes)."""
+        h, (steps, lanes) = HIDDEN, x.shape
+        table, (gate, inner) = self.p["e"] + self.p["b"], self._gates()
+        # A gate is 1 / (1 + exp(-a)): its table and its weights are taken with their signs turned.
+        zr = np.take(np.stack([-table[:, :h], -table[:, h:2 * h]]).astype(np.float32), x, axis=1)
+        c, gate = np.take(np.ascontiguousarray(table[:, 2 * h:], np.float32), x, axis=0), -gate
+        states = np.empty((steps + 1, lanes, h), np.float32)
         states[0] = state
-        table = p["e"] + p["b"]
-        for t in range(len(x)):
-            a = table[x[t]]
-            s = states[t]
-            zr = 1 / (1 + np.exp(-(a[:, :2 * h] + s @ p["u"][:, :2 * h])))
-            z, r = zr[:, :h], zr[:, h:]
-            c = np.tanh(a[:, 2 * h:] + (r * s) @ p["u"][:, 2 * h:])
-            states[t + 1] = s + z * (c - s)
-            gates.append((z, r, c))
-        return states, gates
+        two, one = np.empty((2, lanes, h), np.float32), np.empty((lanes, h), np.float32)
+        for t in range(steps):
+            s, after, g, d = states[t], states[t + 1], zr[:, t], c[t]
+            np.matmul(s, gate, out=two)
+            two += g
+            np.exp(two, out=two)
+            two += 1
+            np.reciprocal(two, out=g)
+            np.multiply(g[1], s, out=after)
+            np.matmul(after, inner, out=one)
+            one += d
+            np.tanh(one, out=d)
+            np.subtract(d, s, out=after)
+            after *= g[0]
+            after += s
+        return states, (zr, c)
+
+    def _by_class(self, y):
+        """The order that sorts the ids y by class, and where each class begins and ends in it."""
+        cls = self.cls[y].astype(np.uint16)
+        order = np.argsort(cls, kind="stable")
+        return order, np.searchsorted(cls[order], np.arange(len(self.first)))
+
+    def _inner(self, at, k):
+        """Logits (words, n) within class k of the states at."""
+        lo, hi = self.first[k], self.first[k + 1]
+        out = self.p["w"][lo:hi] @ at.T
+        out += self.p["v"][lo:hi, None]
+        return out
+
+    def _outer(self, at):
+        """Logits (classes, n) of the states at."""
+        out = self.p["c"].T @ at.T
+        out += self.p["d"][:, None]
+        return out
 
     def log_probs(self, states, y):
         """Natural log probability of the ids y given the states before them (flat)."""
-        p = self.p
-        logits = states @ p["c"] + p["d"]
-        logits -= logits.max(axis=1, keepdims=True)
-        cls = self.cls[y]
-        out = logits[np.arange(len(y)), cls] - np.log(np.exp(logits).sum(axis=1))
-        order = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(len(self.first)))
+        order, bounds = self._by_class(y)
+        at, yy, each = states[order], y[order], np.arange(len(y))
+        logits = self._outer(at)
+        logits -= logits.max(axis=0)
+        found = logits[self.cls[yy], each]
+        found -= np.log(np.exp(logits, out=logits).sum(axis=0))
         for k in np.flatnonzero(np.diff(bounds)):
-            at = order[bounds[k]:bounds[k + 1]]
-            lo, hi = self.first[k], self.first[k + 1]
-            if hi - lo > 1:
-                inner = states[at] @ p["w"][lo:hi].T + p["v"][lo:hi]
-                inner -= inner.max(axis=1, keepdims=True)
-                out[at] += inner[np.arange(len(at)), y[at] - lo] - np.log(np.exp(inner).sum(axis=1))
+            i, j, lo = bounds[k], bounds[k + 1], self.first[k]
+            if self.first[k + 1] - lo > 1:
+                inner = self._inner(at[i:j], k)
+                inner -= inner.max(axis=0)
+                found[i:j] += inner[yy[i:j] - lo, each[:j - i]]
+                found[i:j] -= np.log(np.exp(inner, out=inner).sum(axis=0))
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
-    def gradients(self, x, y, keep, state):
+    def gradients(self, x, y, keep, state, out=None):
         """Loss gradients over one window (T, lanes); ``keep`` masks targets. Returns (grads, last state)."""
         p, h = self.p, HIDDEN
-        states, gates = self.run(x, state)
-        flat, yy, on = states[1:].reshape(-1, h), y.ravel(), keep.ravel()
-        g = {k: np.zeros_like(v) for k, v in p.items()}
-        n = max(1, on.sum())
-        logits = flat @ p["c"] + p["d"]
-        e = np.exp(logits - logits.max(axis=1, keepdims=True))
-        dl = e / e.sum(axis=1, keepdims=True)
-        cls = self.cls[yy]
-        dl[np.arange(len(yy)), cls] -= 1
-        dl *= on[:, None] / n
-        g["c"], g["d"] = flat.T @ dl, dl.sum(axis=0)
-        ds = dl @ p["c"].T
-        order = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(len(self.first)))
+        states, (zr, c) = self.run(x, state)
+        before, flat = states[:-1], states[1:].reshape(-1, h)
+        g = {k: np.zeros_like(v) for k, v in p.items()} if out is None else out
+        on = np.flatnonzero(keep.ravel())
+        n = np.float32(max(1, len(on)))
+        order, bounds = self._by_class(y.ravel()[on])
+        order = on[order]
+        at, yy, each = flat[order], y.ravel()[order], np.arange(len(on))
+        dl = self._outer(at)
+        dl -= dl.max(axis=0)
+        np.exp(dl, out=dl)
+        dl /= dl.sum(axis=0) * n
+        dl[self.cls[yy], each] -= 1 / n
+        g["c"][:], g["d"][:] = (dl @ at).T, dl.sum(axis=1)
+        found = dl.T @ p["c"].T
         for k in np.flatnonzero(np.diff(bounds)):
-            at = order[bounds[k]:bounds[k + 1]]
-            lo, hi = self.first[k], self.first[k + 1]
+            i, j, lo, hi = bounds[k], bounds[k + 1], self.first[k], self.first[k + 1]
             if hi - lo == 1:
                 continue
-            inner = flat[at] @ p["w"][lo:hi].T + p["v"][lo:hi]
-            e = np.exp(inner - inner.max(axis=1, keepdims=True))
-            di = e / e.sum(axis=1, keepdims=True)
-            di[np.arange(len(at)), yy[at] - lo] -= 1
-            di *= on[at][:, None] / n
-            g["w"][lo:hi], g["v"][lo:hi] = di.T @ flat[at], di.sum(axis=0)
-            ds[at] += di @ p["w"][lo:hi]
-        ds = ds.reshape(states[1:].shape)
-        carry, read = np.zeros_like(state), []
+            di = self._inner(at[i:j], k)
+            di -= di.max(axis=0)
+            np.exp(di, out=di)
+            di /= di.sum(axis=0) * n
+            di[yy[i:j] - lo, each[:j - i]] -= 1 / n
+            g["w"][lo:hi], g["v"][lo:hi] = di @ at[i:j], di.sum(axis=1)
+            found[i:j] += di.T @ p["w"][lo:hi]
+        ds = np.zeros((*x.shape, h), np.float32)
+        ds.reshape(-1, h)[order] = found
+        # What a step needs besides the gradient that comes from behind, for all steps at once.
+        z, r = zr
+        past, by_z, by_r = 1 - z, c - before, before * r
+        by_z *= z
+        by_z *= past
+        gated = by_r.copy()
+        by_r -= by_r * r
+        by_c = c
+        by_c *= c
+        np.subtract(1, by_c, out=by_c)
+        by_c *= z
+        gate, inner = self._gates()
+        gate, inner = np.ascontiguousarray(gate.transpose(0, 2, 1)), np.ascontiguousarray(inner.T)
+        read = np.empty((3, *ds.shape), np.float32)
+        carry, one = np.zeros(state.shape, np.float32), np.empty(state.shape, np.float32)
         for t in range(len(x) - 1, -1, -1):
-            z, r, c = gates[t]
-            s, d = states[t], ds[t] + carry
-            dc = d * z * (1 - c * c)
-            dz = d * (c - s) * z * (1 - z)
-            drs = dc @ p["u"][:, 2 * h:].T
-            dr = drs * s * r * (1 - r)
-            a = np.concatenate([dz, dr, dc], axis=1)
-            read.append(a)
-            g["b"] += a.sum(axis=0)
-            g["u"][:, :2 * h] += s.T @ a[:, :2 * h]
-            g["u"][:, 2 * h:] += (r * s).T @ dc
-            carry = d * (1 - z) + drs * r + a[:, :2 * h] @ p["u"][:, :2 * h].T
-        ids = x[::-1].ravel()
+            d, (a, b, e) = ds[t], read[:, t]
+            d += carry
+            np.multiply(d, by_z[t], out=a)
+            np.multiply(d, by_c[t], out=e)
+            np.matmul(e, inner, out=one)
+            np.multiply(one, by_r[t], out=b)
+            np.multiply(one, r[t], out=carry)
+            carry += np.matmul(a, gate[0], out=one)
+            carry += np.matmul(b, gate[1], out=one)
+            d *= past[t]
+            carry += d
+        read = read.reshape(3, -1, h)
+        before = before.reshape(-1, h)
+        g["b"][:] = read.sum(axis=1).ravel()
+        g["u"][:, :h], g["u"][:, h:2 * h] = before.T @ read[0], before.T @ read[1]
+        g["u"][:, 2 * h:] = gated.reshape(-1, h).T @ read[2]
+        ids = x.ravel().astype(np.uint16)
         order = np.argsort(ids, kind="stable")
-        at = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        g["e"][ids[order[at]]] = np.add.reduceat(np.concatenate(read)[order], at)
+        first = np.flatnonzero(np.diff(ids[order].astype(np.int32), prepend=-1))
+        sums = np.add.reduceat(np.concatenate([part[order] for part in read], axis=1), first)
+        g["e"][ids[order[first]]] = sums
         return g, states[-1]
 
     @property
@@ -215,62 +275,92 @@ class Model:
         """Truncated backpropagation with Adam: documents run through the lanes window by window, state carried."""
         if not texts:
             return
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        q = {k: np.zeros_like(v) for k, v in self.p.items()}
-        step, planned = 0, epochs * sum(map(len, texts)) / (lanes * WINDOW)
+        # All weights, their gradients and moments as one vector each; the named ones are views of it.
+        flat = np.concatenate([x.ravel() for x in self.p.values()])
+        slope, m, q, d, e = (np.zeros_like(flat) for _ in range(5))
+        ends = np.cumsum([x.size for x in self.p.values()])[:-1]
+        shapes = {k: x.shape for k, x in self.p.items()}
+        self.p, g = ({k: part.reshape(shapes[k]) for k, part in zip(shapes, np.split(x, ends))} for x in (flat, slope))
+        step, seen, planned = 0, 0, epochs * sum(map(len, texts))
         for _ in range(epochs):
-            for x, y, keep, fresh, _ in _windows(texts, lanes, WINDOW, self.start):
-                if step == 0 or len(fresh) != len(state):
-                    state = np.zeros((x.shape[1], HIDDEN), np.float32)
-                state = np.where(fresh[:, None], 0, state).astype(np.float32)
-                live = np.flatnonzero(keep.any(axis=0))
-                g, state[live] = self.gradients(x[:, live], y[:, live], keep[:, live], state[live])
-                step += 1
-                lr = rate * max(0.05, 1 - step / (planned + 1))
-                for k in self.p:
-                    d = np.clip(g[k], -1, 1)
-                    m[k] = 0.9 * m[k] + 0.1 * d
-                    q[k] = 0.99 * q[k] + 0.01 * d * d
-                    self.p[k] -= (lr * m[k] / (1 - 0.9**step) / (np.sqrt(q[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+            state = np.zeros((min(lanes, len(texts)), HIDDEN), np.float32)
+            for x, y, keep, fresh, _, live in _windows(texts, lanes, WINDOW, self.start):
+                slope[:] = 0
+                _, state[live] = self.gradients(x, y, keep, np.where(fresh[:, None], np.float32(0), state[live]), g)
+                step, lr = step + 1, rate * max(0.05, 1 - seen / planned)
+                seen += np.count_nonzero(keep)
+                np.clip(slope, -1, 1, out=d)
+                m *= 0.9
+                m += np.multiply(d, 0.1, out=e)
+                d *= d
+                d *= 0.01
+                q *= 0.99
+                q += d
+                np.divide(q, 1 - 0.99**step, out=d)
+                np.sqrt(d, out=d)
+                d += 1e-6
+                np.multiply(m, lr / (1 - 0.9**step), out=e)
+                e /= d
+                flat -= e
 
     def score(self, texts: list[np.ndarray], lanes: int = LANES) -> np.ndarray:
         """Natural log probability of each id sequence, state carried from window to window."""
         total = np.zeros(len(texts))
-        state = np.zeros((min(lanes, max(1, len(texts))), HIDDEN), np.float32)
-        for x, y, keep, fresh, owner in _windows(texts, len(state), WINDOW, self.start):
-            state = np.where(fresh[:, None], 0, state).astype(np.float32)
-            live = np.flatnonzero(keep.any(axis=0))
-            states, _ = self.run(x[:, live], state[live])
+        if not texts:
+            return total
+        size = np.array([len(t) for t in texts])
+        # Long texts first, and no more lanes than they leave to fill: few lanes run on alone at the end.
+        order = np.argsort(-size, kind="stable")
+        lanes = int(min(lanes, len(texts), max(MIN_LANES, size.sum() // max(1, size.max()))))
+        state, waiting = np.zeros((lanes, HIDDEN), np.float32), []
+
+        def add_up():
+            after, y, who = (np.concatenate(x) for x in zip(*waiting))
+            waiting.clear()
+            return np.bincount(who, self.log_probs(after, y).astype(np.float64), len(total))
+
+        for x, y, keep, fresh, owner, live in _windows([texts[k] for k in order], lanes, WINDOW, self.start):
+            states, _ = self.run(x, np.where(fresh[:, None], np.float32(0), state[live]))
             state[live] = states[-1]
-            on = keep[:, live]
-            lp = self.log_probs(states[1:][on], y[:, live][on])
-            who = np.broadcast_to(owner[live], on.shape)[on]
-            total += np.bincount(who, lp.astype(np.float64), len(total))
-        return total
+            on = np.flatnonzero(keep.ravel())
+            waiting.append((states[1:].reshape(-1, HIDDEN)[on], y.ravel()[on], order[owner[on % len(owner)]]))
+            if sum(len(w[1]) for w in waiting) >= AT_ONCE:
+                total += add_up()
+        return total + add_up() if waiting else total
 
 
 def _windows(texts, lanes, width, start):
-    """Windows (inputs, targets, mask, fresh lanes, owner per lane), each lane reading one text after another."""
-    lanes = min(lanes, max(1, len(texts)))
-    queue, at, own = 0, np.zeros(lanes, np.int64), np.full(lanes, -1)
+    """Windows (inputs, targets, mask, fresh lanes, owner per lane, lanes in use), each lane reading one text after another."""
+    size = np.array([len(t) for t in texts], np.int64)
+    flat, ends = np.concatenate(texts), np.cumsum(size)
+    lanes = min(lanes, len(texts))
+    at, end, own = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.full(lanes, -1)
+    queue = 0
     while True:
+        done = np.flatnonzero(at >= end)
+        new = np.arange(queue, min(queue + len(done), len(texts)))
+        taken = done[:len(new)]
+        own[taken], at[taken], end[taken], queue = new, ends[new] - size[new], ends[new], queue + len(new)
+        live = np.flatnonzero(at < end)
+        if not len(live):
+            if queue >= len(texts):
+                return
+            continue
         fresh = np.zeros(lanes, bool)
-        for k in range(lanes):
-            if own[k] < 0 or at[k] >= len(texts[own[k]]):
-                own[k] = queue if queue < len(texts) else -1
-                queue, at[k], fresh[k] = queue + 1, 0, True
-        if (own < 0).all():
-            return
-        x = np.zeros((width, lanes), np.int32)
-        y, keep = x.copy(), np.zeros((width, lanes), bool)
-        for k in np.flatnonzero(own >= 0):
-            part = texts[own[k]][at[k]:at[k] + width]
-            y[:len(part), k] = part
-            x[0, k] = texts[own[k]][at[k] - 1] if at[k] else start
-            x[1:len(part), k] = part[:-1]
-            keep[:len(part), k] = True
-            at[k] += width
-        yield x, y, keep, fresh, np.maximum(own, 0)
+        fresh[taken] = True
+        fresh = fresh[live]
+        here, last = at[live], end[live]
+        # Where few lanes are left, a window reaches further, so that it still holds about as many ids.
+        reach = width * min(FURTHEST, max(1, lanes // len(live)))
+        spot = here + np.arange(min(reach, int((last - here).max())))[:, None]
+        keep = spot < last
+        spot = np.minimum(spot, last - 1)
+        y = flat[spot]
+        x = np.empty_like(y)
+        x[0] = np.where(fresh, start, flat[np.maximum(here - 1, 0)])
+        x[1:] = y[:-1]
+        yield x, y, keep, fresh, own[live], live
+        at[live] = here + reach
 
 
 def fit(docs: DataFrame, id_col="doc_id", text_col="text") -> tuple[Model, DataFrame]:
@@ -322,7 +412,10 @@ def epoch_weights(encoded: DataFrame, model: Model, epoch: int) -> dict[str, np.
         rows = sorted(r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
         if rows:
             texts = [np.frombuffer(ids, np.uint16) for _, ids in rows]
-            texts = [texts[k] for k in np.random.default_rng(epoch).permutation(len(texts))]
+            # Texts that would keep a lane busy for long go first, so that few lanes run on alone at the end.
+            share = sum(map(len, texts)) / (4 * TASK_LANES)
+            mixed = np.random.default_rng(epoch).permutation(len(texts))
+            texts = [texts[k] for k in sorted(mixed, key=lambda k: -max(share, len(texts[k])))]
             part, own = zlib.crc32(repr(rows[0][0]).encode()), copy.copy(shared.value)
             own.p = {k: x.copy() for k, x in own.p.items()}
             own.fit(texts, TASK_LANES, 1, rate)
@@ -356,36 +449,32 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col="doc_id", tex
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     id_type = docs.schema[id_col].dataType.simpleString()
-    group = 2048
 
     def run(batches):
         m = shared.value
-        known, ids = m.frequent, m.ids
-        base_of = {w: m.log10_share(n) for w, n in known.items()}
-        own_of = {w: 0.0 if w in ids else m.log10_unknown(n) for w, n in known.items()}
+        # Inside words come first, so a place below their number is the word's vocabulary id. One place more stands for all others.
+        place = {w: i for i, w in enumerate([*m.ids, *(w for w in m.frequent if w not in m.ids)])}
+        other = len(place)
+        base_of = np.array([*(m.log10_share(m.frequent[w]) for w in place), 0.0])
+        own_of = np.array([*(0.0 if w in m.ids else m.log10_unknown(m.frequent[w]) for w in place), 0.0])
         for batch in batches:
             keys = batch.column(0)
-            for i, j, data, off in chunks(batch.column(1), 4 << 20):
+            for i, j, data, off in chunks(batch.column(1), 16 << 20):
                 raw = data.tobytes()
                 texts, size, hits, base, own, rare, rare_n = [], [], [], [], [], [], []
                 for r in range(j - i):
                     w = words_of(raw[off[r]:off[r + 1]])
-                    texts.append(m.encode(w))
                     w.append(END)
+                    at = np.fromiter(map(place.get, w, repeat(other)), np.int32, len(w))
+                    texts.append(np.minimum(at, m.unknown).astype(np.uint16))
+                    left = Counter([w[k] for k in np.flatnonzero(at == other)])
                     size.append(len(w))
-                    b = [base_of.get(x) for x in w]
-                    if None in b:
-                        left = Counter([x for x, y in zip(w, b) if y is None])
-                        common = [x for x, y in zip(w, b) if y is not None]
-                        b = [y for y in b if y is not None]
-                    else:
-                        left, common = {}, w
-                    hits.append(len(b))
-                    base.append(math.fsum(b))
-                    own.append(math.fsum(map(own_of.__getitem__, common)))
+                    hits.append(len(w) - sum(left.values()))
+                    base.append(math.fsum(base_of[at].tolist()))
+                    own.append(own_of[at].sum())
                     rare.append(list(left))
                     rare_n.append(list(left.values()))
-                net = np.concatenate([m.score(texts[k:k + group]) for k in range(0, len(texts), group)]) / math.log(10)
+                net = m.score(texts) / math.log(10)
                 yield batch_of(**{id_col: keys.slice(i, j - i)}, n_tokens=pa.array(size, pa.int64()), n_hit=pa.array(hits, pa.int64()),
                                base=pa.array(base, pa.float64()), net=net + np.array(own),
                                rare=pa.array(rare, pa.list_(pa.binary())), times=pa.array(rare_n, pa.list_(pa.int64())))

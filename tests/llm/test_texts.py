@@ -365,3 +365,18 @@ def test_lm_learns_from_the_long_documents_too(spark, monkeypatch):
     assert sum(r.score for r in held) > 0.8 * sum(r.base_score for r in held)
     again, _ = lm.fit(docs.repartition(5))
     assert all(np.array_equal(model.p[k], again.p[k]) for k in model.p)
+
+
+def test_lm_long_texts_do_not_run_on_in_thousands_of_windows():
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 1_000, n).astype(np.uint16) for n in [32_000, *rng.integers(1, 200, 300), 1]]
+    read, windows = [[] for _ in texts], 0
+    for x, y, keep, fresh, owner, *_ in lm._windows(texts, 64, 32, 7):
+        windows += 1
+        for lane, k in enumerate(owner):
+            ids, before = y[:, lane][keep[:, lane]], x[:, lane][keep[:, lane]]
+            if len(ids):
+                assert before[0] == (7 if fresh[lane] else read[k][-1]) and np.array_equal(before[1:], ids[:-1])
+                read[k].extend(ids.tolist())
+    assert all(np.array_equal(a, b) for a, b in zip(read, texts))
+    assert windows < 300  # a thousand before windows reached further where few lanes are left
